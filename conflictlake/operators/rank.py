@@ -42,3 +42,19 @@ def dense_index(df: DataFrame, order_cols: list, index_col: str = "idx",
     if total_col:
         out = out.withColumn(total_col, F.col("_tot").cast("long"))
     return out.drop("_pid", "_mid", "_m0", "_off", "_tot")
+
+
+def rank_within(df: DataFrame, group_cols: list, order_cols: list, rank_col: str = "rank") -> DataFrame:
+    """0-based position of each row inside its group, in ``order_cols`` order.
+
+    A window partitioned by the group would put a whole group into one task;
+    a group may hold a large share of all rows (one big repository), so the
+    position comes from the parallel dense index over (group, order) minus the
+    first index of the group (a partial min aggregate, one row per group).
+    ``group_cols + order_cols`` must be unique per row.
+    """
+    idx = dense_index(df, [*group_cols, *order_cols], "_gi")
+    first = idx.groupBy(*group_cols).agg(F.min("_gi").alias("_g0"))
+    return (idx.join(first, list(group_cols))
+            .withColumn(rank_col, (F.col("_gi") - F.col("_g0")).cast("long"))
+            .drop("_gi", "_g0"))

@@ -54,3 +54,68 @@ def built_conflict_files(docs: DataFrame) -> DataFrame:
 def _sql(s: str) -> str:
     """Literal for a Spark SQL string (newline as an escape)."""
     return s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+
+
+# --- commit graph stand-in ------------------------------------------------------
+# repository = "n<nationkey>"; commit "c<custkey>"; i = position of the
+# customer inside its nation by custkey (0-based); parents: the customers at
+# positions i div 2 and i div 3 (in that order, when older than i), so most
+# commits are two-parent merges and a few are degenerate (both parents equal);
+# commit_ord = -custkey (newest first).
+# refs: per (nation, segment) the newest commit, "refs/heads/<name>" with name
+# main (BUILDING), maintenance (AUTOMOBILE) or the lower-cased segment,
+# ref_ord = segment position; a remote ref "refs/remotes/origin/<segment>" to
+# the newest commit with a positive balance (often the same head, for the
+# head dedupe), ref_ord = 10 + position; HOUSEHOLD also gets a tag.
+
+SEGMENT_ORD = {"AUTOMOBILE": 0, "BUILDING": 1, "FURNITURE": 2, "HOUSEHOLD": 3, "MACHINERY": 4}
+
+
+def _positions(customer: DataFrame) -> DataFrame:
+    from conflictlake.operators.rank import rank_within
+    c = customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    return rank_within(c, ["c_nationkey"], ["c_custkey"], "i")
+
+
+def standin_commits(customer: DataFrame) -> DataFrame:
+    c = _positions(customer).select(
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("repository"),
+        F.col("c_custkey").alias("k"), "i")
+    cand = c.select("repository", "k", F.explode(F.array(
+        F.struct(F.lit(1).alias("pos"), F.expr("i div 2").alias("pi")),
+        F.struct(F.lit(2).alias("pos"), F.expr("i div 3").alias("pi")))).alias("p"), "i"
+    ).select("repository", "k", "p.pos", "p.pi").where(F.col("pi") < F.col("i"))
+    edges = cand.join(c.select("repository", F.col("i").alias("pi"), F.col("k").alias("pk")),
+                      ["repository", "pi"])
+    par = (edges.groupBy("repository", "k")
+           .agg(F.array_sort(F.collect_list(F.struct("pos", "pk"))).alias("ps"))
+           .select("repository", "k", F.transform("ps", lambda x: F.concat(F.lit("c"), x["pk"].cast("string"))).alias("parents")))
+    return (c.join(par, ["repository", "k"], "left")
+            .select("repository", F.concat(F.lit("c"), F.col("k").cast("string")).alias("sha"),
+                    F.coalesce("parents", F.expr("CAST(array() AS array<string>)")).alias("parents"),
+                    (-F.col("k")).cast("long").alias("commit_ord")))
+
+
+def standin_refs(customer: DataFrame) -> DataFrame:
+    c = customer.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("repository"),
+                        F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), "c_acctbal")
+    segord = F.expr("CASE seg " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEGMENT_ORD.items()) + " END")
+    heads = c.groupBy("repository", "seg").agg(
+        F.max("k").alias("hk"), F.max(F.when(F.col("c_acctbal") > 0, F.col("k"))).alias("pk"))
+    name = (F.when(F.col("seg") == "BUILDING", F.lit("main"))
+            .when(F.col("seg") == "AUTOMOBILE", F.lit("maintenance"))
+            .otherwise(F.lower("seg")))
+    sha = lambda col: F.concat(F.lit("c"), F.col(col).cast("string"))
+    a = heads.select("repository", F.concat(F.lit("refs/heads/"), name).alias("path"),
+                     sha("hk").alias("head_sha"), segord.cast("int").alias("ref_ord"))
+    b = heads.where(F.col("pk").isNotNull()).select(
+        "repository", F.concat(F.lit("refs/remotes/origin/"), F.lower("seg")).alias("path"),
+        sha("pk").alias("head_sha"), (segord + 10).cast("int").alias("ref_ord"))
+    t = heads.where(F.col("seg") == "HOUSEHOLD").select(
+        "repository", F.lit("refs/tags/v1").alias("path"), sha("hk").alias("head_sha"),
+        F.lit(-1).alias("ref_ord"))
+    return a.unionByName(b).unionByName(t)
+
+
+STANDIN_MAX_BRANCHES = 3
+STANDIN_MAX_MERGES = 15

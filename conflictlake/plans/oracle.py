@@ -278,3 +278,112 @@ SELECT conflict_id,
   md5(resolved) AS answer_md5,
   'user' AS prompt_role
 FROM ordered"""
+
+# --- repository selection ---------------------------------------------------------------
+
+SQL["repo_language_counts"] = """
+SELECT lang AS language, count(*) AS repo_count FROM documents WHERE lang IS NOT NULL
+GROUP BY lang ORDER BY repo_count DESC, language LIMIT 15"""
+
+SQL["repo_clean"] = """
+WITH c AS (SELECT doc_id AS idx, source AS repository, lang AS language,
+                  CAST(n_chars AS VARCHAR) AS stars FROM documents)
+SELECT idx, repository, language, CAST(stars AS INTEGER) AS stars FROM c
+WHERE idx IS NOT NULL
+  AND repository IS NOT NULL AND repository NOT IN ('', 'NA', 'null', 'None')
+  AND language IS NOT NULL AND language NOT IN ('', 'NA', 'null', 'None')
+  AND stars IS NOT NULL AND stars NOT IN ('', 'NA', 'null', 'None')
+  AND repository NOT IN ('src3', 'src7')"""
+
+SQL["top_n_slice"] = """
+SELECT c_name AS repository, c_mktsegment AS language,
+       TRY_CAST(CAST(c_acctbal AS VARCHAR) AS DOUBLE) AS stars
+FROM customer
+WHERE c_mktsegment = 'BUILDING' AND TRY_CAST(CAST(c_acctbal AS VARCHAR) AS DOUBLE) IS NOT NULL
+ORDER BY stars DESC, repository LIMIT 100 OFFSET 10"""
+
+SQL["star_stats"] = """
+SELECT count(*) AS n, min(o_totalprice) AS min_stars, max(o_totalprice) AS max_stars,
+       round(avg(o_totalprice), 6) AS mean_stars, round(median(o_totalprice), 6) AS median_stars
+FROM orders"""
+
+# --- commit history -------------------------------------------------------------------------
+
+_PRIO = " OR ".join(f"contains(lower(path), '{p}')" for p in (
+    "refs/heads/main", "refs/heads/mainline", "refs/heads/master", "refs/heads/develop",
+    "refs/heads/dev", "refs/remotes/origin/main", "refs/remotes/origin/master",
+    "refs/remotes/origin/mainline", "refs/remotes/origin/develop", "refs/remotes/origin/dev"))
+
+CTE_GRAPH = f"""
+cust AS (SELECT 'n' || c_nationkey AS repository, c_custkey AS k, c_mktsegment AS seg, c_acctbal,
+                row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i
+         FROM customer),
+e0 AS (SELECT repository, k, 1 AS pos, i // 2 AS pi FROM cust WHERE i // 2 < i
+       UNION ALL SELECT repository, k, 2 AS pos, i // 3 AS pi FROM cust WHERE i // 3 < i),
+e1 AS (SELECT e.repository, e.k, e.pos, c.k AS pk FROM e0 e JOIN cust c ON c.repository = e.repository AND c.i = e.pi),
+commits AS (
+  SELECT c.repository, 'c' || c.k AS sha, -c.k AS commit_ord,
+         coalesce((SELECT list('c' || e.pk ORDER BY e.pos) FROM e1 e
+                   WHERE e.repository = c.repository AND e.k = c.k), []::VARCHAR[]) AS parents
+  FROM cust c),
+pe AS (SELECT repository, sha, unnest(parents) AS parent FROM commits),
+segs AS (SELECT * FROM (VALUES ('AUTOMOBILE', 0), ('BUILDING', 1), ('FURNITURE', 2), ('HOUSEHOLD', 3),
+                               ('MACHINERY', 4)) v(seg, so)),
+heads AS (SELECT c.repository, c.seg, s.so, max(c.k) AS hk, max(CASE WHEN c.c_acctbal > 0 THEN c.k END) AS pk
+          FROM cust c JOIN segs s ON s.seg = c.seg GROUP BY c.repository, c.seg, s.so),
+refs AS (
+  SELECT repository, 'refs/heads/' || CASE seg WHEN 'BUILDING' THEN 'main' WHEN 'AUTOMOBILE' THEN 'maintenance'
+                                      ELSE lower(seg) END AS path, 'c' || hk AS head_sha, so AS ref_ord FROM heads
+  UNION ALL
+  SELECT repository, 'refs/remotes/origin/' || lower(seg), 'c' || pk, 10 + so FROM heads WHERE pk IS NOT NULL
+  UNION ALL
+  SELECT repository, 'refs/tags/v1', 'c' || hk, -1 FROM heads WHERE seg = 'HOUSEHOLD'),
+f7 AS (SELECT * FROM refs WHERE starts_with(path, 'refs/heads/') OR starts_with(path, 'refs/remotes/')),
+k1 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repository, head_sha ORDER BY ref_ord) AS rn
+                                    FROM f7) WHERE rn = 1),
+k2a AS (SELECT *, count(*) OVER (PARTITION BY repository) AS nrefs, ({_PRIO}) AS prio FROM k1),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY repository
+                 ORDER BY CASE WHEN nrefs > 3 AND NOT prio THEN 1 ELSE 0 END, ref_ord, path) - 1 AS ref_rank
+       FROM k2a),
+ranked AS (SELECT repository, path, head_sha, ref_ord, ref_rank FROM k2
+           WHERE nrefs <= 3 OR prio OR ref_rank < 3),
+reach(repository, sha, ref_rank) AS (
+  SELECT repository, head_sha, ref_rank FROM ranked
+  UNION
+  SELECT r.repository, p.parent, r.ref_rank FROM reach r JOIN pe p ON p.repository = r.repository AND p.sha = r.sha),
+firstref AS (SELECT repository, sha, min(ref_rank) AS ref_rank FROM reach GROUP BY repository, sha),
+cand AS (SELECT repository, sha, commit_ord, parents[1] AS parent_1, parents[2] AS parent_2 FROM commits
+         WHERE len(parents) = 2 AND parents[1] <> parents[2]),
+capped AS (
+  SELECT * FROM (SELECT c.*, f.ref_rank,
+                        row_number() OVER (PARTITION BY c.repository ORDER BY f.ref_rank, c.commit_ord, c.sha) AS rn
+                 FROM cand c JOIN firstref f ON f.repository = c.repository AND f.sha = c.sha)
+  WHERE rn <= 15)"""
+
+SQL["ref_dedupe_cap"] = _with(CTE_GRAPH) + """
+SELECT repository, path, head_sha, CAST(ref_ord AS BIGINT) AS ref_ord, CAST(ref_rank AS BIGINT) AS ref_rank
+FROM ranked"""
+
+SQL["merge_first_ref_cap"] = _with(CTE_GRAPH) + """
+SELECT c.repository, r.path AS branch_name, c.sha AS merge_commit, c.parent_1, c.parent_2,
+       CAST(c.ref_rank AS BIGINT) AS ref_rank, CAST(c.commit_ord AS BIGINT) AS commit_ord
+FROM capped c JOIN ranked r ON r.repository = c.repository AND r.ref_rank = c.ref_rank"""
+
+# Notes from full ancestor sets: one parent among the other's ancestors, else
+# compare the oldest ancestors (largest commit_ord) of the two parents.
+SQL["merge_notes"] = _with(CTE_GRAPH) + """,
+anc(repository, sha, a) AS (
+  SELECT repository, sha, sha FROM commits
+  UNION
+  SELECT x.repository, x.sha, p.parent FROM anc x JOIN pe p ON p.repository = x.repository AND p.sha = x.a),
+oldest AS (SELECT x.repository, x.sha, arg_max(x.a, c.commit_ord) AS o FROM anc x
+           JOIN commits c ON c.repository = x.repository AND c.sha = x.a GROUP BY x.repository, x.sha)
+SELECT m.repository, m.sha AS merge_commit,
+  CASE WHEN EXISTS (SELECT 1 FROM anc x WHERE x.repository = m.repository AND x.sha = m.parent_1 AND x.a = m.parent_2)
+         OR EXISTS (SELECT 1 FROM anc x WHERE x.repository = m.repository AND x.sha = m.parent_2 AND x.a = m.parent_1)
+       THEN 'a parent is the base'
+       WHEN o1.o IS DISTINCT FROM o2.o THEN 'two initial commits'
+       ELSE '' END AS notes
+FROM capped m
+LEFT JOIN oldest o1 ON o1.repository = m.repository AND o1.sha = m.parent_1
+LEFT JOIN oldest o2 ON o2.repository = m.repository AND o2.sha = m.parent_2"""

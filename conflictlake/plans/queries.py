@@ -16,7 +16,10 @@ from conflictlake.operators import conflicts as X
 from conflictlake.operators import dataset as D
 from conflictlake.operators import metrics as M
 from conflictlake.operators import summary as S
-from conflictlake.plans.inputs import built_conflict_files, table
+from conflictlake.operators import history as H
+from conflictlake.operators import repos as RP
+from conflictlake.plans.inputs import (STANDIN_MAX_BRANCHES, STANDIN_MAX_MERGES, built_conflict_files,
+                                       standin_commits, standin_refs, table)
 
 
 # --- conflict text -------------------------------------------------------------
@@ -137,6 +140,76 @@ def q_dataset_split(spark: SparkSession, sf: str) -> DataFrame:
                      F.expr("prompt[0].role").alias("prompt_role"))
 
 
+# --- repository selection -----------------------------------------------------------
+
+def _catalogue(spark, sf):
+    """documents as a catalogue: source = repository, lang = language,
+    n_chars = stars (as text, the way a CSV scan delivers it)."""
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("idx"), F.col("source").alias("repository"),
+                    F.col("lang").alias("language"), F.col("n_chars").cast("string").alias("stars"))
+
+
+def q_repo_language_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 (top-15 report)."""
+    return RP.language_counts(_catalogue(spark, sf))
+
+
+STANDIN_EXCLUDED = ("src3", "src7")
+
+
+def q_repo_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """R4, F1, P2."""
+    return RP.clean_catalogue(_catalogue(spark, sf), STANDIN_EXCLUDED)
+
+
+def q_top_n_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as repositories, segment = language,
+    account balance = stars; rows 10..109 of one segment."""
+    c = table(spark, sf, "customer").select(
+        F.col("c_name").alias("repository"), F.col("c_mktsegment").alias("language"),
+        F.col("c_acctbal").cast("string").alias("stars"))
+    return RP.top_n_slice(c, "BUILDING", 10, 100)
+
+
+def q_star_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: order prices as stars."""
+    o = table(spark, sf, "orders").select(F.col("o_totalprice").alias("stars"))
+    s = RP.star_stats(o)
+    return s.select(F.col("n").cast("long").alias("n"), "min_stars", "max_stars",
+                    F.round("mean_stars", 6).alias("mean_stars"), F.round("median_stars", 6).alias("median_stars"))
+
+
+# --- commit history ------------------------------------------------------------------
+
+def _graph(spark, sf):
+    cust = table(spark, sf, "customer")
+    return standin_refs(cust), standin_commits(cust)
+
+
+def q_ref_dedupe_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """F7, K1, K2 (H1)."""
+    refs, _ = _graph(spark, sf)
+    r = H.branch_refs(refs, STANDIN_MAX_BRANCHES)
+    return r.select("repository", "path", "head_sha", F.col("ref_ord").cast("long").alias("ref_ord"),
+                    F.col("ref_rank").cast("long").alias("ref_rank"))
+
+
+def q_merge_first_ref_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """H4, F8, K4, K7."""
+    refs, commits = _graph(spark, sf)
+    m = H.capped_merges(commits, H.branch_refs(refs, STANDIN_MAX_BRANCHES), None, STANDIN_MAX_MERGES)
+    return m.select("repository", "branch_name", "merge_commit", "parent_1", "parent_2",
+                    F.col("ref_rank").cast("long").alias("ref_rank"), "commit_ord")
+
+
+def q_merge_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """H6 (H5)."""
+    refs, commits = _graph(spark, sf)
+    m = H.collect_merges(refs, commits, None, STANDIN_MAX_MERGES, STANDIN_MAX_BRANCHES)
+    return m.select("repository", "merge_commit", "notes")
+
+
 REGISTRY = {
     "conflict_lines": q_conflict_lines,
     "conflict_blocks": q_conflict_blocks,
@@ -148,4 +221,11 @@ REGISTRY = {
     "repo_summary_basic": q_repo_summary_basic,
     "id_overlap": q_id_overlap,
     "dataset_split": q_dataset_split,
+    "repo_language_counts": q_repo_language_counts,
+    "repo_clean": q_repo_clean,
+    "top_n_slice": q_top_n_slice,
+    "star_stats": q_star_stats,
+    "ref_dedupe_cap": q_ref_dedupe_cap,
+    "merge_first_ref_cap": q_merge_first_ref_cap,
+    "merge_notes": q_merge_notes,
 }
