@@ -387,3 +387,110 @@ SELECT m.repository, m.sha AS merge_commit,
 FROM capped m
 LEFT JOIN oldest o1 ON o1.repository = m.repository AND o1.sha = m.parent_1
 LEFT JOIN oldest o2 ON o2.repository = m.repository AND o2.sha = m.parent_2"""
+
+# --- incremental, index, duplicates, files ----------------------------------------------------
+
+SQL["merge_incremental"] = """
+WITH m AS (SELECT o_orderpriority AS repository, 'o' || o_orderkey AS merge_commit, o_orderkey, o_orderdate,
+                  o_orderstatus FROM orders),
+ex AS (SELECT repository, merge_commit,
+              row_number() OVER (PARTITION BY repository ORDER BY o_orderkey, merge_commit) - 1 AS pos
+       FROM m WHERE o_orderstatus = 'P'),
+nex AS (SELECT repository, count(*) AS c FROM ex GROUP BY repository),
+nw AS (SELECT m.repository, m.merge_commit,
+              row_number() OVER (PARTITION BY m.repository ORDER BY m.o_orderdate DESC, m.o_orderkey DESC,
+                                 m.merge_commit) AS rn
+       FROM m WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.repository = m.repository
+                                AND ex.merge_commit = m.merge_commit))
+SELECT repository, merge_commit, 'existing' AS source, CAST(pos AS BIGINT) AS pos FROM ex WHERE pos < 100
+UNION ALL
+SELECT nw.repository, nw.merge_commit, 'new' AS source, CAST(coalesce(nex.c, 0) + nw.rn - 1 AS BIGINT) AS pos
+FROM nw LEFT JOIN nex ON nex.repository = nw.repository
+WHERE coalesce(nex.c, 0) + nw.rn - 1 < 100"""
+
+SQL["merge_dense_index"] = """
+SELECT row_number() OVER (ORDER BY o_orderpriority, 'o' || o_orderkey) - 1 AS merge_idx,
+       o_orderpriority AS repository, 'o' || o_orderkey AS merge_commit
+FROM orders"""
+
+SQL["duplicate_keys"] = """
+SELECT l_returnflag || l_linestatus AS repository, 'p' || l_partkey AS merge_commit, count(*) AS n
+FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"""
+
+SQL["conflict_file_select"] = """
+WITH st AS (
+  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
+         CASE WHEN starts_with(url, 'https') THEN 'UU' ELSE 'AA' END AS xy,
+         regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)
+           || CASE regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) WHEN 'en' THEN '.java'
+                   WHEN 'fr' THEN '.py' ELSE '.ts' END AS path
+  FROM pages),
+mg AS (SELECT host AS repository, row_number() OVER (ORDER BY host) - 1 AS merge_idx
+       FROM (SELECT DISTINCT host FROM st) h),
+f AS (SELECT mg.merge_idx, mg.repository, st.path FROM st JOIN mg ON mg.repository = st.host
+      WHERE st.xy = 'UU' AND ends_with(st.path, '.java')),
+k AS (SELECT *, row_number() OVER (PARTITION BY merge_idx ORDER BY string_split(path, '/'), path) - 1 AS file_no
+      FROM f)
+SELECT merge_idx, repository, CAST(file_no AS BIGINT) AS file_no, merge_idx || '-' || file_no AS conflict_id
+FROM k"""
+
+# --- conversations, caches, code text -----------------------------------------------------------
+
+CTE_TURNS = """
+u AS (SELECT conv_id, turn, text AS q FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS a FROM conversations WHERE role = 'assistant'),
+t AS (SELECT u.conv_id, u.turn, u.q, a.a FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn)"""
+
+_QJ = _lit(QUERY_PROMPT + "```java") + f" || {NL} || q || {NL} || '```'"
+
+SQL["conversation_format"] = "WITH " + CTE_TURNS + f"""
+SELECT conv_id, turn, md5({_QJ}) AS question_md5, a AS answer, 'user' AS prompt_role,
+       CAST(length({_QJ}) AS BIGINT) AS prompt_len
+FROM t WHERE a IS NOT NULL"""
+
+SQL["response_cache"] = "WITH " + CTE_TURNS + """,
+cache AS (SELECT md5(q) AS cache_key, a AS result, conv_id, turn FROM t WHERE a IS NOT NULL),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY conv_id DESC, turn DESC) AS rn
+                          FROM cache) c WHERE rn = 1)
+SELECT t.conv_id, t.turn, md5(t.q) AS cache_key, l.result IS NOT NULL AS hit, l.result
+FROM t LEFT JOIN latest l ON l.cache_key = md5(t.q)"""
+
+_WS = "[" + r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}" + "]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {_lit('^' + _WS + '+|' + _WS + '+' + chr(92) + 'z')}, '', 'g')"
+
+
+SQL["code_normalise"] = f"""
+WITH p AS (
+  SELECT page_id,
+    {_strip(f"regexp_replace(regexp_replace(regexp_replace(html, {_lit('(?s)/[*].*?[*]/')}, '', 'g'), '//.*', '', 'g'), {_lit(_WS + '+')}, ' ', 'g')")} AS c
+  FROM pages)
+SELECT page_id, md5(c) AS norm_md5, CAST(length(c) AS BIGINT) AS norm_len FROM p"""
+
+_FENCE = "(?s)```java\n(.*?)\n```"
+
+SQL["code_block"] = f"""
+WITH d AS (SELECT doc_id, 'Answer:' || {NL} || '```' || CASE WHEN lang = 'en' THEN 'java' ELSE lang END || {NL}
+                          || text || {NL} || '```' || {NL} || 'done' AS w FROM documents),
+c AS (SELECT doc_id, CASE WHEN regexp_matches(w, {_lit(_FENCE)})
+                          THEN {_strip(f"regexp_extract(w, {_lit(_FENCE)}, 1)")} END AS c FROM d)
+SELECT doc_id, md5(c) AS code_md5, CAST(length(c) AS BIGINT) AS code_len FROM c"""
+
+SQL["dedupe_exact"] = """
+SELECT min(CAST(doc_id AS VARCHAR)) AS conflict_id FROM documents GROUP BY md5(text), md5(lang)"""
+
+SQL["language_rollup"] = """
+SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE lang END AS language,
+       CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars
+FROM documents GROUP BY ROLLUP (lang)"""
+
+SQL["api_pages_project"] = """
+WITH it AS (SELECT * FROM events ORDER BY event_id LIMIT 1000)
+SELECT 'user' || user_id || '/' || event_type AS repository,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS stars, event_type AS language,
+       strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at, 'main' AS default_branch,
+       CAST(0.0 AS DOUBLE) AS license, CAST(1.0 AS DOUBLE) AS architecture,
+       event_type = 'error' AS archived, value < 2.0 AS disabled
+FROM it WHERE NOT (event_type = 'error') AND NOT (value < 2.0)"""

@@ -210,6 +210,162 @@ def q_merge_notes(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("repository", "merge_commit", "notes")
 
 
+def _order_merges(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_orderpriority").alias("repository"),
+                    F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("merge_commit"),
+                    "o_orderkey", "o_orderdate", "o_orderstatus")
+
+
+def q_merge_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """J3, U2, S7 (H7): pending orders are the merges known from an earlier
+    run (stored order = order key); all orders are the new collection, newest
+    first; cap 100 per repository."""
+    from conflictlake.streaming.incremental import combine_merges
+    m = _order_merges(spark, sf)
+    existing = m.where(F.col("o_orderstatus") == "P").select("repository", "merge_commit",
+                                                           F.col("o_orderkey").alias("merge_idx"))
+    new = m.select("repository", "merge_commit", (-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("t"),
+                   (-F.col("o_orderkey")).alias("k"))
+    return combine_merges(existing, new, 100, "merge_idx", ["t", "k"])
+
+
+def q_merge_dense_index(spark: SparkSession, sf: str) -> DataFrame:
+    """merge_idx over (repository, merge_commit)."""
+    m = _order_merges(spark, sf).select("repository", "merge_commit")
+    return H.number_merges(m).select("merge_idx", "repository", "merge_commit")
+
+
+def q_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: line items as merges keyed by (flags, part)."""
+    li = table(spark, sf, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("repository"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("merge_commit"))
+    return H.duplicate_merge_keys(li).select("repository", "merge_commit", F.col("n").cast("long").alias("n"))
+
+
+def _merge_status(spark, sf):
+    """pages as `git status` lines: host = merge, https -> both modified
+    (UU), http -> added by both (AA); path = URL path + an extension by page
+    language (en .java, fr .py, else .ts)."""
+    p = table(spark, sf, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    lang = F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]+)/", 1)
+    ext = F.when(lang == "en", ".java").when(lang == "fr", ".py").otherwise(".ts")
+    path = F.concat(F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1), ext)
+    xy = F.when(F.col("url").startswith("https"), "UU").otherwise("AA")
+    return p.select(host.alias("host"), xy.alias("xy"), path.alias("path"))
+
+
+def q_conflict_file_select(spark: SparkSession, sf: str) -> DataFrame:
+    """C1, C3, F6, F9, P8, K5 (A9 is the CSV form of this index)."""
+    from conflictlake.operators import files as FI
+    from conflictlake.operators.rank import dense_index
+    st = _merge_status(spark, sf)
+    merges = dense_index(st.select(F.col("host").alias("repository")).distinct(), ["repository"], "merge_idx")
+    status = st.join(merges.withColumnRenamed("repository", "host"), "host").select("merge_idx", "xy", "path")
+    files = FI.conflicted_files(status, "java")
+    idx = FI.conflict_index(merges, files)
+    return idx.select("merge_idx", "repository", F.col("file_no").cast("long").alias("file_no"), "conflict_id")
+
+
+# --- dataset form, caches, code text -----------------------------------------------------
+
+def _turn_pairs(spark, sf):
+    c = table(spark, sf, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    return u.join(a, ["conv_id", "turn"], "left")
+
+
+def q_conversation_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user turn as a fenced question, the assistant's
+    next turn as the answer, in conversation form."""
+    t = _turn_pairs(spark, sf).where(F.col("a").isNotNull())
+    q = M.build_question(F.col("q"), "java")
+    conv = D.to_conversation(q)
+    return t.select("conv_id", "turn", F.md5(q).alias("question_md5"), F.col("a").alias("answer"),
+                    conv[0]["role"].alias("prompt_role"),
+                    F.length(conv[0]["content"]).cast("long").alias("prompt_len"))
+
+
+def q_response_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns are cached responses to the preceding user
+    text (latest write per key wins); every user turn is looked up."""
+    from conflictlake.operators import responses as RS
+    t = _turn_pairs(spark, sf)
+    cache = (t.where(F.col("a").isNotNull())
+             .select(F.lit("m1").alias("model"), F.md5("q").alias("cache_key"), F.col("q").alias("prompt"),
+                     F.col("a").alias("result"), F.lit(None).cast("string").alias("reasoning"),
+                     F.struct("conv_id", "turn").alias("written_at")))
+    latest = RS.latest_responses(cache)
+    req = t.select("conv_id", "turn", F.col("q").alias("prompt"))
+    out = RS.lookup(req, latest, model="m1")
+    return out.select("conv_id", "turn", "cache_key", F.col("result").isNotNull().alias("hit"), "result")
+
+
+def q_code_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    """E1, E5 on page sources."""
+    from conflictlake.functions.text import normalize_code
+    p = barrier(table(spark, sf, "pages").select("page_id", normalize_code("html").alias("c")))
+    return p.select("page_id", F.md5("c").alias("norm_md5"), F.length("c").cast("long").alias("norm_len"))
+
+
+def q_code_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document wrapped in a fence named by its language (en as
+    java); the java block is extracted and stripped, null otherwise."""
+    from conflictlake.functions.text import extract_code_block
+    d = table(spark, sf, "documents")
+    fence = F.when(F.col("lang") == "en", F.lit("java")).otherwise(F.col("lang"))
+    wrapped = F.concat(F.lit("Answer:\n```"), fence, F.lit("\n"), F.col("text"), F.lit("\n```\ndone"))
+    c = barrier(d.select("doc_id", extract_code_block(wrapped, "java").alias("c")))
+    return c.select("doc_id", F.md5("c").alias("code_md5"), F.length("c").cast("long").alias("code_len"))
+
+
+def q_dedupe_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as (question = text, answer = language) pairs."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("conflict_id"),
+                                             F.col("text").alias("question"), F.col("lang").alias("answer"))
+    return D.dedupe_exact(d).select("conflict_id")
+
+
+def q_language_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-language rows and totals, plus the all-language total."""
+    d = table(spark, sf, "documents")
+    r = d.rollup("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"),
+                             F.grouping("lang").alias("_g"))
+    return r.select(F.when(F.col("_g") == 1, F.lit("TOTAL")).otherwise(F.col("lang")).alias("language"),
+                    F.col("n_docs").cast("long").alias("n_docs"), F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def q_api_pages_project(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as search-API items, 100 per page; the result is
+    capped at the API's 1000 items, then archived/disabled ones are dropped."""
+    from conflictlake.sources.io import api_items
+    e = table(spark, sf, "events")
+    item = F.struct(
+        F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("full_name"),
+        F.get_json_object("props", "$.k").cast("long").alias("stargazers_count"),
+        F.col("event_type").alias("language"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
+        F.lit(0).cast("long").alias("forks_count"), F.lit(0).cast("long").alias("open_issues_count"),
+        F.lit(0).cast("long").alias("size"), F.lit(None).cast("string").alias("default_branch"),
+        F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("html_url"),
+        F.lit(None).cast("string").alias("clone_url"),
+        (F.col("event_type") == "error").alias("archived"), (F.col("value") < 2.0).alias("disabled"),
+        F.lit(None).cast("struct<key:string>").alias("license"),
+        F.col("event_id").alias("_order"))
+    pages = (e.groupBy((F.col("event_id") / 100).cast("long").alias("page"))
+             .agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["_order"] < b["_order"], -1)
+                               .when(a["_order"] > b["_order"], 1).otherwise(0)).alias("items")))
+    items = api_items(pages, 1000)
+    rows = RP.api_query_filter(RP.format_api_items(items), exclude_archived=True)
+    return rows.select("repository", "stars", "language", "created_at", "default_branch", "license",
+                       "architecture", "archived", "disabled")
+
+
 REGISTRY = {
     "conflict_lines": q_conflict_lines,
     "conflict_blocks": q_conflict_blocks,
@@ -228,4 +384,15 @@ REGISTRY = {
     "ref_dedupe_cap": q_ref_dedupe_cap,
     "merge_first_ref_cap": q_merge_first_ref_cap,
     "merge_notes": q_merge_notes,
+    "merge_incremental": q_merge_incremental,
+    "merge_dense_index": q_merge_dense_index,
+    "duplicate_keys": q_duplicate_keys,
+    "conflict_file_select": q_conflict_file_select,
+    "conversation_format": q_conversation_format,
+    "response_cache": q_response_cache,
+    "code_normalise": q_code_normalise,
+    "code_block": q_code_block,
+    "dedupe_exact": q_dedupe_exact,
+    "language_rollup": q_language_rollup,
+    "api_pages_project": q_api_pages_project,
 }
