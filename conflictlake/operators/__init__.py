@@ -14,3 +14,19 @@ def barrier(df: DataFrame) -> DataFrame:
     opaque to both rules, so each expression above it is computed once.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy row-local work at least one partition per core.
+
+    A small text table may be a single Parquet row group (one task); the
+    per-row array work then runs on one core.  Only when the input has fewer
+    partitions than ``min_partitions`` (default: the default parallelism) are
+    the rows redistributed round-robin; a large input already has many more
+    splits than cores and is left as it is, with no shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflictlake.functions.text import split_lines_keepends
-from conflictlake.operators import barrier
+from conflictlake.operators import barrier, spread
 
 # --- fixed values: conflict markers (line prefixes) --------------------------
 MARK_OPEN = "<<<<<<<"
@@ -88,7 +88,7 @@ def split_files(files: DataFrame, conflict_col: str = "conflict_text",
                 merged_col: str = "merged_text") -> DataFrame:
     """X1 + X3 + K6: one row per block with both line arrays attached."""
     keep = [c for c in files.columns if c not in (conflict_col, merged_col)]
-    df = _barrier(files.select(
+    df = _barrier(spread(files).select(
         *keep,
         split_lines_keepends(F.col(conflict_col)).alias("cl"),
         split_lines_keepends(F.col(merged_col)).alias("ml"),

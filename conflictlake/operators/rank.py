@@ -25,6 +25,8 @@ def dense_index(df: DataFrame, order_cols: list, index_col: str = "idx",
     of the whole table (taken from the same per-partition counts)."""
     ensure_checkpoint_dir(df.sparkSession)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    # materialise the input once: range sampling and partitioning both read it
+    df = df.checkpoint(eager=True)
     ranged = (df.repartitionByRange(num_partitions, *cols) if num_partitions
               else df.repartitionByRange(*cols))
     ranged = (ranged.sortWithinPartitions(*cols)

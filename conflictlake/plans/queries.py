@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conflictlake.functions.text import drop_line_end, split_lines_keepends
-from conflictlake.operators import barrier
+from conflictlake.functions.text import split_lines, split_lines_keepends
+from conflictlake.operators import barrier, spread
 from conflictlake.operators import conflicts as X
 from conflictlake.operators import dataset as D
 from conflictlake.operators import metrics as M
@@ -26,8 +26,8 @@ from conflictlake.plans.inputs import (STANDIN_MAX_BRANCHES, STANDIN_MAX_MERGES,
 
 def q_conflict_lines(spark: SparkSession, sf: str) -> DataFrame:
     """X1, X2 on every document."""
-    d = barrier(table(spark, sf, "documents").select("doc_id", split_lines_keepends("text").alias("L")))
-    d = barrier(d.select("doc_id", "L", F.transform("L", drop_line_end).alias("P")))
+    d = barrier(spread(table(spark, sf, "documents")).select(
+        "doc_id", split_lines_keepends("text").alias("L"), split_lines("text").alias("P")))
     return d.select(
         "doc_id",
         F.size("L").cast("long").alias("n_lines"),
@@ -100,11 +100,16 @@ def q_conflict_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _metrics(spark, sf)
 
 
+def _selected(spark, sf):
+    """F10 + W4: metrics computed with the pair texts carried along, so the
+    selection is a filter (J5's join back to the blocks is not needed)."""
+    m = M.metrics(X.resolved_pairs(_blocks(spark, sf)), keep_cols=("conflict", "resolved"))
+    return M.selected(m)
+
+
 def q_select_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """F10, W4, J5."""
-    blocks = _blocks(spark, sf)
-    sel = M.select_pairs(M.metrics(X.resolved_pairs(blocks)), blocks)
-    return sel.select("conflict_id", "conflict", "resolved")
+    return _selected(spark, sf).select("conflict_id", "conflict", "resolved")
 
 
 def _index(spark, sf):
@@ -132,9 +137,7 @@ def q_id_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_dataset_split(spark: SparkSession, sf: str) -> DataFrame:
     """D1-D4 (A12 from the split column)."""
-    blocks = _blocks(spark, sf)
-    pairs = M.select_pairs(M.metrics(X.resolved_pairs(blocks)), blocks)
-    ds = D.build_dataset(pairs)
+    ds = D.build_dataset(_selected(spark, sf))
     return ds.select("conflict_id", "split", F.md5("question").alias("question_md5"),
                      F.md5("answer").alias("answer_md5"),
                      F.expr("prompt[0].role").alias("prompt_role"))
@@ -308,7 +311,7 @@ def q_response_cache(spark: SparkSession, sf: str) -> DataFrame:
 def q_code_normalise(spark: SparkSession, sf: str) -> DataFrame:
     """E1, E5 on page sources."""
     from conflictlake.functions.text import normalize_code
-    p = barrier(table(spark, sf, "pages").select("page_id", normalize_code("html").alias("c")))
+    p = barrier(spread(table(spark, sf, "pages")).select("page_id", normalize_code("html").alias("c")))
     return p.select("page_id", F.md5("c").alias("norm_md5"), F.length("c").cast("long").alias("norm_len"))
 
 
@@ -316,7 +319,7 @@ def q_code_block(spark: SparkSession, sf: str) -> DataFrame:
     """Each document wrapped in a fence named by its language (en as
     java); the java block is extracted and stripped, null otherwise."""
     from conflictlake.functions.text import extract_code_block
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     fence = F.when(F.col("lang") == "en", F.lit("java")).otherwise(F.col("lang"))
     wrapped = F.concat(F.lit("Answer:\n```"), fence, F.lit("\n"), F.col("text"), F.lit("\n```\ndone"))
     c = barrier(d.select("doc_id", extract_code_block(wrapped, "java").alias("c")))
