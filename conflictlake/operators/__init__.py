@@ -24,6 +24,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     partitions than ``min_partitions`` (default: the default parallelism) are
     the rows redistributed round-robin; a large input already has many more
     splits than cores and is left as it is, with no shuffle.
+
+    Call it on a scan: asking a plan with an exchange for its partition count
+    makes adaptive execution run the upstream shuffle stages.
     """
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism

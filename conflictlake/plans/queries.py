@@ -40,7 +40,7 @@ def q_conflict_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _files(spark, sf):
-    return built_conflict_files(table(spark, sf, "documents"))
+    return built_conflict_files(spread(table(spark, sf, "documents")))
 
 
 def _blocks(spark, sf):
