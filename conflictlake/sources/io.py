@@ -111,8 +111,8 @@ def read_text_pairs(spark: SparkSession, path: str, first_suffix: str = ".confli
     is read whole per file; paths with a ``skip_component`` directory are
     skipped."""
     def scan(suffix):
-        d = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", f"*{suffix}").text(path)
+        d = (spark.read.option("recursiveFileLookup", True)
+             .option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
              .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("fp")))
         d = d.where(~F.col("fp").contains(f"/{skip_component}/"))
         dirn = F.regexp_extract("fp", r"^(.*)/[^/]*$", 1)
@@ -121,14 +121,13 @@ def read_text_pairs(spark: SparkSession, path: str, first_suffix: str = ".confli
     a = scan(first_suffix).withColumnRenamed("text", first_col)
     b = scan(second_suffix).withColumnRenamed("text", second_col)
     out = a.join(b, ["dir", "stem"], "left")
-    parts = F.split("stem", "-")
     return out.select(
         "stem",
         F.expr("try_cast(get(split(stem, '-'), 0) AS BIGINT)").alias("merge_idx"),
         F.expr("try_cast(get(split(stem, '-'), 1) AS INT)").alias("file_no"),
         F.expr("try_cast(get(split(stem, '-'), 2) AS INT)").alias("block_no"),
         first_col, second_col,
-    ).withColumn("_parts", parts).drop("_parts")
+    )
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
