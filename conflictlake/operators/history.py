@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conflictlake.operators.graph import propagate
+from conflictlake.operators.graph import RoundKeeper, propagate
 from conflictlake.operators.rank import rank_within
 from conflictlake.session import ensure_checkpoint_dir
 
@@ -143,29 +143,32 @@ def ancestor_pairs(commits: DataFrame, pairs: DataFrame) -> DataFrame:
     have a larger ``commit_ord``), one checkpointed round per generation."""
     spark = commits.sparkSession
     ensure_checkpoint_dir(spark)
+    keeper = RoundKeeper()
     ords = commits.select("repository", "sha", "commit_ord")
     e = parent_edges(commits)
     tgt = (pairs.join(ords.select("repository", F.col("sha").alias("target"),
                                   F.col("commit_ord").alias("_tord")), ["repository", "target"])
            .select("repository", "pair_id", "target", "_tord"))
-    frontier = (pairs.select("repository", "pair_id", F.col("start").alias("node"))
-                .join(tgt, ["repository", "pair_id"])).checkpoint(eager=True)
-    visited = frontier.select("repository", "pair_id", "node")
-    found = frontier.where(F.col("node") == F.col("target")).select("repository", "pair_id")
+    # visited: (pair, node) reached so far; _new marks this round's frontier
+    visited = keeper.persist(
+        pairs.select("repository", "pair_id", F.col("start").alias("node"))
+        .join(tgt, ["repository", "pair_id"]).withColumn("_new", F.lit(True)))
     while True:
-        live = frontier.join(found, ["repository", "pair_id"], "left_anti")
+        found = visited.where(F.col("node") == F.col("target")).select("repository", "pair_id")
+        live = visited.where("_new").join(found, ["repository", "pair_id"], "left_anti")
         nxt = (live.join(e.withColumnRenamed("child", "node"), ["repository", "node"])
                .select("repository", "pair_id", F.col("parent").alias("node"), "target", "_tord")
                .join(ords.withColumnRenamed("sha", "node"), ["repository", "node"])
                .where(F.col("commit_ord") <= F.col("_tord"))
                .select("repository", "pair_id", "node", "target", "_tord").distinct()
-               .join(visited, ["repository", "pair_id", "node"], "left_anti")).checkpoint(eager=True)
-        if nxt.isEmpty():
+               .join(visited.select("repository", "pair_id", "node"), ["repository", "pair_id", "node"],
+                     "left_anti"))
+        visited = keeper.persist(visited.withColumn("_new", F.lit(False))
+                                 .unionByName(nxt.withColumn("_new", F.lit(True))))
+        keeper.cut(visited)
+        if visited.where("_new").isEmpty():
             break
-        found = found.unionByName(nxt.where(F.col("node") == F.col("target"))
-                                  .select("repository", "pair_id")).distinct().checkpoint(eager=True)
-        visited = visited.unionByName(nxt.select("repository", "pair_id", "node")).checkpoint(eager=True)
-        frontier = nxt
+    found = visited.where(F.col("node") == F.col("target")).select("repository", "pair_id").distinct()
     return (pairs.select("repository", "pair_id")
             .join(found.withColumn("is_ancestor", F.lit(True)), ["repository", "pair_id"], "left")
             .select("repository", "pair_id", F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor")))
