@@ -115,3 +115,13 @@ def token_count_proxy(text) -> Column:
     proxy is deterministic and identical in Spark and DuckDB.
     """
     return F.size(F.regexp_extract_all(_c(text), F.lit(TOKEN_RE), F.lit(0)))
+
+
+def ref_key(path) -> Column:
+    """Key of a ref in stored per-branch lists (hex md5 of the path)."""
+    return F.md5(_c(path))
+
+
+def slug_key(slug) -> Column:
+    """Repository slug as a file-name part (``owner/name`` -> ``owner_name``)."""
+    return F.replace(_c(slug), F.lit("/"), F.lit("_"))

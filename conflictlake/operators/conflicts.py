@@ -205,3 +205,8 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
 def resolved_pairs(blocks: DataFrame) -> DataFrame:
     """The (conflict, resolved) pairs the extraction step writes out."""
     return blocks.where(F.col("status") == "ok")
+
+
+def status_counts(blocks: DataFrame) -> DataFrame:
+    """F11 report: blocks per status (a partial aggregate)."""
+    return blocks.groupBy("status").agg(F.count(F.lit(1)).alias("blocks"))

@@ -225,3 +225,12 @@ def number_merges(merges: DataFrame) -> DataFrame:
     """K3 + S5: ``merge_idx`` 0..n-1 over (repository, merge_commit)."""
     from conflictlake.operators.rank import dense_index
     return dense_index(merges, ["repository", "merge_commit"], "merge_idx")
+
+
+def reuse_cached_refs(cached: DataFrame, current: DataFrame) -> DataFrame:
+    """A stored ref list (repository, path, ref_ord) kept only where the
+    ref still exists (semi-join on repository and path), in the stored order,
+    with today's head commit."""
+    heads = current.select("repository", "path", "head_sha")
+    return (cached.join(heads.select("repository", "path"), ["repository", "path"], "left_semi")
+            .join(heads, ["repository", "path"]).select("repository", "path", "head_sha", "ref_ord"))
