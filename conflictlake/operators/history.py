@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conflictlake.operators.graph import RoundKeeper, propagate
+from conflictlake.operators.graph import RoundKeeper, forest_propagate, jump_tables, propagate
 from conflictlake.operators.rank import rank_within
 from conflictlake.session import ensure_checkpoint_dir
 
@@ -84,14 +84,37 @@ def parent_edges(commits: DataFrame) -> DataFrame:
                           F.explode("parents").alias("parent"))
 
 
-def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame) -> DataFrame:
+def first_parent_jumps(commits: DataFrame) -> list:
+    """Jump tables of the first-parent forest (child -> first parent)."""
+    fp = commits.select("repository", F.col("sha").alias("node"), F.get(F.col("parents"), 0).alias("ptr"))
+    return jump_tables(fp)
+
+
+def other_parent_edges(commits: DataFrame) -> DataFrame:
+    """(repository, child, parent) for the second and further parents."""
+    return (commits.select("repository", F.col("sha").alias("child"), F.posexplode("parents").alias("i", "parent"))
+            .where(F.col("i") > 0).select("repository", "child", "parent"))
+
+
+def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame, method: str = "jump",
+                       jumps: list | None = None) -> DataFrame:
     """H4 / K7: for every commit reachable from a kept ref, the smallest
-    ``ref_rank`` that reaches it (the ref whose walk would claim it first)."""
+    ``ref_rank`` that reaches it (the ref whose walk would claim it first).
+
+    ``method="jump"`` (default): subtree minimum over the first-parent forest
+    by pointer jumping, alternated with the other-parent edges until stable;
+    ``method="rounds"``: plain label propagation, one round per edge."""
+    seeds = refs_ranked.select("repository", F.col("head_sha").alias("_n"), F.col("ref_rank").alias("_l"))
+    if method == "jump":
+        tables = jumps if jumps is not None else first_parent_jumps(commits)
+        extra = other_parent_edges(commits).select("repository", F.col("child").alias("_u"),
+                                                   F.col("parent").alias("_v"))
+        lab = forest_propagate(tables, extra, seeds, direction="up", combine="min")
+        return lab.select("repository", F.col("_n").alias("sha"), F.col("_l").alias("ref_rank"))
     e = parent_edges(commits).select("repository", F.col("child").alias("src"),
                                      F.col("parent").alias("dst"))
-    seeds = refs_ranked.select("repository", F.col("head_sha").alias("node"),
-                               F.col("ref_rank").alias("label"))
-    return (propagate(e, seeds, combine="min")
+    return (propagate(e, seeds.select("repository", F.col("_n").alias("node"), F.col("_l").alias("label")),
+                      combine="min")
             .select("repository", F.col("node").alias("sha"), F.col("label").alias("ref_rank")))
 
 
@@ -103,11 +126,11 @@ def merge_candidates(commits: DataFrame) -> DataFrame:
 
 
 def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFrame | None = None,
-                  max_num_merges: int = DEFAULT_MAX_MERGES) -> DataFrame:
+                  max_num_merges: int = DEFAULT_MAX_MERGES, jumps: list | None = None) -> DataFrame:
     """H3 / H5 without notes: merges in ref order, newest first inside a ref,
     at most ``max_num_merges`` per repository including the ``existing`` ones
     (J3: those are skipped and use up the cap)."""
-    first = first_reaching_ref(commits, refs_ranked)
+    first = first_reaching_ref(commits, refs_ranked, jumps=jumps)
     m = merge_candidates(commits).join(first, ["repository", "sha"])
     allowed = F.lit(max_num_merges)
     if existing is not None:
@@ -125,14 +148,22 @@ def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFram
                     "parent_1", "parent_2", "ref_rank", "commit_ord"))
 
 
-def oldest_ancestor(commits: DataFrame) -> DataFrame:
+def oldest_ancestor(commits: DataFrame, method: str = "jump", jumps: list | None = None) -> DataFrame:
     """The ancestor (self included) with the greatest ``commit_ord``: the last
-    commit a history walk from that commit would list."""
+    commit a history walk from that commit would list.  ``method`` as in
+    ``first_reaching_ref`` (here the maximum flows down the first-parent
+    chains)."""
+    seeds = commits.select("repository", F.col("sha").alias("_n"), F.struct("commit_ord", "sha").alias("_l"))
+    if method == "jump":
+        tables = jumps if jumps is not None else first_parent_jumps(commits)
+        extra = other_parent_edges(commits).select("repository", F.col("parent").alias("_u"),
+                                                   F.col("child").alias("_v"))
+        lab = forest_propagate(tables, extra, seeds, direction="down", combine="max")
+        return lab.select("repository", F.col("_n").alias("sha"), F.col("_l.sha").alias("oldest"))
     e = parent_edges(commits).select("repository", F.col("parent").alias("src"),
                                      F.col("child").alias("dst"))
-    seeds = commits.select("repository", F.col("sha").alias("node"),
-                           F.struct("commit_ord", "sha").alias("label"))
-    return (propagate(e, seeds, combine="max")
+    return (propagate(e, seeds.select("repository", F.col("_n").alias("node"), F.col("_l").alias("label")),
+                      combine="max")
             .select("repository", F.col("node").alias("sha"), F.col("label.sha").alias("oldest")))
 
 
@@ -174,7 +205,7 @@ def ancestor_pairs(commits: DataFrame, pairs: DataFrame) -> DataFrame:
             .select("repository", "pair_id", F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor")))
 
 
-def merge_notes(commits: DataFrame, merges: DataFrame) -> DataFrame:
+def merge_notes(commits: DataFrame, merges: DataFrame, jumps: list | None = None) -> DataFrame:
     """H6: the note of each merge: ``a parent is the base`` when one parent
     is an ancestor of the other; else ``two initial commits`` when the two
     parents' oldest ancestors differ; else empty."""
@@ -189,7 +220,7 @@ def merge_notes(commits: DataFrame, merges: DataFrame) -> DataFrame:
     anc = (ancestor_pairs(commits, pairs)
            .withColumn("merge_commit", F.regexp_replace("pair_id", ":[12]$", ""))
            .groupBy("repository", "merge_commit").agg(F.max("is_ancestor").alias("_anc")))
-    old = oldest_ancestor(commits)
+    old = oldest_ancestor(commits, jumps=jumps)
     o1 = old.select("repository", F.col("sha").alias("parent_1"), F.col("oldest").alias("_o1"))
     o2 = old.select("repository", F.col("sha").alias("parent_2"), F.col("oldest").alias("_o2"))
     out = (merges.join(anc, ["repository", "merge_commit"], "left")
@@ -205,8 +236,9 @@ def collect_merges(refs: DataFrame, commits: DataFrame, existing: DataFrame | No
                    max_branches: int = DEFAULT_MAX_BRANCHES) -> DataFrame:
     """H5: refs + commits -> new merges (T5 columns plus ref_rank, commit_ord)."""
     ranked = branch_refs(refs, max_branches)
-    m = capped_merges(commits, ranked, existing, max_num_merges)
-    return merge_notes(commits, m)
+    jumps = first_parent_jumps(commits)
+    m = capped_merges(commits, ranked, existing, max_num_merges, jumps)
+    return merge_notes(commits, m, jumps)
 
 
 def duplicate_merge_keys(merges: DataFrame) -> DataFrame:
