@@ -46,6 +46,21 @@ NOTE_TWO_ROOTS = "two initial commits"
 DEFAULT_MAX_MERGES = 100
 DEFAULT_MAX_BRANCHES = 1000
 # -----------------------------------------------------------------------------
+# Pointer jumping pays off once the first-parent forest is deep: with fewer
+# than this many jump tables (depth < 2^6) the plain rounds are cheaper.
+JUMP_MIN_LEVELS = 6
+
+
+def _pick(method: str, commits: DataFrame, jumps: list | None):
+    """Resolve ``method`` ("auto", "jump", "rounds") to (method, jumps).
+    Both methods give the same labels; "auto" looks only at the number of
+    jump tables (the depth of the first-parent forest)."""
+    if method == "rounds":
+        return "rounds", None
+    tables = jumps if jumps is not None else first_parent_jumps(commits)
+    if method == "auto" and len(tables) < JUMP_MIN_LEVELS:
+        return "rounds", None
+    return "jump", tables
 
 
 def is_priority_ref(path) -> F.Column:
@@ -96,17 +111,18 @@ def other_parent_edges(commits: DataFrame) -> DataFrame:
             .where(F.col("i") > 0).select("repository", "child", "parent"))
 
 
-def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame, method: str = "jump",
+def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame, method: str = "auto",
                        jumps: list | None = None) -> DataFrame:
     """H4 / K7: for every commit reachable from a kept ref, the smallest
     ``ref_rank`` that reaches it (the ref whose walk would claim it first).
 
-    ``method="jump"`` (default): subtree minimum over the first-parent forest
-    by pointer jumping, alternated with the other-parent edges until stable;
-    ``method="rounds"``: plain label propagation, one round per edge."""
+    ``method="jump"``: subtree minimum over the first-parent forest by
+    pointer jumping, alternated with the other-parent edges until stable;
+    ``method="rounds"``: plain label propagation, one round per edge;
+    ``"auto"`` (default) picks by the depth of the forest."""
     seeds = refs_ranked.select("repository", F.col("head_sha").alias("_n"), F.col("ref_rank").alias("_l"))
+    method, tables = _pick(method, commits, jumps)
     if method == "jump":
-        tables = jumps if jumps is not None else first_parent_jumps(commits)
         extra = other_parent_edges(commits).select("repository", F.col("child").alias("_u"),
                                                    F.col("parent").alias("_v"))
         lab = forest_propagate(tables, extra, seeds, direction="up", combine="min")
@@ -148,14 +164,14 @@ def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFram
                     "parent_1", "parent_2", "ref_rank", "commit_ord"))
 
 
-def oldest_ancestor(commits: DataFrame, method: str = "jump", jumps: list | None = None) -> DataFrame:
+def oldest_ancestor(commits: DataFrame, method: str = "auto", jumps: list | None = None) -> DataFrame:
     """The ancestor (self included) with the greatest ``commit_ord``: the last
     commit a history walk from that commit would list.  ``method`` as in
     ``first_reaching_ref`` (here the maximum flows down the first-parent
     chains)."""
     seeds = commits.select("repository", F.col("sha").alias("_n"), F.struct("commit_ord", "sha").alias("_l"))
+    method, tables = _pick(method, commits, jumps)
     if method == "jump":
-        tables = jumps if jumps is not None else first_parent_jumps(commits)
         extra = other_parent_edges(commits).select("repository", F.col("parent").alias("_u"),
                                                    F.col("child").alias("_v"))
         lab = forest_propagate(tables, extra, seeds, direction="down", combine="max")
@@ -167,11 +183,16 @@ def oldest_ancestor(commits: DataFrame, method: str = "jump", jumps: list | None
             .select("repository", F.col("node").alias("sha"), F.col("label.sha").alias("oldest")))
 
 
-def ancestor_pairs(commits: DataFrame, pairs: DataFrame) -> DataFrame:
+def ancestor_pairs(commits: DataFrame, pairs: DataFrame, jumps: list | None = None) -> DataFrame:
     """For (repository, pair_id, start, target) rows: is ``target`` an
     ancestor of ``start`` (or equal)?  A bounded multi-source walk down the
     parent edges that never visits a commit older than its target (ancestors
-    have a larger ``commit_ord``), one checkpointed round per generation."""
+    have a larger ``commit_ord``).  With first-parent ``jumps`` each pass
+    enumerates whole first-parent stretches inside that window in log2(depth)
+    rounds and then takes the other-parent edges; without, one checkpointed
+    round per generation."""
+    if jumps is not None and len(jumps) >= JUMP_MIN_LEVELS:
+        return _ancestor_pairs_jump(commits, pairs, jumps)
     spark = commits.sparkSession
     ensure_checkpoint_dir(spark)
     keeper = RoundKeeper()
@@ -205,6 +226,43 @@ def ancestor_pairs(commits: DataFrame, pairs: DataFrame) -> DataFrame:
             .select("repository", "pair_id", F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor")))
 
 
+def _ancestor_pairs_jump(commits: DataFrame, pairs: DataFrame, jumps: list) -> DataFrame:
+    ensure_checkpoint_dir(commits.sparkSession)
+    key = ["repository", "pair_id", "node"]
+    ords = commits.select("repository", F.col("sha").alias("node"), "commit_ord")
+    other = other_parent_edges(commits).withColumnRenamed("child", "node")
+    tgt = (pairs.join(ords.select("repository", F.col("node").alias("target"), F.col("commit_ord").alias("_tord")),
+                      ["repository", "target"]).select("repository", "pair_id", "target", "_tord"))
+    frontier = (pairs.select("repository", "pair_id", F.col("start").alias("node"))
+                .join(tgt, ["repository", "pair_id"])).checkpoint(eager=True)
+    visited = frontier.select(*key).checkpoint(eager=True)
+    while True:
+        # every first-parent ancestor of the frontier inside the window: after
+        # table k the set holds the ancestors up to distance 2^(k+1) - 1
+        reach = frontier
+        for j in jumps:
+            step = (reach.join(j.withColumnRenamed("_n", "node"), ["repository", "node"])
+                    .select("repository", "pair_id", F.col("_p").alias("node"), "target", "_tord")
+                    .join(ords, ["repository", "node"]).where(F.col("commit_ord") <= F.col("_tord"))
+                    .drop("commit_ord").join(visited, key, "left_anti"))
+            reach = reach.unionByName(step).distinct().checkpoint(eager=True)
+        visited = visited.unionByName(reach.select(*key)).distinct().checkpoint(eager=True)
+        found = visited.join(tgt.withColumnRenamed("target", "node"), ["repository", "pair_id", "node"],
+                             "left_semi").select("repository", "pair_id")
+        live = reach.join(found, ["repository", "pair_id"], "left_anti")
+        frontier = (live.join(other, ["repository", "node"])
+                    .select("repository", "pair_id", F.col("parent").alias("node"), "target", "_tord")
+                    .join(ords, ["repository", "node"]).where(F.col("commit_ord") <= F.col("_tord"))
+                    .drop("commit_ord").distinct().join(visited, key, "left_anti")).checkpoint(eager=True)
+        if frontier.isEmpty():
+            break
+    found = (visited.join(tgt.withColumnRenamed("target", "node"), ["repository", "pair_id", "node"], "left_semi")
+             .select("repository", "pair_id").distinct())
+    return (pairs.select("repository", "pair_id")
+            .join(found.withColumn("is_ancestor", F.lit(True)), ["repository", "pair_id"], "left")
+            .select("repository", "pair_id", F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor")))
+
+
 def merge_notes(commits: DataFrame, merges: DataFrame, jumps: list | None = None) -> DataFrame:
     """H6: the note of each merge: ``a parent is the base`` when one parent
     is an ancestor of the other; else ``two initial commits`` when the two
@@ -217,7 +275,7 @@ def merge_notes(commits: DataFrame, merges: DataFrame, jumps: list | None = None
             F.struct(F.concat(F.col("merge_commit"), F.lit(":2")).alias("pair_id"),
                      F.col("parent_2").alias("start"), F.col("parent_1").alias("target")),
         )).alias("p")).select("repository", "p.*")
-    anc = (ancestor_pairs(commits, pairs)
+    anc = (ancestor_pairs(commits, pairs, jumps)
            .withColumn("merge_commit", F.regexp_replace("pair_id", ":[12]$", ""))
            .groupBy("repository", "merge_commit").agg(F.max("is_ancestor").alias("_anc")))
     old = oldest_ancestor(commits, jumps=jumps)

@@ -81,7 +81,29 @@ def test_deep_chain_with_merges(spark):
         rows.append(("r", f"c{i}", ps, i))
     commits = spark.createDataFrame(rows, C_SCHEMA)
     refs = spark.createDataFrame([("r", "c0", 0), ("r", "s1000", 1)], "repository string, head_sha string, ref_rank int")
-    got = {r.sha: r.ref_rank for r in H.first_reaching_ref(commits, refs).collect()}
+    got = {r.sha: r.ref_rank for r in H.first_reaching_ref(commits, refs, method="jump").collect()}
     assert len(got) == n + 6 and got["c2999"] == 0 and got["s1000"] == 0
-    old = {r.sha: r.oldest for r in H.oldest_ancestor(commits).collect()}
+    old = {r.sha: r.oldest for r in H.oldest_ancestor(commits, method="jump").collect()}
     assert old["c0"] == "c2999" and old["s500"] == "c2999"
+
+
+@pytest.mark.parametrize("use_jumps", [True, False])
+def test_ancestor_pairs_against_brute_force(spark, use_jumps):
+    rnd = random.Random(9)
+    rows, pairs, expect = [], [], {}
+    for r in range(5):
+        repo = f"r{r}"
+        n = rnd.randint(5, 40)
+        rr, parents = _random_dag(rnd, n, repo)
+        rows += rr
+        for q in range(6):
+            a, b = sorted(rnd.sample(range(n), 2))
+            pid = f"{repo}-{q}"
+            pairs.append((repo, pid, f"{repo}:{a}", f"{repo}:{b}"))
+            expect[pid] = b in _ancestors(parents, a)
+    commits = spark.createDataFrame(rows, C_SCHEMA)
+    pdf = spark.createDataFrame(pairs, "repository string, pair_id string, start string, target string")
+    got = ({r.pair_id: r.is_ancestor for r in H._ancestor_pairs_jump(commits, pdf, H.first_parent_jumps(commits))
+            .collect()} if use_jumps else
+           {r.pair_id: r.is_ancestor for r in H.ancestor_pairs(commits, pdf).collect()})
+    assert got == expect
