@@ -6,9 +6,12 @@ merged it, nullable).  Output (T9): one row per conflict block with the
 conflict snippet, the recovered resolution and a ``status``.
 
 The whole stage is row-local: a file and its merged version travel in one row,
-lines are arrays inside that row, and blocks are produced by a ``posexplode``.
-There is no exchange, so the stage scales with the number of files and splits
-like a scan.  All logic is built-in array / higher-order SQL functions.
+lines are arrays inside that row, and all per-block work (contexts, matching,
+resolution) is a ``transform`` over the file's array of blocks; only the small
+per-block results are exploded, so a file with many conflicts is not copied
+once per block.  There is no exchange, so the stage scales with the number of
+files and splits like a scan.  All logic is built-in array / higher-order SQL
+functions.
 
 Between the heavy steps the rows pass through ``_barrier`` (an ``inline`` of a
 one-element array).  The Generate node stops Catalyst from collapsing the
@@ -71,22 +74,10 @@ def block_spans_expr(lines: str = "cl") -> str:
     )
 
 
-def _matches_expr(ctx: str, m: str, hay: str = "ml", n: str = "nm") -> str:
-    """Every start index of the line array ``ctx`` (length ``m``) inside
-    ``hay`` (length ``n``), overlaps included.  An empty pattern matches at
-    every index 0..n-1."""
-    return (
-        f"CASE WHEN {hay} IS NULL THEN NULL "
-        f"WHEN {m} = 0 THEN IF({n} > 0, sequence(0, {n} - 1), CAST(array() AS array<int>)) "
-        f"WHEN {n} - {m} < 0 THEN CAST(array() AS array<int>) "
-        f"ELSE filter(sequence(0, {n} - {m}), i -> {hay}[i] = {ctx}[0] "
-        f"AND slice({hay}, i + 1, {m}) = {ctx}) END"
-    )
-
-
 def split_files(files: DataFrame, conflict_col: str = "conflict_text",
                 merged_col: str = "merged_text") -> DataFrame:
-    """X1 + X3 + K6: one row per block with both line arrays attached."""
+    """X1 + X3 + K6: one row per block span (select the columns you need;
+    the line arrays ``cl``/``ml`` are pruned when unused)."""
     keep = [c for c in files.columns if c not in (conflict_col, merged_col)]
     df = _barrier(files.select(
         *keep,
@@ -103,86 +94,62 @@ def split_files(files: DataFrame, conflict_col: str = "conflict_text",
     )
 
 
-def with_context(blocks: DataFrame, context: int = SNIPPET_CONTEXT,
-                 match_context: int = MATCH_CONTEXT) -> DataFrame:
-    """X4 + X5: marker-free matching context (up to ``match_context`` lines,
-    cut at the nearest ``<<<<<<<``/``=======``/``>>>>>>>`` line) and the
-    snippet with ``context`` plain lines on each side."""
-    marks = _positions("cl", MARK_OPEN, MARK_SEP, MARK_CLOSE)
-    df = blocks.withColumns({
-        "n": F.expr("size(cl)"),
-        "nm": F.expr("size(ml)"),
-        "marks": F.expr(marks),
-    })
-    df = df.withColumns({
-        "b0": F.expr(f"greatest(start_line - {match_context}, "
-                     "coalesce(array_max(filter(marks, j -> j < start_line)) + 1, 0))"),
-        "a1": F.expr(f"least(end_line + 1 + {match_context}, "
-                     "coalesce(array_min(filter(marks, j -> j > end_line)), n))"),
-        "c0": F.expr(f"greatest(start_line - {context}, 0)"),
-        "c1": F.expr(f"least(n, end_line + 1 + {context})"),
+def _extend(arr: str, keep: list, new: dict) -> str:
+    """``transform`` an array of block structs, keeping ``keep`` fields and
+    adding ``new`` ones (SQL expressions over ``b``, the block)."""
+    parts = [f"'{f}', b.{f}" for f in keep] + [f"'{k}', {v}" for k, v in new.items()]
+    return f"transform({arr}, b -> named_struct({', '.join(parts)}))"
+
+
+def _file_rows(files: DataFrame, conflict_col: str, merged_col: str, context: int,
+               match_context: int) -> tuple:
+    """X1 + X3 + X4 + X5 inside each file row: ``blk`` is an array with one
+    struct per block (number, span, both contexts, the snippet).  The line
+    arrays stay once per file instead of being copied into every block row."""
+    keep = [c for c in files.columns if c not in (conflict_col, merged_col)]
+    df = _barrier(files.select(
+        *keep,
+        split_lines_keepends(F.col(conflict_col)).alias("cl"),
+        split_lines_keepends(F.col(merged_col)).alias("ml"),
+    ))
+    df = _barrier(df.select(
+        *keep, "cl", "ml", F.expr("size(cl)").alias("n"), F.expr("size(ml)").alias("nm"),
+        F.expr(block_spans_expr("cl")).alias("spans"),
+        F.expr(_positions("cl", MARK_OPEN, MARK_SEP, MARK_CLOSE)).alias("marks")))
+    spans = (
+        "transform(spans, (x, i) -> named_struct('block_no', i + 1, 's', x.s, 'e', x.e, "
+        f"'b0', greatest(x.s - {match_context}, coalesce(array_max(filter(marks, j -> j < x.s)) + 1, 0)), "
+        f"'a1', least(x.e + 1 + {match_context}, coalesce(array_min(filter(marks, j -> j > x.e)), n)), "
+        f"'c0', greatest(x.s - {context}, 0), 'c1', least(n, x.e + 1 + {context})))")
+    df = _barrier(df.select(*keep, "cl", "ml", "nm", F.expr(spans).alias("blk")))
+    ctx = _extend("blk", ["block_no", "s", "e"], {
+        "before": "slice(cl, b.b0 + 1, b.s - b.b0)",
+        "after": "slice(cl, b.e + 2, b.a1 - b.e - 1)",
+        "before5": "slice(cl, b.c0 + 1, b.s - b.c0)",
+        "after5": "slice(cl, b.e + 2, b.c1 - b.e - 1)",
+        "conflict": "array_join(slice(cl, b.c0 + 1, b.c1 - b.c0), '')",
     })
-    return df.select(
-        *[c for c in blocks.columns if c not in ("cl",)],
-        "nm",
-        F.expr("slice(cl, b0 + 1, start_line - b0)").alias("before"),
-        F.expr("slice(cl, end_line + 2, a1 - end_line - 1)").alias("after"),
-        F.expr("slice(cl, c0 + 1, start_line - c0)").alias("before5"),
-        F.expr("slice(cl, end_line + 2, c1 - end_line - 1)").alias("after5"),
-        F.expr("array_join(slice(cl, c0 + 1, c1 - c0), '')").alias("conflict"),
-    )
+    return _barrier(df.select(*keep, "ml", "nm", F.expr(ctx).alias("blk"))), keep
 
 
-def resolve(ctx: DataFrame) -> DataFrame:
-    """X6 + X7 + X8 + X9 + X10: find both contexts in the merged lines and
-    take what lies between them.
+CTX_FIELDS = ["block_no", "s", "e", "before", "after", "before5", "after5", "conflict"]
+
+
+def block_contexts(files: DataFrame, conflict_col: str = "conflict_text", merged_col: str = "merged_text",
+                   context: int = SNIPPET_CONTEXT, match_context: int = MATCH_CONTEXT) -> DataFrame:
+    """X4 + X5 per block: one row per block with the matching contexts, the
+    snippet contexts and the snippet."""
+    df, keep = _file_rows(files, conflict_col, merged_col, context, match_context)
+    return (df.select(*keep, F.inline("blk"))
+            .withColumnRenamed("s", "start_line").withColumnRenamed("e", "end_line"))
 
-    Status table (b/a = contexts, B/A = their match positions):
-    no B -> before_not_found; no A -> after_not_found; both >1 -> ambiguous;
-    one B -> nearest A at or after B0+len(b), else no_valid_after;
-    else one A -> nearest B ending at or before A0, else no_valid_before.
-    """
-    base = [c for c in ctx.columns]
-    df = _barrier(ctx.withColumns({
-        "nb": F.expr("size(before)"),
-        "na": F.expr("size(after)"),
-    }))
-    df = _barrier(df.withColumns({
-        "B": F.expr(_matches_expr("before", "nb")),
-        "A": F.expr(_matches_expr("after", "na")),
-    }))
-    df = _barrier(df.withColumns({
-        "i1": F.expr("CASE WHEN size(B) = 1 THEN B[0] "
-                     "WHEN size(A) = 1 THEN array_max(filter(B, b -> b + nb <= A[0])) END"),
-        "i2": F.expr("CASE WHEN size(B) = 1 THEN array_min(filter(A, a -> a >= B[0] + nb)) "
-                     "WHEN size(A) = 1 THEN A[0] END"),
-    }))
-    df = df.withColumn("status", F.expr(
-        "CASE WHEN ml IS NULL THEN 'no_merged_file' "
-        "WHEN size(B) = 0 THEN 'before_not_found' "
-        "WHEN size(A) = 0 THEN 'after_not_found' "
-        "WHEN size(B) > 1 AND size(A) > 1 THEN 'ambiguous' "
-        "WHEN size(B) = 1 THEN IF(i2 IS NULL, 'no_valid_after', 'ok') "
-        "ELSE IF(i1 IS NULL, 'no_valid_before', 'ok') END"))
-    df = _barrier(df.withColumn("res", F.expr(
-        "CASE WHEN status = 'ok' THEN slice(ml, i1 + nb + 1, i2 - i1 - nb) END")))
-    return df.select(
-        *[c for c in base if c not in ("ml", "nm", "before", "after", "before5", "after5")],
-        "status",
-        F.expr("array_join(res, '')").alias("resolution"),
-        F.expr("CASE WHEN status = 'ok' THEN concat(array_join(before5, ''), "
-               "array_join(res, ''), array_join(after5, '')) END").alias("resolved"),
-        F.expr("nb = 0 OR na = 0").alias("empty_context"),
-        F.expr("CASE WHEN status = 'ok' THEN "
-               "(least(size(before5), nb) = 0 OR "
-               " slice(before5, size(before5) - least(size(before5), nb) + 1, least(size(before5), nb))"
-               " = slice(ml, i1 + nb - least(size(before5), nb) + 1, least(size(before5), nb))) AND "
-               "(least(size(after5), na) = 0 OR "
-               " slice(after5, 1, least(size(after5), na)) = slice(ml, i2 + 1, least(size(after5), na))) "
-               "END").alias("coherent"),
-        F.expr("CASE WHEN status = 'ok' THEN "
-               "contains(array_join(ml, ''), array_join(res, '')) END").alias("contained"),
-    )
+
+def _match(ctx: str, m: str) -> str:
+    """X6 for a non-empty context: every start index of ``ctx`` in ``ml``
+    (overlaps included); null for an empty context, whose matches are all
+    indexes 0..nm-1 and are handled arithmetically (never materialised)."""
+    return (f"CASE WHEN {m} = 0 THEN NULL WHEN nm - {m} < 0 THEN CAST(array() AS array<int>) "
+            f"ELSE filter(sequence(0, nm - {m}), i -> ml[i] = {ctx}[0] AND slice(ml, i + 1, {m}) = {ctx}) END")
 
 
 def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
@@ -191,15 +158,62 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
                    match_context: int = MATCH_CONTEXT) -> DataFrame:
     """X11: conflicted files (T7) -> conflict blocks (T9), one row per block.
 
-    ``conflict_id`` is ``<id_cols...>-<block_no>``.  Blocks that cannot be
-    resolved are kept with their ``status``; filter on ``status = 'ok'`` for
-    the pairs the original pipeline writes out.
+    X6-X10 run inside each file row over the array of its blocks, and only the
+    small per-block results are exploded.  Status table (b/a = contexts, B/A =
+    their match positions): no B -> before_not_found; no A -> after_not_found;
+    both >1 -> ambiguous; one B -> nearest A at or after B0+len(b), else
+    no_valid_after; else one A -> nearest B ending at or before A0, else
+    no_valid_before.  ``conflict_id`` is ``<id_cols...>-<block_no>``.  Blocks
+    that cannot be resolved are kept with their ``status``.
     """
-    blocks = split_files(files, conflict_col, merged_col)
-    ctx = with_context(_barrier(blocks), context, match_context)
-    out = resolve(ctx)
+    df, keep = _file_rows(files, conflict_col, merged_col, context, match_context)
+    f1 = ["block_no", "s", "e", "before", "after", "before5", "after5", "conflict"]
+    df = _barrier(df.select(*keep, "ml", "nm", F.expr(_extend("blk", f1, {
+        "nb": "size(b.before)", "na": "size(b.after)",
+        "pos_b": _match("b.before", "size(b.before)"), "pos_a": _match("b.after", "size(b.after)"),
+    })).alias("blk")))
+    f2 = f1 + ["nb", "na", "pos_b", "pos_a"]
+    df = _barrier(df.select(*keep, "ml", "nm", F.expr(_extend("blk", f2, {
+        "cnt_b": "IF(b.nb = 0, nm, size(b.pos_b))", "cnt_a": "IF(b.na = 0, nm, size(b.pos_a))",
+        "first_b": "IF(b.nb = 0, 0, get(b.pos_b, 0))", "first_a": "IF(b.na = 0, 0, get(b.pos_a, 0))",
+    })).alias("blk")))
+    f3 = f2 + ["cnt_b", "cnt_a", "first_b", "first_a"]
+    # nearest after-context at or after x / before-context start at or before y
+    a_ge = ("IF(b.na = 0, IF({x} <= nm - 1, {x}, NULL), array_min(filter(b.pos_a, p -> p >= {x})))")
+    b_le = ("IF(b.nb = 0, IF({y} >= 0 AND nm > 0, least({y}, nm - 1), NULL), "
+            "array_max(filter(b.pos_b, p -> p <= {y})))")
+    df = _barrier(df.select(*keep, "ml", "nm", F.expr(_extend("blk", f3, {
+        "i1": f"CASE WHEN b.cnt_b = 1 THEN b.first_b WHEN b.cnt_a = 1 THEN {b_le.format(y='b.first_a - b.nb')} END",
+        "i2": f"CASE WHEN b.cnt_b = 1 THEN {a_ge.format(x='b.first_b + b.nb')} WHEN b.cnt_a = 1 THEN b.first_a END",
+    })).alias("blk")))
+    f4 = f3 + ["i1", "i2"]
+    status = ("CASE WHEN ml IS NULL THEN 'no_merged_file' "
+              "WHEN b.cnt_b = 0 THEN 'before_not_found' WHEN b.cnt_a = 0 THEN 'after_not_found' "
+              "WHEN b.cnt_b > 1 AND b.cnt_a > 1 THEN 'ambiguous' "
+              "WHEN b.cnt_b = 1 THEN IF(b.i2 IS NULL, 'no_valid_after', 'ok') "
+              "ELSE IF(b.i1 IS NULL, 'no_valid_before', 'ok') END")
+    df = _barrier(df.select(*keep, "ml", F.expr(_extend("blk", f4, {"status": status})).alias("blk")))
+    f5 = f4 + ["status"]
+    df = _barrier(df.select(*keep, "ml", F.expr(_extend("blk", f5, {
+        "res": "CASE WHEN b.status = 'ok' THEN slice(ml, b.i1 + b.nb + 1, b.i2 - b.i1 - b.nb) END",
+    })).alias("blk")))
+    cb = "least(size(b.before5), b.nb)"
+    ca = "least(size(b.after5), b.na)"
+    out = _extend("blk", ["block_no", "s", "e", "status", "conflict"], {
+        "resolution": "array_join(b.res, '')",
+        "resolved": "CASE WHEN b.status = 'ok' THEN concat(array_join(b.before5, ''), "
+                    "array_join(b.res, ''), array_join(b.after5, '')) END",
+        "empty_context": "b.nb = 0 OR b.na = 0",
+        "coherent": (f"CASE WHEN b.status = 'ok' THEN ({cb} = 0 OR slice(b.before5, size(b.before5) - {cb} + 1, {cb})"
+                     f" = slice(ml, b.i1 + b.nb - {cb} + 1, {cb})) AND ({ca} = 0 OR slice(b.after5, 1, {ca})"
+                     f" = slice(ml, b.i2 + 1, {ca})) END"),
+        "contained": "CASE WHEN b.status = 'ok' THEN contains(array_join(ml, ''), array_join(b.res, '')) END",
+    })
+    rows = df.select(*keep, F.inline(F.expr(out)))
+    rows = rows.withColumnRenamed("s", "start_line").withColumnRenamed("e", "end_line")
     cid = F.concat_ws("-", *[F.col(c).cast("string") for c in id_cols], F.col("block_no").cast("string"))
-    return out.select(cid.alias("conflict_id"), *out.columns)
+    return rows.select(cid.alias("conflict_id"), *keep, "block_no", "start_line", "end_line", "status",
+                       "conflict", "resolution", "resolved", "empty_context", "coherent", "contained")
 
 
 def resolved_pairs(blocks: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def q_conflict_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_conflict_context(spark: SparkSession, sf: str) -> DataFrame:
     """X4, X5."""
-    b = X.with_context(X.split_files(_files(spark, sf)))
+    b = X.block_contexts(_files(spark, sf))
     return b.select(
         F.concat_ws("-", F.col("merge_idx").cast("string"), F.col("file_no").cast("string"),
                     F.col("block_no").cast("string")).alias("conflict_id"),
