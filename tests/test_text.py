@@ -55,3 +55,12 @@ def test_cache_key_is_md5(spark):
     import hashlib
     df = spark.createDataFrame([("héllo",)], "p string")
     assert df.select(T.cache_key("p")).first()[0] == hashlib.md5("héllo".encode()).hexdigest()
+
+
+def test_question_token_count_is_additive(spark):
+    from conflictlake.operators.metrics import build_question, question_token_count
+    texts = _rand_texts(150, 23) + ["```x```", "\n", "", "a\n```"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select(question_token_count(F.col("t")).alias("a"),
+                     T.token_count_proxy(build_question(F.col("t"))).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
