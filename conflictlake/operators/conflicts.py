@@ -173,7 +173,7 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
         "pos_b": _match("b.before", "size(b.before)"), "pos_a": _match("b.after", "size(b.after)"),
     })).alias("blk")))
     f2 = f1 + ["nb", "na", "pos_b", "pos_a"]
-    df = _barrier(df.select(*keep, "ml", "nm", F.expr(_extend("blk", f2, {
+    df = (df.select(*keep, "ml", "nm", F.expr(_extend("blk", f2, {
         "cnt_b": "IF(b.nb = 0, nm, size(b.pos_b))", "cnt_a": "IF(b.na = 0, nm, size(b.pos_a))",
         "first_b": "IF(b.nb = 0, 0, get(b.pos_b, 0))", "first_a": "IF(b.na = 0, 0, get(b.pos_a, 0))",
     })).alias("blk")))
@@ -182,7 +182,7 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
     a_ge = ("IF(b.na = 0, IF({x} <= nm - 1, {x}, NULL), array_min(filter(b.pos_a, p -> p >= {x})))")
     b_le = ("IF(b.nb = 0, IF({y} >= 0 AND nm > 0, least({y}, nm - 1), NULL), "
             "array_max(filter(b.pos_b, p -> p <= {y})))")
-    df = _barrier(df.select(*keep, "ml", "nm", F.expr(_extend("blk", f3, {
+    df = (df.select(*keep, "ml", "nm", F.expr(_extend("blk", f3, {
         "i1": f"CASE WHEN b.cnt_b = 1 THEN b.first_b WHEN b.cnt_a = 1 THEN {b_le.format(y='b.first_a - b.nb')} END",
         "i2": f"CASE WHEN b.cnt_b = 1 THEN {a_ge.format(x='b.first_b + b.nb')} WHEN b.cnt_a = 1 THEN b.first_a END",
     })).alias("blk")))
@@ -192,9 +192,9 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
               "WHEN b.cnt_b > 1 AND b.cnt_a > 1 THEN 'ambiguous' "
               "WHEN b.cnt_b = 1 THEN IF(b.i2 IS NULL, 'no_valid_after', 'ok') "
               "ELSE IF(b.i1 IS NULL, 'no_valid_before', 'ok') END")
-    df = _barrier(df.select(*keep, "ml", F.expr(_extend("blk", f4, {"status": status})).alias("blk")))
+    df = df.select(*keep, "ml", F.expr(_extend("blk", f4, {"status": status})).alias("blk"))
     f5 = f4 + ["status"]
-    df = _barrier(df.select(*keep, "ml", F.expr(_extend("blk", f5, {
+    df = (df.select(*keep, "ml", F.expr(_extend("blk", f5, {
         "res": "CASE WHEN b.status = 'ok' THEN slice(ml, b.i1 + b.nb + 1, b.i2 - b.i1 - b.nb) END",
     })).alias("blk")))
     cb = "least(size(b.before5), b.nb)"
