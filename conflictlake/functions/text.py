@@ -34,7 +34,6 @@ STRIP_RE = f"^[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+\\z"
 WS_RUN_RE = f"[{WHITESPACE_CLASS}]+"
 BLOCK_COMMENT_RE = r"(?s)/\*.*?\*/"
 LINE_COMMENT_RE = r"(?d)//.*"          # '.' stops at '\n' only, as in Python
-LINE_COMMENT_RE2 = r"//.*"             # RE2 form of the same pattern
 TOKEN_RE = f"[A-Za-z0-9_]+|[^A-Za-z0-9_{WHITESPACE_CLASS}]"
 
 

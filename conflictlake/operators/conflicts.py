@@ -155,7 +155,8 @@ def _match(ctx: str, m: str) -> str:
 def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
                    conflict_col: str = "conflict_text", merged_col: str = "merged_text",
                    context: int = SNIPPET_CONTEXT,
-                   match_context: int = MATCH_CONTEXT) -> DataFrame:
+                   match_context: int = MATCH_CONTEXT,
+                   strip_final_newline: bool = False) -> DataFrame:
     """X11: conflicted files (T7) -> conflict blocks (T9), one row per block.
 
     X6-X10 run inside each file row over the array of its blocks, and only the
@@ -165,7 +166,14 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
     no_valid_after; else one A -> nearest B ending at or before A0, else
     no_valid_before.  ``conflict_id`` is ``<id_cols...>-<block_no>``.  Blocks
     that cannot be resolved are kept with their ``status``.
+
+    ``strip_final_newline=True`` drops one trailing newline of the merged
+    text first, as the merged files of the original pipeline were written
+    (its git client strips it); a context that reaches the end of the file
+    then no longer matches.
     """
+    if strip_final_newline:
+        files = files.withColumn(merged_col, F.regexp_replace(F.col(merged_col), r"\n\z", ""))
     df, keep = _file_rows(files, conflict_col, merged_col, context, match_context)
     f1 = ["block_no", "s", "e", "before", "after", "before5", "after5", "conflict"]
     df = _barrier(df.select(*keep, "ml", "nm", F.expr(_extend("blk", f1, {

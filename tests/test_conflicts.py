@@ -41,7 +41,7 @@ def test_golden_blocks(spark):
     rows.append((97, 0, text("a H x M y E c"), ""))                                  # empty merged file
     rows.append((96, 0, text("a H x M y E c"), None))                                # no merged file
     rows.append((95, 0, "a\r\n<<<<<<< L\r\nx\r\n========\r\ny\r\n>>>>>>> R\r\nc\r\n", "a\nx\nc\n"))
-    rows.append((94, 0, "a <<<<<<< L\nx\n=======\ny\n>>>>>>> R\nc\x85", "a y\nc\x85"))
+    rows.append((94, 0, "a\u2028<<<<<<< L\nx\n=======\ny\n>>>>>>> R\nc\x85", "a\u2028y\nc\x85"))
     rows.append((93, 0, text("a H H x M y E c"), "a y c\n".replace(" ", "\n")))       # second open ignored
     df = spark.createDataFrame(rows, "merge_idx long, file_no int, conflict_text string, merged_text string")
     got = {}
@@ -109,3 +109,10 @@ def test_property_against_model(spark):
                 assert r.resolution == "".join(res)
             n += 1
     assert not got and n > 100
+
+
+def test_strip_final_newline_option(spark):
+    df = spark.createDataFrame([(1, 0, text("a H x M y E c"), text("a x c"))],
+                               "merge_idx long, file_no int, conflict_text string, merged_text string")
+    assert extract_blocks(df).first().status == "ok"
+    assert extract_blocks(df, strip_final_newline=True).first().status == "after_not_found"
