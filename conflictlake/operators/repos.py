@@ -20,8 +20,10 @@ EXCLUDED_REPOSITORIES = (
     "android/platform_frameworks_base",
     "elasticsearch/elasticsearch",
 )
-# Tokens the CSV reader treats as missing, plus the literal "None".
-NA_TOKENS = ("", "NA", "null", "None")
+# Cells a pandas CSV read treats as missing by default (pandas documentation),
+# which includes the literal "None" the catalogue step also removes.
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+             "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 # Most results a code-search API query returns.
 API_RESULT_CAP = 1000
 # -----------------------------------------------------------------------------

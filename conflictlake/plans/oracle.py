@@ -290,9 +290,9 @@ WITH c AS (SELECT doc_id AS idx, source AS repository, lang AS language,
                   CAST(n_chars AS VARCHAR) AS stars FROM documents)
 SELECT idx, repository, language, CAST(stars AS INTEGER) AS stars FROM c
 WHERE idx IS NOT NULL
-  AND repository IS NOT NULL AND repository NOT IN ('', 'NA', 'null', 'None')
-  AND language IS NOT NULL AND language NOT IN ('', 'NA', 'null', 'None')
-  AND stars IS NOT NULL AND stars NOT IN ('', 'NA', 'null', 'None')
+  AND repository IS NOT NULL AND repository NOT IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')
+  AND language IS NOT NULL AND language NOT IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')
+  AND stars IS NOT NULL AND stars NOT IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')
   AND repository NOT IN ('src3', 'src7')"""
 
 SQL["top_n_slice"] = """
