@@ -29,17 +29,23 @@ API_RESULT_CAP = 1000
 # -----------------------------------------------------------------------------
 
 
+def _na(col: str) -> F.Column:
+    """A text cell with a missing-value token read as null."""
+    return F.when(F.col(col).isin(*NA_TOKENS), None).otherwise(F.col(col))
+
+
 def language_counts(repos: DataFrame, top: int = 15, lang_col: str = "language") -> DataFrame:
     """A1: repositories per language, most common first (ties by name), top
-    ``top`` rows; null language is not counted."""
-    return (repos.where(F.col(lang_col).isNotNull())
-            .groupBy(F.col(lang_col).alias("language")).agg(F.count(F.lit(1)).alias("repo_count"))
+    ``top`` rows; a missing language (null or NA token) is not counted."""
+    lang = _na(lang_col)
+    return (repos.where(lang.isNotNull())
+            .groupBy(lang.alias("language")).agg(F.count(F.lit(1)).alias("repo_count"))
             .orderBy(F.desc("repo_count"), F.asc("language")).limit(top))
 
 
 def language_totals(repos: DataFrame, lang_col: str = "language") -> DataFrame:
     """A1: number of languages and of repositories (before null handling)."""
-    return repos.agg(F.count_distinct(F.col(lang_col)).alias("languages"),
+    return repos.agg(F.count_distinct(_na(lang_col)).alias("languages"),
                      F.count(F.lit(1)).alias("repositories"))
 
 

@@ -22,7 +22,8 @@ def test_catalogue_dump_roundtrip(spark):
     with gzip.open(os.path.join(d, "dump.csv.gz"), "wt") as f:
         f.write(head + "\n" + "\n".join(rows) + "\n")
     raw = io.read_catalogue_dump(spark, d)
-    assert RP.language_counts(raw).collect()[0].asDict() == {"language": "Java", "repo_count": 4}
+    assert [r.asDict() for r in RP.language_counts(raw).collect()] == [{"language": "Java", "repo_count": 4}]
+    assert RP.language_totals(raw).first().asDict() == {"languages": 1, "repositories": 5}
     clean = io.cast_catalogue(RP.clean_catalogue(raw))
     got = sorted((r.idx, r.repository, r.stars) for r in clean.collect())
     assert got == [(0, "o/a", 350), (4, "o/d", 370)]
