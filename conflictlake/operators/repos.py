@@ -79,12 +79,15 @@ def clean_catalogue(raw: DataFrame, names=EXCLUDED_REPOSITORIES) -> DataFrame:
 def with_row_position(df: DataFrame, index_col: str = "idx") -> DataFrame:
     """K8: 0-based row position in the source order (before any filter).
 
-    A single gzip file is one split, so its order is the scan order; for
-    several files / splits the position is file name then row order inside
-    the file, computed with the parallel dense index.
+    Rows are ordered by file, then by the byte offset where their split
+    starts, then by their order inside the split (split packing does not keep
+    offset order, so the id alone is not enough); the position comes from the
+    parallel dense index.  ``df`` must be a file scan.
     """
-    d = df.withColumn("_file", F.input_file_name()).withColumn("_pos", F.monotonically_increasing_id())
-    return dense_index(d, ["_file", "_pos"], index_col).drop("_file", "_pos")
+    d = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                  F.col("_metadata.file_block_start").alias("_blk"),
+                  F.monotonically_increasing_id().alias("_pos"))
+    return dense_index(d, ["_file", "_blk", "_pos"], index_col).drop("_file", "_blk", "_pos")
 
 
 def top_n_slice(repos: DataFrame, language: str, start: int, n: int,

@@ -88,10 +88,12 @@ def read_csv_dir(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
-    """R5 input: landed search-API pages, one JSON object per line, the page
-    number taken from the file order."""
+    """R5 input: landed search-API pages, one JSON object per line; ``page``
+    orders them as stored (file, split offset, line)."""
     pages = spark.read.schema(API_PAGE).json(path)
-    return pages.withColumn("page", F.monotonically_increasing_id())
+    return pages.withColumn("page", F.struct(F.col("_metadata.file_path").alias("file"),
+                                             F.col("_metadata.file_block_start").alias("offset"),
+                                             F.monotonically_increasing_id().alias("line")))
 
 
 def api_items(pages: DataFrame, max_results: int = API_RESULT_CAP) -> DataFrame:

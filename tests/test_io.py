@@ -70,3 +70,18 @@ def test_api_pages_cap_and_dir_union(spark):
         f.write("repository,notes\no/b,n\n")
     u = io.read_csv_dir(spark, c)
     assert sorted(u.columns) == ["notes", "repository", "stars"] and u.count() == 2
+
+
+def test_row_position_follows_file_order_across_splits(spark):
+    d = _tmp()
+    with open(os.path.join(d, "big.csv"), "w") as f:
+        f.write("repository\n" + "".join(f"r{i:06d}\n" for i in range(60000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        raw = spark.read.schema("repository string").option("header", True).csv(d)
+        assert raw.rdd.getNumPartitions() > 4
+        rows = RP.with_row_position(raw).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 60000 and all(r.repository == f"r{r.idx:06d}" for r in rows)
