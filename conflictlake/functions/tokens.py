@@ -1,0 +1,43 @@
+"""M8(c): token counts from a real tokenizer file, as an Arrow-batched UDF.
+
+The default token count is the built-in proxy (``functions.text``).  When a
+``tokenizer.json`` of the target model is available, this pandas UDF counts
+its tokens instead; it runs batch-wise on the executors (the tokenizer is
+loaded once per Python worker) and is passed to
+``operators.metrics.compute_metrics(token_count=...)``.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@functools.lru_cache(maxsize=4)
+def _load(path: str):
+    from tokenizers import Tokenizer  # imported on the executor
+    return Tokenizer.from_file(path)
+
+
+def tokenizer_count(tokenizer_file: str):
+    """A pandas UDF ``text -> number of tokens`` for the tokenizer in
+    ``tokenizer_file`` (a path every executor can read)."""
+
+    @F.pandas_udf(T.LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        tok = _load(tokenizer_file)
+        enc = tok.encode_batch([t if t is not None else "" for t in texts.tolist()])
+        return pd.Series([len(e.ids) for e in enc], dtype="int64")
+
+    return count
+
+
+def question_tokens(tokenizer_file: str, lines_col: str = "L", language: str = "java") -> Column:
+    """Token count of the question built from the snippet lines, for use as
+    ``compute_metrics(token_count=question_tokens(path))``."""
+    from conflictlake.operators.metrics import build_question
+    return tokenizer_count(tokenizer_file)(build_question(F.array_join(F.col(lines_col), "\n"), language))

@@ -77,3 +77,20 @@ def test_m09_split_sizes(spark):
     a = {r.conflict_id: r.split for r in D.build_dataset(pairs).collect()}
     b = {r.conflict_id: r.split for r in D.build_dataset(pairs.repartition(5)).collect()}
     assert a == b
+
+
+def test_tokenizer_udf_count(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    from conflictlake.functions.tokens import question_tokens
+    tok = Tokenizer(WordLevel({"[UNK]": 0, "x": 1}, unk_token="[UNK]"))
+    tok.pre_tokenizer = Whitespace()
+    path = str(tmp_path / "tokenizer.json")
+    tok.save(path)
+    df = spark.createDataFrame([("a", BLOCK, "x\n")], "conflict_id string, conflict string, resolved string")
+    got = M.compute_metrics(df, token_count=question_tokens(path)).first()
+    question = M.QUERY_PROMPT + "```java\n" + BLOCK.rstrip("\n") + "\n```"
+    expected = len(tok.encode(question).ids)
+    assert got.num_tokens_query == expected
