@@ -150,11 +150,15 @@ def format_api_items(items: DataFrame) -> DataFrame:
 
 
 def api_query_filter(repos: DataFrame, language: str | None = None, min_stars: int = 0,
-                     exclude_archived: bool = False) -> DataFrame:
+                     exclude_archived: bool = False, observation=None) -> DataFrame:
     """F5 (+F4): the search query as predicates over landed results:
     language, ``stars >= min_stars`` (0 disables) and, when asked, neither
-    archived nor disabled."""
+    archived nor disabled.  With a ``pyspark.sql.Observation`` the number of
+    archived/disabled rows removed is collected as ``removed`` while the
+    query runs (no extra pass)."""
     d = repos
+    if exclude_archived and observation is not None:
+        d = d.observe(observation, F.count_if(F.col("archived") | F.col("disabled")).alias("removed"))
     if language is not None:
         d = d.where(F.lower(F.col("language")) == language.lower())
     if min_stars:

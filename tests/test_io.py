@@ -5,6 +5,8 @@ import json
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from conflictlake.operators import repos as RP
 from conflictlake.sources import io
 
@@ -60,6 +62,11 @@ def test_api_pages_cap_and_dir_union(spark):
             f.write(json.dumps({"total_count": 1800, "items": items}) + "\n")
     items = io.api_items(io.read_api_pages(spark, d), 5000)
     assert items.count() == 1000
+    from pyspark.sql import Observation
+    obs = Observation("archived")
+    kept = RP.api_query_filter(RP.format_api_items(items).withColumn(
+        "archived", F.col("stars") % 2 == 1), exclude_archived=True, observation=obs)
+    assert kept.count() == 500 and obs.get["removed"] == 500
     rows = RP.format_api_items(items).where("stars >= 599").collect()
     assert {r.repository for r in rows} == {"o/r0599"} and rows[0].default_branch == "main"
     c = _tmp()
