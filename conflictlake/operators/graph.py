@@ -43,14 +43,17 @@ class RoundKeeper:
 
 def propagate(edges: DataFrame, seeds: DataFrame, *, key: str = "repository",
               src: str = "src", dst: str = "dst", node: str = "node", label: str = "label",
-              combine: str = "min", max_rounds: int | None = None) -> DataFrame:
+              combine: str = "min", max_rounds: int | None = None,
+              give_up_after: int | None = None) -> DataFrame | None:
     """Fixed point of ``label(v) = combine(seed(v), label(u) for u -> v)``.
 
     ``edges``: (key, src, dst); ``seeds``: (key, node, label) with an
     orderable label (a struct compares field by field).  Returns (key, node,
     label) for every node reachable from a seed.  Runs until no label changes
     (the number of rounds is the longest chain of improvements);
-    ``max_rounds`` is only a safety stop and raises when hit.
+    ``max_rounds`` is only a safety stop and raises when hit;
+    ``give_up_after`` returns None instead after that many rounds, for a
+    caller that then switches to pointer jumping.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
     agg = F.min if combine == "min" else F.max
@@ -63,6 +66,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, key: str = "repository",
     while True:
         if max_rounds is not None and keeper.rounds > max_rounds:
             raise RuntimeError(f"label propagation did not converge in {max_rounds} rounds")
+        if give_up_after is not None and keeper.rounds >= give_up_after:
+            return None
         cand = (state.where("_chg").withColumnRenamed("_v", "_u").join(e, [key, "_u"])
                 .groupBy(key, "_v").agg(agg("_l").alias("_n")))
         wins = F.col("_n").isNotNull() & (F.col("_l").isNull() | better(F.col("_n"), F.col("_l")))

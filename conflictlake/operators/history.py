@@ -46,21 +46,32 @@ NOTE_TWO_ROOTS = "two initial commits"
 DEFAULT_MAX_MERGES = 100
 DEFAULT_MAX_BRANCHES = 1000
 # -----------------------------------------------------------------------------
-# Pointer jumping pays off once the first-parent forest is deep: with fewer
-# than this many jump tables (depth < 2^6) the plain rounds are cheaper.
-JUMP_MIN_LEVELS = 6
+# "auto" runs plain rounds first and switches to pointer jumping when they
+# have not converged after this many rounds (a deep history); both are exact.
+AUTO_ROUNDS = 40
 
 
-def _pick(method: str, commits: DataFrame, jumps: list | None):
-    """Resolve ``method`` ("auto", "jump", "rounds") to (method, jumps).
-    Both methods give the same labels; "auto" looks only at the number of
-    jump tables (the depth of the first-parent forest)."""
-    if method == "rounds":
-        return "rounds", None
-    tables = jumps if jumps is not None else first_parent_jumps(commits)
-    if method == "auto" and len(tables) < JUMP_MIN_LEVELS:
-        return "rounds", None
-    return "jump", tables
+class Jumps:
+    """First-parent jump tables of a commit table, built on first use and
+    shared by the operators of one job."""
+
+    def __init__(self, commits: DataFrame):
+        self.commits = commits
+        self._tables = None
+
+    def get(self) -> list:
+        if self._tables is None:
+            self._tables = first_parent_jumps(self.commits)
+        return self._tables
+
+
+def _jumps(commits: DataFrame, jumps) -> Jumps:
+    if isinstance(jumps, Jumps):
+        return jumps
+    holder = Jumps(commits)
+    if jumps is not None:
+        holder._tables = jumps
+    return holder
 
 
 def is_priority_ref(path) -> F.Column:
@@ -112,26 +123,27 @@ def other_parent_edges(commits: DataFrame) -> DataFrame:
 
 
 def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame, method: str = "auto",
-                       jumps: list | None = None) -> DataFrame:
+                       jumps=None) -> DataFrame:
     """H4 / K7: for every commit reachable from a kept ref, the smallest
     ``ref_rank`` that reaches it (the ref whose walk would claim it first).
 
     ``method="jump"``: subtree minimum over the first-parent forest by
     pointer jumping, alternated with the other-parent edges until stable;
     ``method="rounds"``: plain label propagation, one round per edge;
-    ``"auto"`` (default) picks by the depth of the forest."""
+    ``"auto"`` (default) runs plain rounds and switches to jumping when they
+    have not converged after ``AUTO_ROUNDS`` rounds."""
     seeds = refs_ranked.select("repository", F.col("head_sha").alias("_n"), F.col("ref_rank").alias("_l"))
-    method, tables = _pick(method, commits, jumps)
-    if method == "jump":
-        extra = other_parent_edges(commits).select("repository", F.col("child").alias("_u"),
-                                                   F.col("parent").alias("_v"))
-        lab = forest_propagate(tables, extra, seeds, direction="up", combine="min")
-        return lab.select("repository", F.col("_n").alias("sha"), F.col("_l").alias("ref_rank"))
-    e = parent_edges(commits).select("repository", F.col("child").alias("src"),
-                                     F.col("parent").alias("dst"))
-    return (propagate(e, seeds.select("repository", F.col("_n").alias("node"), F.col("_l").alias("label")),
-                      combine="min")
-            .select("repository", F.col("node").alias("sha"), F.col("label").alias("ref_rank")))
+    if method != "jump":
+        e = parent_edges(commits).select("repository", F.col("child").alias("src"),
+                                         F.col("parent").alias("dst"))
+        out = propagate(e, seeds.select("repository", F.col("_n").alias("node"), F.col("_l").alias("label")),
+                        combine="min", give_up_after=AUTO_ROUNDS if method == "auto" else None)
+        if out is not None:
+            return out.select("repository", F.col("node").alias("sha"), F.col("label").alias("ref_rank"))
+    extra = other_parent_edges(commits).select("repository", F.col("child").alias("_u"),
+                                               F.col("parent").alias("_v"))
+    lab = forest_propagate(_jumps(commits, jumps).get(), extra, seeds, direction="up", combine="min")
+    return lab.select("repository", F.col("_n").alias("sha"), F.col("_l").alias("ref_rank"))
 
 
 def merge_candidates(commits: DataFrame) -> DataFrame:
@@ -142,7 +154,7 @@ def merge_candidates(commits: DataFrame) -> DataFrame:
 
 
 def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFrame | None = None,
-                  max_num_merges: int = DEFAULT_MAX_MERGES, jumps: list | None = None) -> DataFrame:
+                  max_num_merges: int = DEFAULT_MAX_MERGES, jumps=None) -> DataFrame:
     """H3 / H5 without notes: merges in ref order, newest first inside a ref,
     at most ``max_num_merges`` per repository including the ``existing`` ones
     (J3: those are skipped and use up the cap)."""
@@ -164,35 +176,35 @@ def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFram
                     "parent_1", "parent_2", "ref_rank", "commit_ord"))
 
 
-def oldest_ancestor(commits: DataFrame, method: str = "auto", jumps: list | None = None) -> DataFrame:
+def oldest_ancestor(commits: DataFrame, method: str = "auto", jumps=None) -> DataFrame:
     """The ancestor (self included) with the greatest ``commit_ord``: the last
     commit a history walk from that commit would list.  ``method`` as in
     ``first_reaching_ref`` (here the maximum flows down the first-parent
     chains)."""
     seeds = commits.select("repository", F.col("sha").alias("_n"), F.struct("commit_ord", "sha").alias("_l"))
-    method, tables = _pick(method, commits, jumps)
-    if method == "jump":
-        extra = other_parent_edges(commits).select("repository", F.col("parent").alias("_u"),
-                                                   F.col("child").alias("_v"))
-        lab = forest_propagate(tables, extra, seeds, direction="down", combine="max")
-        return lab.select("repository", F.col("_n").alias("sha"), F.col("_l.sha").alias("oldest"))
-    e = parent_edges(commits).select("repository", F.col("parent").alias("src"),
-                                     F.col("child").alias("dst"))
-    return (propagate(e, seeds.select("repository", F.col("_n").alias("node"), F.col("_l").alias("label")),
-                      combine="max")
-            .select("repository", F.col("node").alias("sha"), F.col("label.sha").alias("oldest")))
-
-
-def ancestor_pairs(commits: DataFrame, pairs: DataFrame, jumps: list | None = None) -> DataFrame:
+    if method != "jump":
+        e = parent_edges(commits).select("repository", F.col("parent").alias("src"),
+                                         F.col("child").alias("dst"))
+        out = propagate(e, seeds.select("repository", F.col("_n").alias("node"), F.col("_l").alias("label")),
+                        combine="max", give_up_after=AUTO_ROUNDS if method == "auto" else None)
+        if out is not None:
+            return out.select("repository", F.col("node").alias("sha"), F.col("label.sha").alias("oldest"))
+    extra = other_parent_edges(commits).select("repository", F.col("parent").alias("_u"),
+                                               F.col("child").alias("_v"))
+    lab = forest_propagate(_jumps(commits, jumps).get(), extra, seeds, direction="down", combine="max")
+    return lab.select("repository", F.col("_n").alias("sha"), F.col("_l.sha").alias("oldest"))
+
+
+def ancestor_pairs(commits: DataFrame, pairs: DataFrame, jumps=None, method: str = "auto") -> DataFrame:
     """For (repository, pair_id, start, target) rows: is ``target`` an
     ancestor of ``start`` (or equal)?  A bounded multi-source walk down the
     parent edges that never visits a commit older than its target (ancestors
     have a larger ``commit_ord``).  With first-parent ``jumps`` each pass
     enumerates whole first-parent stretches inside that window in log2(depth)
     rounds and then takes the other-parent edges; without, one checkpointed
-    round per generation."""
-    if jumps is not None and len(jumps) >= JUMP_MIN_LEVELS:
-        return _ancestor_pairs_jump(commits, pairs, jumps)
+    round per generation.  ``method`` as in ``first_reaching_ref``."""
+    if method == "jump":
+        return _ancestor_pairs_jump(commits, pairs, _jumps(commits, jumps).get())
     spark = commits.sparkSession
     ensure_checkpoint_dir(spark)
     keeper = RoundKeeper()
@@ -206,6 +218,8 @@ def ancestor_pairs(commits: DataFrame, pairs: DataFrame, jumps: list | None = No
         pairs.select("repository", "pair_id", F.col("start").alias("node"))
         .join(tgt, ["repository", "pair_id"]).withColumn("_new", F.lit(True)))
     while True:
+        if method == "auto" and keeper.rounds >= AUTO_ROUNDS:
+            return _ancestor_pairs_jump(commits, pairs, _jumps(commits, jumps).get())
         found = visited.where(F.col("node") == F.col("target")).select("repository", "pair_id")
         live = visited.where("_new").join(found, ["repository", "pair_id"], "left_anti")
         nxt = (live.join(e.withColumnRenamed("child", "node"), ["repository", "node"])
@@ -263,7 +277,7 @@ def _ancestor_pairs_jump(commits: DataFrame, pairs: DataFrame, jumps: list) -> D
             .select("repository", "pair_id", F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor")))
 
 
-def merge_notes(commits: DataFrame, merges: DataFrame, jumps: list | None = None) -> DataFrame:
+def merge_notes(commits: DataFrame, merges: DataFrame, jumps=None) -> DataFrame:
     """H6: the note of each merge: ``a parent is the base`` when one parent
     is an ancestor of the other; else ``two initial commits`` when the two
     parents' oldest ancestors differ; else empty."""
@@ -294,7 +308,7 @@ def collect_merges(refs: DataFrame, commits: DataFrame, existing: DataFrame | No
                    max_branches: int = DEFAULT_MAX_BRANCHES) -> DataFrame:
     """H5: refs + commits -> new merges (T5 columns plus ref_rank, commit_ord)."""
     ranked = branch_refs(refs, max_branches)
-    jumps = first_parent_jumps(commits)
+    jumps = Jumps(commits)
     m = capped_merges(commits, ranked, existing, max_num_merges, jumps)
     return merge_notes(commits, m, jumps)
 

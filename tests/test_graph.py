@@ -107,3 +107,17 @@ def test_ancestor_pairs_against_brute_force(spark, use_jumps):
             .collect()} if use_jumps else
            {r.pair_id: r.is_ancestor for r in H.ancestor_pairs(commits, pdf).collect()})
     assert got == expect
+
+
+def test_auto_switches_to_jumping_on_deep_chain(spark):
+    """200 generations: plain rounds give up after AUTO_ROUNDS and the jump
+    method finishes; the labels equal the brute force."""
+    n = 200
+    rows = [("r", f"c{i}", [f"c{i + 1}"] if i < n - 1 else [], i) for i in range(n)]
+    commits = spark.createDataFrame(rows, C_SCHEMA)
+    refs = spark.createDataFrame([("r", "c0", 0), ("r", "c150", 1)], "repository string, head_sha string, ref_rank int")
+    got = {r.sha: r.ref_rank for r in H.first_reaching_ref(commits, refs).collect()}
+    assert len(got) == n and set(got.values()) == {0}
+    pairs = spark.createDataFrame([("r", "p", "c3", "c190"), ("r", "q", "c190", "c3")],
+                                  "repository string, pair_id string, start string, target string")
+    assert {r.pair_id: r.is_ancestor for r in H.ancestor_pairs(commits, pairs).collect()} == {"p": True, "q": False}
