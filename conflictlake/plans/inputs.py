@@ -74,7 +74,8 @@ SEGMENT_ORD = {"AUTOMOBILE": 0, "BUILDING": 1, "FURNITURE": 2, "HOUSEHOLD": 3, "
 def _positions(customer: DataFrame) -> DataFrame:
     from conflictlake.operators.rank import rank_within
     c = customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    return rank_within(c, ["c_nationkey"], ["c_custkey"], "i")
+    # used three times below: materialise once in the shared checkpoint folder
+    return rank_within(c, ["c_nationkey"], ["c_custkey"], "i").checkpoint(eager=True)
 
 
 def standin_commits(customer: DataFrame) -> DataFrame:
