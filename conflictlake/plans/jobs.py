@@ -49,6 +49,9 @@ class BuildOptions:
     max_prompt_length: int = M.MAX_PROMPT_LENGTH
     context: int = X.SNIPPET_CONTEXT
     drop_trivial: bool = False
+    dedupe: bool = False
+    max_num_merges: int = 100
+    max_branches: int = DEFAULT_MAX_BRANCHES
 
 
 def build_config(spark: SparkSession) -> DataFrame:
@@ -60,6 +63,40 @@ def build_config(spark: SparkSession) -> DataFrame:
                                        "max_branches int, test_size double")
 
 
+def history_job(spark: SparkSession, refs_path: str, commits_path: str, merges_path: str,
+                existing_path: str | None = None, opts: BuildOptions = BuildOptions()) -> None:
+    """refs + commits (+ merges known from an earlier run) -> T5 with a dense
+    ``merge_idx`` over (repository, merge_commit); duplicate keys are fatal."""
+    from conflictlake.operators import history as H
+    from conflictlake.streaming.incremental import combine_merges
+    refs, commits = spark.read.parquet(refs_path), spark.read.parquet(commits_path)
+    existing = spark.read.parquet(existing_path) if existing_path else None
+    new = H.collect_merges(refs, commits, existing, opts.max_num_merges, opts.max_branches)
+    cols = ["repository", "branch_name", "merge_commit", "parent_1", "parent_2", "notes"]
+    if existing is not None:
+        keep = combine_merges(existing, new.withColumn("_o", F.struct("ref_rank", "commit_ord")),
+                              opts.max_num_merges, "merge_idx", ["_o"])
+        allm = existing.select(*cols).unionByName(new.select(*cols))
+        merges = allm.join(keep.select("repository", "merge_commit"), ["repository", "merge_commit"],
+                           "left_semi").dropDuplicates(["repository", "merge_commit"])
+    else:
+        merges = new.select(*cols)
+    H.assert_unique_merges(merges)
+    io.write_table(H.number_merges(merges), merges_path)
+
+
+def files_job(spark: SparkSession, merges_path: str, status_path: str, worktree_path: str,
+              final_path: str, files_path: str, index_path: str, opts: BuildOptions = BuildOptions()) -> None:
+    """merges + `git status` lines + file texts -> T7 (conflicted files with
+    both texts) and T8 (the conflict index, merges with conflicts only)."""
+    from conflictlake.operators import files as FI
+    merges = spark.read.parquet(merges_path)
+    files = FI.conflicted_files(spark.read.parquet(status_path), opts.language)
+    texts = FI.pair_texts(files, spark.read.parquet(worktree_path), spark.read.parquet(final_path))
+    io.write_table(texts, files_path)
+    io.write_table(FI.conflict_index(merges, files), index_path)
+
+
 def extract_job(spark: SparkSession, files_path: str, out_path: str, opts: BuildOptions = BuildOptions()) -> None:
     """T7 -> T9 (all blocks with their status)."""
     files = spark.read.parquet(files_path)
@@ -85,7 +122,10 @@ def build_job(spark: SparkSession, selected_path: str, out_path: str, opts: Buil
     pairs = spark.read.parquet(selected_path)
     if pairs.isEmpty():
         raise ValueError("No valid conflict/solution pairs found.")
-    io.write_dataset(D.build_dataset(pairs, opts.test_size, opts.seed, opts.language), out_path)
+    ds = D.build_dataset(pairs, opts.test_size, opts.seed, opts.language)
+    if opts.dedupe:
+        ds = D.dedupe_exact(ds)
+    io.write_dataset(ds, out_path)
 
 
 def language_rollup(per_language: DataFrame) -> DataFrame:

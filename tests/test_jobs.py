@@ -79,3 +79,37 @@ def test_strict_stars_cast_and_empty_notes(spark):
         f.write('merge_idx,repository,branch_name,merge_commit,parent_1,parent_2,notes\n0,o/a,b,m,p,q,""\n')
     r = io.read_csv(spark, d, io.MERGES_SCHEMA, keep_empty_strings=True).first()
     assert r.notes == ""
+
+
+def test_history_and_files_jobs(spark):
+    from conflictlake.plans.jobs import BuildOptions
+    d = tempfile.mkdtemp(prefix="cl-hist-")
+    commits = [("o/a", "m2", ["m1", "f2"], 0), ("o/a", "f2", ["b"], 1), ("o/a", "m1", ["b", "f1"], 2),
+               ("o/a", "f1", ["b"], 3), ("o/a", "b", [], 4)]
+    spark.createDataFrame(commits, "repository string, sha string, parents array<string>, commit_ord long") \
+        .write.parquet(os.path.join(d, "commits"))
+    spark.createDataFrame([("o/a", "refs/heads/main", "m2", 0)],
+                          "repository string, path string, head_sha string, ref_ord int") \
+        .write.parquet(os.path.join(d, "refs"))
+    jobs.history_job(spark, os.path.join(d, "refs"), os.path.join(d, "commits"), os.path.join(d, "merges"),
+                     opts=BuildOptions(max_num_merges=1))
+    m = spark.read.parquet(os.path.join(d, "merges")).collect()
+    assert [(r.merge_idx, r.merge_commit, r.notes) for r in m] == [(0, "m2", "")]
+    # a second run with a higher cap keeps the known merge first and adds the next one
+    jobs.history_job(spark, os.path.join(d, "refs"), os.path.join(d, "commits"), os.path.join(d, "merges2"),
+                     os.path.join(d, "merges"), BuildOptions(max_num_merges=2))
+    m2 = sorted((r.merge_idx, r.merge_commit) for r in spark.read.parquet(os.path.join(d, "merges2")).collect())
+    assert m2 == [(0, "m1"), (1, "m2")]
+    spark.createDataFrame([(0, "UU", "src/A.java"), (0, "UU", "src/b.py"), (0, "AA", "src/C.java"),
+                           (0, "UU", "lib/Z.java")], "merge_idx long, xy string, path string") \
+        .write.parquet(os.path.join(d, "status"))
+    spark.createDataFrame([(0, "src/A.java", text("a H x M y E c")), (0, "lib/Z.java", "z\n")],
+                          "merge_idx long, path string, text string").write.parquet(os.path.join(d, "wt"))
+    spark.createDataFrame([(0, "src/A.java", text("a x c"))],
+                          "merge_idx long, path string, text string").write.parquet(os.path.join(d, "final"))
+    jobs.files_job(spark, os.path.join(d, "merges"), os.path.join(d, "status"), os.path.join(d, "wt"),
+                   os.path.join(d, "final"), os.path.join(d, "files"), os.path.join(d, "index"))
+    f = sorted((r.file_no, r.path, r.merged_text is None) for r in spark.read.parquet(os.path.join(d, "files")).collect())
+    assert f == [(0, "lib/Z.java", True), (1, "src/A.java", False)]
+    idx = sorted(r.conflict_id for r in spark.read.parquet(os.path.join(d, "index")).collect())
+    assert idx == ["0-0", "0-1"]
