@@ -113,3 +113,11 @@ def test_history_and_files_jobs(spark):
     assert f == [(0, "lib/Z.java", True), (1, "src/A.java", False)]
     idx = sorted(r.conflict_id for r in spark.read.parquet(os.path.join(d, "index")).collect())
     assert idx == ["0-0", "0-1"]
+
+
+def test_conflict_index_csv(spark):
+    from conflictlake.operators.files import conflict_index_csv
+    long = spark.createDataFrame([(3, "o/a", 1, "3-1"), (3, "o/a", 0, "3-0"), (5, "o/b", 0, "5-0")],
+                                 "merge_idx long, repository string, file_no int, conflict_id string")
+    got = {r.merge_idx: r.conflicts for r in conflict_index_csv(long).collect()}
+    assert got == {3: "3-0;3-1", 5: "5-0"}

@@ -94,3 +94,18 @@ def test_tokenizer_udf_count(spark, tmp_path):
     question = M.QUERY_PROMPT + "```java\n" + BLOCK.rstrip("\n") + "\n```"
     expected = len(tok.encode(question).ids)
     assert got.num_tokens_query == expected
+
+
+def test_summary_reports(spark):
+    m = _metrics_rows(spark)
+    p = M.fail_percentages(m).first()
+    assert (p.n, p.pct_fail_max_lines, p.pct_fail_token_count) == (4, 25.0, 0.0)
+    assert M.fail_percentages(m.limit(0)).count() == 0
+    idx = spark.createDataFrame([(1, "o/a"), (2, "o/b")], "merge_idx long, repository string")
+    tot = S.summary_totals(S.repository_summary(m, idx)).first()
+    assert (tot.total_repositories, tot.contributing_repositories, tot.total_selected) == (2, 2, 2)
+    counts = {r.repository: r.conflicts for r in S.per_repository_counts(S.with_repository(m, idx)).collect()}
+    assert counts == {"o/a": 2, "o/b": 1, None: 1}
+    assert [r.merge_id for r in S.first_merge_ids(m, 2).collect()] == ["1", "2"]
+    order = [r.repository for r in S.order_summary(S.repository_summary(m, idx)).collect()]
+    assert order == ["o/a", "o/b"]
