@@ -121,3 +121,14 @@ def test_conflict_index_csv(spark):
                                  "merge_idx long, repository string, file_no int, conflict_id string")
     got = {r.merge_idx: r.conflicts for r in conflict_index_csv(long).collect()}
     assert got == {3: "3-0;3-1", 5: "5-0"}
+
+
+def test_cli_build(spark):
+    from conflictlake.__main__ import main
+    d = tempfile.mkdtemp(prefix="cl-cli-")
+    rows = [(i, 0, text("p q H x M y E r s"), text("p q x r s")) for i in range(6)]
+    spark.createDataFrame(rows, "merge_idx long, file_no int, conflict_text string, merged_text string") \
+        .write.parquet(os.path.join(d, "files"))
+    main(["--test-size", "0.5", "build", "--files", os.path.join(d, "files"), "--work", os.path.join(d, "w")])
+    ds = spark.read.parquet(os.path.join(d, "w", "dataset"))
+    assert {r.split: r["count"] for r in ds.groupBy("split").count().collect()} == {"train": 3, "test": 3}
