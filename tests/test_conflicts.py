@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 
 from conflictlake.operators.conflicts import extract_blocks
 from golden import text

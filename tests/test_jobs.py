@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conflictlake.functions import text as T
 from conflictlake.operators import history as H
 from conflictlake.operators import responses as RS
-from conflictlake.operators.conflicts import extract_blocks, status_counts
+from conflictlake.operators.conflicts import status_counts
 from conflictlake.plans import jobs
 from conflictlake.sources import io
 from conflictlake.streaming.incremental import append_responses
