@@ -2,7 +2,6 @@
 
 import random
 
-
 from conflictlake.operators.conflicts import extract_blocks
 from golden import text
 from model import blocks as model_blocks
