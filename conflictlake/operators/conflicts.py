@@ -129,7 +129,9 @@ def _file_rows(files: DataFrame, conflict_col: str, merged_col: str, context: in
         "after5": "slice(cl, b.e + 2, b.c1 - b.e - 1)",
         "conflict": "array_join(slice(cl, b.c0 + 1, b.c1 - b.c0), '')",
     })
-    return _barrier(df.select(*keep, "ml", "nm", F.expr(ctx).alias("blk"))), keep
+    # the merged text joined once per file (for the containment check)
+    return _barrier(df.select(*keep, "ml", "nm", F.expr("array_join(ml, '')").alias("mtext"),
+                              F.expr(ctx).alias("blk"))), keep
 
 
 CTX_FIELDS = ["block_no", "s", "e", "before", "after", "before5", "after5", "conflict"]
@@ -176,12 +178,12 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
         files = files.withColumn(merged_col, F.regexp_replace(F.col(merged_col), r"\n\z", ""))
     df, keep = _file_rows(files, conflict_col, merged_col, context, match_context)
     f1 = ["block_no", "s", "e", "before", "after", "before5", "after5", "conflict"]
-    df = _barrier(df.select(*keep, "ml", "nm", F.expr(_extend("blk", f1, {
+    df = _barrier(df.select(*keep, "ml", "nm", "mtext", F.expr(_extend("blk", f1, {
         "nb": "size(b.before)", "na": "size(b.after)",
         "pos_b": _match("b.before", "size(b.before)"), "pos_a": _match("b.after", "size(b.after)"),
     })).alias("blk")))
     f2 = f1 + ["nb", "na", "pos_b", "pos_a"]
-    df = (df.select(*keep, "ml", "nm", F.expr(_extend("blk", f2, {
+    df = (df.select(*keep, "ml", "nm", "mtext", F.expr(_extend("blk", f2, {
         "cnt_b": "IF(b.nb = 0, nm, size(b.pos_b))", "cnt_a": "IF(b.na = 0, nm, size(b.pos_a))",
         "first_b": "IF(b.nb = 0, 0, get(b.pos_b, 0))", "first_a": "IF(b.na = 0, 0, get(b.pos_a, 0))",
     })).alias("blk")))
@@ -190,7 +192,7 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
     a_ge = ("IF(b.na = 0, IF({x} <= nm - 1, {x}, NULL), array_min(filter(b.pos_a, p -> p >= {x})))")
     b_le = ("IF(b.nb = 0, IF({y} >= 0 AND nm > 0, least({y}, nm - 1), NULL), "
             "array_max(filter(b.pos_b, p -> p <= {y})))")
-    df = (df.select(*keep, "ml", "nm", F.expr(_extend("blk", f3, {
+    df = (df.select(*keep, "ml", "nm", "mtext", F.expr(_extend("blk", f3, {
         "i1": f"CASE WHEN b.cnt_b = 1 THEN b.first_b WHEN b.cnt_a = 1 THEN {b_le.format(y='b.first_a - b.nb')} END",
         "i2": f"CASE WHEN b.cnt_b = 1 THEN {a_ge.format(x='b.first_b + b.nb')} WHEN b.cnt_a = 1 THEN b.first_a END",
     })).alias("blk")))
@@ -200,9 +202,9 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
               "WHEN b.cnt_b > 1 AND b.cnt_a > 1 THEN 'ambiguous' "
               "WHEN b.cnt_b = 1 THEN IF(b.i2 IS NULL, 'no_valid_after', 'ok') "
               "ELSE IF(b.i1 IS NULL, 'no_valid_before', 'ok') END")
-    df = df.select(*keep, "ml", F.expr(_extend("blk", f4, {"status": status})).alias("blk"))
+    df = df.select(*keep, "ml", "mtext", F.expr(_extend("blk", f4, {"status": status})).alias("blk"))
     f5 = f4 + ["status"]
-    df = (df.select(*keep, "ml", F.expr(_extend("blk", f5, {
+    df = (df.select(*keep, "ml", "mtext", F.expr(_extend("blk", f5, {
         "res": "CASE WHEN b.status = 'ok' THEN slice(ml, b.i1 + b.nb + 1, b.i2 - b.i1 - b.nb) END",
     })).alias("blk")))
     cb = "least(size(b.before5), b.nb)"
@@ -215,7 +217,7 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
         "coherent": (f"CASE WHEN b.status = 'ok' THEN ({cb} = 0 OR slice(b.before5, size(b.before5) - {cb} + 1, {cb})"
                      f" = slice(ml, b.i1 + b.nb - {cb} + 1, {cb})) AND ({ca} = 0 OR slice(b.after5, 1, {ca})"
                      f" = slice(ml, b.i2 + 1, {ca})) END"),
-        "contained": "CASE WHEN b.status = 'ok' THEN contains(array_join(ml, ''), array_join(b.res, '')) END",
+        "contained": "CASE WHEN b.status = 'ok' THEN contains(mtext, array_join(b.res, '')) END",
     })
     rows = df.select(*keep, F.inline(F.expr(out)))
     rows = rows.withColumnRenamed("s", "start_line").withColumnRenamed("e", "end_line")
