@@ -50,20 +50,30 @@ def _positions(arr: str, *prefixes: str) -> str:
     return f"array_compact(transform({arr}, (x, i) -> IF({cond}, i, NULL)))"
 
 
-def block_spans_expr(lines: str = "cl") -> str:
-    """X3 as a SQL expression: array<struct<s:int,e:int>> of (start, end)
-    line indices, markers included.
+def marker_columns(lines: str = "cl") -> dict:
+    """Positions of the marker lines, as expressions to materialise once per
+    file (behind a barrier) before the per-block steps use them."""
+    return {
+        "opens": _positions(lines, MARK_OPEN),
+        "seps": _positions(lines, MARK_SEP),
+        "closes": _positions(lines, MARK_CLOSE),
+        "marks": _positions(lines, MARK_OPEN, MARK_SEP, MARK_CLOSE),
+    }
+
+
+def block_spans_expr(opens: str = "opens", seps: str = "seps", closes: str = "closes") -> str:
+    """X3 as a SQL expression over the marker position columns:
+    array<struct<s:int,e:int>> of (start, end) line indices, markers included.
 
     A block opens at a ``<<<<<<<`` line, takes the first ``=======`` after it
     and the first ``>>>>>>>`` after that; scanning resumes after the block, so
     an opening marker inside a block is ignored.  An unfinished block ends the
-    scan and keeps the blocks found before it.
+    scan and keeps the blocks found before it.  Each opening marker looks up
+    its separator and end once (one pass over the marker arrays, never over
+    the lines), then one fold picks the chain of blocks.
     """
-    opens = _positions(lines, MARK_OPEN)
-    seps = _positions(lines, MARK_SEP)
-    closes = _positions(lines, MARK_CLOSE)
-    cands = (f"transform({opens}, s -> named_struct('s', s, 'e', "
-             f"array_min(filter({closes}, j -> j > array_min(filter({seps}, k -> k > s))))))")
+    with_sep = f"transform({opens}, s -> named_struct('s', s, 'm', array_min(filter({seps}, k -> k > s))))"
+    cands = f"transform({with_sep}, c -> named_struct('s', c.s, 'e', array_min(filter({closes}, j -> j > c.m))))"
     return (
         f"aggregate({cands}, "
         "named_struct('nxt', 0, 'stop', false, 'b', CAST(array() AS array<struct<s:int,e:int>>)), "
@@ -84,7 +94,8 @@ def split_files(files: DataFrame, conflict_col: str = "conflict_text",
         split_lines_keepends(F.col(conflict_col)).alias("cl"),
         split_lines_keepends(F.col(merged_col)).alias("ml"),
     ))
-    df = df.select(*keep, "cl", "ml", F.expr(block_spans_expr("cl")).alias("spans"))
+    df = _barrier(df.select(*keep, "cl", "ml", *[F.expr(v).alias(k) for k, v in marker_columns("cl").items()]))
+    df = df.select(*keep, "cl", "ml", F.expr(block_spans_expr()).alias("spans"))
     df = df.select(*keep, "cl", "ml", F.posexplode("spans").alias("pos", "span"))
     return df.select(
         *keep, "cl", "ml",
@@ -114,8 +125,8 @@ def _file_rows(files: DataFrame, conflict_col: str, merged_col: str, context: in
     ))
     df = _barrier(df.select(
         *keep, "cl", "ml", F.expr("size(cl)").alias("n"), F.expr("size(ml)").alias("nm"),
-        F.expr(block_spans_expr("cl")).alias("spans"),
-        F.expr(_positions("cl", MARK_OPEN, MARK_SEP, MARK_CLOSE)).alias("marks")))
+        *[F.expr(v).alias(k) for k, v in marker_columns("cl").items()]))
+    df = _barrier(df.select(*keep, "cl", "ml", "n", "nm", "marks", F.expr(block_spans_expr()).alias("spans")))
     spans = (
         "transform(spans, (x, i) -> named_struct('block_no', i + 1, 's', x.s, 'e', x.e, "
         f"'b0', greatest(x.s - {match_context}, coalesce(array_max(filter(marks, j -> j < x.s)) + 1, 0)), "

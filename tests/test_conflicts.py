@@ -114,3 +114,19 @@ def test_strip_final_newline_option(spark):
                                "merge_idx long, file_no int, conflict_text string, merged_text string")
     assert extract_blocks(df).first().status == "ok"
     assert extract_blocks(df, strip_final_newline=True).first().status == "after_not_found"
+
+
+def test_file_with_many_blocks(spark):
+    """Marker positions are computed once per file: 300 blocks in one file
+    resolve in seconds (nesting them inside the per-block lambdas made this
+    cubic)."""
+    import time
+    k = 300
+    conflict = "".join(f"c{i}a\nc{i}b\n<<<<<<< L\nx{i}\n=======\ny{i}\n>>>>>>> R\n" for i in range(k)) + "end\n"
+    merged = "".join(f"c{i}a\nc{i}b\nx{i}\n" for i in range(k)) + "end\n"
+    df = spark.createDataFrame([(1, 0, conflict, merged)],
+                               "merge_idx long, file_no int, conflict_text string, merged_text string")
+    t0 = time.time()
+    rows = sorted(extract_blocks(df).collect(), key=lambda r: r.block_no)
+    assert time.time() - t0 < 60
+    assert [r.resolution for r in rows] == [f"x{i}\n" for i in range(k)]
