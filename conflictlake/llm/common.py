@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package sent to the executors once per application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "conflictlake"), "zip", root, "conflictlake")
+        sc.addPyFile(made)
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(fn, schema)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again.
 

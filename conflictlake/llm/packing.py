@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conflictlake.llm import bpe
-from conflictlake.llm.common import settled, temp_name
+from conflictlake.llm.common import map_arrow, settled, temp_name
 
 END_ID = 2
 CELL_ROWS = 8192
@@ -77,7 +77,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
             take = pa.array(src)
             yield pa.RecordBatch.from_arrays(arrays + [b.column(2 + j).take(take) for j in range(len(keep))], names=names + keep)
 
-    return source.mapInArrow(cut, schema + extra)
+    return map_arrow(source, cut, schema + extra)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: float,
@@ -189,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int | None = None, m
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in names], pa.array(seq), pa.array(offset)],
                                              names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, schema + ", sequence_id long, offset long")
+    return map_arrow(ranked, assign, schema + ", sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conflictlake.llm import packing
+from conflictlake.llm import packing, quality
 from conflictlake.llm.common import table
 
 
@@ -15,12 +15,19 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and n-gram perplexity verdict of every document."""
+    out = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", *quality.MEASURES, "base_failed", "kept", "lang_code", "model_words", "perplexity")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
 
 QUERIES = {
+    "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conflictlake.llm import packing
+from conflictlake.llm import packing, quality
 from conflictlake.llm.common import settled, table
 from conflictlake.llm.queries import tokenizer
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Base rules and perplexity bands; rejected documents go."""
+    return quality.filter_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of every document into 1024-token sequences."""
     return packing.pack(packing.token_pieces(docs, tokenizer()))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [("quality rules", quality_rules), ("best-fit packing", pack)]
 ORACLE_SQL = None
 
 
