@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conflictlake.llm import mixing, ngram_join, packing, quality
+from conflictlake.llm import mixing, ngram_join, packing, quality, topk, url_cascade
 from conflictlake.llm.common import table
 
 
@@ -20,6 +20,16 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every query vector with all other vectors."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url by the rules, through the Bloom cascade."""
+    return url_cascade.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1 by systematic sampling."""
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -38,9 +48,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_url_filters": op6_url_filters,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_exact_top_k": topk.SQL,
+    "op6_url_filters": url_cascade.SQL,
+}
