@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conflictlake.llm import mixing, ngram_join, packing, quality, topk, url_cascade
+from conflictlake.llm import chat, mixing, ngram_join, packing, quality, topk, url_cascade
 from conflictlake.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts imitate the template, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(turns.unionByName(own), tokenizer()))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1 by systematic sampling."""
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -50,6 +58,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_url_filters": op6_url_filters,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
