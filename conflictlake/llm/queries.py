@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conflictlake.llm import chat, mixing, ngram_join, packing, quality, topk, url_cascade
+from conflictlake.llm import chat, mixing, ngram_join, packing, quality, sharding, topk, url_cascade
 from conflictlake.llm.common import table
 
 
@@ -15,6 +15,11 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards of at most 1 MiB of text."""
+    return sharding.shards(table(spark, sf_dir, "documents"), 1 << 20)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 85 % or more."""
     return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
@@ -55,6 +60,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_url_filters": op6_url_filters,
@@ -65,6 +71,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_sharding": sharding.SQL,
     "op5_exact_top_k": topk.SQL,
     "op6_url_filters": url_cascade.SQL,
 }
