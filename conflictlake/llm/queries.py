@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conflictlake.llm import chat, mixing, ngram_join, packing, quality, sharding, topk, url_cascade
+from conflictlake.llm import chat, mixing, ngram_join, packing, quality, sharding, token_counts, topk, url_cascade
 from conflictlake.llm.common import table
 
 
@@ -15,6 +15,11 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards of at most 1 MiB of text."""
     return sharding.shards(table(spark, sf_dir, "documents"), 1 << 20)
@@ -60,6 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_exact_top_k": op5_exact_top_k,
