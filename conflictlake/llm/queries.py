@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conflictlake.llm import chat, mixing, ngram_join, packing, quality, sharding, token_counts, topk, url_cascade
+from conflictlake.llm import chat, mixing, ngram_join, packing, quality, sharding, token_counts, topk, url_cascade, wrappers
 from conflictlake.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 1 << 20)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's wrapper."""
+    return wrappers.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 85 % or more."""
     return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
@@ -67,6 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_url_filters": op6_url_filters,
