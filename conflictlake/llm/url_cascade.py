@@ -160,10 +160,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str =
 
 
 SQL = r"""
-WITH u AS (SELECT page_id, coalesce(nullif(position('://' IN url), 0), 0) AS at, url FROM pages),
-p AS (SELECT page_id, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM u),
+WITH u AS (SELECT page_id, coalesce(position('://' IN url), 0) AS p, url FROM pages),
+q AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest FROM u),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM q),
 r(verdict, rule, name, start) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
       ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN r
