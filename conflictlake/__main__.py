@@ -1,6 +1,7 @@
 """Command line for the table jobs.
 
-    python -m conflictlake history  --refs R --commits C --out MERGES [--existing M] [--max-num-merges 100]
+    python -m conflictlake select   --dump CSV --out CATALOGUE [--slice OUT --start 0 --end 1000]
+    python -m conflictlake history  --refs R --commits C --out MERGES [--existing M] [--stored-refs R] [--max-num-merges 100]
     python -m conflictlake files    --merges M --status S --worktree W --final F --out FILES --index INDEX
     python -m conflictlake extract  --files FILES --out BLOCKS
     python -m conflictlake metrics  --blocks BLOCKS --out METRICS --selected SEL --summary SUM [--index INDEX]
@@ -18,6 +19,8 @@ from __future__ import annotations
 import argparse
 import os
 
+from conflictlake.operators import conflicts as X
+from conflictlake.operators import metrics as M
 from conflictlake.plans import jobs
 from conflictlake.session import get_spark
 
@@ -25,6 +28,8 @@ from conflictlake.session import get_spark
 def _opts(a) -> jobs.BuildOptions:
     return jobs.BuildOptions(language=a.language, test_size=a.test_size, seed=a.seed,
                              max_line_count=a.max_line_count, drop_trivial=a.drop_trivial,
+                             max_prompt_length=a.max_prompt_length, context=a.context, prompt=a.prompt,
+                             strip_final_newline=a.strip_final_newline,
                              dedupe=a.dedupe, max_num_merges=a.max_num_merges, max_branches=a.max_branches)
 
 
@@ -34,6 +39,10 @@ def main(argv=None) -> None:
     p.add_argument("--test-size", type=float, default=0.2)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--max-line-count", type=int, default=20)
+    p.add_argument("--max-prompt-length", type=int, default=M.MAX_PROMPT_LENGTH)
+    p.add_argument("--context", type=int, default=X.SNIPPET_CONTEXT)
+    p.add_argument("--prompt", default=M.QUERY_PROMPT)
+    p.add_argument("--strip-final-newline", action="store_true")
     p.add_argument("--max-num-merges", type=int, default=100)
     p.add_argument("--max-branches", type=int, default=jobs.DEFAULT_MAX_BRANCHES)
     p.add_argument("--drop-trivial", action="store_true")
@@ -44,6 +53,13 @@ def main(argv=None) -> None:
     h.add_argument("--commits", required=True)
     h.add_argument("--out", required=True)
     h.add_argument("--existing")
+    h.add_argument("--stored-refs")
+    c = sub.add_parser("select")
+    c.add_argument("--dump", required=True)
+    c.add_argument("--out", required=True)
+    c.add_argument("--slice")
+    c.add_argument("--start", type=int, default=0)
+    c.add_argument("--end", type=int, default=1000)
     f = sub.add_parser("files")
     for k in ("merges", "status", "worktree", "final", "out", "index"):
         f.add_argument(f"--{k}", required=True)
@@ -66,8 +82,10 @@ def main(argv=None) -> None:
     a = p.parse_args(argv)
     spark = get_spark()
     o = _opts(a)
-    if a.cmd == "history":
-        jobs.history_job(spark, a.refs, a.commits, a.out, a.existing, o)
+    if a.cmd == "select":
+        jobs.selection_job(spark, a.dump, a.out, a.slice, a.language.capitalize(), a.start, a.end)
+    elif a.cmd == "history":
+        jobs.history_job(spark, a.refs, a.commits, a.out, a.existing, o, a.stored_refs)
     elif a.cmd == "files":
         jobs.files_job(spark, a.merges, a.status, a.worktree, a.final, a.out, a.index, o)
     elif a.cmd == "extract":

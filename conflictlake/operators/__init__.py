@@ -16,20 +16,15 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy row-local work at least one partition per core.
+SPREAD = "spark.conflictlake.spread"
 
-    A small text table may be a single Parquet row group (one task); the
-    per-row array work then runs on one core.  Only when the input has fewer
-    partitions than ``min_partitions`` (default: the default parallelism) are
-    the rows redistributed round-robin; a large input already has many more
-    splits than cores and is left as it is, with no shuffle.
 
-    Call it on a scan: asking a plan with an exchange for its partition count
-    makes adaptive execution run the upstream shuffle stages.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session setting ``spark.conflictlake.spread`` says.
+
+    For row-local work on tables whose files have fewer splits than the cluster
+    has cores (a single Parquet row group is one task).  Unset, the scan stays as
+    it is and nothing is shuffled; the plan never depends on the data.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    n = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(n) if n else df

@@ -54,32 +54,28 @@ def marker_columns(lines: str = "cl") -> dict:
     """Positions of the marker lines, as expressions to materialise once per
     file (behind a barrier) before the per-block steps use them."""
     return {
-        "opens": _positions(lines, MARK_OPEN),
-        "seps": _positions(lines, MARK_SEP),
-        "closes": _positions(lines, MARK_CLOSE),
         "marks": _positions(lines, MARK_OPEN, MARK_SEP, MARK_CLOSE),
     }
 
 
-def block_spans_expr(opens: str = "opens", seps: str = "seps", closes: str = "closes") -> str:
-    """X3 as a SQL expression over the marker position columns:
-    array<struct<s:int,e:int>> of (start, end) line indices, markers included.
+def block_spans_expr(lines: str = "cl", marks: str = "marks") -> str:
+    """X3 as a SQL expression over the marker positions: array<struct<s:int,e:int>>
+    of (start, end) line indices, markers included.
 
     A block opens at a ``<<<<<<<`` line, takes the first ``=======`` after it
     and the first ``>>>>>>>`` after that; scanning resumes after the block, so
     an opening marker inside a block is ignored.  An unfinished block ends the
-    scan and keeps the blocks found before it.  Each opening marker looks up
-    its separator and end once (one pass over the marker arrays, never over
-    the lines), then one fold picks the chain of blocks.
+    scan and keeps the blocks found before it.  One fold over the markers in
+    file order: looking for an opening, a separator, an end.
     """
-    with_sep = f"transform({opens}, s -> named_struct('s', s, 'm', array_min(filter({seps}, k -> k > s))))"
-    cands = f"transform({with_sep}, c -> named_struct('s', c.s, 'e', array_min(filter({closes}, j -> j > c.m))))"
+    kinds = f"transform({marks}, j -> named_struct('i', j, 'k', substring({lines}[j], 1, 1)))"
+    state = "named_struct('want', {want}, 's', {s}, 'b', {b})"
     return (
-        f"aggregate({cands}, "
-        "named_struct('nxt', 0, 'stop', false, 'b', CAST(array() AS array<struct<s:int,e:int>>)), "
-        "(acc, c) -> CASE WHEN acc.stop OR c.s < acc.nxt THEN acc "
-        "WHEN c.e IS NULL THEN named_struct('nxt', acc.nxt, 'stop', true, 'b', acc.b) "
-        "ELSE named_struct('nxt', c.e + 1, 'stop', false, 'b', concat(acc.b, array(c))) END, "
+        f"aggregate({kinds}, {state.format(want=chr(39) + '<' + chr(39), s=0, b='CAST(array() AS array<struct<s:int,e:int>>)')}, "
+        "(acc, c) -> CASE WHEN c.k <> acc.want THEN acc "
+        f"WHEN c.k = '<' THEN {state.format(want=chr(39) + '=' + chr(39), s='c.i', b='acc.b')} "
+        f"WHEN c.k = '=' THEN {state.format(want=chr(39) + '>' + chr(39), s='acc.s', b='acc.b')} "
+        f"ELSE {state.format(want=chr(39) + '<' + chr(39), s='acc.s', b='concat(acc.b, array(named_struct(' + chr(39) + 's' + chr(39) + ', acc.s, ' + chr(39) + 'e' + chr(39) + ', c.i)))')} END, "
         "acc -> acc.b)"
     )
 
@@ -129,8 +125,8 @@ def _file_rows(files: DataFrame, conflict_col: str, merged_col: str, context: in
     df = _barrier(df.select(*keep, "cl", "ml", "n", "nm", "marks", F.expr(block_spans_expr()).alias("spans")))
     spans = (
         "transform(spans, (x, i) -> named_struct('block_no', i + 1, 's', x.s, 'e', x.e, "
-        f"'b0', greatest(x.s - {match_context}, coalesce(array_max(filter(marks, j -> j < x.s)) + 1, 0)), "
-        f"'a1', least(x.e + 1 + {match_context}, coalesce(array_min(filter(marks, j -> j > x.e)), n)), "
+        f"'b0', greatest(x.s - {match_context}, coalesce(get(marks, CAST(array_position(marks, x.s) AS int) - 2) + 1, 0)), "
+        f"'a1', least(x.e + 1 + {match_context}, coalesce(get(marks, CAST(array_position(marks, x.e) AS int)), n)), "
         f"'c0', greatest(x.s - {context}, 0), 'c1', least(n, x.e + 1 + {context})))")
     df = _barrier(df.select(*keep, "cl", "ml", "nm", F.expr(spans).alias("blk")))
     ctx = _extend("blk", ["block_no", "s", "e"], {
@@ -160,9 +156,15 @@ def block_contexts(files: DataFrame, conflict_col: str = "conflict_text", merged
 def _match(ctx: str, m: str) -> str:
     """X6 for a non-empty context: every start index of ``ctx`` in ``ml``
     (overlaps included); null for an empty context, whose matches are all
-    indexes 0..nm-1 and are handled arithmetically (never materialised)."""
+    indexes 0..nm-1 and are handled arithmetically (never materialised).
+
+    The first line of a context mostly occurs once, or not at all; then the built-in
+    search over the array finds the only place to look at."""
+    fits = f"slice(ml, i + 1, {m}) = {ctx}"
     return (f"CASE WHEN {m} = 0 THEN NULL WHEN nm - {m} < 0 THEN CAST(array() AS array<int>) "
-            f"ELSE filter(sequence(0, nm - {m}), i -> ml[i] = {ctx}[0] AND slice(ml, i + 1, {m}) = {ctx}) END")
+            f"ELSE CASE nm - size(array_remove(ml, {ctx}[0])) WHEN 0 THEN CAST(array() AS array<int>) "
+            f"WHEN 1 THEN filter(array(CAST(array_position(ml, {ctx}[0]) AS int) - 1), i -> i <= nm - {m} AND {fits}) "
+            f"ELSE filter(sequence(0, nm - {m}), i -> ml[i] = {ctx}[0] AND {fits}) END END")
 
 
 def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),

@@ -36,24 +36,33 @@ def assign_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int
     """Deterministic split with exact sizes.
 
     test_size 0 -> all train, 1 -> all test; otherwise rows are ordered by
-    md5("<seed>:<id>") (id as tie-break), indexed densely in parallel (K3) and
-    the first ceil(test_size * n) rows are the test split.  The assignment
-    depends only on the ids, not on partitioning.
+    md5("<seed>:<id>") (id as tie-break) and the first ceil(test_size * n) are
+    the test split.  Only the keys are indexed (K3, in parallel); each row then
+    compares its key with the one at the bound, so no text is moved.  Ids must be
+    unique.  The assignment depends only on the ids, not on partitioning.
     """
     if not test_size:
         return df.withColumn("split", F.lit("train"))
     if test_size == 1:
         return df.withColumn("split", F.lit("test"))
-    indexed = dense_index(df, [split_key(id_col, seed), F.col(id_col)], "_idx", total_col="_n")
+    keys = df.select(split_key(id_col, seed).alias("_key"), F.col(id_col).alias("_id"))
+    indexed = dense_index(keys, ["_key", "_id"], "_idx", total_col="_n")
     n_test = F.ceil(F.lit(float(test_size)) * F.col("_n").cast("double"))
-    return (indexed.withColumn("split", F.when(F.col("_idx") < n_test, "test").otherwise("train"))
-            .drop("_idx", "_n"))
+    last = indexed.where(F.col("_idx") == n_test - 1).select("_key", "_id").first()  # one row: the bound of the test split
+    if last is None:
+        return df.withColumn("split", F.lit("train"))
+    key, bound = split_key(id_col, seed), F.lit(last["_key"])
+    test = (key < bound) | ((key == bound) & (F.col(id_col) <= F.lit(last["_id"])))
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
 def build_dataset(pairs: DataFrame, test_size: float = DEFAULT_TEST_SIZE,
-                  seed: int = DEFAULT_SEED, language: str = "java") -> DataFrame:
-    """T12 rows (conflict_id, question, answer, prompt, split)."""
-    return assign_split(question_answer(pairs, language), test_size, seed)
+                  seed: int = DEFAULT_SEED, language: str = "java", prompt: str = QUERY_PROMPT,
+                  dedupe: bool = False) -> DataFrame:
+    """T12 rows (conflict_id, question, answer, prompt, split); with
+    ``dedupe`` exact duplicates go before the split (D6), so its sizes are exact."""
+    rows = question_answer(pairs, language, prompt)
+    return assign_split(dedupe_exact(rows) if dedupe else rows, test_size, seed)
 
 
 def split_sizes(dataset: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ Input ``merge_status`` (T6): merge_idx, xy (two-letter status), path.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ def conflicted_files(status: DataFrame, language: str = "java") -> DataFrame:
     exts = file_extensions(language)
     path = py_strip("path")
     f = status.where(F.col("xy") == BOTH_MODIFIED).withColumn("path", path)
-    f = f.where(F.exists(F.array(*[F.lit(e) for e in exts]), lambda e: F.col("path").endswith(e)))
+    f = f.where(reduce(or_, [F.col("path").endswith(e) for e in exts]))
     f = f.withColumn("_parts", F.split("path", "/"))
     f = rank_within(f, ["merge_idx"], ["_parts", "path"], "file_no").drop("_parts")
     return f.withColumn("file_no", F.col("file_no").cast("int")).withColumn(
@@ -58,8 +61,8 @@ def pair_texts(files: DataFrame, worktree: DataFrame, final: DataFrame) -> DataF
 
 
 def conflict_index(merges: DataFrame, files: DataFrame) -> DataFrame:
-    """C3 + F9, long form: one row per (merge, conflict id); merges without a
-    conflicted file are dropped, so ``merge_idx`` (numbered before) has gaps."""
+    """C3 + F9, long form: one row per (merge, conflict id) of the files that were
+    found (the result of ``pair_texts``); merges without one are dropped, so ``merge_idx`` (numbered before) has gaps."""
     return merges.join(files.select("merge_idx", "file_no", "conflict_id"), "merge_idx")
 
 

@@ -1,160 +1,130 @@
-"""Label propagation over a directed graph held as an edge table.
-
-Used for the commit graph: which ref reaches a commit first, and the oldest
-ancestor of each commit.  The graph of one repository can be far larger than
-a task, so nothing is grouped per repository; each round is a join of the
-changed labels with the edges and a min/max aggregate per node (partial
-aggregation, so a hub node is combined map-side).  Only nodes whose label
-changed travel to the next round (semi-naive evaluation).
-
-Each round's result is checkpointed to the shared checkpoint folder, so the
-lineage never grows beyond one round and a lost executor only recomputes
-that round.
+"""Fixed points over a directed acyclic graph held as an edge table.
+
+Used for the commit graph: which ref reaches a commit first, the oldest ancestor
+of a commit, whether one commit is an ancestor of another.  The graph of one
+repository can be far larger than a task, so nothing is grouped per repository.
+
+1. ``contract`` takes out the nodes on plain stretches - one edge in, one out, not
+   asked for - by pointer doubling (log2 of the longest stretch rounds).  A value
+   that flows along a stretch is the same at all its nodes.
+2. ``fixpoint`` then works on the small graph.  Each round joins only the values
+   that changed with the edges, aggregates per node (a partial aggregate, so a hub
+   is combined map-side) and writes only what changed again.
+
+Every round is stored in the shared folder; parts are merged every few rounds and
+what they replace is deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
+from functools import reduce
 
-from conflictlake.session import ensure_checkpoint_dir
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-class RoundKeeper:
-    """Materialises iteration state: every round's result is checkpointed to
-    the shared folder (eagerly), which cuts the lineage to one round and makes
-    each round restartable after an executor loss.  (Measured against
-    persisting rounds in memory and checkpointing every few rounds, this was
-    also the faster choice: cached rounds made each following join re-plan
-    over in-memory relations and ran about 3x slower.)"""
+from conflictlake.operators.stored import Stored
 
-    def __init__(self):
-        self.rounds = 0
+KEY = "repository"
+MERGE_EVERY = 8  # parts of a fixed point that are read together before they are merged into one
 
-    def persist(self, df: DataFrame) -> DataFrame:
-        return df.checkpoint(eager=True)
 
-    def cut(self, *live: DataFrame, force: bool = False) -> tuple:
-        self.rounds += 1
-        return live
+def contract(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges of the contracted graph, (repository, node, head) of the nodes taken out).
 
-    def close(self) -> None:
-        pass
+    ``edges``: (repository, u, v), values flow from u to v; ``keep``:
+    (repository, node).  ``head`` is the node at which the stretch begins: its
+    value is the value of all nodes of the stretch.
+    """
+    e = Stored(edges.select(KEY, "u", "v").distinct(), "edges").df
+    single_in = e.groupBy(KEY, F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("head")).where("n = 1").drop("n")
+    single_out = e.groupBy(KEY, F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    inner = Stored(single_in.join(single_out, [KEY, "node"], "left_semi").join(keep.select(KEY, "node"), [KEY, "node"], "left_anti"), "stretch")
+    while True:  # head of the head, until no head is itself taken out
+        up = inner.df.select(KEY, F.col("node").alias("head"), F.col("head").alias("_up"))
+        jumped = Stored(inner.df.join(up, [KEY, "head"], "left").select(
+            KEY, "node", F.coalesce("_up", "head").alias("head"), F.col("_up").isNotNull().alias("_moved")), "stretch")
+        inner.delete()
+        inner = jumped
+        if inner.df.where("_moved").isEmpty():
+            break
+    heads = inner.df.select(KEY, "node", "head")
+    outside = e.join(heads.select(KEY, F.col("node").alias("v")), [KEY, "v"], "left_anti")
+    small = (outside.join(heads.withColumnRenamed("node", "u"), [KEY, "u"], "left")
+             .select(KEY, F.coalesce("head", "u").alias("u"), "v").distinct())
+    return Stored(small, "contracted").df, heads
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, key: str = "repository",
-              src: str = "src", dst: str = "dst", node: str = "node", label: str = "label",
-              combine: str = "min", max_rounds: int | None = None,
-              give_up_after: int | None = None) -> DataFrame | None:
-    """Fixed point of ``label(v) = combine(seed(v), label(u) for u -> v)``.
+def fixpoint(seeds: DataFrame, keys: list[str], step: Callable[[DataFrame], DataFrame], merge: Callable[[str], Column],
+             gain: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+    """Values (keys, val) that no round of ``step`` improves any more.
 
-    ``edges``: (key, src, dst); ``seeds``: (key, node, label) with an
-    orderable label (a struct compares field by field).  Returns (key, node,
-    label) for every node reachable from a seed.  Runs until no label changes
-    (the number of rounds is the longest chain of improvements);
-    ``max_rounds`` is only a safety stop and raises when hit;
-    ``give_up_after`` returns None instead after that many rounds, for a
-    caller that then switches to pointer jumping.
+    ``step`` turns the rows that changed into candidates (keys, val); ``merge``
+    aggregates values of a key; ``gain(new, old)`` gives the value to keep of a
+    candidate and whether it changes anything (``old`` is null for a new key).
     """
-    ensure_checkpoint_dir(seeds.sparkSession)
-    agg = F.min if combine == "min" else F.max
-    better = (lambda new, old: new < old) if combine == "min" else (lambda new, old: new > old)
-    e = edges.select(F.col(key), F.col(src).alias("_u"), F.col(dst).alias("_v"))
-    keeper = RoundKeeper()
-    # state: every labelled node, with _chg marking the labels set this round
-    state = keeper.persist(seeds.select(F.col(key), F.col(node).alias("_v"), F.col(label).alias("_l"))
-                           .groupBy(key, "_v").agg(agg("_l").alias("_l")).withColumn("_chg", F.lit(True)))
-    while True:
-        if max_rounds is not None and keeper.rounds > max_rounds:
-            raise RuntimeError(f"label propagation did not converge in {max_rounds} rounds")
-        if give_up_after is not None and keeper.rounds >= give_up_after:
-            return None
-        cand = (state.where("_chg").withColumnRenamed("_v", "_u").join(e, [key, "_u"])
-                .groupBy(key, "_v").agg(agg("_l").alias("_n")))
-        wins = F.col("_n").isNotNull() & (F.col("_l").isNull() | better(F.col("_n"), F.col("_l")))
-        state = keeper.persist(
-            state.select(key, "_v", "_l").join(cand, [key, "_v"], "full_outer")
-            .select(key, "_v", F.when(wins, F.col("_n")).otherwise(F.col("_l")).alias("_l"), wins.alias("_chg")))
-        keeper.cut(state)
-        if state.where("_chg").isEmpty():
-            break
-    best = state
-    return best.select(F.col(key), F.col("_v").alias(node), F.col("_l").alias(label))
-
-
-# --- pointer jumping on a forest -------------------------------------------------
-# A forest is given by one pointer per node (its parent in the forest; null at
-# a root).  Jump table k maps a node to its 2^k-th ancestor; log2(depth) tables
-# suffice, so aggregates along a chain of a million commits take about twenty
-# rounds instead of a million.
-
-def jump_tables(ptr: DataFrame, key: str = "repository", node: str = "node",
-                to: str = "ptr") -> list:
-    """[J_0, J_1, ...] with J_k = (key, node, ptr = 2^k-th ancestor), only for
-    nodes that have one; each table is checkpointed."""
-    ensure_checkpoint_dir(ptr.sparkSession)
-    j = (ptr.where(F.col(to).isNotNull())
-         .select(F.col(key), F.col(node).alias("_n"), F.col(to).alias("_p"))).checkpoint(eager=True)
-    tables = []
-    while not j.isEmpty():
-        tables.append(j)
-        nxt = (j.join(j.select(key, F.col("_n").alias("_p"), F.col("_p").alias("_pp")), [key, "_p"])
-               .select(key, "_n", F.col("_pp").alias("_p")))
-        j = nxt.checkpoint(eager=True)
-    return tables
-
-
-def _agg(combine):
-    return F.min if combine == "min" else F.max
-
-
-def subtree_combine(tables: list, vals: DataFrame, combine: str = "min", key: str = "repository") -> DataFrame:
-    """For every node: combine of the values of the node and of all nodes
-    below it in the forest (whose pointer chains pass through it).
-
-    ``vals`` is sparse (key, _n, _l); P_{k+1}(v) = P_k(v) (+) P_k(u) for every
-    u with J_k(u) = v.  The group by the target node is a partial aggregate,
-    so a node many chains run into is combined map-side."""
-    agg = _agg(combine)
-    p = vals
-    for j in tables:
-        moved = p.join(j, [key, "_n"]).select(key, F.col("_p").alias("_n"), "_l")
-        p = p.unionByName(moved).groupBy(key, "_n").agg(agg("_l").alias("_l")).checkpoint(eager=True)
-    return p
-
-
-def path_combine(tables: list, vals: DataFrame, combine: str = "max", key: str = "repository") -> DataFrame:
-    """For every node: combine of the values on its pointer chain up to the
-    root (itself included).  Q_{k+1}(v) = Q_k(v) (+) Q_k(J_k(v))."""
-    agg = _agg(combine)
-    q = vals
-    for j in tables:
-        pulled = j.join(q.withColumnRenamed("_n", "_p"), [key, "_p"]).select(key, "_n", "_l")
-        q = q.unionByName(pulled).groupBy(key, "_n").agg(agg("_l").alias("_l")).checkpoint(eager=True)
-    return q
-
-
-def forest_propagate(tables: list, extra_edges: DataFrame, seeds: DataFrame, *, direction: str,
-                     combine: str, key: str = "repository") -> DataFrame:
-    """Exact fixed point of label propagation over a forest plus extra edges.
-
-    ``direction="up"``: labels flow along the forest pointers (child to first
-    parent), a node's label combines its whole subtree; ``direction="down"``:
-    labels flow against them (from a node's whole pointer chain).
-    ``extra_edges`` (key, _u, _v): labels also flow from _u to _v.  The forest
-    part takes log2(depth) rounds; the outer loop repeats while an extra edge
-    still improves a label, i.e. as many times as extra edges are chained on
-    the best paths (plus one)."""
-    better = (lambda new, old: new < old) if combine == "min" else (lambda new, old: new > old)
-    agg = _agg(combine)
-    forest = subtree_combine if direction == "up" else path_combine
-    val = seeds.groupBy(key, "_n").agg(agg("_l").alias("_l")).checkpoint(eager=True)
+    parts = [Stored(seeds.groupBy(*keys).agg(merge("val").alias("val")), "values")]
+    changed = parts[0]
+
+    def every() -> DataFrame:
+        return reduce(DataFrame.unionByName, [p.df for p in parts])
+
     while True:
-        lab = forest(tables, val, combine, key)
-        cand = (extra_edges.join(lab.withColumnRenamed("_n", "_u"), [key, "_u"])
-                .groupBy(key, "_v").agg(agg("_l").alias("_c")).withColumnRenamed("_v", "_n"))
-        gain = (cand.join(lab.withColumnRenamed("_l", "_o"), [key, "_n"], "left")
-                .where(F.col("_o").isNull() | better(F.col("_c"), F.col("_o")))
-                .select(key, "_n", F.col("_c").alias("_l"))).checkpoint(eager=True)
-        if gain.isEmpty():
-            return lab
-        val = val.unionByName(gain).groupBy(key, "_n").agg(agg("_l").alias("_l")).checkpoint(eager=True)
+        cand = step(changed.df).groupBy(*keys).agg(merge("val").alias("val"))
+        old = every().withColumnRenamed("val", "_old")
+        met = cand.join(old, keys, "left").groupBy(*keys, "val").agg(merge("_old").alias("_old"))
+        value, better = gain(F.col("val"), F.col("_old"))
+        fresh = Stored(met.where(better).select(*keys, value.alias("val")), "values")
+        if fresh.df.isEmpty():
+            fresh.delete()
+            return every().groupBy(*keys).agg(merge("val").alias("val"))
+        if len(parts) >= MERGE_EVERY:
+            whole = Stored(every().groupBy(*keys).agg(merge("val").alias("val")), "values")
+            for p in parts:
+                p.delete()
+            parts = [whole]
+        parts.append(fresh)
+        changed = fresh
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, combine: str = "min") -> DataFrame:
+    """Fixed point of ``val(v) = combine(seed(v), val(u) for u -> v)`` as (repository, node, val)."""
+    merge = F.min if combine == "min" else F.max
+
+    def gain(new: Column, old: Column) -> tuple[Column, Column]:
+        return new, old.isNull() | ((new < old) if combine == "min" else (new > old))
+
+    def step(changed: DataFrame) -> DataFrame:
+        return changed.withColumnRenamed("node", "u").join(edges, [KEY, "u"]).select(KEY, F.col("v").alias("node"), "val")
+
+    return fixpoint(seeds.select(KEY, "node", "val"), [KEY, "node"], step, merge, gain)
+
+
+def flow(edges: DataFrame, seeds: DataFrame, combine: str = "min") -> DataFrame:
+    """``propagate`` over the contracted graph, with the values of the contracted nodes put back."""
+    small, heads = contract(edges, seeds.select(KEY, "node"))
+    got = Stored(propagate(small, seeds, combine), "flow").df
+    inside = heads.join(got.withColumnRenamed("node", "head"), [KEY, "head"]).select(KEY, "node", "val")
+    return got.unionByName(inside)
+
+
+def bits_within(edges: DataFrame, seeds: DataFrame, places: DataFrame, limits: DataFrame) -> DataFrame:
+    """Bit masks (repository, node, word, val) flowing along the edges, each bit only so far.
+
+    ``seeds``: (repository, node, word, val); ``places``: (repository, node,
+    place); ``limits``: (repository, word, places array): bit i of the word enters
+    a node only if the node's place is at most ``places[i]``.
+    """
+    keys = [KEY, "node", "word"]
+
+    def step(changed: DataFrame) -> DataFrame:
+        met = changed.withColumnRenamed("node", "u").join(edges, [KEY, "u"]).select(KEY, F.col("v").alias("node"), "word", "val")
+        met = met.groupBy(*keys).agg(F.bit_or("val").alias("val")).join(places, [KEY, "node"]).join(limits, [KEY, "word"])
+        allowed = F.expr("aggregate(transform(places, (x, i) -> IF(x >= place, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
+        return met.select(*keys, F.col("val").bitwiseAND(allowed).alias("val")).where("val <> 0")
+
+    def gain(new: Column, old: Column) -> tuple[Column, Column]:
+        fresh = new.bitwiseAND(F.bitwise_not(F.coalesce(old, F.lit(0).cast("long"))))
+        return fresh, fresh != 0
+
+    return fixpoint(seeds.select(*keys, "val"), keys, step, F.bit_or, gain)

@@ -17,12 +17,15 @@ task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conflictlake.operators.graph import RoundKeeper, forest_propagate, jump_tables, propagate
-from conflictlake.operators.rank import rank_within
-from conflictlake.session import ensure_checkpoint_dir
+from conflictlake.operators.graph import bits_within, contract, flow, propagate
+from conflictlake.operators.rank import dense_index, rank_within
+from conflictlake.operators.stored import Stored
 
 # --- fixed values -------------------------------------------------------------
 # A ref whose lower-cased path contains any of these is kept first when a
@@ -46,37 +49,12 @@ NOTE_TWO_ROOTS = "two initial commits"
 DEFAULT_MAX_MERGES = 100
 DEFAULT_MAX_BRANCHES = 1000
 # -----------------------------------------------------------------------------
-# "auto" runs plain rounds first and switches to pointer jumping when they
-# have not converged after this many rounds (a deep history); both are exact.
-AUTO_ROUNDS = 40
-
-
-class Jumps:
-    """First-parent jump tables of a commit table, built on first use and
-    shared by the operators of one job."""
-
-    def __init__(self, commits: DataFrame):
-        self.commits = commits
-        self._tables = None
-
-    def get(self) -> list:
-        if self._tables is None:
-            self._tables = first_parent_jumps(self.commits)
-        return self._tables
-
-
-def _jumps(commits: DataFrame, jumps) -> Jumps:
-    if isinstance(jumps, Jumps):
-        return jumps
-    holder = Jumps(commits)
-    if jumps is not None:
-        holder._tables = jumps
-    return holder
+WORD = 62  # merges per bit mask word
 
 
 def is_priority_ref(path) -> F.Column:
     p = F.lower(F.col(path) if isinstance(path, str) else path)
-    return F.exists(F.array(*[F.lit(x) for x in PRIORITY_REF_PATTERNS]), lambda s: p.contains(s))
+    return reduce(or_, [p.contains(x) for x in PRIORITY_REF_PATTERNS])
 
 
 def branch_refs(refs: DataFrame, max_branches: int = DEFAULT_MAX_BRANCHES) -> DataFrame:
@@ -110,40 +88,12 @@ def parent_edges(commits: DataFrame) -> DataFrame:
                           F.explode("parents").alias("parent"))
 
 
-def first_parent_jumps(commits: DataFrame) -> list:
-    """Jump tables of the first-parent forest (child -> first parent)."""
-    fp = commits.select("repository", F.col("sha").alias("node"), F.get(F.col("parents"), 0).alias("ptr"))
-    return jump_tables(fp)
-
-
-def other_parent_edges(commits: DataFrame) -> DataFrame:
-    """(repository, child, parent) for the second and further parents."""
-    return (commits.select("repository", F.col("sha").alias("child"), F.posexplode("parents").alias("i", "parent"))
-            .where(F.col("i") > 0).select("repository", "child", "parent"))
-
-
-def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame, method: str = "auto",
-                       jumps=None) -> DataFrame:
+def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame) -> DataFrame:
     """H4 / K7: for every commit reachable from a kept ref, the smallest
-    ``ref_rank`` that reaches it (the ref whose walk would claim it first).
-
-    ``method="jump"``: subtree minimum over the first-parent forest by
-    pointer jumping, alternated with the other-parent edges until stable;
-    ``method="rounds"``: plain label propagation, one round per edge;
-    ``"auto"`` (default) runs plain rounds and switches to jumping when they
-    have not converged after ``AUTO_ROUNDS`` rounds."""
-    seeds = refs_ranked.select("repository", F.col("head_sha").alias("_n"), F.col("ref_rank").alias("_l"))
-    if method != "jump":
-        e = parent_edges(commits).select("repository", F.col("child").alias("src"),
-                                         F.col("parent").alias("dst"))
-        out = propagate(e, seeds.select("repository", F.col("_n").alias("node"), F.col("_l").alias("label")),
-                        combine="min", give_up_after=AUTO_ROUNDS if method == "auto" else None)
-        if out is not None:
-            return out.select("repository", F.col("node").alias("sha"), F.col("label").alias("ref_rank"))
-    extra = other_parent_edges(commits).select("repository", F.col("child").alias("_u"),
-                                               F.col("parent").alias("_v"))
-    lab = forest_propagate(_jumps(commits, jumps).get(), extra, seeds, direction="up", combine="min")
-    return lab.select("repository", F.col("_n").alias("sha"), F.col("_l").alias("ref_rank"))
+    ``ref_rank`` that reaches it (the ref whose walk would claim it first)."""
+    edges = parent_edges(commits).select("repository", F.col("child").alias("u"), F.col("parent").alias("v"))
+    seeds = refs_ranked.select("repository", F.col("head_sha").alias("node"), F.col("ref_rank").alias("val"))
+    return flow(edges, seeds, "min").select("repository", F.col("node").alias("sha"), F.col("val").alias("ref_rank"))
 
 
 def merge_candidates(commits: DataFrame) -> DataFrame:
@@ -154,11 +104,11 @@ def merge_candidates(commits: DataFrame) -> DataFrame:
 
 
 def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFrame | None = None,
-                  max_num_merges: int = DEFAULT_MAX_MERGES, jumps=None) -> DataFrame:
+                  max_num_merges: int = DEFAULT_MAX_MERGES) -> DataFrame:
     """H3 / H5 without notes: merges in ref order, newest first inside a ref,
     at most ``max_num_merges`` per repository including the ``existing`` ones
     (J3: those are skipped and use up the cap)."""
-    first = first_reaching_ref(commits, refs_ranked, jumps=jumps)
+    first = first_reaching_ref(commits, refs_ranked)
     m = merge_candidates(commits).join(first, ["repository", "sha"])
     allowed = F.lit(max_num_merges)
     if existing is not None:
@@ -176,141 +126,101 @@ def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFram
                     "parent_1", "parent_2", "ref_rank", "commit_ord"))
 
 
-def oldest_ancestor(commits: DataFrame, method: str = "auto", jumps=None) -> DataFrame:
-    """The ancestor (self included) with the greatest ``commit_ord``: the last
-    commit a history walk from that commit would list.  ``method`` as in
-    ``first_reaching_ref`` (here the maximum flows down the first-parent
-    chains)."""
-    seeds = commits.select("repository", F.col("sha").alias("_n"), F.struct("commit_ord", "sha").alias("_l"))
-    if method != "jump":
-        e = parent_edges(commits).select("repository", F.col("parent").alias("src"),
-                                         F.col("child").alias("dst"))
-        out = propagate(e, seeds.select("repository", F.col("_n").alias("node"), F.col("_l").alias("label")),
-                        combine="max", give_up_after=AUTO_ROUNDS if method == "auto" else None)
-        if out is not None:
-            return out.select("repository", F.col("node").alias("sha"), F.col("label.sha").alias("oldest"))
-    extra = other_parent_edges(commits).select("repository", F.col("parent").alias("_u"),
-                                               F.col("child").alias("_v"))
-    lab = forest_propagate(_jumps(commits, jumps).get(), extra, seeds, direction="down", combine="max")
-    return lab.select("repository", F.col("_n").alias("sha"), F.col("_l.sha").alias("oldest"))
-
-
-def ancestor_pairs(commits: DataFrame, pairs: DataFrame, jumps=None, method: str = "auto") -> DataFrame:
-    """For (repository, pair_id, start, target) rows: is ``target`` an
-    ancestor of ``start`` (or equal)?  A bounded multi-source walk down the
-    parent edges that never visits a commit older than its target (ancestors
-    have a larger ``commit_ord``).  With first-parent ``jumps`` each pass
-    enumerates whole first-parent stretches inside that window in log2(depth)
-    rounds and then takes the other-parent edges; without, one checkpointed
-    round per generation.  ``method`` as in ``first_reaching_ref``."""
-    if method == "jump":
-        return _ancestor_pairs_jump(commits, pairs, _jumps(commits, jumps).get())
-    spark = commits.sparkSession
-    ensure_checkpoint_dir(spark)
-    keeper = RoundKeeper()
+def root_commits(commits: DataFrame) -> DataFrame:
+    """(repository, sha, commit_ord) of the commits with no parent in the table."""
+    edges = parent_edges(commits).join(commits.select("repository", F.col("sha").alias("parent")), ["repository", "parent"], "left_semi")
+    inside = edges.select("repository", F.col("child").alias("sha")).distinct()
+    return commits.select("repository", "sha", "commit_ord").join(inside, ["repository", "sha"], "left_anti")
+
+
+def oldest_ancestor(commits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(repository, sha, oldest): the ancestor (self included) with the greatest
+    ``commit_ord``, the last commit a history walk from that commit would list.
+
+    Children come before their parents, so that ancestor is a root, and only
+    roots are seeds.  ``wanted`` (repository, sha) limits the answer to those
+    commits (default: all)."""
+    roots = root_commits(commits)
+    known = commits.select("repository", F.col("sha").alias("parent"))
+    edges = parent_edges(commits).join(known, ["repository", "parent"], "left_semi").select(
+        "repository", F.col("parent").alias("u"), F.col("child").alias("v"))
+    seeds = roots.select("repository", F.col("sha").alias("node"), F.struct("commit_ord", "sha").alias("val"))
+    if wanted is None:
+        got = flow(edges, seeds, "max")
+    else:
+        asked = wanted.select("repository", F.col("sha").alias("node")).distinct()
+        small, _ = contract(edges, asked)
+        got = propagate(small, seeds, "max").join(asked, ["repository", "node"], "left_semi")
+    return got.select("repository", F.col("node").alias("sha"), F.col("val.sha").alias("oldest"))
+
+
+def ancestor_pairs(commits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For (repository, pair_id, start, target) rows: is ``target`` an ancestor
+    of ``start`` (or equal)?
+
+    An ancestor has a larger ``commit_ord``; pairs that cannot be are answered
+    at once.  The others get a bit each in the masks of their repository, and a
+    commit holds one mask per word of WORD pairs, however many pairs pass it.  A
+    bit never enters a commit older than its target."""
     ords = commits.select("repository", "sha", "commit_ord")
-    e = parent_edges(commits)
-    tgt = (pairs.join(ords.select("repository", F.col("sha").alias("target"),
-                                  F.col("commit_ord").alias("_tord")), ["repository", "target"])
-           .select("repository", "pair_id", "target", "_tord"))
-    # visited: (pair, node) reached so far; _new marks this round's frontier
-    visited = keeper.persist(
-        pairs.select("repository", "pair_id", F.col("start").alias("node"))
-        .join(tgt, ["repository", "pair_id"]).withColumn("_new", F.lit(True)))
-    while True:
-        if method == "auto" and keeper.rounds >= AUTO_ROUNDS:
-            return _ancestor_pairs_jump(commits, pairs, _jumps(commits, jumps).get())
-        found = visited.where(F.col("node") == F.col("target")).select("repository", "pair_id")
-        live = visited.where("_new").join(found, ["repository", "pair_id"], "left_anti")
-        nxt = (live.join(e.withColumnRenamed("child", "node"), ["repository", "node"])
-               .select("repository", "pair_id", F.col("parent").alias("node"), "target", "_tord")
-               .join(ords.withColumnRenamed("sha", "node"), ["repository", "node"])
-               .where(F.col("commit_ord") <= F.col("_tord"))
-               .select("repository", "pair_id", "node", "target", "_tord").distinct()
-               .join(visited.select("repository", "pair_id", "node"), ["repository", "pair_id", "node"],
-                     "left_anti"))
-        visited = keeper.persist(visited.withColumn("_new", F.lit(False))
-                                 .unionByName(nxt.withColumn("_new", F.lit(True))))
-        keeper.cut(visited)
-        if visited.where("_new").isEmpty():
-            break
-    found = visited.where(F.col("node") == F.col("target")).select("repository", "pair_id").distinct()
-    return (pairs.select("repository", "pair_id")
-            .join(found.withColumn("is_ancestor", F.lit(True)), ["repository", "pair_id"], "left")
-            .select("repository", "pair_id", F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor")))
-
-
-def _ancestor_pairs_jump(commits: DataFrame, pairs: DataFrame, jumps: list) -> DataFrame:
-    ensure_checkpoint_dir(commits.sparkSession)
-    key = ["repository", "pair_id", "node"]
-    ords = commits.select("repository", F.col("sha").alias("node"), "commit_ord")
-    other = other_parent_edges(commits).withColumnRenamed("child", "node")
-    tgt = (pairs.join(ords.select("repository", F.col("node").alias("target"), F.col("commit_ord").alias("_tord")),
-                      ["repository", "target"]).select("repository", "pair_id", "target", "_tord"))
-    frontier = (pairs.select("repository", "pair_id", F.col("start").alias("node"))
-                .join(tgt, ["repository", "pair_id"])).checkpoint(eager=True)
-    visited = frontier.select(*key).checkpoint(eager=True)
-    while True:
-        # every first-parent ancestor of the frontier inside the window: after
-        # table k the set holds the ancestors up to distance 2^(k+1) - 1
-        reach = frontier
-        for j in jumps:
-            step = (reach.join(j.withColumnRenamed("_n", "node"), ["repository", "node"])
-                    .select("repository", "pair_id", F.col("_p").alias("node"), "target", "_tord")
-                    .join(ords, ["repository", "node"]).where(F.col("commit_ord") <= F.col("_tord"))
-                    .drop("commit_ord").join(visited, key, "left_anti"))
-            reach = reach.unionByName(step).distinct().checkpoint(eager=True)
-        visited = visited.unionByName(reach.select(*key)).distinct().checkpoint(eager=True)
-        found = visited.join(tgt.withColumnRenamed("target", "node"), ["repository", "pair_id", "node"],
-                             "left_semi").select("repository", "pair_id")
-        live = reach.join(found, ["repository", "pair_id"], "left_anti")
-        frontier = (live.join(other, ["repository", "node"])
-                    .select("repository", "pair_id", F.col("parent").alias("node"), "target", "_tord")
-                    .join(ords, ["repository", "node"]).where(F.col("commit_ord") <= F.col("_tord"))
-                    .drop("commit_ord").distinct().join(visited, key, "left_anti")).checkpoint(eager=True)
-        if frontier.isEmpty():
-            break
-    found = (visited.join(tgt.withColumnRenamed("target", "node"), ["repository", "pair_id", "node"], "left_semi")
-             .select("repository", "pair_id").distinct())
-    return (pairs.select("repository", "pair_id")
-            .join(found.withColumn("is_ancestor", F.lit(True)), ["repository", "pair_id"], "left")
-            .select("repository", "pair_id", F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor")))
-
-
-def merge_notes(commits: DataFrame, merges: DataFrame, jumps=None) -> DataFrame:
+    both = (pairs.join(ords.select("repository", F.col("sha").alias("start"), F.col("commit_ord").alias("_so")), ["repository", "start"], "left")
+            .join(ords.select("repository", F.col("sha").alias("target"), F.col("commit_ord").alias("_to")), ["repository", "target"], "left"))
+    open_ = rank_within(both.where((F.col("start") != F.col("target")) & (F.col("_to") > F.col("_so"))).select(
+        "repository", "pair_id", "start", "target", "_to"), ["repository"], ["pair_id"], "n")
+    open_ = Stored(open_.withColumn("word", F.expr(f"n div {WORD}")).withColumn("bit", F.expr(f"CAST(n % {WORD} AS int)")), "pairs").df
+    edges = parent_edges(commits).select("repository", F.col("child").alias("u"), F.col("parent").alias("v"))
+    ends = open_.select("repository", F.col("start").alias("node")).union(open_.select("repository", "target")).distinct()
+    small, _ = contract(edges.join(open_.select("repository").distinct(), "repository", "left_semi"), ends)
+    seeds = open_.groupBy("repository", F.col("start").alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("val"))
+    limits = (open_.groupBy("repository", "word").agg(F.sort_array(F.collect_list(F.struct("bit", "_to"))).alias("_t"))  # at most WORD
+              .select("repository", "word", F.col("_t._to").alias("places")))
+    got = bits_within(small, seeds, ords.select("repository", F.col("sha").alias("node"), F.col("commit_ord").alias("place")), limits)
+    found = (open_.join(got.withColumnRenamed("node", "target"), ["repository", "target", "word"])
+             .where(F.getbit("val", "bit") == 1).select("repository", "pair_id", F.lit(True).alias("_yes")))
+    return (pairs.join(found, ["repository", "pair_id"], "left")
+            .select("repository", "pair_id", (F.col("start") == F.col("target")) | F.coalesce("_yes", F.lit(False)))
+            .toDF("repository", "pair_id", "is_ancestor"))
+
+
+def merge_notes(commits: DataFrame, merges: DataFrame) -> DataFrame:
     """H6: the note of each merge: ``a parent is the base`` when one parent
     is an ancestor of the other; else ``two initial commits`` when the two
-    parents' oldest ancestors differ; else empty."""
-    pairs = merges.select(
-        "repository",
-        F.explode(F.array(
-            F.struct(F.concat(F.col("merge_commit"), F.lit(":1")).alias("pair_id"),
-                     F.col("parent_1").alias("start"), F.col("parent_2").alias("target")),
-            F.struct(F.concat(F.col("merge_commit"), F.lit(":2")).alias("pair_id"),
-                     F.col("parent_2").alias("start"), F.col("parent_1").alias("target")),
-        )).alias("p")).select("repository", "p.*")
-    anc = (ancestor_pairs(commits, pairs, jumps)
-           .withColumn("merge_commit", F.regexp_replace("pair_id", ":[12]$", ""))
-           .groupBy("repository", "merge_commit").agg(F.max("is_ancestor").alias("_anc")))
-    old = oldest_ancestor(commits, jumps=jumps)
-    o1 = old.select("repository", F.col("sha").alias("parent_1"), F.col("oldest").alias("_o1"))
-    o2 = old.select("repository", F.col("sha").alias("parent_2"), F.col("oldest").alias("_o2"))
-    out = (merges.join(anc, ["repository", "merge_commit"], "left")
-           .join(o1, ["repository", "parent_1"], "left").join(o2, ["repository", "parent_2"], "left"))
-    note = (F.when(F.coalesce("_anc", F.lit(False)), F.lit(NOTE_PARENT_IS_BASE))
-            .when(~F.col("_o1").eqNullSafe(F.col("_o2")), F.lit(NOTE_TWO_ROOTS))
-            .otherwise(F.lit("")))
-    return out.withColumn("notes", note).drop("_anc", "_o1", "_o2")
+    parents' oldest ancestors differ; else empty.
+
+    Only the older parent can be an ancestor of the other.  A repository with
+    one root has one oldest ancestor, so the oldest ancestors are looked for in
+    the others only, and only of the parents that are still undecided."""
+    ords = commits.select("repository", "sha", "commit_ord")
+    for i in (1, 2):
+        merges = merges.join(ords.select("repository", F.col("sha").alias(f"parent_{i}"), F.col("commit_ord").alias(f"_c{i}")), ["repository", f"parent_{i}"], "left")
+    merges = Stored(merges, "merges").df
+    older = F.col("_c1") > F.col("_c2")
+    pairs = merges.where("_c1 <> _c2").select(
+        "repository", F.col("merge_commit").alias("pair_id"),
+        F.when(older, F.col("parent_2")).otherwise(F.col("parent_1")).alias("start"),
+        F.when(older, F.col("parent_1")).otherwise(F.col("parent_2")).alias("target")).distinct()
+    anc = ancestor_pairs(commits, pairs).where("is_ancestor").select("repository", F.col("pair_id").alias("merge_commit"), F.lit(True).alias("_anc"))
+    out = Stored(merges.join(anc, ["repository", "merge_commit"], "left"), "notes").df
+    roots = root_commits(commits).groupBy("repository").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("repository", F.lit(True).alias("_many"))
+    out = out.join(roots, "repository", "left")
+    rest = out.where("_anc IS NULL AND _many")
+    asked = rest.select("repository", F.col("parent_1").alias("sha")).union(rest.select("repository", "parent_2")).distinct()
+    old = Stored(oldest_ancestor(commits.join(roots, "repository", "left_semi"), Stored(asked, "asked").df), "oldest").df
+    for i in (1, 2):
+        out = out.join(old.select("repository", F.col("sha").alias(f"parent_{i}"), F.col("oldest").alias(f"_o{i}")), ["repository", f"parent_{i}"], "left")
+    # with one root, all commits of the table end at it; a parent that is not in the table ends nowhere
+    o1, o2 = (F.when(F.col("_many"), F.col(f"_o{i}")).otherwise(F.when(F.col(f"_c{i}").isNotNull(), F.lit("root"))) for i in (1, 2))
+    note = F.when(F.col("_anc"), F.lit(NOTE_PARENT_IS_BASE)).when(~o1.eqNullSafe(o2), F.lit(NOTE_TWO_ROOTS)).otherwise(F.lit(""))
+    return out.withColumn("notes", note).drop("_anc", "_many", "_c1", "_c2", "_o1", "_o2")
 
 
 def collect_merges(refs: DataFrame, commits: DataFrame, existing: DataFrame | None = None,
                    max_num_merges: int = DEFAULT_MAX_MERGES,
                    max_branches: int = DEFAULT_MAX_BRANCHES) -> DataFrame:
     """H5: refs + commits -> new merges (T5 columns plus ref_rank, commit_ord)."""
-    ranked = branch_refs(refs, max_branches)
-    jumps = Jumps(commits)
-    m = capped_merges(commits, ranked, existing, max_num_merges, jumps)
-    return merge_notes(commits, m, jumps)
+    ranked = Stored(branch_refs(refs, max_branches), "refs").df
+    m = Stored(capped_merges(commits, ranked, existing, max_num_merges), "capped").df
+    return merge_notes(commits, m)
 
 
 def duplicate_merge_keys(merges: DataFrame) -> DataFrame:
@@ -327,7 +237,6 @@ def assert_unique_merges(merges: DataFrame) -> None:
 
 def number_merges(merges: DataFrame) -> DataFrame:
     """K3 + S5: ``merge_idx`` 0..n-1 over (repository, merge_commit)."""
-    from conflictlake.operators.rank import dense_index
     return dense_index(merges, ["repository", "merge_commit"], "merge_idx")
 
 

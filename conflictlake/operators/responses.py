@@ -13,12 +13,13 @@ from conflictlake.functions.text import cache_key
 
 
 def latest_responses(cache: DataFrame, order_col: str = "written_at") -> DataFrame:
-    """One row per (model, cache_key), the latest write wins (a max_by
-    aggregate, combined map-side)."""
+    """One row per (model, cache_key), the latest write wins (a max
+    aggregate, combined map-side); a response without a write time counts as
+    older than any other."""
     cols = [c for c in cache.columns if c not in ("model", "cache_key", order_col)]
     return (cache.groupBy("model", "cache_key")
-            .agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r"))
-            .select("model", "cache_key", "_r.*"))
+            .agg(F.max(F.struct(order_col, *cols)).alias("_r"))  # nulls are smallest
+            .select("model", "cache_key", *[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 
 def lookup(requests: DataFrame, cache: DataFrame, model: str | None = None) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conflictlake.session import ensure_checkpoint_dir
 
 # --- fixed values -------------------------------------------------------------
 ALL_REPOSITORIES = "ALL_REPOSITORIES"
@@ -69,42 +68,28 @@ def repository_summary(metrics_df: DataFrame, index: DataFrame | None) -> DataFr
 
     Conflicts whose merge id is not in the index are left out (they are
     reported by ``unmapped_count``).  With no index, or when no conflict maps,
-    the single ALL_REPOSITORIES row is returned instead.  The metrics are
-    aggregated once, by repository with unmapped rows as a null group; the
-    per-repository table (one row per repository) is checkpointed and both
-    the groups and the all-repository fallback are derived from it.  The
-    fallback is a declarative anti-join on a constant key, so no count is
-    pulled to the driver to choose the branch.
+    the single ALL_REPOSITORIES row is returned instead.  The metrics are summed
+    per merge id before they meet the index, then by repository and over all in
+    one aggregate (grouping sets); the total knows how many conflicts mapped, so
+    it is the answer exactly when none did.
     """
     if index is None:
         return basic_summary(metrics_df)
-    ensure_checkpoint_dir(metrics_df.sparkSession)
-    m = with_repository(metrics_df, index)
-    parts = m.groupBy("repository").agg(
-        F.count(F.lit(1)).alias("total_conflicts"),
-        F.sum(F.col("selected").cast("long")).alias("selected_conflicts"),
-        F.sum(F.col("fail_max_lines").cast("long")).alias("failed_max_lines"),
-        F.sum(F.col("fail_token_count").cast("long")).alias("failed_token_count"),
-        F.sum(F.col("fail_incoherent").cast("long")).alias("failed_incoherent"),
-    ).checkpoint(eager=True)
-
-    def finish(df):
-        return df.select(
-            "repository", "total_conflicts", "selected_conflicts",
-            (F.col("total_conflicts") - F.col("selected_conflicts")).alias("filtered_out_conflicts"),
-            "failed_max_lines", "failed_token_count", "failed_incoherent",
-            F.when(F.col("total_conflicts") > 0, F.col("selected_conflicts") / F.col("total_conflicts"))
-             .otherwise(F.lit(0.0)).alias("selection_rate"))
-
-    grouped = finish(parts.where(F.col("repository").isNotNull()))
-    total = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in
-                        ("total_conflicts", "selected_conflicts", "failed_max_lines",
-                         "failed_token_count", "failed_incoherent")])
-    basic = finish(total.withColumn("repository", F.lit(ALL_REPOSITORIES)))
-    any_row = grouped.select(F.lit(1).alias("_k")).limit(1)
-    fallback = (basic.withColumn("_k", F.lit(1)).join(any_row, "_k", "left_anti")
-                .select(*SUMMARY_COLUMNS))
-    return grouped.unionByName(fallback)
+    sums = ("total_conflicts", "selected_conflicts", "failed_max_lines", "failed_token_count", "failed_incoherent")
+    flags = metrics_df.select(merge_id_of("conflict_id").alias("merge_id"), F.lit(1).cast("long").alias("total_conflicts"),
+                              *[F.col(c).cast("long").alias(n) for c, n in zip(("selected", "fail_max_lines", "fail_token_count", "fail_incoherent"), sums[1:])])
+    per_merge = flags.groupBy("merge_id").agg(*[F.sum(c).alias(c) for c in sums])
+    mapped = per_merge.join(_merge_map(index), "merge_id", "left").select("repository", *sums)
+    zero = metrics_df.sparkSession.range(1).select(F.lit(None).cast("string").alias("repository"), *[F.lit(0).cast("long").alias(c) for c in sums])
+    every = mapped.unionByName(zero).groupingSets([["repository"], []], "repository").agg(
+        F.grouping_id().alias("_all"), F.sum(F.when(F.col("repository").isNotNull(), F.col("total_conflicts"))).alias("_mapped"),
+        *[F.sum(c).alias(c) for c in sums])
+    every = every.where(((F.col("_all") == 0) & F.col("repository").isNotNull()) | ((F.col("_all") == 1) & F.col("_mapped").isNull()))
+    return every.select(
+        F.when(F.col("_all") == 1, F.lit(ALL_REPOSITORIES)).otherwise(F.col("repository")).alias("repository"),
+        "total_conflicts", "selected_conflicts", (F.col("total_conflicts") - F.col("selected_conflicts")).alias("filtered_out_conflicts"),
+        "failed_max_lines", "failed_token_count", "failed_incoherent",
+        F.when(F.col("total_conflicts") > 0, F.col("selected_conflicts") / F.col("total_conflicts")).otherwise(F.lit(0.0)).alias("selection_rate"))
 
 
 def order_summary(summary: DataFrame) -> DataFrame:

@@ -3,10 +3,13 @@
 The driver tables hold no git data, so each operator runs on a stand-in that
 Spark derives from a real table and that grows with it:
 
-* conflicted files: every document with at least 3 lines becomes a file whose
-  middle third is wrapped in conflict markers (left = the lines, right = the
-  same lines reversed, a base section when the line count is even); the
-  merged file is the document itself.
+* conflicted files: every document becomes a file whose middle third (all of it
+  below three lines) is wrapped in conflict markers (left = the lines, right =
+  the same lines reversed, a base section when the line count is even); some
+  have a second block in their last third.  The merged file depends on
+  ``doc_id % 10``: the left side, the right side, a resolution by hand, a long
+  one, an edit before or after the block, no merged file, every line twice, the
+  last third moved to the front, and that with the first third repeated.
 """
 
 from __future__ import annotations
@@ -27,27 +30,40 @@ OPEN_LINE = "<<<<<<< ours\n"
 SEP_LINE = "=======\n"
 BASE_LINE = "||||||| base\n"
 CLOSE_LINE = ">>>>>>> theirs\n"
+HAND_LINE = "resolved by hand\n"
+EDIT_LINE = "edited\n"
 # -----------------------------------------------------------------------------
 
 
 def built_conflict_files(docs: DataFrame) -> DataFrame:
     """documents -> T7 (merge_idx, file_no, path, conflict_text, merged_text)."""
-    d = barrier(docs.select("doc_id", "text", "source", split_lines_keepends("text").alias("l")))
-    d = d.where(F.size("l") >= 3)
+    # kinds 8 and 9 move the last lines, so the file must end with a line end
+    text = F.when(F.expr("pmod(doc_id, 10) >= 8"), F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    d = barrier(docs.select("doc_id", "source", split_lines_keepends(text).alias("l")))
     d = d.withColumns({"n": F.size("l"), "a": F.expr("size(l) div 3")})
-    d = d.withColumn("mid", F.expr("slice(l, a + 1, n - 2 * a)"))
+    d = d.withColumns({"head": F.expr("slice(l, 1, a)"), "mid": F.expr("slice(l, a + 1, n - 2 * a)"),
+                       "tail": F.expr("slice(l, n - a + 1, a)"), "none": F.expr("CAST(array() AS array<string>)"),
+                       "kind": F.expr("pmod(doc_id, 10)")})
+    second = (f"IF(pmod(doc_id, 4) = 1 AND a >= 4, concat(slice(tail, 1, 2), array('{_sql(OPEN_LINE)}'), slice(tail, 3, 1), "
+              f"array('{_sql(SEP_LINE)}'), transform(slice(tail, 3, 1), x -> concat('other ', x)), array('{_sql(CLOSE_LINE)}'), "
+              "slice(tail, 4, a - 3)), tail)")
     conflict = F.expr(
-        "array_join(concat(slice(l, 1, a), "
-        f"array('{_sql(OPEN_LINE)}'), mid, "
-        f"IF(n % 2 = 0, concat(array('{_sql(BASE_LINE)}'), slice(mid, 1, 1)), CAST(array() AS array<string>)), "
-        f"array('{_sql(SEP_LINE)}'), reverse(mid), array('{_sql(CLOSE_LINE)}'), "
-        "slice(l, n - a + 1, a)), '')")
+        f"array_join(concat(head, array('{_sql(OPEN_LINE)}'), mid, "
+        f"IF(n % 2 = 0, concat(array('{_sql(BASE_LINE)}'), slice(mid, 1, 1)), none), "
+        f"array('{_sql(SEP_LINE)}'), reverse(mid), array('{_sql(CLOSE_LINE)}'), {second}), '')")
+    merged = F.expr(
+        "array_join(CASE kind WHEN 1 THEN concat(head, reverse(mid), tail) "
+        f"WHEN 2 THEN concat(head, array('{_sql(HAND_LINE)}'), tail) WHEN 3 THEN concat(head, mid, mid, mid, mid, tail) "
+        f"WHEN 4 THEN concat(slice(head, 1, greatest(a - 1, 0)), array('{_sql(EDIT_LINE)}'), mid, tail) "
+        f"WHEN 5 THEN concat(head, mid, array('{_sql(EDIT_LINE)}'), slice(tail, 2, greatest(a - 1, 0))) "
+        "WHEN 6 THEN CAST(NULL AS array<string>) WHEN 7 THEN concat(l, l) WHEN 8 THEN concat(tail, head, mid) "
+        "WHEN 9 THEN concat(tail, head, mid, head) ELSE l END, '')")
     return d.select(
         F.col("doc_id").alias("merge_idx"),
         F.lit(0).alias("file_no"),
         F.concat(F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".java")).alias("path"),
         conflict.alias("conflict_text"),
-        F.col("text").alias("merged_text"),
+        merged.alias("merged_text"),
     )
 
 
@@ -61,6 +77,7 @@ def _sql(s: str) -> str:
 # customer inside its nation by custkey (0-based); parents: the customers at
 # positions i div 2 and i div 3 (in that order, when older than i), so most
 # commits are two-parent merges and a few are degenerate (both parents equal);
+# in nations with an even key position 1 has no parent (a second root);
 # commit_ord = -custkey (newest first).
 # refs: per (nation, segment) the newest commit, "refs/heads/<name>" with name
 # main (BUILDING), maintenance (AUTOMOBILE) or the lower-cased segment,
@@ -85,7 +102,8 @@ def standin_commits(customer: DataFrame) -> DataFrame:
     cand = c.select("repository", "k", F.explode(F.array(
         F.struct(F.lit(1).alias("pos"), F.expr("i div 2").alias("pi")),
         F.struct(F.lit(2).alias("pos"), F.expr("i div 3").alias("pi")))).alias("p"), "i"
-    ).select("repository", "k", "p.pos", "p.pi").where(F.col("pi") < F.col("i"))
+    ).select("repository", "k", "p.pos", "p.pi", "i").where(
+        (F.col("pi") < F.col("i")) & ~((F.col("i") == 1) & F.expr("cast(substr(repository, 2) as int) % 2 = 0"))).drop("i")
     edges = cand.join(c.select("repository", F.col("i").alias("pi"), F.col("k").alias("pk")),
                       ["repository", "pi"])
     par = (edges.groupBy("repository", "k")

@@ -17,6 +17,7 @@ from conflictlake.operators import conflicts as X
 from conflictlake.operators import dataset as D
 from conflictlake.operators import metrics as M
 from conflictlake.operators import summary as S
+from conflictlake.operators.stored import Stored
 from conflictlake.sources import io
 
 # --- fixed values: per-language build settings --------------------------------
@@ -50,6 +51,8 @@ class BuildOptions:
     context: int = X.SNIPPET_CONTEXT
     drop_trivial: bool = False
     dedupe: bool = False
+    prompt: str = M.QUERY_PROMPT
+    strip_final_newline: bool = False
     max_num_merges: int = 100
     max_branches: int = DEFAULT_MAX_BRANCHES
 
@@ -63,24 +66,52 @@ def build_config(spark: SparkSession) -> DataFrame:
                                        "max_branches int, test_size double")
 
 
+def selection_job(spark: SparkSession, dump_path: str, out_path: str, slice_path: str | None = None,
+                  language: str = "Java", start: int = 0, end: int = 1000) -> None:
+    """R1 -> R4, F1, W1: the catalogue dump without missing values and excluded
+    repositories as CSV; with ``slice_path`` also rows ``start`` to ``end`` of a
+    language by stars (F2, F3, S1, W2)."""
+    from conflictlake.operators import repos as RP
+    clean = RP.exclude_repositories(RP.drop_missing(io.read_catalogue_dump(spark, dump_path)))
+    io.write_csv(io.cast_catalogue(clean), out_path)
+    if slice_path:
+        schema = ", ".join(f"{c} {t}" for c, t in clean.dtypes)
+        io.write_csv(RP.top_n_slice(io.read_csv(spark, out_path, schema), language, start, end - start), slice_path)
+
+
+MERGE_COLUMNS = ["repository", "branch_name", "merge_commit", "parent_1", "parent_2", "notes", "ref_rank", "commit_ord"]
+
+
 def history_job(spark: SparkSession, refs_path: str, commits_path: str, merges_path: str,
-                existing_path: str | None = None, opts: BuildOptions = BuildOptions()) -> None:
+                existing_path: str | None = None, opts: BuildOptions = BuildOptions(),
+                stored_refs_path: str | None = None) -> None:
     """refs + commits (+ merges known from an earlier run) -> T5 with a dense
-    ``merge_idx`` over (repository, merge_commit); duplicate keys are fatal."""
+    ``merge_idx`` over (repository, merge_commit).
+
+    A merge key that occurs twice is fatal, in the known merges as in the result
+    (A10).  Known merges keep their place: they come first, in the order in which
+    they were collected (``ref_rank``, ``commit_ord``).  ``stored_refs_path``: ref
+    lists of an earlier run, used where the ref still exists (J8)."""
     from conflictlake.operators import history as H
     from conflictlake.streaming.incremental import combine_merges
     refs, commits = spark.read.parquet(refs_path), spark.read.parquet(commits_path)
+    if stored_refs_path:
+        stored = spark.read.parquet(stored_refs_path)
+        listed = refs.join(stored.select("repository").distinct(), "repository", "left_anti")
+        refs = H.reuse_cached_refs(stored, refs).unionByName(listed.select("repository", "path", "head_sha", "ref_ord"))
     existing = spark.read.parquet(existing_path) if existing_path else None
-    new = H.collect_merges(refs, commits, existing, opts.max_num_merges, opts.max_branches)
-    cols = ["repository", "branch_name", "merge_commit", "parent_1", "parent_2", "notes"]
     if existing is not None:
-        keep = combine_merges(existing, new.withColumn("_o", F.struct("ref_rank", "commit_ord")),
-                              opts.max_num_merges, "merge_idx", ["_o"])
-        allm = existing.select(*cols).unionByName(new.select(*cols))
-        merges = allm.join(keep.select("repository", "merge_commit"), ["repository", "merge_commit"],
-                           "left_semi").dropDuplicates(["repository", "merge_commit"])
+        H.assert_unique_merges(existing)
+    new = H.collect_merges(refs, commits, existing, opts.max_num_merges, opts.max_branches).select(*MERGE_COLUMNS)
+    if existing is not None:
+        known = existing.withColumn("_o", F.struct("ref_rank", "commit_ord"))
+        keep = combine_merges(known, new.withColumn("_o", F.struct("ref_rank", "commit_ord")), opts.max_num_merges, "_o", ["_o"])
+        fresh = new.join(existing, ["repository", "merge_commit"], "left_anti")
+        merges = existing.select(*MERGE_COLUMNS).unionByName(fresh).join(
+            keep.select("repository", "merge_commit"), ["repository", "merge_commit"], "left_semi")
     else:
-        merges = new.select(*cols)
+        merges = new
+    merges = Stored(merges, "collected").df
     H.assert_unique_merges(merges)
     io.write_table(H.number_merges(merges), merges_path)
 
@@ -94,25 +125,25 @@ def files_job(spark: SparkSession, merges_path: str, status_path: str, worktree_
     files = FI.conflicted_files(spark.read.parquet(status_path), opts.language)
     texts = FI.pair_texts(files, spark.read.parquet(worktree_path), spark.read.parquet(final_path))
     io.write_table(texts, files_path)
-    io.write_table(FI.conflict_index(merges, files), index_path)
+    io.write_table(FI.conflict_index(merges, spark.read.parquet(files_path)), index_path)
 
 
 def extract_job(spark: SparkSession, files_path: str, out_path: str, opts: BuildOptions = BuildOptions()) -> None:
     """T7 -> T9 (all blocks with their status)."""
     files = spark.read.parquet(files_path)
-    io.write_table(X.extract_blocks(files, context=opts.context), out_path)
+    io.write_table(X.extract_blocks(files, context=opts.context, strip_final_newline=opts.strip_final_newline), out_path)
 
 
 def metrics_job(spark: SparkSession, blocks_path: str, metrics_path: str, selected_path: str,
                 summary_path: str, index_path: str | None = None, opts: BuildOptions = BuildOptions()) -> None:
     """T9 -> T10 (+ selected pairs, W4) and T11."""
     blocks = spark.read.parquet(blocks_path)
-    m = M.metrics(X.resolved_pairs(blocks), keep_cols=("conflict", "resolved"),
-                  max_line_count=opts.max_line_count, max_prompt_length=opts.max_prompt_length)
-    io.write_table(m.select(*M.METRIC_COLUMNS), metrics_path)
+    pairs = X.resolved_pairs(blocks)
+    limits = {"max_line_count": opts.max_line_count, "max_prompt_length": opts.max_prompt_length, "prompt": opts.prompt}
+    io.write_table(M.metrics(pairs, **limits).select(*M.METRIC_COLUMNS), metrics_path)
+    chosen = M.selected(M.metrics(pairs, keep_cols=("conflict", "resolved"), **limits), opts.drop_trivial)
+    io.write_table(chosen.select("conflict_id", "conflict", "resolved"), selected_path)
     metrics = spark.read.parquet(metrics_path)
-    sel = M.select_pairs(metrics, blocks, opts.drop_trivial).select("conflict_id", "conflict", "resolved")
-    io.write_table(sel, selected_path)
     index = spark.read.parquet(index_path) if index_path else None
     io.write_table(S.order_summary(S.repository_summary(metrics, index)), summary_path)
 
@@ -122,10 +153,20 @@ def build_job(spark: SparkSession, selected_path: str, out_path: str, opts: Buil
     pairs = spark.read.parquet(selected_path)
     if pairs.isEmpty():
         raise ValueError("No valid conflict/solution pairs found.")
-    ds = D.build_dataset(pairs, opts.test_size, opts.seed, opts.language)
-    if opts.dedupe:
-        ds = D.dedupe_exact(ds)
-    io.write_dataset(ds, out_path)
+    io.write_dataset(D.build_dataset(pairs, opts.test_size, opts.seed, opts.language, opts.prompt, opts.dedupe), out_path)
+
+
+def rollup_job(spark: SparkSession, outputs: dict[str, tuple[str, str, str]], out_path: str) -> None:
+    """A11 over the outputs of the builds: language -> (index, summary, dataset) tables."""
+    rows = None
+    for language, (index, summary, dataset) in sorted(outputs.items()):  # one plan per configured language
+        found = spark.read.parquet(index).agg(F.countDistinct("repository").alias("repositories"))
+        told = spark.read.parquet(summary).agg(F.count(F.when(F.col("total_conflicts") > 0, 1)).alias("contributing"),
+                                               F.sum("selected_conflicts").alias("selected"))
+        split = spark.read.parquet(dataset).agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
+        one = found.join(F.broadcast(told)).join(F.broadcast(split)).withColumn("language", F.lit(language))  # one row each
+        rows = one if rows is None else rows.unionByName(one)
+    io.write_table(language_rollup(rows.select("language", "repositories", "contributing", "selected", "train", "test")), out_path)
 
 
 def language_rollup(per_language: DataFrame) -> DataFrame:

@@ -2,15 +2,22 @@
 
 Each statement is an independent formulation of the operator in plain SQL with
 list functions and recursive CTEs (DuckDB's ``lambda x: ...`` syntax); it is
-not generated from the Spark plans.  Patterns are shared with
-``conflictlake.functions.text`` because RE2 and Java read them the same way.
+not generated from the Spark plans.  Patterns are written out
+here once more, in RE2's terms, so that an error in the code under test shows.
 """
 
 from __future__ import annotations
 
-from conflictlake.functions.text import LINE_END_RE, LINE_RE, TOKEN_RE
 from conflictlake.operators.metrics import QUERY_PROMPT
-from conflictlake.plans.inputs import BASE_LINE, CLOSE_LINE, OPEN_LINE, SEP_LINE
+from conflictlake.plans.inputs import BASE_LINE, CLOSE_LINE, EDIT_LINE, HAND_LINE, OPEN_LINE, SEP_LINE
+
+
+# --- fixed values: line ends and white space of Python text, tokens of the proxy ----
+_BREAKS = r"\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+LINE_RE = "[^" + _BREAKS + "]*[" + _BREAKS + "]|[^" + _BREAKS + "]+"
+LINE_END_RE = "[" + _BREAKS + r"]\z"
+TOKEN_RE = r"\w+|[^\w\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# ------------------------------------------------------------------------------------
 
 
 def _lit(s: str) -> str:
@@ -38,16 +45,29 @@ def _nl(s: str) -> str:
 # --- CTE fragments ---------------------------------------------------------------
 
 CTE_FILES = f"""
-docs AS (SELECT doc_id, text, source, {_lines('text')} AS l FROM documents),
+docs AS (SELECT doc_id, source, {_lines("CASE WHEN doc_id % 10 >= 8 THEN text || chr(10) ELSE text END")} AS l FROM documents),
+third AS (
+  SELECT *, len(l) AS n, len(l) // 3 AS a, l[1 : len(l) // 3] AS head, l[len(l) // 3 + 1 : len(l) - len(l) // 3] AS mid,
+         l[len(l) - len(l) // 3 + 1 : len(l)] AS tail FROM docs),
 built AS (
-  SELECT doc_id AS merge_idx, 0 AS file_no, text AS merged_text,
+  SELECT doc_id AS merge_idx, 0 AS file_no,
+         array_to_string(CASE doc_id % 10
+           WHEN 1 THEN head || list_reverse(mid) || tail
+           WHEN 2 THEN head || [{_nl(HAND_LINE)}] || tail
+           WHEN 3 THEN head || mid || mid || mid || mid || tail
+           WHEN 4 THEN head[1 : greatest(a - 1, 0)] || [{_nl(EDIT_LINE)}] || mid || tail
+           WHEN 5 THEN head || mid || [{_nl(EDIT_LINE)}] || tail[2 : len(tail)]
+           WHEN 6 THEN NULL WHEN 7 THEN l || l WHEN 8 THEN tail || head || mid
+           WHEN 9 THEN tail || head || mid || head ELSE l END, '') AS merged_text,
          array_to_string(
-           l[1:len(l) // 3] || [{_nl(OPEN_LINE)}] || l[len(l) // 3 + 1 : len(l) - len(l) // 3]
-           || (CASE WHEN len(l) % 2 = 0 THEN [{_nl(BASE_LINE)}] || l[len(l) // 3 + 1 : len(l) // 3 + 1]
-                    ELSE []::VARCHAR[] END)
-           || [{_nl(SEP_LINE)}] || list_reverse(l[len(l) // 3 + 1 : len(l) - len(l) // 3])
-           || [{_nl(CLOSE_LINE)}] || l[len(l) - len(l) // 3 + 1 : len(l)], '') AS conflict_text
-  FROM docs WHERE len(l) >= 3),
+           head || [{_nl(OPEN_LINE)}] || mid
+           || (CASE WHEN n % 2 = 0 THEN [{_nl(BASE_LINE)}] || mid[1:1] ELSE []::VARCHAR[] END)
+           || [{_nl(SEP_LINE)}] || list_reverse(mid) || [{_nl(CLOSE_LINE)}]
+           || (CASE WHEN doc_id % 4 = 1 AND a >= 4
+                    THEN tail[1:2] || [{_nl(OPEN_LINE)}] || tail[3:3] || [{_nl(SEP_LINE)}]
+                         || list_transform(tail[3:3], lambda x: 'other ' || x) || [{_nl(CLOSE_LINE)}] || tail[4:len(tail)]
+                    ELSE tail END), '') AS conflict_text
+  FROM third),
 files AS (
   SELECT merge_idx, file_no, {_lines('conflict_text')} AS cl, {_lines('merged_text')} AS ml FROM built),
 mk AS (
@@ -108,7 +128,8 @@ dec AS (
   FROM mt),
 st AS (
   SELECT *,
-    CASE WHEN len(bm) = 0 THEN 'before_not_found'
+    CASE WHEN ml IS NULL THEN 'no_merged_file'
+         WHEN len(bm) = 0 THEN 'before_not_found'
          WHEN len(am) = 0 THEN 'after_not_found'
          WHEN len(bm) > 1 AND len(am) > 1 THEN 'ambiguous'
          WHEN len(bm) = 1 THEN (CASE WHEN i2 IS NULL THEN 'no_valid_after' ELSE 'ok' END)
@@ -309,17 +330,19 @@ FROM orders"""
 
 # --- commit history -------------------------------------------------------------------------
 
+# --- fixed values: refs kept first ---
 _PRIO = " OR ".join(f"contains(lower(path), '{p}')" for p in (
     "refs/heads/main", "refs/heads/mainline", "refs/heads/master", "refs/heads/develop",
     "refs/heads/dev", "refs/remotes/origin/main", "refs/remotes/origin/master",
     "refs/remotes/origin/mainline", "refs/remotes/origin/develop", "refs/remotes/origin/dev"))
+# -------------------------------------
 
 CTE_GRAPH = f"""
-cust AS (SELECT 'n' || c_nationkey AS repository, c_custkey AS k, c_mktsegment AS seg, c_acctbal,
+cust AS (SELECT 'n' || c_nationkey AS repository, c_custkey AS k, c_mktsegment AS seg, c_acctbal, c_nationkey % 2 = 0 AS second,
                 row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i
          FROM customer),
-e0 AS (SELECT repository, k, 1 AS pos, i // 2 AS pi FROM cust WHERE i // 2 < i
-       UNION ALL SELECT repository, k, 2 AS pos, i // 3 AS pi FROM cust WHERE i // 3 < i),
+e0 AS (SELECT repository, k, 1 AS pos, i // 2 AS pi FROM cust WHERE i // 2 < i AND NOT (i = 1 AND second)
+       UNION ALL SELECT repository, k, 2 AS pos, i // 3 AS pi FROM cust WHERE i // 3 < i AND NOT (i = 1 AND second)),
 e1 AS (SELECT e.repository, e.k, e.pos, c.k AS pk FROM e0 e JOIN cust c ON c.repository = e.repository AND c.i = e.pi),
 commits AS (
   SELECT c.repository, 'c' || c.k AS sha, -c.k AS commit_ord,
@@ -487,10 +510,85 @@ SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE lang END AS language,
 FROM documents GROUP BY ROLLUP (lang)"""
 
 SQL["api_pages_project"] = """
-WITH it AS (SELECT * FROM events ORDER BY event_id LIMIT 1000)
+WITH it AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) <= 1000)
 SELECT 'user' || user_id || '/' || event_type AS repository,
        CAST(json_extract_string(props, '$.k') AS BIGINT) AS stars, event_type AS language,
        strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at, 'main' AS default_branch,
        CAST(0.0 AS DOUBLE) AS license, CAST(1.0 AS DOUBLE) AS architecture,
        event_type = 'error' AS archived, value < 2.0 AS disabled
 FROM it WHERE NOT (event_type = 'error') AND NOT (value < 2.0)"""
+
+SQL["api_search"] = """
+WITH it AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) <= 1000)
+SELECT 'user' || user_id || '/' || event_type AS repository, CAST(json_extract_string(props, '$.k') AS BIGINT) AS stars, event_type AS language,
+       strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at, event_type = 'error' AS archived, value < 2.0 AS disabled
+FROM it WHERE event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50"""
+
+_RES = (CTE_FILES, CTE_BLOCKS, CTE_CONTEXT, CTE_RESOLVE)
+
+SQL["status_counts"] = _with(*_RES) + " SELECT status, count(*) AS n FROM res GROUP BY status"
+
+SQL["metric_rejects"] = """
+SELECT CAST(doc_id AS VARCHAR) AS conflict_id, 'no_start_marker' AS reject_reason FROM documents"""
+
+SQL["fail_percentages"] = _with(*_RES, CTE_METRICS) + """
+SELECT count(*) AS n, round(100 * avg(CAST(fail_max_lines AS DOUBLE)), 6) AS pct_fail_max_lines,
+       round(100 * avg(CAST(fail_token_count AS DOUBLE)), 6) AS pct_fail_token_count,
+       round(100 * avg(CAST(fail_incoherent AS DOUBLE)), 6) AS pct_fail_incoherent FROM metrics HAVING count(*) > 0"""
+
+SQL["summary_totals"] = "WITH s AS (" + SQL["repo_summary"] + """)
+SELECT count(*) AS total_repositories, count(*) FILTER (WHERE selected_conflicts > 0) AS contributing_repositories,
+       CAST(coalesce(sum(selected_conflicts), 0) AS BIGINT) AS total_selected FROM s"""
+
+SQL["per_repository_counts"] = _with(*_RES, CTE_METRICS) + """
+SELECT d.source AS repository, count(*) AS conflicts
+FROM metrics m LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = split_part(m.conflict_id, '-', 1) GROUP BY 1"""
+
+SQL["first_merge_ids"] = _with(*_RES, CTE_METRICS) + """
+SELECT DISTINCT split_part(conflict_id, '-', 1) AS merge_id FROM metrics ORDER BY 1 LIMIT 10"""
+
+SQL["select_pairs_join"] = _with(*_RES, CTE_METRICS) + """
+SELECT r.conflict_id, md5(r.conflict) AS conflict_md5, md5(r.resolved) AS resolved_md5 FROM res r
+JOIN metrics m ON m.conflict_id = r.conflict_id WHERE m.selected AND NOT m.resolution_in_left_or_right"""
+
+SQL["dedupe_split_sizes"] = """
+WITH d AS (SELECT count(DISTINCT (md5(text), md5(lang))) AS n FROM documents),
+t AS (SELECT n, CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS k FROM d)
+SELECT * FROM (SELECT 'test' AS split, k AS n_rows FROM t UNION ALL SELECT 'train', n - k FROM t) WHERE n_rows > 0"""
+
+SQL["file_pairs"] = """
+WITH st AS (
+  SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, CASE WHEN starts_with(url, 'https') THEN 'UU' ELSE 'AA' END AS xy,
+         regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) || CASE regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1)
+           WHEN 'en' THEN '.java' WHEN 'fr' THEN '.py' ELSE '.ts' END AS path FROM pages),
+mg AS (SELECT host AS repository, row_number() OVER (ORDER BY host) - 1 AS merge_idx FROM (SELECT DISTINCT host FROM st) h),
+k AS (SELECT merge_idx, repository, path, row_number() OVER (PARTITION BY merge_idx ORDER BY string_split(path, '/'), path) - 1 AS file_no
+      FROM (SELECT DISTINCT host, path FROM st WHERE xy = 'UU' AND ends_with(path, '.java')) s JOIN mg ON mg.repository = s.host),
+w AS (SELECT host, path, max(page_id) AS t FROM st WHERE NOT contains(url, '?') GROUP BY ALL),
+f AS (SELECT host, path, max(page_id) AS t FROM st WHERE NOT contains(url, '#') GROUP BY ALL)
+SELECT merge_idx, repository, string_agg(merge_idx || '-' || file_no, ';' ORDER BY file_no) AS conflicts, count(f.t) AS n_merged, CAST(sum(w.t) AS BIGINT) AS text_sum
+FROM k JOIN w ON w.host = k.repository AND w.path = k.path LEFT JOIN f ON f.host = k.repository AND f.path = k.path GROUP BY merge_idx, repository"""
+
+SQL["stored_refs"] = _with(CTE_GRAPH) + """
+SELECT repository, path, head_sha, CAST(ref_ord + 100 AS BIGINT) AS ref_ord, md5(path) AS ref_key, replace(repository || '/' || path, '/', '_') AS slug
+FROM refs WHERE ref_ord >= 0 AND path <> 'refs/heads/maintenance'"""
+
+SQL["merge_existing_cap"] = _with(CTE_GRAPH) + """,
+known AS (SELECT repository, sha FROM cand WHERE ends_with(sha, '3')),
+kn AS (SELECT repository, count(*) AS n FROM known GROUP BY repository),
+fresh AS (SELECT c.repository, c.sha, row_number() OVER (PARTITION BY c.repository ORDER BY f.ref_rank, c.commit_ord, c.sha) AS rn
+          FROM cand c JOIN firstref f ON f.repository = c.repository AND f.sha = c.sha
+          WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.repository = c.repository AND k.sha = c.sha))
+SELECT f.repository, f.sha AS merge_commit FROM fresh f LEFT JOIN kn ON kn.repository = f.repository WHERE rn <= 15 - coalesce(n, 0)"""
+
+SQL["response_misses"] = "WITH " + CTE_TURNS + """
+SELECT conv_id, turn, md5(q) AS cache_key FROM t WHERE md5(q) NOT IN (SELECT md5(q) FROM t WHERE a IS NOT NULL)"""
+
+SQL["top_by_stars"] = """
+SELECT c_name AS repository, c_acctbal AS stars FROM customer ORDER BY stars DESC, repository LIMIT 10"""
+
+SQL["language_totals"] = """
+WITH p AS (SELECT lang AS language, count(DISTINCT source) AS repositories, count(*) AS selected FROM documents GROUP BY lang),
+r AS (SELECT *, CASE WHEN language <> 'fr' THEN selected - 1 END AS train FROM p)
+SELECT language, repositories, selected, train FROM r
+UNION ALL SELECT 'ALL', CAST(sum(repositories) AS BIGINT), CAST(sum(selected) AS BIGINT), CAST(sum(train) AS BIGINT) FROM r"""

@@ -247,7 +247,7 @@ def q_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     return H.duplicate_merge_keys(li).select("repository", "merge_commit", F.col("n").cast("long").alias("n"))
 
 
-def _merge_status(spark, sf):
+def _merge_status(spark, sf, *more):
     """pages as `git status` lines: host = merge, https -> both modified
     (UU), http -> added by both (AA); path = URL path + an extension by page
     language (en .java, fr .py, else .ts)."""
@@ -257,7 +257,7 @@ def _merge_status(spark, sf):
     ext = F.when(lang == "en", ".java").when(lang == "fr", ".py").otherwise(".ts")
     path = F.concat(F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1), ext)
     xy = F.when(F.col("url").startswith("https"), "UU").otherwise("AA")
-    return p.select(host.alias("host"), xy.alias("xy"), path.alias("path"))
+    return p.select(host.alias("host"), xy.alias("xy"), path.alias("path"), *more)
 
 
 def q_conflict_file_select(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,8 +343,15 @@ def q_language_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_api_pages_project(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as search-API items, 100 per page; the result is
-    capped at the API's 1000 items, then archived/disabled ones are dropped."""
+    """Events as search-API items, a search per day, 100 per page;
+    a search is capped at the API's 1000 items, then archived/disabled ones are
+    dropped."""
+    rows = RP.api_query_filter(RP.format_api_items(_api_items(spark, sf)), exclude_archived=True)
+    return rows.select("repository", "stars", "language", "created_at", "default_branch", "license",
+                       "architecture", "archived", "disabled")
+
+
+def _api_items(spark, sf):
     from conflictlake.sources.io import api_items
     e = table(spark, sf, "events")
     item = F.struct(
@@ -360,13 +367,135 @@ def q_api_pages_project(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("event_type") == "error").alias("archived"), (F.col("value") < 2.0).alias("disabled"),
         F.lit(None).cast("struct<key:string>").alias("license"),
         F.col("event_id").alias("_order"))
-    pages = (e.groupBy((F.col("event_id") / 100).cast("long").alias("page"))
+    pages = (e.groupBy(F.to_date("ts").alias("search"), (F.col("event_id") / 100).cast("long").alias("page"))
              .agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["_order"] < b["_order"], -1)
                                .when(a["_order"] > b["_order"], 1).otherwise(0)).alias("items")))
-    items = api_items(pages, 1000)
-    rows = RP.api_query_filter(RP.format_api_items(items), exclude_archived=True)
-    return rows.select("repository", "stars", "language", "created_at", "default_branch", "license",
-                       "architecture", "archived", "disabled")
+    return api_items(pages, 1000, "search")
+
+
+def q_api_search(spark: SparkSession, sf: str) -> DataFrame:
+    """the search query's predicates: one language, a least number of stars."""
+    rows = RP.api_query_filter(RP.format_api_items(_api_items(spark, sf)), language="Click", min_stars=50)
+    return rows.select("repository", "stars", "language", "created_at", "archived", "disabled")
+
+
+# --- reports and rejects -------------------------------------------------------------------
+
+def _pairs(spark, sf):
+    return X.resolved_pairs(_blocks(spark, sf))
+
+
+def q_status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """blocks by status."""
+    return X.status_counts(_blocks(spark, sf)).select("status", F.col("blocks").cast("long").alias("n"))
+
+
+def q_metric_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """whole documents as snippets: none holds a start marker, so all are rejected with that reason."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("conflict_id"), F.col("text").alias("conflict"), F.col("text").alias("resolved"))
+    return M.metric_rejects(d)
+
+
+def q_fail_percentages(spark: SparkSession, sf: str) -> DataFrame:
+    """A5."""
+    out = M.fail_percentages(M.metrics(_pairs(spark, sf)))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+def q_summary_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 over the ordered summary."""
+    return S.summary_totals(S.order_summary(q_repo_summary(spark, sf)))
+
+
+def q_per_repository_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A7."""
+    index = table(spark, sf, "documents").select(F.col("doc_id").alias("merge_idx"), F.col("source").alias("repository"))
+    return S.per_repository_counts(S.with_repository(M.metrics(_pairs(spark, sf)), index))
+
+
+def q_first_merge_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 (top-10 report)."""
+    return S.first_merge_ids(M.metrics(_pairs(spark, sf)))
+
+
+def q_select_pairs_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected pairs of a stored metrics table, without trivial ones."""
+    blocks = _blocks(spark, sf)
+    out = M.select_pairs(M.metrics(X.resolved_pairs(blocks)), blocks, drop_trivial=True)
+    return out.select("conflict_id", F.md5("conflict").alias("conflict_md5"), F.md5("resolved").alias("resolved_md5"))
+
+
+def q_dedupe_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact duplicates go before the split, whose sizes are exact."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("conflict_id"), F.col("text").alias("conflict"), F.col("lang").alias("resolved"))
+    return D.split_sizes(D.build_dataset(d, 0.2, 42, dedupe=True)).select("split", F.col("rows").cast("long").alias("n_rows"))
+
+
+def q_file_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Files found in the working tree (pages without a query
+    string) with their merged text (pages without a fragment), and the index of
+    the found ones."""
+    from conflictlake.operators import files as FI
+    from conflictlake.operators.rank import dense_index
+    st = _merge_status(spark, sf).distinct()
+    merges = dense_index(st.select(F.col("host").alias("repository")).distinct(), ["repository"], "merge_idx").checkpoint(eager=True)
+    ids = merges.withColumnRenamed("repository", "host")
+    p = _merge_status(spark, sf, "url", "page_id").join(ids, "host")
+
+    def texts(mark):
+        return p.where(~F.col("url").contains(mark)).groupBy("merge_idx", "path").agg(F.max("page_id").cast("string").alias("text"))
+
+    files = FI.conflicted_files(st.join(ids, "host").select("merge_idx", "xy", "path"), "java")
+    found = FI.pair_texts(files, texts("?"), texts("#"))
+    index = FI.conflict_index_csv(FI.conflict_index(merges, found))
+    counts = found.groupBy("merge_idx").agg(F.count("merged_text").alias("n_merged"), F.sum(F.col("conflict_text").cast("long")).alias("text_sum"))
+    return index.join(counts, "merge_idx").select("merge_idx", "repository", "conflicts", "n_merged", "text_sum")
+
+
+def q_stored_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """The refs with a positive balance's head as the stored list; those
+    that still exist, with today's head and their keys."""
+    refs, _ = _graph(spark, sf)
+    stored = refs.where(F.col("ref_ord") >= 0).select("repository", F.regexp_replace("path", "maintenance$", "gone").alias("path"), (F.col("ref_ord") + 100).alias("ref_ord"))
+    out = H.reuse_cached_refs(stored, refs)
+    from conflictlake.functions.text import ref_key, slug_key
+    return out.select("repository", "path", "head_sha", F.col("ref_ord").cast("long").alias("ref_ord"), ref_key("path").alias("ref_key"),
+                      slug_key(F.concat_ws("/", "repository", "path")).alias("slug"))
+
+
+def q_merge_existing_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Merges of the newest commits' repositories known from before use up the cap."""
+    refs, commits = _graph(spark, sf)
+    known = H.merge_candidates(commits).where(F.col("sha").endswith("3")).select("repository", F.col("sha").alias("merge_commit"))
+    m = H.capped_merges(commits, H.branch_refs(refs, STANDIN_MAX_BRANCHES), known, STANDIN_MAX_MERGES)
+    return m.select("repository", "merge_commit")
+
+
+def q_response_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to opening turns are imported without a write time, later
+    ones are appended with one; the requests that stay without an answer."""
+    from conflictlake.operators import responses as RS
+    from conflictlake.streaming.incremental import append_responses
+    t = _turn_pairs(spark, sf)
+    rows = t.where(F.col("a").isNotNull()).select("turn", F.lit("m1").alias("model"), F.md5("q").alias("cache_key"), F.col("q").alias("prompt"), F.col("a").alias("result"),
+                                                  F.lit(None).cast("string").alias("reasoning"), F.struct("conv_id", "turn").alias("written_at"))
+    first = F.col("turn") <= 1
+    cache = append_responses(rows.where(first).drop("turn", "written_at"), rows.where(~first).drop("turn"))
+    return RS.misses(t.select("conv_id", "turn", F.col("q").alias("prompt")), RS.latest_responses(cache).where("result IS NOT NULL"), model="m1").select("conv_id", "turn", "cache_key")
+
+
+def q_top_by_stars(spark: SparkSession, sf: str) -> DataFrame:
+    """S2, S3 (top-10 report): customers by account balance."""
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("repository"), F.col("c_acctbal").alias("stars"))
+    return RP.top_by_stars(c)
+
+
+def q_language_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The roll-up of the jobs over per-language rows, a language without a split among them."""
+    from conflictlake.plans.jobs import language_rollup
+    d = table(spark, sf, "documents")
+    per = d.groupBy(F.col("lang").alias("language")).agg(F.countDistinct("source").alias("repositories"), F.count("*").alias("selected"))
+    return language_rollup(per.withColumn("train", F.when(F.col("language") != "fr", F.col("selected") - 1)))
 
 
 REGISTRY = {
@@ -398,4 +527,19 @@ REGISTRY = {
     "dedupe_exact": q_dedupe_exact,
     "language_rollup": q_language_rollup,
     "api_pages_project": q_api_pages_project,
+    "api_search": q_api_search,
+    "status_counts": q_status_counts,
+    "metric_rejects": q_metric_rejects,
+    "fail_percentages": q_fail_percentages,
+    "summary_totals": q_summary_totals,
+    "per_repository_counts": q_per_repository_counts,
+    "first_merge_ids": q_first_merge_ids,
+    "select_pairs_join": q_select_pairs_join,
+    "dedupe_split_sizes": q_dedupe_split_sizes,
+    "file_pairs": q_file_pairs,
+    "stored_refs": q_stored_refs,
+    "merge_existing_cap": q_merge_existing_cap,
+    "response_misses": q_response_misses,
+    "top_by_stars": q_top_by_stars,
+    "language_totals": q_language_totals,
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import warnings
 
 from pyspark.sql import SparkSession
 
@@ -52,8 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local"):
-            warnings.warn("spark.checkpoint.dir is unset on a cluster; set it to a shared folder "
-                          "(falling back to a scratch folder on the driver host)")
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="conflictlake-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

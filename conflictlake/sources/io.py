@@ -7,7 +7,9 @@ always given, never inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,14 +75,26 @@ def read_csv(spark: SparkSession, path: str, schema, keep_empty_strings: bool =
 
 def read_csv_dir(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.csv`` below ``path``; files with different headers are
-    unioned by name (missing columns null).  Raises when there is none."""
-    jvm_files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                 .option("pathGlobFilter", "*.csv").load(path).select("path"))
-    files = [r.path for r in jvm_files.collect()]  # file names only, never data
-    if not files:
+    unioned by name (missing columns null).  Raises when there is none.
+
+    The headers come from one distributed scan; then the files of each distinct
+    header are read in one scan, so the driver holds distinct headers only."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                     F.monotonically_increasing_id().alias("line")).where("at = 0"))
+    first = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    headers = sorted(r["header"] for r in first.select("header").distinct().collect())
+    if not headers:
         raise ValueError(f"No CSV files found in {path}")
-    frames = [spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f)
-              for f in sorted(files)]
+    frames = []
+    for h in headers:
+        names = next(csv.reader([h.lstrip("\ufeff")]))
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True)
+                .option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
+                .withColumn("_file", F.col("_metadata.file_path")))
+        mine = first.where(F.col("header") == h).select(F.col("file").alias("_file"))
+        frames.append(rows.join(mine, "_file", "left_semi").drop("_file") if len(headers) > 1 else rows.drop("_file"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -96,27 +110,32 @@ def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
                                              F.monotonically_increasing_id().alias("line")))
 
 
-def api_items(pages: DataFrame, max_results: int = API_RESULT_CAP) -> DataFrame:
-    """Items of the pages in (page, position) order, at most
-    ``min(max_results, 1000)`` (the API never returns more)."""
-    cap = min(max_results, API_RESULT_CAP)
-    items = pages.select("page", F.posexplode("items").alias("pos", "item"))
-    return items.orderBy("page", "pos").limit(cap).select("item.*")
+def api_items(pages: DataFrame, max_results: int = API_RESULT_CAP, search: str | None = None) -> DataFrame:
+    """Items of the pages in (page, position) order, at most ``max_results``
+    per search.
+
+    ``search`` names the column that tells the searches apart (None: all pages
+    are of one search).  The default is what the API returns for one search."""
+    key = [search] if search else []
+    items = pages.select(*key, "page", F.posexplode("items").alias("pos", "item"))
+    w = Window.partitionBy(*key).orderBy("page", "pos")
+    return items.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_results).select("item.*")
 
 
 def read_text_pairs(spark: SparkSession, path: str, first_suffix: str = ".conflict",
                     second_suffix: str = ".final_merged", first_col: str = "conflict_text",
-                    second_col: str = "merged_text", skip_component: str = "conflict_blocks") -> DataFrame:
+                    second_col: str = "merged_text", skip_component: str | None = None) -> DataFrame:
     """``<stem><first_suffix>`` files joined with their sibling
     ``<stem><second_suffix>`` (left join: null when missing).  The stem
     ``<merge_idx>-<file_no>[-<block_no>]`` is split into key columns.  Text
-    is read whole per file; paths with a ``skip_component`` directory are
-    skipped."""
+    is read whole per file.  With ``skip_component`` (the extraction stage gives
+    ``conflict_blocks``) what lies below a directory of that name is left out."""
     def scan(suffix):
         d = (spark.read.option("recursiveFileLookup", True)
              .option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
              .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("fp")))
-        d = d.where(~F.col("fp").contains(f"/{skip_component}/"))
+        if skip_component:
+            d = d.where(~F.col("fp").contains(f"/{skip_component}/"))
         dirn = F.regexp_extract("fp", r"^(.*)/[^/]*$", 1)
         stem = F.regexp_extract("fp", r"([^/]*)" + suffix.replace(".", r"\.") + "$", 1)
         return d.select(dirn.alias("dir"), stem.alias("stem"), "text")
@@ -133,13 +152,14 @@ def read_text_pairs(spark: SparkSession, path: str, first_suffix: str = ".confli
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Cached responses ``<path>/<model>/<md5>.json`` -> T13 rows."""
+    """Cached responses ``<path>/<model>/<md5>.json`` -> T13 rows; a
+    response was written when its file was."""
     d = (spark.read.schema(RESPONSE_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True)
          .option("pathGlobFilter", "*.json").json(path)
          .withColumn("fp", F.col("_metadata.file_path")))
     return d.select(F.regexp_extract("fp", r"([^/]+)/[^/]+\.json$", 1).alias("model"),
                     F.regexp_extract("fp", r"([^/]+)\.json$", 1).alias("cache_key"),
-                    "prompt", "result", "reasoning")
+                    "prompt", "result", "reasoning", F.col("_metadata.file_modification_time").alias("written_at"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

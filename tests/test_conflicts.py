@@ -130,3 +130,17 @@ def test_file_with_many_blocks(spark):
     rows = sorted(extract_blocks(df).collect(), key=lambda r: r.block_no)
     assert time.time() - t0 < 60
     assert [r.resolution for r in rows] == [f"x{i}\n" for i in range(k)]
+
+
+def test_doubling_the_blocks_doubles_the_time(spark):
+    import time
+    took = {}
+    for k in (200, 1000, 2000, 1000, 2000):
+        conflict = "".join(f"c{i}a\nc{i}b\n<<<<<<< L\nx{i}\n=======\ny{i}\n>>>>>>> R\n" for i in range(k)) + "end\n"
+        merged = "".join(f"c{i}a\nc{i}b\nx{i}\n" for i in range(k)) + "end\n"
+        df = spark.createDataFrame([(1, 0, conflict, merged)], "merge_idx long, file_no int, conflict_text string, merged_text string")
+        t0 = time.time()
+        rows = extract_blocks(df).collect()
+        took[k] = min(time.time() - t0, took.get(k, 1e9))
+        assert len(rows) == k and {r.status for r in rows} == {"ok"}
+    assert took[2000] < 2.6 * took[1000] + 1, took

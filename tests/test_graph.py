@@ -47,9 +47,9 @@ def _brute(parents, heads):
     return first, oldest
 
 
-@pytest.mark.parametrize("method", ["jump", "rounds"])
-def test_labels_against_brute_force(spark, method):
-    rnd = random.Random(5)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_labels_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
     rows, expect = [], {}
     for r in range(6):
         repo = f"r{r}"
@@ -61,34 +61,53 @@ def test_labels_against_brute_force(spark, method):
     commits = spark.createDataFrame(rows, C_SCHEMA)
     refs = spark.createDataFrame([(repo, f"{repo}:{h}", k) for repo, (hs, _, _) in expect.items()
                                   for k, h in enumerate(hs)], "repository string, head_sha string, ref_rank int")
-    got = {(r.repository, r.sha): r.ref_rank for r in H.first_reaching_ref(commits, refs, method=method).collect()}
-    old = {(r.repository, r.sha): r.oldest for r in H.oldest_ancestor(commits, method=method).collect()}
+    got = {(r.repository, r.sha): r.ref_rank for r in H.first_reaching_ref(commits, refs).collect()}
+    old = {(r.repository, r.sha): r.oldest for r in H.oldest_ancestor(commits).collect()}
     for repo, (_, first, oldest) in expect.items():
         assert {k[1]: v for k, v in got.items() if k[0] == repo} == {f"{repo}:{i}": v for i, v in first.items()}
         for i, o in oldest.items():
             assert old[(repo, f"{repo}:{i}")] == f"{repo}:{o}"
 
 
-def test_deep_chain_with_merges(spark):
-    """A 3000-commit first-parent chain with side branches merged back: the
-    jump method needs about log2(3000) forest rounds, not 3000."""
+def test_deep_chain_with_merges(spark, monkeypatch):
+    """A 3000-commit first-parent chain with side branches merged back: stretches
+    are contracted, so the rounds stored grow with log2 of the stretch and the
+    number of merges, not with 3000; superseded rounds are deleted."""
+    from conflictlake.operators import stored
     n, rows = 3000, []
     for i in range(n):
         ps = [f"c{i + 1}"] if i < n - 1 else []
         if i % 500 == 0 and i + 2 < n:
             ps.append(f"s{i}")
-            rows.append(("r", f"s{i}", [f"c{i + 2}"], i))
-        rows.append(("r", f"c{i}", ps, i))
+            rows.append(("r", f"s{i}", [f"c{i + 2}"], 2 * i + 1))
+        rows.append(("r", f"c{i}", ps, 2 * i))
     commits = spark.createDataFrame(rows, C_SCHEMA)
     refs = spark.createDataFrame([("r", "c0", 0), ("r", "s1000", 1)], "repository string, head_sha string, ref_rank int")
-    got = {r.sha: r.ref_rank for r in H.first_reaching_ref(commits, refs, method="jump").collect()}
+    made, gone = [], []
+    write, delete = stored.Stored.__init__, stored.Stored.delete
+    monkeypatch.setattr(stored.Stored, "__init__", lambda self, *a: (write(self, *a), made.append(self.path))[0])
+    monkeypatch.setattr(stored.Stored, "delete", lambda self: (delete(self), gone.append(self.path))[0])
+    got = {r.sha: r.ref_rank for r in H.first_reaching_ref(commits, refs).collect()}
     assert len(got) == n + 6 and got["c2999"] == 0 and got["s1000"] == 0
-    old = {r.sha: r.oldest for r in H.oldest_ancestor(commits, method="jump").collect()}
+    assert len(made) <= 40 and len(gone) >= len(made) // 3
+    made.clear()
+    old = {r.sha: r.oldest for r in H.oldest_ancestor(commits).collect()}
     assert old["c0"] == "c2999" and old["s500"] == "c2999"
+    assert len(made) <= 40
+
+
+def test_wanted_commits_only(spark):
+    rnd = random.Random(11)
+    rows, parents = _random_dag(rnd, 40, "r")
+    commits = spark.createDataFrame(rows, C_SCHEMA)
+    ask = [0, 7, 21, 39]
+    wanted = spark.createDataFrame([("r", f"r:{i}") for i in ask], "repository string, sha string")
+    got = {r.sha: r.oldest for r in H.oldest_ancestor(commits, wanted).collect()}
+    assert got == {f"r:{i}": f"r:{max(_ancestors(parents, i))}" for i in ask}
 
 
-@pytest.mark.parametrize("use_jumps", [True, False])
-def test_ancestor_pairs_against_brute_force(spark, use_jumps):
+def test_ancestor_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(H, "WORD", 5)
     rnd = random.Random(9)
     rows, pairs, expect = [], [], {}
     for r in range(5):
@@ -101,23 +120,9 @@ def test_ancestor_pairs_against_brute_force(spark, use_jumps):
             pid = f"{repo}-{q}"
             pairs.append((repo, pid, f"{repo}:{a}", f"{repo}:{b}"))
             expect[pid] = b in _ancestors(parents, a)
+        pairs.append((repo, f"{repo}-back", f"{repo}:{n - 1}", f"{repo}:0"))
+        pairs.append((repo, f"{repo}-self", f"{repo}:1", f"{repo}:1"))
+        expect[f"{repo}-back"], expect[f"{repo}-self"] = False, True
     commits = spark.createDataFrame(rows, C_SCHEMA)
     pdf = spark.createDataFrame(pairs, "repository string, pair_id string, start string, target string")
-    got = ({r.pair_id: r.is_ancestor for r in H._ancestor_pairs_jump(commits, pdf, H.first_parent_jumps(commits))
-            .collect()} if use_jumps else
-           {r.pair_id: r.is_ancestor for r in H.ancestor_pairs(commits, pdf).collect()})
-    assert got == expect
-
-
-def test_auto_switches_to_jumping_on_deep_chain(spark):
-    """200 generations: plain rounds give up after AUTO_ROUNDS and the jump
-    method finishes; the labels equal the brute force."""
-    n = 200
-    rows = [("r", f"c{i}", [f"c{i + 1}"] if i < n - 1 else [], i) for i in range(n)]
-    commits = spark.createDataFrame(rows, C_SCHEMA)
-    refs = spark.createDataFrame([("r", "c0", 0), ("r", "c150", 1)], "repository string, head_sha string, ref_rank int")
-    got = {r.sha: r.ref_rank for r in H.first_reaching_ref(commits, refs).collect()}
-    assert len(got) == n and set(got.values()) == {0}
-    pairs = spark.createDataFrame([("r", "p", "c3", "c190"), ("r", "q", "c190", "c3")],
-                                  "repository string, pair_id string, start string, target string")
-    assert {r.pair_id: r.is_ancestor for r in H.ancestor_pairs(commits, pairs).collect()} == {"p": True, "q": False}
+    assert {r.pair_id: r.is_ancestor for r in H.ancestor_pairs(commits, pdf).collect()} == expect

@@ -52,6 +52,8 @@ def test_text_pairs_and_responses(spark):
         json.dump({"prompt": "p", "result": "r"}, f, indent=4)
     resp = io.read_responses(spark, os.path.join(d, "cache")).collect()
     assert [(r.model, r.cache_key, r.result, r.reasoning) for r in resp] == [("m1", "abc", "r", None)]
+    from conflictlake.operators.responses import latest_responses
+    assert resp[0].written_at is not None and latest_responses(io.read_responses(spark, os.path.join(d, "cache"))).first().result == "r"
 
 
 def test_api_pages_cap_and_dir_union(spark):
@@ -62,6 +64,9 @@ def test_api_pages_cap_and_dir_union(spark):
             f.write(json.dumps({"total_count": 1800, "items": items}) + "\n")
     items = io.api_items(io.read_api_pages(spark, d), 5000)
     assert items.count() == 1000
+    # the cap holds for each search, not for all of them together
+    two = spark.range(2).selectExpr("concat('s', id) as search", "id as page", "transform(sequence(1, 800), i -> named_struct('n', i)) as items")
+    assert io.api_items(two, search="search").count() == 1600 and io.api_items(two, 500, "search").count() == 1000
     from pyspark.sql import Observation
     obs = Observation("archived")
     kept = RP.api_query_filter(RP.format_api_items(items).withColumn(
@@ -77,6 +82,13 @@ def test_api_pages_cap_and_dir_union(spark):
         f.write("repository,notes\no/b,n\n")
     u = io.read_csv_dir(spark, c)
     assert sorted(u.columns) == ["notes", "repository", "stars"] and u.count() == 2
+    assert {(r.repository, r.stars, r.notes) for r in u.collect()} == {("o/a", "1", None), ("o/b", None, "n")}
+    blocks = os.path.join(_tmp(), "conflict_blocks")
+    os.makedirs(blocks)
+    with open(os.path.join(blocks, "1-0-1.conflict"), "w") as f:
+        f.write("x")
+    assert io.read_text_pairs(spark, blocks).count() == 1
+    assert io.read_text_pairs(spark, blocks, skip_component="conflict_blocks").count() == 0
 
 
 def test_row_position_follows_file_order_across_splits(spark):

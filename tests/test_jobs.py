@@ -113,6 +113,54 @@ def test_history_and_files_jobs(spark):
     assert f == [(0, "lib/Z.java", True), (1, "src/A.java", False)]
     idx = sorted(r.conflict_id for r in spark.read.parquet(os.path.join(d, "index")).collect())
     assert idx == ["0-0", "0-1"]
+    # the index lists found files only; a merge without any is not in it
+    spark.createDataFrame([(0, "UU", "src/A.java"), (0, "UU", "gone/B.java"), (1, "UU", "gone/C.java")], "merge_idx long, xy string, path string") \
+        .write.parquet(os.path.join(d, "status2"))
+    jobs.files_job(spark, os.path.join(d, "merges2"), os.path.join(d, "status2"), os.path.join(d, "wt"),
+                   os.path.join(d, "final"), os.path.join(d, "files2"), os.path.join(d, "index2"))
+    assert [(r.merge_idx, r.conflict_id) for r in spark.read.parquet(os.path.join(d, "index2")).collect()] == [(0, "0-1")]
+
+
+def test_history_job_reruns(spark):
+    """A doubled key among the known merges is fatal; a lower cap keeps those collected first, not the smallest shas."""
+    from conflictlake.plans.jobs import BuildOptions
+    d = tempfile.mkdtemp(prefix="cl-rerun-")
+    p = lambda n: os.path.join(d, n)
+    commits = [("o/a", "z1", ["y1", "b"], 0), ("o/a", "y1", ["x1", "b"], 1), ("o/a", "x1", ["b", "c"], 2), ("o/a", "b", [], 3), ("o/a", "c", [], 4)]
+    spark.createDataFrame(commits, "repository string, sha string, parents array<string>, commit_ord long").write.parquet(p("commits"))
+    refs = spark.createDataFrame([("o/a", "refs/heads/main", "z1", 0)], "repository string, path string, head_sha string, ref_ord int")
+    refs.write.parquet(p("refs"))
+    refs.select("repository", "path", (F.col("ref_ord") + 7).alias("ref_ord")).write.parquet(p("stored"))
+    jobs.history_job(spark, p("refs"), p("commits"), p("m1"), opts=BuildOptions(max_num_merges=3), stored_refs_path=p("stored"))
+    first = spark.read.parquet(p("m1"))
+    assert sorted(r.merge_commit for r in first.collect()) == ["x1", "y1", "z1"]
+    jobs.history_job(spark, p("refs"), p("commits"), p("m2"), p("m1"), BuildOptions(max_num_merges=2))
+    assert sorted(r.merge_commit for r in spark.read.parquet(p("m2")).collect()) == ["y1", "z1"]
+    first.unionByName(first.limit(1)).write.parquet(p("twice"))
+    with pytest.raises(ValueError):
+        jobs.history_job(spark, p("refs"), p("commits"), p("m3"), p("twice"))
+
+
+def test_response_without_write_time(spark):
+    rows = [("m", "k1", "p1", "r1", None), ("m", "k2", "p2", "old", None), ("m", "k2", "p2", "new", 5)]
+    cache = spark.createDataFrame(rows, "model string, cache_key string, prompt string, result string, written_at int")
+    assert {r.cache_key: r.result for r in RS.latest_responses(cache).collect()} == {"k1": "r1", "k2": "new"}
+
+
+def test_selection_job(spark):
+    """Catalogue dump -> clean catalogue -> slice of one language by stars."""
+    d = tempfile.mkdtemp(prefix="cl-select-")
+    os.makedirs(os.path.join(d, "dump"))
+    head = ",".join(io.CATALOGUE_COLUMNS)
+    line = lambda name, lang, stars: f"{name},{lang}," + ",".join("1" if c != "stars" else str(stars) for c in io.CATALOGUE_COLUMNS[2:])
+    rows = [line(f"o/r{i}", "Java", i) for i in range(12)] + [line("o/py", "Python", 99), line("o/none", "NA", 5), line("elastic/elasticsearch", "Java", 500)]
+    with open(os.path.join(d, "dump", "a.csv"), "w") as f:
+        f.write("\n".join([head, *rows]) + "\n")
+    out, cut = os.path.join(d, "clean"), os.path.join(d, "slice")
+    jobs.selection_job(spark, os.path.join(d, "dump"), out, cut, "Java", 2, 5)
+    clean = spark.read.option("header", True).csv(out)
+    assert clean.count() == 13 and {"o/none", "elastic/elasticsearch"}.isdisjoint({r.repository for r in clean.collect()})
+    assert [r.repository for r in sorted(spark.read.option("header", True).csv(cut).collect(), key=lambda r: -float(r.stars))] == ["o/r9", "o/r8", "o/r7"]
 
 
 def test_conflict_index_csv(spark):

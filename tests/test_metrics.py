@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from conflictlake.operators import dataset as D
 from conflictlake.operators import metrics as M
 from conflictlake.operators import summary as S
@@ -79,21 +81,19 @@ def test_m09_split_sizes(spark):
     assert a == b
 
 
-def test_tokenizer_udf_count(spark, tmp_path):
-    from tokenizers import Tokenizer
-    from tokenizers.models import WordLevel
-    from tokenizers.pre_tokenizers import Whitespace
-
-    from conflictlake.functions.tokens import question_tokens
-    tok = Tokenizer(WordLevel({"[UNK]": 0, "x": 1}, unk_token="[UNK]"))
-    tok.pre_tokenizer = Whitespace()
-    path = str(tmp_path / "tokenizer.json")
-    tok.save(path)
-    df = spark.createDataFrame([("a", BLOCK, "x\n")], "conflict_id string, conflict string, resolved string")
-    got = M.compute_metrics(df, token_count=question_tokens(path)).first()
-    question = M.QUERY_PROMPT + "```java\n" + BLOCK.rstrip("\n") + "\n```"
-    expected = len(tok.encode(question).ids)
-    assert got.num_tokens_query == expected
+def test_split_moves_no_text(spark):
+    """Only ids go through an exchange; the texts stay where they are."""
+    pairs = spark.range(30).selectExpr("cast(id as string) as conflict_id", "concat('c', id) as conflict", "concat('r', id) as resolved")
+    plan = D.build_dataset(pairs.repartition(3), 0.2, 42)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dedupe_before_split_keeps_sizes_exact(spark, seed):
+    rows = [(f"{i}", f"c{i % 37}", "r") for i in range(100)]
+    pairs = spark.createDataFrame(rows, "conflict_id string, conflict string, resolved string")
+    sizes = {r.split: r.rows for r in D.split_sizes(D.build_dataset(pairs, 0.2, seed, dedupe=True)).collect()}
+    assert sizes == {"test": 8, "train": 29}
 
 
 def test_summary_reports(spark):

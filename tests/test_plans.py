@@ -40,5 +40,5 @@ def test_merge_cap_uses_group_limit(spark):
     from conflictlake.operators import history as H
     from conflictlake.plans.inputs import standin_commits, standin_refs, table
     cust = table(spark, SF01, "customer")
-    m = H.capped_merges(standin_commits(cust), H.branch_refs(standin_refs(cust), 3), None, 15, jumps=None)
+    m = H.capped_merges(standin_commits(cust), H.branch_refs(standin_refs(cust), 3), None, 15)
     assert "WindowGroupLimit" in _plan(m)
