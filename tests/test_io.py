@@ -62,8 +62,9 @@ def test_api_pages_cap_and_dir_union(spark):
         for p in range(3):
             items = [{"full_name": f"o/r{p}{i}", "stargazers_count": i, "archived": False} for i in range(600)]
             f.write(json.dumps({"total_count": 1800, "items": items}) + "\n")
-    items = io.api_items(io.read_api_pages(spark, d), 5000)
-    assert items.count() == 1000
+    pages = io.read_api_pages(spark, d)
+    items = io.api_items(pages)
+    assert items.count() == 1000 and io.api_items(pages, 5000).count() == 1800
     # the cap holds for each search, not for all of them together
     two = spark.range(2).selectExpr("concat('s', id) as search", "id as page", "transform(sequence(1, 800), i -> named_struct('n', i)) as items")
     assert io.api_items(two, search="search").count() == 1600 and io.api_items(two, 500, "search").count() == 1000
