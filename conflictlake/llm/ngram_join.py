@@ -10,11 +10,18 @@ passage that many documents share thus rarely gets into a prefix.
    and size a *group*; only one row per group posts its prefix.
 2. The postings of an n-gram form a *list*; lists of one group go, the others
    are expanded to their classes, and the classes of a group are a list too.
-3. Lists whose classes are connected already hold nothing new.  Star rounds
-   first verify each class against one class of its lists; the pairs left after
-   that - between different components, sharing as many prefix n-grams as the
-   threshold implies - are all verified.  So a group of copies costs a pair per
-   class, not a pair per pair, and no link between components is lost.
+3. Every class picks a *head*: the class that leads most of its lists (the one in
+   most lists leads a list), if they share as many prefix n-grams as the threshold
+   implies.  Classes with a common head form a cluster, and clusters are verified
+   in blocks of CELL classes: a task takes the whole sets of a block and its head
+   and gets all overlaps at once as a matrix product.  Only edges that connect
+   something leave the task.  What is still apart in a cluster of several blocks is
+   verified block against block, without its largest component against itself.
+4. Pairs from different clusters that a list brings together, in different
+   components and with enough common prefix n-grams, are verified one by one.
+
+So a group of copies costs rows in proportion to its size, and no link between
+components is lost.
 
 N-grams are 64-bit hashes.  Verification intersects whole sets.
 """
@@ -34,7 +41,8 @@ from conflictlake.llm import words as W
 from conflictlake.llm.common import byte_column, chunks, map_arrow, settled
 
 SLOTS, BLOCK, FAN = 1 << 20, 1 << 12, 128
-STAR_ROUNDS = 2
+SIEVE_BITS = 1 << 24
+CELL = 256
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +114,11 @@ def _running(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
 
 
-SIGNED = "doc_id long, tkey long, cid long, size int, phash long, prefix binary"
+SIGNED = "doc_id long, tkey long, cid long, size int, phash long, last long, prefix binary"
 
 
 def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
-    """Per document: class id (0: no n-gram), set size, prefix."""
+    """Per document: class id (0: no n-gram), set size, prefix, and the place of its last n-gram in the order."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
@@ -128,10 +136,12 @@ def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
                 cid = np.where(size > 0, cid | np.uint64(1), 0)
                 pre = _running(W.mix(key))
                 phash = W.mix(pre[first[:-1] + take] - pre[first[:-1]])
+                end = first[:-1] + take
+                last = np.where(take > 0, np.append(key, np.uint64(0))[np.maximum(end - 1, 0)] >> np.uint64(1), 0)
                 prefix = [key[a:a + k].tobytes() for a, k in zip(first[:-1].tolist(), take.tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], b.column(2)[lo:hi], pa.array(cid.view(np.int64)), pa.array(size.astype(np.int32)),
-                                                  pa.array(phash.view(np.int64)), pa.array(prefix, pa.binary())],
-                                                 names=["doc_id", "tkey", "cid", "size", "phash", "prefix"])
+                                                  pa.array(phash.view(np.int64)), pa.array(last.astype(np.int64)), pa.array(prefix, pa.binary())],
+                                                 names=["doc_id", "tkey", "cid", "size", "phash", "last", "prefix"])
 
     return map_arrow(_source(docs), sign, SIGNED)
 
@@ -139,7 +149,7 @@ def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
 def _lists(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, entries): the classes with their group, and the lists that several classes share."""
     some = signed.where("size > 0")
-    classes = some.groupBy("cid").agg(F.first("size").alias("size"), F.first("phash").alias("phash"), F.min("doc_id").alias("least"),
+    classes = some.groupBy("cid").agg(F.first("size").alias("size"), F.first("phash").alias("phash"), F.first("last").alias("last"), F.min("doc_id").alias("least"),
                                       F.min(F.struct("doc_id", "tkey")).alias("source"))
     heads = classes.groupBy("phash", "size").agg(F.min("cid").alias("gid"), F.count("*").alias("n_classes"))
     classes = settled(classes.join(heads, ["phash", "size"]), "classes")
@@ -155,24 +165,51 @@ def _lists(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     posts = map_arrow(posting.select("gid", "prefix"), expand, "list long, gid long")
     shared = settled(posts.withColumn("n", F.count("*").over(Window.partitionBy("list"))).where("n > 1").drop("n"), "shared")
-    by_ngram = shared.join(classes.select("gid", "cid", "size"), "gid").select("list", "cid", "size", F.lit(1).alias("weight"))
-    by_group = classes.where("n_classes > 1").select(F.xxhash64(F.lit("group"), "gid").alias("list"), "cid", "size", F.lit(1 << 20).alias("weight"))
+    by_ngram = shared.join(classes.select("gid", "cid", "size", "last"), "gid").select("list", "cid", "size", "last", F.lit(1).alias("weight"))
+    by_group = classes.where("n_classes > 1").select(F.xxhash64(F.lit("group"), "gid").alias("list"), "cid", "size", "last", F.lit(1 << 20).alias("weight"))
     return classes, settled(by_ngram.unionByName(by_group), "entries")
 
 
-def _needed(a: str, b: str, percent: int):
-    """How many prefix n-grams two linked sets of these sizes share at least, and whether the sizes allow a link."""
-    overlap = F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent) - 1e-9)
-    rest = F.greatest(F.ceil(percent * F.col(a) / 100 - 1e-9), F.ceil(percent * F.col(b) / 100 - 1e-9)) - 1
-    fits = (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    return F.greatest(overlap - rest, F.lit(1)), fits
+def _needed(percent: int):
+    """How many prefix n-grams two linked sets share at least, and whether the sizes allow a link.
+
+    Up to the earlier of the two prefix ends, every common n-gram is in both
+    prefixes; past it, the set whose prefix ends there has only its rest to share.
+    """
+    overlap = F.ceil(percent * (F.col("size") + F.col("other")) / (100 + percent) - 1e-9)
+    mine, its = (F.ceil(percent * F.col(c) / 100 - 1e-9) - 1 for c in ("size", "other"))
+    rest = F.when(F.col("last") < F.col("its_last"), mine).when(F.col("last") > F.col("its_last"), its).otherwise(F.greatest(mine, its))
+    return F.greatest(overlap - rest, F.lit(1)), 100 * F.least("size", "other") >= percent * F.greatest("size", "other")
+
+
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """A bit map of fixed size with the bit of every key set."""
+    slot = F.col("tkey").bitwiseAND(F.lit(SIEVE_BITS - 1))
+    rows = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast((tkey & {SIEVE_BITS - 1}) % 64 as int))").alias("bit"))
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # SIEVE_BITS / 64 rows at most
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, ngrams): the sorted n-gram hashes of one document of each wanted class."""
-    src = _source(docs).withColumn("k", F.coalesce("doc_id", F.lit(0)))
-    keys = wanted.select(F.coalesce("source.doc_id", F.lit(0)).alias("k"), F.col("source.tkey").alias("tkey"), "cid")
-    rows = src.join(keys, ["k", "tkey"]).select("t", "cid")
+    """(cid, ngrams): the sorted n-gram hashes of one document of each wanted class.
+
+    A bit map of the wanted texts' hashes leaves out most other texts before the
+    join, which is exact.
+    """
+    spark = docs.sparkSession
+    keys = settled(wanted.select(F.coalesce("source.doc_id", F.lit(0)).alias("k"), F.col("source.tkey").alias("tkey"), "cid"), "wanted")
+    sieve = spark.sparkContext.broadcast(_sieve(keys))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = b.column(1).to_numpy().view(np.uint64) & np.uint64(SIEVE_BITS - 1)
+            word = sieve.value[(slot >> np.uint64(6)).astype(np.int64)]
+            yield b.filter(pa.array(((word >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)))
+
+    src = _source(docs).select("t", "tkey", F.coalesce("doc_id", F.lit(0)).alias("k"))
+    rows = map_arrow(src, thin, src.schema).join(keys, ["k", "tkey"]).select("t", "cid")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,6 +227,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return settled(map_arrow(rows, collect, "cid long, ngrams binary").dropDuplicates(["cid"]), "sets")
 
 
+def _sets(col) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in col]
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("ngrams").alias("x")), "a").join(
@@ -198,8 +239,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(_sets(batch.column(2)), _sets(batch.column(3))):
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -211,12 +251,72 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, test, "a long, b long")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """|x & y| of every x of ``left`` and y of ``right``, some thousand n-grams at a time."""
+    gram = np.concatenate([*left, *right])
+    side = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]])
+    by = np.argsort(gram, kind="stable")
+    gram, side = gram[by], side[by]
+    new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1 if len(gram) else new
+    gram_column, side = column[shared], side[shared]
+    _, column = np.unique(gram_column, return_inverse=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    width, at = 4096, 0
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        to = np.searchsorted(column, lo + width)
+        m = np.zeros((len(left) + len(right), width), np.float32)
+        m[side[at:to], column[at:to] - lo] = 1
+        out += m[:len(left)] @ m[len(left):].T
+        at = to
+    return out
+
+
+def cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the classes of each cell.
+
+    ``cells``: (head, i, j, cid, left, right, label, ngrams), at most about twice
+    CELL rows a cell.  Classes on the left are compared with those on the right.
+    """
+
+    def verify(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        cid, label = t["cid"].to_numpy(), t["label"].to_numpy()
+        is_left, is_right = (np.asarray(t[c]) for c in ("left", "right"))
+        sets = _sets(t["ngrams"].chunk(0) if t.num_rows else [])
+        size = np.array([len(x) for x in sets], np.int64)
+        li, ri = np.flatnonzero(is_left), np.flatnonzero(is_right)
+        same = _overlaps([sets[i] for i in li], [sets[i] for i in ri]).astype(np.int64) if len(li) and len(ri) else np.zeros((len(li), len(ri)), np.int64)
+        ok = 100 * same >= percent * (size[li][:, None] + size[ri][None, :] - same)
+        up = {x: x for x in label.tolist()}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        a, b = [], []
+        for x, y in zip(*np.nonzero(ok)):
+            u, v = top(int(label[li[x]])), top(int(label[ri[y]]))
+            if u != v:  # an edge only if it connects
+                up[u] = v
+                a.append(cid[li[x]])
+                b.append(cid[ri[y]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("head", "i", "j").applyInArrow(verify, "a long, b long")
+
+
 def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (cid, label) after joining what ``edges`` (a, b) connect; a component has its smallest label.
 
     Each round hooks every component to its smallest neighbour and shortens the
     resulting trees to stars by pointer jumping; edges inside a component go.
     """
+    if edges.isEmpty():
+        return labels
     while True:
         e = edges.join(labels.select(F.col("cid").alias("a"), F.col("label").alias("la")), "a").join(
             labels.select(F.col("cid").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
@@ -245,27 +345,52 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
     signed = settled(signatures(docs, n, percent, levels), "signed")
     classes, entries = _lists(signed)
-    labels = settled(entries.select("cid").distinct().withColumn("label", F.col("cid")), "labels")
-    sets = sets_of(docs, classes.join(labels, "cid", "left_semi").select("cid", "source"), n)
-    need, fits = _needed("size", "other", percent)
+    need, fits = _needed(percent)
     per_list = Window.partitionBy("list")
-
-    def open_lists() -> DataFrame:
-        e = entries.join(labels, "cid")
-        return e.withColumn("lo", F.min("label").over(per_list)).withColumn("hi", F.max("label").over(per_list)).where("lo <> hi").drop("lo", "hi")
-
-    for r in range(STAR_ROUNDS):
-        head = F.min(F.struct(F.xxhash64(F.lit(r), "cid").alias("h"), "cid", "label", "size")).over(per_list)
-        star = open_lists().withColumn("head", head).where("label <> head.label").select(
-            "cid", "size", "weight", F.col("head.cid").alias("to"), F.col("head.size").alias("other"))
-        star = star.groupBy("cid", "to", "size", "other").agg(F.sum("weight").alias("common")).where(fits & (F.col("common") >= need))
-        best = star.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("common", "to")).alias("best")).select("a", F.col("best.to").alias("b"))
-        labels = components(labels, settled(linked(best, sets, percent), "links"))
-    left = settled(open_lists(), "open")
-    right = left.select("list", F.col("cid").alias("to"), F.col("label").alias("label2"), F.col("size").alias("other"))
-    rest = left.join(right, "list").where((F.col("label") < F.col("label2")) & fits)
-    rest = rest.groupBy(F.col("cid").alias("a"), F.col("to").alias("b"), "size", "other").agg(F.sum("weight").alias("common")).where(F.col("common") >= need)
-    labels = components(labels, settled(linked(rest.select("a", "b"), sets, percent), "links"))
+    degree = entries.groupBy("cid").agg(F.count("*").alias("lists"))
+    led = entries.join(degree, "cid").withColumn("head", F.min(F.struct(-F.col("lists"), F.xxhash64("cid"), "cid", "size", "last")).over(per_list))
+    star = led.where("cid <> head.cid").select("cid", "size", "last", "weight", F.col("head.cid").alias("to"), F.col("head.size").alias("other"), F.col("head.last").alias("its_last"))
+    star = star.groupBy("cid", "to", "size", "other", "last", "its_last").agg(F.sum("weight").alias("common")).where(fits & (F.col("common") >= need))
+    heads = settled(star.groupBy("cid").agg(F.max(F.struct("common", "to")).alias("best")).select("cid", F.col("best.to").alias("head")), "heads")
+    members = settled(heads.union(heads.select(F.col("head").alias("cid"), "head").distinct()), "members")
+    labels = settled(entries.select("cid").distinct().withColumn("label", F.col("cid")), "labels")
+    sets = sets_of(docs, classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "source"), n)
+    blocks = members.groupBy("head").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    placed = settled(members.join(blocks, "head").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "placed")
+
+    # each block with its head: the head is a member of one block and joins the others
+    others = placed.where("cid = head").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("head", "cid", "i")
+    own = placed.where("cid <> head").select("head", "cid", F.col("block").alias("i")).unionByName(others)
+    cells = own.withColumn("j", F.col("i")).join(sets, "cid").withColumns({"left": F.lit(True), "right": F.lit(True), "label": F.col("cid")})
+    labels = components(labels, settled(cell_links(cells, percent), "links"))
+
+    # clusters of several blocks: what is not in the largest component, block against block
+    wide = placed.where("blocks > 1").join(labels, "cid")
+    most = wide.groupBy("head", "label").agg(F.count("*").alias("n")).groupBy("head").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts"))
+    wide = wide.join(most.where("parts > 1").select("head", F.col("m.label").alias("largest")), "head").withColumn("minor", F.col("label") != F.col("largest"))
+    wide = settled(wide.select("head", "cid", "label", "block", "blocks", "minor"), "wide")
+    if not wide.isEmpty():
+        minors = wide.where("minor").groupBy("head").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+        both = wide.join(minors, "head")
+        row = ["head", "cid", "label"]
+        left = both.where("minor").withColumn("i", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = both.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cells = left.select(*row, "i", "j", F.lit(True).alias("left"), F.lit(False).alias("right")).unionByName(
+            right.select(*row, "i", "j", F.lit(False).alias("left"), F.lit(True).alias("right")))
+        labels = components(labels, settled(cell_links(cells.join(sets, "cid"), percent), "links"))
+
+    # across clusters
+    led = entries.join(labels, "cid").join(heads, "cid", "left").withColumn("head", F.coalesce("head", "cid"))
+    led = led.withColumn("lo", F.min("label").over(per_list)).withColumn("hi", F.max("label").over(per_list)).where("lo <> hi").drop("lo", "hi")
+    mine = settled(led, "open")
+    its = mine.select("list", F.col("cid").alias("to"), F.col("label").alias("label2"), F.col("size").alias("other"), F.col("last").alias("its_last"), F.col("head").alias("head2"))
+    rest = mine.join(its, "list").where((F.col("label") < F.col("label2")) & (F.col("head") != F.col("head2")) & (F.col("head") != F.col("to")) & (F.col("head2") != F.col("cid")) & fits)
+    rest = rest.groupBy(F.col("cid").alias("a"), F.col("to").alias("b"), "size", "other", "last", "its_last").agg(F.sum("weight").alias("common"))
+    pairs = settled(rest.where(F.col("common") >= need).select("a", "b"), "pairs")
+    if not pairs.isEmpty():
+        met = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+        sets = sets_of(docs, classes.join(met, "cid", "left_semi").select("cid", "source"), n)
+        labels = components(labels, settled(linked(pairs, sets, percent), "links"))
 
     named = classes.select("cid", "least").join(labels, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
     whole = named.groupBy("label").agg(F.min("least").alias("component_id"))

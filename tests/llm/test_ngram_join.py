@@ -53,8 +53,9 @@ def corpus(seed):
     return rows + [(500, None), (501, ""), (502, " \n"), (503, "Solo"), (504, "solo"), (505, "é\xa0ü"), (3, rows[0][1]), (None, "solo"), (None, "nobody else"), (7, "x y z"), (7, "x y z")]
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 50)])
-def test_components(spark, n, percent):
+@pytest.mark.parametrize("n,percent,cell", [(4, 85, 256), (5, 80, 8), (1, 50, 16)])
+def test_components(spark, monkeypatch, n, percent, cell):
+    monkeypatch.setattr(J, "CELL", cell)
     rows = corpus(n)
     docs = spark.createDataFrame([(d, t, "a", "b", 1) for d, t in rows], "doc_id long, text string, cid string, size string, label int").repartition(5)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.join(docs, n, percent).collect()]
