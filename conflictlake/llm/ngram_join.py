@@ -42,6 +42,7 @@ from conflictlake.llm.common import byte_column, chunks, map_arrow, settled
 
 SLOTS, BLOCK, FAN = 1 << 20, 1 << 12, 128
 SIEVE_BITS = 1 << 24
+GROUP_WEIGHT = 1 << 20  # classes of one group share their whole prefix
 CELL = 256
 
 
@@ -165,8 +166,9 @@ def _lists(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     posts = map_arrow(posting.select("gid", "prefix"), expand, "list long, gid long")
     shared = settled(posts.withColumn("n", F.count("*").over(Window.partitionBy("list"))).where("n > 1").drop("n"), "shared")
-    by_ngram = shared.join(classes.select("gid", "cid", "size", "last"), "gid").select("list", "cid", "size", "last", F.lit(1).alias("weight"))
-    by_group = classes.where("n_classes > 1").select(F.xxhash64(F.lit("group"), "gid").alias("list"), "cid", "size", "last", F.lit(1 << 20).alias("weight"))
+    shared = shared.withColumn("lists", F.count("*").over(Window.partitionBy("gid")))  # of the group, so of each of its classes
+    by_ngram = shared.join(classes.select("gid", "cid", "size", "last"), "gid").select("list", "cid", "size", "last", F.lit(1).alias("weight"), "lists")
+    by_group = classes.where("n_classes > 1").select(F.xxhash64(F.lit("group"), "gid").alias("list"), "cid", "size", "last", F.lit(GROUP_WEIGHT).alias("weight"), F.lit(GROUP_WEIGHT).cast("long").alias("lists"))
     return classes, settled(by_ngram.unionByName(by_group), "entries")
 
 
@@ -347,8 +349,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     classes, entries = _lists(signed)
     need, fits = _needed(percent)
     per_list = Window.partitionBy("list")
-    degree = entries.groupBy("cid").agg(F.count("*").alias("lists"))
-    led = entries.join(degree, "cid").withColumn("head", F.min(F.struct(-F.col("lists"), F.xxhash64("cid"), "cid", "size", "last")).over(per_list))
+    led = entries.withColumn("head", F.min(F.struct(-F.col("lists"), F.xxhash64("cid"), "cid", "size", "last")).over(per_list))
     star = led.where("cid <> head.cid").select("cid", "size", "last", "weight", F.col("head.cid").alias("to"), F.col("head.size").alias("other"), F.col("head.last").alias("its_last"))
     star = star.groupBy("cid", "to", "size", "other", "last", "its_last").agg(F.sum("weight").alias("common")).where(fits & (F.col("common") >= need))
     heads = settled(star.groupBy("cid").agg(F.max(F.struct("common", "to")).alias("best")).select("cid", F.col("best.to").alias("head")), "heads")
@@ -381,10 +382,13 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     # across clusters
     led = entries.join(labels, "cid").join(heads, "cid", "left").withColumn("head", F.coalesce("head", "cid"))
+    led = led.withColumn("reach", F.sum("weight").over(Window.partitionBy("cid"))).drop("lists")  # no pair of the class shares more
     led = led.withColumn("lo", F.min("label").over(per_list)).withColumn("hi", F.max("label").over(per_list)).where("lo <> hi").drop("lo", "hi")
     mine = settled(led, "open")
-    its = mine.select("list", F.col("cid").alias("to"), F.col("label").alias("label2"), F.col("size").alias("other"), F.col("last").alias("its_last"), F.col("head").alias("head2"))
-    rest = mine.join(its, "list").where((F.col("label") < F.col("label2")) & (F.col("head") != F.col("head2")) & (F.col("head") != F.col("to")) & (F.col("head2") != F.col("cid")) & fits)
+    its = mine.select("list", F.col("cid").alias("to"), F.col("label").alias("label2"), F.col("size").alias("other"), F.col("last").alias("its_last"),
+                      F.col("head").alias("head2"), F.col("reach").alias("its_reach"))
+    rest = mine.join(its, "list").where((F.col("label") < F.col("label2")) & (F.col("head") != F.col("head2")) & (F.col("head") != F.col("to")) & (F.col("head2") != F.col("cid"))
+                                        & fits & (F.least("reach", "its_reach") >= need))
     rest = rest.groupBy(F.col("cid").alias("a"), F.col("to").alias("b"), "size", "other", "last", "its_last").agg(F.sum("weight").alias("common"))
     pairs = settled(rest.where(F.col("common") >= need).select("a", "b"), "pairs")
     if not pairs.isEmpty():
