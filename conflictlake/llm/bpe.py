@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 # Fixed values of the byte-level pre-tokenizer: contractions, letters, digits, others, space.
 _PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -45,15 +45,12 @@ class _Merged(dict):
 class ByteBpe:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         of = _byte_of()
         ranks = {bytes(of[c] for c in tok): i for tok, i in spec["model"]["vocab"].items()
                  if all(c in of for c in tok)}
-        self._exact = Tokenizer.from_file(path)
-        self._exact.no_padding()
-        self._exact.no_truncation()
+        self._path, self._exact = path, None
         core = tiktoken.Encoding("llm", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self._merged = _Merged(core._encode_single_piece)
         self._special = [t["content"] for t in spec["added_tokens"]]
@@ -61,10 +58,19 @@ class ByteBpe:
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self._plain = plain and not spec["model"].get("ignore_merges")
 
+    def _library(self, text: str) -> list[int]:
+        if self._exact is None:  # few texts need it
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self._path)
+            self._exact.no_padding()
+            self._exact.no_truncation()
+        return self._exact.encode(text, add_special_tokens=False).ids
+
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not self._plain or _RARE.search(text) or any(s in text for s in self._special):
-            return np.array(self._exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self._library(text), "<u4").tobytes()
         return b"".join(map(self._merged.__getitem__, _PIECES.findall(text)))
 
     def count(self, text: str) -> int:
