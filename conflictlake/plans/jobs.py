@@ -164,7 +164,8 @@ def rollup_job(spark: SparkSession, outputs: dict[str, tuple[str, str, str]], ou
         told = spark.read.parquet(summary).agg(F.count(F.when(F.col("total_conflicts") > 0, 1)).alias("contributing"),
                                                F.sum("selected_conflicts").alias("selected"))
         split = spark.read.parquet(dataset).agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
-        one = found.join(F.broadcast(told)).join(F.broadcast(split)).withColumn("language", F.lit(language))  # one row each
+        parts = found.unionByName(told, allowMissingColumns=True).unionByName(split, allowMissingColumns=True)
+        one = parts.agg(*[F.max(c).alias(c) for c in parts.columns]).withColumn("language", F.lit(language))
         rows = one if rows is None else rows.unionByName(one)
     io.write_table(language_rollup(rows.select("language", "repositories", "contributing", "selected", "train", "test")), out_path)
 

@@ -180,3 +180,15 @@ def test_cli_build(spark):
     main(["--test-size", "0.5", "build", "--files", os.path.join(d, "files"), "--work", os.path.join(d, "w")])
     ds = spark.read.parquet(os.path.join(d, "w", "dataset"))
     assert {r.split: r["count"] for r in ds.groupBy("split").count().collect()} == {"train": 3, "test": 3}
+
+
+def test_rollup_job(spark):
+    d = tempfile.mkdtemp(prefix="cl-rollup-")
+    p = lambda n: os.path.join(d, n)
+    for lang, n in (("go", 2), ("c", 3)):
+        spark.range(n).selectExpr("concat('o/', id) as repository").write.parquet(p(f"{lang}-index"))
+        spark.range(n).selectExpr("id as total_conflicts", "id as selected_conflicts").write.parquet(p(f"{lang}-summary"))
+        spark.range(10).selectExpr("if(id < 2, 'test', 'train') as split").write.parquet(p(f"{lang}-data"))
+    jobs.rollup_job(spark, {x: (p(f"{x}-index"), p(f"{x}-summary"), p(f"{x}-data")) for x in ("go", "c")}, p("out"))
+    got = {r.language: (r.repositories, r.contributing, r.selected, r.train, r.test) for r in spark.read.parquet(p("out")).collect()}
+    assert got == {"go": (2, 1, 1, 8, 2), "c": (3, 2, 3, 8, 2), "ALL": (5, 3, 4, 16, 4)}
