@@ -17,8 +17,9 @@ passage that many documents share thus rarely gets into a prefix.
    and gets all overlaps at once as a matrix product.  Only edges that connect
    something leave the task.  What is still apart in a cluster of several blocks is
    verified block against block, without its largest component against itself.
-4. Pairs from different clusters that a list brings together, in different
-   components and with enough common prefix n-grams, are verified one by one.
+4. Pairs from different clusters in different components, which a list brings
+   together early enough in both to share as many lists as the threshold implies,
+   are verified one by one.
 
 So a group of copies costs rows in proportion to its size, and no link between
 components is lost.
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
 from conflictlake.llm.common import byte_column, chunks, map_arrow, settled
+from conflictlake.operators.stored import Stored
 
 SLOTS, BLOCK, FAN = 1 << 20, 1 << 12, 128
 SIEVE_BITS = 1 << 24
@@ -345,8 +347,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     id.  Rows that repeat an id are documents of their own.
     """
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
-    signed = settled(signatures(docs, n, percent, levels), "signed")
-    classes, entries = _lists(signed)
+    whole = Stored(signatures(docs, n, percent, levels), "signed")
+    classes, entries = _lists(whole.df)
+    signed = settled(whole.df.select("doc_id", "tkey", "cid", "size"), "documents")
+    whole.delete()  # the prefixes are in the lists now
     need, fits = _needed(percent)
     per_list = Window.partitionBy("list")
     led = entries.withColumn("head", F.min(F.struct(-F.col("lists"), F.xxhash64("cid"), "cid", "size", "last")).over(per_list))
@@ -382,23 +386,25 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     # across clusters
     led = entries.join(labels, "cid").join(heads, "cid", "left").withColumn("head", F.coalesce("head", "cid"))
-    led = led.withColumn("reach", F.sum("weight").over(Window.partitionBy("cid"))).drop("lists")  # no pair of the class shares more
+    # two classes that share ``need`` of their lists share one of the first ``reach - need + 1`` of either, in any order of the lists
+    led = led.withColumn("reach", F.count_if(F.col("weight") == 1).over(Window.partitionBy("cid"))).withColumn(
+        "nth", F.row_number().over(Window.partitionBy("cid").orderBy("weight", "list"))).drop("lists")
     led = led.withColumn("lo", F.min("label").over(per_list)).withColumn("hi", F.max("label").over(per_list)).where("lo <> hi").drop("lo", "hi")
     mine = settled(led, "open")
     its = mine.select("list", F.col("cid").alias("to"), F.col("label").alias("label2"), F.col("size").alias("other"), F.col("last").alias("its_last"),
-                      F.col("head").alias("head2"), F.col("reach").alias("its_reach"))
+                      F.col("head").alias("head2"), F.col("reach").alias("its_reach"), F.col("nth").alias("its_nth"))
+    early = (F.col("weight") > 1) | ((F.col("nth") + need <= F.col("reach") + 1) & (F.col("its_nth") + need <= F.col("its_reach") + 1))
     rest = mine.join(its, "list").where((F.col("label") < F.col("label2")) & (F.col("head") != F.col("head2")) & (F.col("head") != F.col("to")) & (F.col("head2") != F.col("cid"))
-                                        & fits & (F.least("reach", "its_reach") >= need))
-    rest = rest.groupBy(F.col("cid").alias("a"), F.col("to").alias("b"), "size", "other", "last", "its_last").agg(F.sum("weight").alias("common"))
-    pairs = settled(rest.where(F.col("common") >= need).select("a", "b"), "pairs")
+                                        & fits & early)
+    pairs = settled(rest.select(F.col("cid").alias("a"), F.col("to").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         met = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
         sets = sets_of(docs, classes.join(met, "cid", "left_semi").select("cid", "source"), n)
         labels = components(labels, settled(linked(pairs, sets, percent), "links"))
 
     named = classes.select("cid", "least").join(labels, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
-    whole = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = named.join(whole, "label").select("cid", "component_id")
+    comps = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    found = named.join(comps, "label").select("cid", "component_id")
     own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return signed.join(found, "cid", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"), "tkey", F.col("cid").alias("class_id"))
 
