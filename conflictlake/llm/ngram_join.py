@@ -46,6 +46,7 @@ SLOTS, BLOCK, FAN = 1 << 20, 1 << 12, 128
 SIEVE_BITS = 1 << 24
 GROUP_WEIGHT = 1 << 20  # classes of one group share their whole prefix
 CELL = 256
+CHUNK = 2 << 20  # bytes of text whose n-grams are in memory at once
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +81,7 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
             raw, off, _ = byte_column(b.column(0))
-            for lo, hi in chunks(off):
+            for lo, hi in chunks(off, CHUNK):
                 h = shingles(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], n)[1]
                 total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         parts = total.reshape(-1, BLOCK)
@@ -127,7 +128,7 @@ def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
         level = levels.value
         for b in batches:
             raw, off, _ = byte_column(b.column(0))
-            for lo, hi in chunks(off):
+            for lo, hi in chunks(off, CHUNK):
                 row, key, h = _ordered(*shingles(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], n), level)
                 m = hi - lo
                 size = np.bincount(row, minlength=m)
@@ -162,7 +163,7 @@ def _lists(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             data, off, _ = byte_column(b.column(1))
             n = np.diff(off) // 8
-            for lo, hi in chunks(off):
+            for lo, hi in chunks(off, CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data[off[lo]:off[hi]].tobytes(), np.int64)),
                                                   pa.array(np.repeat(b.column(0).to_numpy()[lo:hi], n[lo:hi]))], names=["list", "gid"])
 
@@ -218,7 +219,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off, _ = byte_column(b.column(0))
-            for lo, hi in chunks(off):
+            for lo, hi in chunks(off, CHUNK):
                 row, h = shingles(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], n)
                 by = np.lexsort((h, row))
                 row, h = row[by], h[by]
