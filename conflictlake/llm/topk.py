@@ -5,8 +5,8 @@ reads it from the end that its own component prefers.  After reading all lists t
 some depth, a candidate's score lies between the sum of what was read plus the
 worst values of the lists and the same sum plus the lists' heads.  Candidates
 whose upper bound is below the k-th best lower bound are out.  Reading goes
-deeper until few are left, whose scores are then resolved from the rest of their
-components.
+deeper in steps that halve what is unread until few are left, whose scores are
+then resolved from the rest of their components.
 
 Queries and candidates are dealt in blocks; a task handles one pair of blocks of
 bounded size, and Spark merges the best of all blocks.  Bounds of a pair of blocks
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from conflictlake.llm.common import map_arrow, settled
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
-DEPTHS = (0.25, 0.5)
-FEW = 1 / 16  # share of candidates left, below which the rest is resolved one by one
+FEW = 1 / 16  # share of candidates left, from which on the rest is resolved one by one
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -61,40 +60,61 @@ def _exact(q: np.ndarray, c: np.ndarray) -> type:
     return np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else object
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, candidate rows, scores): the k best of each query, ties to smaller ids; a candidate with the query's id is out."""
-    kind = _exact(q, c)
+def _steps(n: int) -> Iterator[int]:
+    """How many entries of each list are read: a quarter, then half of what is left, in the end all."""
+    left = n
+    for share in (0.75, 0.5):
+        left = int(share * n)
+        yield n - left
+    while left:
+        left //= 2
+        yield n - left
+
+
+def survivors(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
+    """(candidate rows, entries read of each list) by query: what may be among its k best; ``own`` marks what may not.
+
+    Reading goes on until a query has few candidates left, if need be to the ends
+    of the lists, where the bounds are the scores.  Integers whose products are
+    beyond 53 bits get bounds that are wider by the rounding of the sums.
+    """
+    n, kind = len(c), _exact(q, c)
+    if n <= 4 * k:
+        return [(np.flatnonzero(~o), 0) for o in own]
+    slip = 0.0
+    if kind is object:
+        kind = np.float64
+        slip = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] * (q.shape[1] + 4) * 2.0 ** -52
     q, c = q.astype(kind), c.astype(kind)
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
     lists = np.sort(c, axis=0)
     low, high = lists[0], lists[-1]
+    out: list = [None] * len(q)
     todo = np.arange(len(q))
-    left: dict[int, np.ndarray] = {}
-    own = q_ids[:, None] == c_ids[None, :]
-    for depth in DEPTHS if len(c) > 4 * k and kind is not object else ():
-        n = int(np.ceil(depth * len(c)))
-        top, bottom = lists[len(c) - n], lists[n - 1]
+    for read in _steps(n):
+        top, bottom = lists[n - read], lists[read - 1]
         p, m = plus[todo], minus[todo]
         lower = p @ np.where(c >= top, c, low).T + m @ np.where(c <= bottom, c, high).T
         lower[own[todo]] = -np.inf
-        at_least = np.partition(lower, len(c) - k, axis=1)[:, len(c) - k]
+        at_least = np.partition(lower, n - k, axis=1)[:, n - k] - 2 * slip
         del lower
         alive = (p @ np.maximum(c, top).T + m @ np.minimum(c, bottom).T >= at_least[:, None]) & ~own[todo]
-        few = alive.sum(1) <= max(4 * k, FEW * len(c))
-        for i in np.flatnonzero(few):
-            left[int(todo[i])] = np.flatnonzero(alive[i])
-        todo = todo[~few]
+        done = (alive.sum(1) <= max(4 * k, FEW * n)) | (read == n)
+        for i in np.flatnonzero(done):
+            out[todo[i]] = np.flatnonzero(alive[i]), read
+        todo = todo[~done]
         if not len(todo):
             break
-    full = q[todo] @ c.T if len(todo) else None  # the lists read to their ends
-    place = {int(r): i for i, r in enumerate(todo)}
-    for r in range(len(q)):
-        rows = left.get(r)
-        if rows is None:
-            rows = np.flatnonzero(~own[r])
-            score = full[place[r]][rows]
-        else:
-            score = c[rows] @ q[r]
+    return out
+
+
+def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query row, candidate rows, scores): the k best of each query, ties to smaller ids; a candidate with the query's id is out."""
+    kind = _exact(q, c)
+    left = survivors(q, c, q_ids[:, None] == c_ids[None, :], k)
+    q, c = q.astype(kind), c.astype(kind)
+    for r, (rows, _) in enumerate(left):
+        score = c[rows] @ q[r]
         if len(rows) > k:
             cut = np.partition(score, len(rows) - k)[len(rows) - k] if kind is not object else np.sort(score)[len(rows) - k]
             rows, score = rows[score >= cut], score[score >= cut]

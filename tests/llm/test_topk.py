@@ -43,6 +43,20 @@ def test_bounds_decide_without_reading_all():
         assert ids[at].tolist() == ids[ids != r][want].tolist() and score.tolist() == s[ids != r][want].tolist()
 
 
+def test_reading_goes_on_until_bounds_decide():
+    """Vectors without clusters: no query needs the scores of all candidates."""
+    rng = np.random.default_rng(4)
+    c = np.floor(64 * rng.normal(0, 1 / 8, (2000, 64))).astype(np.int64)
+    ids = np.arange(2000)
+    for scale in (1, 10 ** 12):  # the second beyond 53 bits
+        left = T.survivors(c[:50] * scale, c * scale, ids[:50, None] == ids, 20)
+        assert all(20 <= len(rows) <= 125 and read < 2000 for rows, read in left)
+        for r, at, score in T.best(c[:50] * scale, ids[:50], c * scale, ids, 20):
+            s = [int(x) * scale ** 2 for x in c @ c[r]]
+            want = sorted((j for j in range(2000) if j != r), key=lambda j: (-s[j], j))[:20]
+            assert at.tolist() == want and [int(x) for x in score] == [s[j] for j in want]
+
+
 def test_empty_and_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert T.top_k(spark.createDataFrame([], schema)).collect() == []
