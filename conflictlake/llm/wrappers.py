@@ -10,8 +10,9 @@ on the other side joins its repeated group, and slots that hold different texts
 are variable.  There are no disjunctions.
 
 The wrapper knows for each slot its enclosing elements, how much text it has on
-the whole host and whether it ever varies.  Content slots are those of the article
-(``article``, ``main``) if the wrapper has one, else those of the element with the
+the whole host and whether it ever varies.  Which of them are content is decided
+among the slots that a page's own skeleton fills: those of the article
+(``article``, ``main``) if it has text there, else those of the element with the
 most text; slots of menus, page headers, footers, sidebars, notices, adverts,
 forms, comments, or - outside an article - of text that is the same on every page
 are not content.
@@ -316,7 +317,7 @@ def slots(nodes: list) -> Iterator[list]:
 
 
 def content(nodes: list) -> list[bool]:
-    """For each slot of an expression, whether it is content."""
+    """For each slot of an expression, whether it is content of the page that fills slots of it (those with origins)."""
     found, serial = [], 0
 
     def walk(part, path):
@@ -339,7 +340,7 @@ def content(nodes: list) -> list[bool]:
             return False
         return in_article or not (node[2] == node[3] and node[4] >= SAME_ON)
 
-    ok = [allowed(n, p, a) for (n, p), a in zip(found, article)]
+    ok = [bool(n[5]) and allowed(n, p, a) for (n, p), a in zip(found, article)]
     if any(o and a for o, a in zip(ok, article)):
         return [o and a for o, a in zip(ok, article)]
     weight: dict[int, int] = {}

@@ -58,6 +58,23 @@ def test_without_article_the_largest_element_is_the_text(spark):
     assert {r["page_id"]: r["text"] for r in out} == {i: ("word%d " % i * 40).strip() + f"\nend {i}" for i in range(6)}
 
 
+def texts_of(spark, pages):
+    rows = [(i, url, p) for i, (url, p) in enumerate(pages)]
+    return [r["text"] for r in sorted(X.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_two_templates_on_a_host(spark):
+    """Each page by its own skeleton: neither an article nor a heavier element elsewhere on the host empties it."""
+    a = [("http://two.net/a%d" % i, f"<body>{NAV}<article><p>{'long%d ' % i * 50}</p></article></body>") for i in range(4)]
+    b = [("http://two.net/b%d" % i, f"<body>{NAV}<div class=content><p>other {i}</p></div></body>") for i in range(4)]
+    c = [("http://div.net/a%d" % i, f"<body>{NAV}<div class=story><p>{'long%d ' % i * 50}</p></div></body>") for i in range(4)]
+    d = [(u.replace("two", "div"), p) for u, p in b]
+    long = [("long%d " % i * 50).strip() for i in range(4)]
+    other = [f"other {i}" for i in range(4)]
+    assert texts_of(spark, a + b) == long + other
+    assert texts_of(spark, c + d) == long + other
+
+
 @pytest.mark.parametrize("a,b,want", [
     ("<a>#</>", "<a>#</>", "<a>#</>"),
     ("<a>#</>", "<a></>", "<a>(#)?</>"),
