@@ -12,10 +12,10 @@ are variable.  There are no disjunctions.
 The wrapper knows for each slot its enclosing elements, how much text it has on
 the whole host and whether it ever varies.  Which of them are content is decided
 among the slots that a page's own skeleton fills: those of the article
-(``article``, ``main``) if it has text there, else those of the element with the
-most text; slots of menus, page headers, footers, sidebars, notices, adverts,
-forms, comments, or - outside an article - of text that is the same on every page
-are not content.
+(``article``, ``main``) if it has text there, else all; slots of menus, page
+headers, footers, sidebars, notices, adverts, forms, comments, or - outside an
+article - of text that is the same on every page are not content.  Nothing is
+left out for having little text.
 
 Pages only meet their host's wrapper through the host's distinct skeletons:
 Spark counts those with a partial aggregate, infers wrappers in salted groups and
@@ -318,24 +318,21 @@ def slots(nodes: list) -> Iterator[list]:
 
 def content(nodes: list) -> list[bool]:
     """For each slot of an expression, whether it is content of the page that fills slots of it (those with origins)."""
-    found, serial = [], 0
+    found = []
 
     def walk(part, path):
-        nonlocal serial
         for n in part:
             if n[0] == "#":
                 found.append((n, path))
             elif n[0] == "e":
-                serial += 1
-                walk(n[2], [*path, (n[1].split(".")[0] + "!" * n[1].endswith("!"), serial)])
+                walk(n[2], [*path, n[1].split(".")[0] + "!" * n[1].endswith("!")])
             else:
                 walk(n[1], path)
 
     walk(nodes, [])
-    article = [any(e[0] in ARTICLE for e in path) for _, path in found]
+    article = [any(e in ARTICLE for e in path) for _, path in found]
 
-    def allowed(node, path, in_article):
-        names = [e[0] for e in path]
+    def allowed(node, names, in_article):
         if any(x.endswith("!") or x in DROPPED for x in names) or (not in_article and "header" in names):
             return False
         return in_article or not (node[2] == node[3] and node[4] >= SAME_ON)
@@ -343,15 +340,7 @@ def content(nodes: list) -> list[bool]:
     ok = [bool(n[5]) and allowed(n, p, a) for (n, p), a in zip(found, article)]
     if any(o and a for o, a in zip(ok, article)):
         return [o and a for o, a in zip(ok, article)]
-    weight: dict[int, int] = {}
-    for (n, path), o in zip(found, ok):
-        outer = [e for e in path if e[0] not in NO_END and not re.fullmatch(r"h[1-6]|blockquote|ul|ol|dl|table|pre|figure", e[0])]
-        if o and outer:
-            weight[outer[-1][1]] = weight.get(outer[-1][1], 0) + n[1]
-    if not weight:
-        return ok
-    best = max(weight, key=lambda s: (weight[s], -s))
-    return [o and any(e[1] == best for e in path) for (_, path), o in zip(found, ok)]
+    return ok
 
 
 def _parts(pages: DataFrame, keep: list[str], url_col: str, html_col: str) -> DataFrame:

@@ -75,6 +75,15 @@ def test_two_templates_on_a_host(spark):
     assert texts_of(spark, c + d) == long + other
 
 
+def test_without_article_titles_and_short_blocks_stay(spark):
+    word = lambda i, n: ("word%d " % i * n).strip()
+    a = [("http://t.net/%d" % i, f"<body>{NAV}<div id=content><h1>Title {i}</h1><div class=body><p>{word(i, 400)}</p></div></div><div>Copyright by us all</div></body>") for i in range(4)]
+    b = [("http://s.net/%d" % i, f"<body>{NAV}<section class=intro><p>In {i}</p></section><section class=text><h2>Part {i}</h2><div>{word(i, 400)}</div></section><div class=end>out {i}</div></body>")
+         for i in range(4)]
+    assert texts_of(spark, a) == [f"Title {i}\n{word(i, 400)}" for i in range(4)]
+    assert texts_of(spark, b) == [f"In {i}\nPart {i}\n{word(i, 400)}\nout {i}" for i in range(4)]
+
+
 @pytest.mark.parametrize("a,b,want", [
     ("<a>#</>", "<a>#</>", "<a>#</>"),
     ("<a>#</>", "<a></>", "<a>(#)?</>"),
