@@ -14,8 +14,8 @@ the whole host and whether it ever varies.  Which of them are content is decided
 among the slots that a page's own skeleton fills: those of the article
 (``article``, ``main``) if it has text there, else all; slots of menus, page
 headers, footers, sidebars, notices, adverts, forms, comments, or - outside an
-article - of text that is the same on every page are not content.  Nothing is
-left out for having little text.
+article - of text that is the same on every page (whole, and not because the pages
+are copies) are not content.  Nothing is left out for having little text.
 
 Pages only meet their host's wrapper through the host's distinct skeletons:
 Spark counts those with a partial aggregate, infers wrappers in salted groups and
@@ -24,6 +24,7 @@ then per host, and joins the verdicts back to the pages' text blocks.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -159,13 +160,11 @@ def blocks_of(page: str) -> list:
 
 
 def _hash(text: str) -> int:
-    h = 0
-    for c in text[:200]:
-        h = (h * 1000003 ^ ord(c)) & 0x7FFFFFFFFFFFFFF
-    return h
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1
 
 
-# A node is ["e", tag, nodes], a slot ["#", characters, least hash, greatest hash, pages, origins] or a group ["+" or "?" or "*", nodes].
+# A node is ["e", tag, nodes], a slot ["#", characters, least hash, greatest hash, pages, origins, least page, greatest page] (hashes of its text
+# and of the text of its pages) or a group ["+" or "?" or "*", nodes].
 
 def key(node: list) -> str:
     if node[0] == "e":
@@ -185,7 +184,7 @@ def merged(a: list, b: list) -> list:
     if a[0] == "e":
         return ["e", a[1], align(a[2], b[2])]
     if a[0] == "#":
-        return ["#", a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), a[4] + b[4], a[5] + b[5]]
+        return ["#", a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), a[4] + b[4], a[5] + b[5], min(a[6], b[6]), max(a[7], b[7])]
     signs = {a[0], b[0]}
     sign = a[0] if len(signs) == 1 else "*" if "*" in signs or signs == {"+", "?"} else a[0]
     return [sign, [merged(x, y) for x, y in zip(a[1], b[1])]]
@@ -297,7 +296,7 @@ def skeleton(nodes: list) -> tuple[list, list[tuple[int, str]]]:
         out = []
         for n in part:
             if n[0] == "#":
-                out.append(["#", len(n[1]), _hash(n[1]), _hash(n[1]), 1, [len(texts)]])
+                out.append(["#", len(n[1]), *[_hash(n[1])] * 2, 1, [len(texts)], 0, 0])
                 texts.append(n[1])
             else:
                 out.append(["e", n[1], number(n[2])])
@@ -316,35 +315,47 @@ def slots(nodes: list) -> Iterator[list]:
             yield from slots(n[-1])
 
 
-def content(nodes: list) -> list[bool]:
-    """For each slot of an expression, whether it is content of the page that fills slots of it (those with origins)."""
-    found = []
+def placed(nodes: list, path: tuple = ()) -> Iterator[tuple[list, tuple]]:
+    """Each slot with the tags of the elements around it."""
+    for n in nodes:
+        if n[0] == "#":
+            yield n, path
+        elif n[0] == "e":
+            yield from placed(n[2], (*path, n[1].split(".")[0] + "!" * n[1].endswith("!")))
+        else:
+            yield from placed(n[1], path)
 
-    def walk(part, path):
-        for n in part:
-            if n[0] == "#":
-                found.append((n, path))
-            elif n[0] == "e":
-                walk(n[2], [*path, n[1].split(".")[0] + "!" * n[1].endswith("!")])
-            else:
-                walk(n[1], path)
 
-    walk(nodes, [])
-    article = [any(e in ARTICLE for e in path) for _, path in found]
+def _barred(path: tuple) -> bool:
+    """Whether a slot is page chrome by the elements around it."""
+    return any(x.endswith("!") or x in DROPPED for x in path) or ("header" in path and not any(x in ARTICLE for x in path))
+
 
-    def allowed(node, names, in_article):
-        if any(x.endswith("!") or x in DROPPED for x in names) or (not in_article and "header" in names):
-            return False
-        return in_article or not (node[2] == node[3] and node[4] >= SAME_ON)
+def page_of(folded: list, said: list[tuple[int, str]]) -> int:
+    """Hash of a page's text without its chrome: equal for copies of one page."""
+    barred = [_barred(path) for _, path in placed(folded)]
+    return _hash("\n".join(t for s, t in said if not barred[s]))
 
-    ok = [bool(n[5]) and allowed(n, p, a) for (n, p), a in zip(found, article)]
+
+def content(nodes: list) -> list[bool]:
+    """For each slot of an expression, whether it is content of the page that fills slots of it (those with origins).
+
+    Template text is the same on SAME_ON pages or more that are not all copies of
+    one page; a host whose text never varies has none.
+    """
+    found = list(placed(nodes))
+    article = [any(e in ARTICLE for e in path) for _, path in found]
+    open_ = [not _barred(path) for _, path in found]
+    same = [n[2] == n[3] and n[4] >= SAME_ON and n[6] != n[7] for n, _ in found]
+    varies = any(o and n[2] != n[3] for o, (n, _) in zip(open_, found))
+    ok = [bool(n[5]) and o and (a or not (s and varies)) for (n, _), o, a, s in zip(found, open_, article, same)]
     if any(o and a for o, a in zip(ok, article)):
         return [o and a for o, a in zip(ok, article)]
     return ok
 
 
 def _parts(pages: DataFrame, keep: list[str], url_col: str, html_col: str) -> DataFrame:
-    """``keep``, host, skeleton, its hash and per slot (characters, least and greatest text hash), and the text blocks."""
+    """``keep``, host, skeleton and per slot (characters, least and greatest text hash, hash of the page), and the text blocks."""
     src = pages.select(F.col(html_col).cast("string").alias("__html"), host_of(url_col).alias("host"), *keep)
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[2:])
     schema = "host string, skeleton string, stats array<array<long>>, slots array<int>, texts array<string>" + kept
@@ -356,7 +367,8 @@ def _parts(pages: DataFrame, keep: list[str], url_col: str, html_col: str) -> Da
                 rows = []
                 for page in part.column(0):
                     folded, said = skeleton(blocks_of(page.as_py() or ""))
-                    rows.append((expression(folded), [[n[1], n[2], n[3]] for n in slots(folded)], [s for s, _ in said], [t for _, t in said]))
+                    whole = page_of(folded, said)
+                    rows.append((expression(folded), [[n[1], n[2], n[3], whole] for n in slots(folded)], [s for s, _ in said], [t for _, t in said]))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.list_(pa.int64()))), pa.array(cols[2], pa.list_(pa.int32())),
@@ -369,13 +381,13 @@ _PART = re.compile(r"<[^>]*>|#|\(|\)[+?*]")
 
 
 def parsed(expr: str, stats: list) -> list:
-    """Nodes of an expression; ``stats`` are the slots' numbers (characters, hashes, pages), origins are slot numbers."""
+    """Nodes of an expression; ``stats`` are the slots' numbers (characters, hashes, pages, hashes of pages), origins are slot numbers."""
     stack, serial = [[]], 0
     for m in _PART.finditer(expr):
         t = m[0]
         if t == "#":
             s = stats[serial]
-            stack[-1].append(["#", int(s[0]), int(s[1]), int(s[2]), int(s[3]), [serial]])
+            stack[-1].append(["#", int(s[0]), int(s[1]), int(s[2]), int(s[3]), [serial], *((int(s[4]), int(s[5])) if len(s) > 4 else (0, 0))])
             serial += 1
         elif t == "(":
             stack.append([])
@@ -393,8 +405,9 @@ def parsed(expr: str, stats: list) -> list:
 def skeletons(parts: DataFrame) -> DataFrame:
     """(host, skeleton, pages, stats): the distinct skeletons of each host with what Spark sums up of their slots."""
     one = parts.select("host", "skeleton", F.posexplode_outer("stats").alias("slot", "s"))
-    per = one.groupBy("host", "skeleton", "slot").agg(F.count("*").alias("pages"), F.sum(F.get("s", 0)).alias("chars"), F.min(F.get("s", 1)).alias("lo"), F.max(F.get("s", 2)).alias("hi"))
-    cell = F.struct("slot", F.array("chars", "lo", "hi", "pages").alias("v"))
+    per = one.groupBy("host", "skeleton", "slot").agg(F.count("*").alias("pages"), F.sum(F.get("s", 0)).alias("chars"), F.min(F.get("s", 1)).alias("lo"), F.max(F.get("s", 2)).alias("hi"),
+                                                           F.min(F.get("s", 3)).alias("first"), F.max(F.get("s", 3)).alias("last"))
+    cell = F.struct("slot", F.array("chars", "lo", "hi", "pages", "first", "last").alias("v"))
     got = per.groupBy("host", "skeleton").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), cell))).alias("cells"))
     return got.select("host", "skeleton", "pages", F.col("cells.v").alias("stats"))  # a skeleton's slots: as many as one page has
 
@@ -408,7 +421,7 @@ def wrappers(distinct: DataFrame) -> DataFrame:
         for expr, stats in sorted(zip(pdf["wrapper"], pdf["stats"]), key=lambda x: (len(x[0]), x[0])):
             nodes = parsed(expr, stats)
             whole = nodes if whole is None else fold(align(whole, nodes))
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [expression(whole)], "stats": [[[n[1], n[2], n[3], n[4]] for n in slots(whole)]]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [expression(whole)], "stats": [[[*n[1:5], *n[6:]] for n in slots(whole)]]})
 
     named = distinct.select("host", F.col("skeleton").alias("wrapper"), "stats", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).alias("salt"))
     return named.groupBy("host", "salt").applyInPandas(infer, schema).groupBy("host").applyInPandas(infer, schema)
@@ -425,7 +438,7 @@ def verdicts(distinct: DataFrame, found: DataFrame) -> DataFrame:
                 wrapper = parsed(whole, of_host)
                 for n in slots(wrapper):
                     n[5] = []
-                own = parsed(expr, [[0, s[1], s[2], 0] for s in stats])
+                own = parsed(expr, [[0, s[1], s[2], 0, *s[4:]] for s in stats])
                 met = align(wrapper, own)
                 wanted.append(sorted(i for n, ok in zip(slots(met), content(met)) if ok for i in n[5]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wanted, pa.list_(pa.int32()))], names=["host", "skeleton", "wanted"])

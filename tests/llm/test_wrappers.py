@@ -84,6 +84,17 @@ def test_without_article_titles_and_short_blocks_stay(spark):
     assert texts_of(spark, b) == [f"In {i}\nPart {i}\n{word(i, 400)}\nout {i}" for i in range(4)]
 
 
+def test_blocks_that_begin_alike_and_copies_are_no_template(spark):
+    licence = "Permission is granted to " + "copy and share " * 20
+    a = [("http://l.net/%d" % i, f"<body>{NAV}<div><p>{licence}page {i}</p></div><div>Copyright by us all</div></body>") for i in range(4)]
+    b = [("http://c.net/%d" % i, f"<body>{NAV}<div><p>one story</p></div><div class=ad>buy {i}</div></body>") for i in range(4)]
+    c = [("http://m.net/%d" % i, f"<body>{NAV}<div class=x><h1>Other</h1><p>said {i}</p></div></body>") for i in range(4)]
+    d = [("http://m.net/c%d" % i, f"<body>{NAV}<div class=y><p>one story</p></div><div class=ad>buy {i}</div></body>") for i in range(4)]
+    assert texts_of(spark, a) == [f"{licence}page {i}" for i in range(4)]
+    assert texts_of(spark, b) == ["one story"] * 4
+    assert texts_of(spark, c + d) == [f"said {i}" for i in range(4)] + ["one story"] * 4
+
+
 @pytest.mark.parametrize("a,b,want", [
     ("<a>#</>", "<a>#</>", "<a>#</>"),
     ("<a>#</>", "<a></>", "<a>(#)?</>"),
