@@ -340,12 +340,14 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and the keys tkey (hash of the text) and class_id.
+    """One row per document: doc_id, n_shingles, component_id, and the keys tkey (hash of the text), class_id and label.
 
     ``component_id`` is the smallest doc_id that links reach.  A null text or one
     without words has no n-gram, links with nothing and is its own component.
     Rows with a null doc_id take part; a component of such rows only has a null
-    id.  Rows that repeat an id are documents of their own.
+    id.  Rows that repeat an id are documents of their own, so two components may
+    have one ``component_id``; ``label`` (a class_id, null without n-grams) tells
+    them apart.
     """
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
     whole = Stored(signatures(docs, n, percent, levels), "signed")
@@ -405,9 +407,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     named = classes.select("cid", "least").join(labels, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
     comps = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = named.join(comps, "label").select("cid", "component_id")
+    found = named.join(comps, "label").select("cid", "component_id", "label")
     own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return signed.join(found, "cid", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"), "tkey", F.col("cid").alias("class_id"))
+    return signed.join(found, "cid", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"), "tkey", F.col("cid").alias("class_id"),
+                                                    F.when(F.col("size") > 0, F.col("label")).alias("label"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -416,14 +419,13 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Documents without n-grams all stay; of components without any id one row stays.
     """
     rows = settled(join(docs, n, percent), "components")
-    chosen = rows.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class_id")).alias("k")).agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("tkey", "class_id"))).alias("pick"))
-    key = chosen.select(F.col("component_id").alias("__d"), F.col("pick.tkey").alias("__t"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "tkey"))
+    key = rows.where("n_shingles > 0").groupBy("label").agg(first.alias("pick")).select(F.col("pick.doc_id").alias("__d"), F.col("pick.tkey").alias("__t"))
     names = docs.columns
     text = F.col("text").cast("string")
     src = docs.withColumn("__d", F.col("doc_id").cast("long")).withColumn("__t", F.xxhash64(text))
     src = src.withColumn("__d0", F.coalesce("__d", F.lit(0)))
     bare = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keep = key.select(F.coalesce("__d", F.lit(0)).alias("__d0"), "__t").distinct()
-    first = src.where(~bare).join(keep, ["__d0", "__t"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__d0", "__t").orderBy("__d0"))).where("__n = 1")
+    first = src.where(~bare).join(keep, ["__d0", "__t"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__d0", "__t").orderBy(F.col("__d").asc_nulls_last()))).where("__n = 1")
     return first.select(*names).unionByName(src.where(bare).select(*names))

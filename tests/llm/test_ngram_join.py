@@ -73,6 +73,15 @@ def test_one_of_each(spark):
     assert got == sorted([*groups, *(d for d, n, _ in want if not n)], key=str)
 
 
+def test_one_of_each_goes_by_component_not_by_id(spark):
+    """A repeated id does not merge unlinked documents; near copies without ids leave one row."""
+    say = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(7, say("a")), (7, say("b")), (9, say("b") + " end"), (7, say("b")), (None, say("c")), (None, say("c") + " end"), (None, say("d")), (0, say("d")), (None, say("e"))]
+    out = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r["doc_id"], r["text"].split()[0]) for r in out), key=str)
+    assert got == sorted([(7, "a0"), (7, "b0"), (None, "c0"), (0, "d0"), (None, "e0")], key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.join(docs).collect() == []
