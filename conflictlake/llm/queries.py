@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from conflictlake.llm import chat, mixing, ngram_join, packing, quality, sharding, token_counts, topk, url_cascade, wrappers
+from conflictlake.llm import (alignment, backoff, chat, mixing, ngram_join, packing, quality, repair, sharding, token_counts, topk,
+                              url_cascade, wrappers)
 from conflictlake.llm.common import table
 
 
@@ -69,6 +70,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged, and the cheapest edits that give them a legal structure again."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.audit(repair.damage(turns), turns)
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a bigram automaton learnt from those that are not held out."""
+    return backoff.score(table(spark, sf_dir, "documents"), order=2)
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of two tokenizers aligned, with the corpus-wide counts of the linked ids."""
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -80,6 +97,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_lm_scoring": op12_lm_scoring,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 SQL: dict[str, str] = {
