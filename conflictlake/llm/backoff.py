@@ -25,6 +25,7 @@ corpus is collected or broadcast but three numbers (N, V and the training texts)
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from conflictlake.llm.common import byte_column, chunks, map_arrow
 from conflictlake.llm.tally import SUMMARY, answers, by_block, pack_numbers, request_rows, slices_for, unpack_numbers
 from conflictlake.operators.stored import Stored
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 END = np.uint64(0x9AE16A3B2F90404F)  # hash of the end token
 BEGIN = np.uint64(0xC949D7C7509E6557)  # hash of a history before the first word
 STRENGTH = 300.0
@@ -91,19 +92,24 @@ class Grams:
         self.n_words = len(words) // 8
         self.first = np.zeros(len(self.tokens), bool)
         self.first[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = True
-        one = np.frombuffer(words, np.uint64)[self.tokens]
-        self.keys, self.where, self.at = [], [], []
-        level = one
-        for k in range(1, order + 1):
-            if k > 1:
-                before = np.empty_like(level)
-                before[1:] = level[:-1]
-                before[self.first] = BEGIN + np.uint64(k)
-                level = W.mix(before * np.uint64(0x9E3779B97F4A7C15) + one + np.uint64(k))
-            keys, at, where = np.unique(level, return_index=True, return_inverse=True)
+        known = np.frombuffer(words, np.uint64)
+        by = np.argsort(known)
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
+        one = level = known[self.tokens]
+        self.keys, self.where, self.at = [known[by]], [rank[self.tokens]], []
+        for k in range(2, order + 1):
+            before = np.empty_like(level)
+            before[1:] = level[:-1]
+            before[self.first] = BEGIN + np.uint64(k)
+            level = W.mix(before * np.uint64(0x9E3779B97F4A7C15) + one + np.uint64(k))
+            keys, where = np.unique(level, return_inverse=True)
             self.keys.append(keys)
+            self.where.append(where.astype(np.int32))
+        for keys, where in zip(self.keys, self.where):
+            at = np.empty(len(keys), np.int64)
+            at[where] = np.arange(len(where))
             self.at.append(at)
-            self.where.append(where)
 
 
 def _counts(coded: DataFrame, order: int, slices: list[int]) -> DataFrame:
@@ -174,7 +180,7 @@ class Automaton:
             gotos.append(target[known])
         none = [np.zeros(0, np.int64)]
         self.arcs = dict(zip(np.concatenate(keys or none).tolist(), range(sum(map(len, keys)))))
-        self.cost, self.goto = np.concatenate(costs or none).tolist(), np.concatenate(gotos or none).tolist()
+        self.cost, self.goto = (array(t, np.concatenate(x or none).astype(d).tobytes()) for t, x, d in (("d", costs, np.float64), ("q", gotos, np.int64)))
         self.fail, self.back, self.n_words = fail.tolist(), back.tolist(), g.n_words
 
     def score(self, tokens: list[int]) -> float:
@@ -249,6 +255,7 @@ def score(docs: DataFrame, order: int = 2, strength: float = STRENGTH, id_col: s
                 yield pa.RecordBatch.from_arrays([ids.values, held_.values, pa.array(length), pa.array(hit), pa.array(np.full(len(length), n, np.int64)),
                                                   pa.array(base), pa.array(total, pa.float64())],
                                                  names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                del a, g, counts, parts, answered  # before the next block is read
 
     met = coded.df.join(by_block(told.df), "block").select("ids", "lengths", "held", "words", "tokens", "answered")
     out = Stored(map_arrow(met, traverse, schema), "lm-scores")
