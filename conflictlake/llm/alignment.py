@@ -33,7 +33,8 @@ from conflictlake.llm.tally import SUMMARY, answers, by_block, pack_numbers, pac
 from conflictlake.operators.stored import Stored
 
 BLOCK_BYTES = 4 << 20
-LONG_RUN = re.compile(r"\s{2000}|\S{2000}")  # such texts go through the library that is not quadratic in a run
+LONG_RUN = 2000  # texts with a longer run of one kind go through the library that is not quadratic in a run
+_SPACES = re.compile(rf"\s{{{LONG_RUN}}}")
 SPACE = "▁"
 
 
@@ -53,15 +54,15 @@ class ByteTokens:
         self._path, self._exact = path, None
         self._core = tiktoken.Encoding("align", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
-        if not LONG_RUN.search(text):
-            return self._core.encode_ordinary(text)
+    def encode(self, text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or max(map(len, text.split()), default=0) < LONG_RUN and not _SPACES.search(text):
+            return self._core.encode_to_numpy(text, disallowed_special=())
         if self._exact is None:
             from tokenizers import Tokenizer
 
             self._exact = Tokenizer.from_file(self._path)
             self._exact.encode_special_tokens = True
-        return self._exact.encode(text, add_special_tokens=False).ids
+        return np.array(self._exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class PieceTokens:
@@ -89,33 +90,30 @@ class Pair:
         place = {t: i for i, t in reversed(list(enumerate(self.b.table))) if t}  # of equal B entries the smallest id
         self.same = np.array([place.get(t, -1) for t in self.a.table], np.int64)
         # written forms: A inside a group, A at its end, B inside, B at its end
-        self.written = [f"{i}{end}" for n, ends in ((len(self.same), ",|"), (len(self.length_b), ",;")) for end in ends for i in range(n)]
+        self.written = np.array([f"{i}{end}".encode() for n, ends in ((len(self.same), ",|"), (len(self.length_b), ",;")) for end in ends for i in range(n)], object)
+        self.bytes_a, self.bytes_b = (np.array(x.table, object) for x in (self.a, self.b))
 
     def groups(self, text: str, ids_b: list[int]):
         """(n_a, n_b, n_groups, digest, linked A ids, linked B ids) of one text, or None if its bytes differ."""
         whole = (" " + text).encode()
-        ids_a = self.a.encode(" " + text)
-        ta, tb = self.a.table, self.b.table
-        if b"".join([tb[i] for i in ids_b]) != whole or b"".join([ta[i] for i in ids_a]) != whole:
-            return None
-        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        a, b = self.a.encode(" " + text).astype(np.int64), np.array(ids_b, np.int64)
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        at = np.searchsorted(end_b, end_a)
-        last_a = np.flatnonzero(end_b[at] == end_a)  # both end with the text, so ``at`` stays inside
-        last_b = at[last_a]
+        if not len(a) or not len(b) or end_a[-1] != len(whole) or end_b[-1] != len(whole) or any(
+                b"".join(table[ids]) != whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            return None
+        ends = np.zeros((2, len(whole) + 1), bool)
+        ends[0, end_a] = ends[1, end_b] = True
+        cut_a, cut_b = ends[1, end_a], ends[0, end_b]  # tokens that end where one of the other side ends
+        last_a, last_b = np.flatnonzero(cut_a), np.flatnonzero(cut_b)
         # write the ids in the order A of group, B of group
-        form_a, form_b = a.copy(), b + 2 * len(self.length_a)
-        form_a[last_a] += len(self.length_a)
-        form_b[last_b] += len(self.length_b)
-        group_a = np.searchsorted(last_a, np.arange(len(a)))
-        group_b = np.searchsorted(last_b, np.arange(len(b)))
+        form_a, form_b = a + cut_a * len(self.length_a), b + 2 * len(self.length_a) + cut_b * len(self.length_b)
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
         begin_b = np.concatenate([[0], last_b[:-1] + 1])
         out = np.empty(len(a) + len(b), np.int64)
         out[np.arange(len(a)) + begin_b[group_a]] = form_a
         out[np.arange(len(b)) + last_a[group_b] + 1] = form_b
-        form = self.written
-        said = "".join([form[i] for i in out.tolist()])[:-1]
-        return len(a), len(b), len(last_a), hashlib.sha256(said.encode()).hexdigest(), a[last_a], b[last_b]
+        said = b"".join(self.written[out])[:-1]
+        return len(a), len(b), len(last_a), hashlib.sha256(said).hexdigest(), a[last_a], b[last_b]
 
 
 @lru_cache(maxsize=2)
@@ -199,7 +197,7 @@ class Alignment:
             return len(packed).to_bytes(4, "little") + packed + pack_numbers(totals)
 
         asked = map_arrow(self.coded.df.select("block", "pairs", "counts"), ask, "slice long, block long, keys binary, counts binary")
-        self.told = Stored(answers(asked, summary), "align-counts")
+        self.told = Stored(answers(asked, slices, summary), "align-counts")
 
     def pair_counts(self) -> DataFrame:
         """(a_id, b_id, n): how many links of the corpus hold each pair."""

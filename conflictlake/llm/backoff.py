@@ -226,7 +226,7 @@ def score(docs: DataFrame, order: int = 2, strength: float = STRENGTH, id_col: s
     def summary(number: int, keys: np.ndarray, totals: np.ndarray) -> bytes:
         return f"{np.count_nonzero(totals)},{totals.sum()}".encode() if number < types else b""
 
-    told = Stored(answers(_counts(coded.df, order, slices), summary), "lm-counts")
+    told = Stored(answers(_counts(coded.df, order, slices), sum(slices), summary), "lm-counts")
     said = F.split(F.decode("totals", "UTF-8"), ",")
     sums = told.df.where((F.col("block") == SUMMARY) & (F.col("slice") < types)).select(
         said[0].cast("long").alias("types"), said[1].cast("long").alias("tokens"))

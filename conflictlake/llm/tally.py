@@ -74,8 +74,11 @@ def slices_for(keys: int) -> int:
     return max(1, -(-int(keys) // SLICE_KEYS))
 
 
-def answers(requests: DataFrame, summary: Callable[[int, np.ndarray, np.ndarray], bytes]) -> DataFrame:
-    """ANSWER rows of every request, and a SUMMARY row per slice with ``summary(slice, keys, totals)``."""
+def answers(requests: DataFrame, slices: int, summary: Callable[[int, np.ndarray, np.ndarray], bytes]) -> DataFrame:
+    """ANSWER rows of every request, and a SUMMARY row per slice with ``summary(slice, keys, totals)``.
+
+    ``slices`` is the number of slices of all orders; a task takes a few, one after the other.
+    """
 
     def settle(number: int, rows: list[tuple]) -> Iterator[tuple]:
         keys = [unpack_sorted(k) for _, k, _ in rows]
@@ -99,7 +102,7 @@ def answers(requests: DataFrame, summary: Callable[[int, np.ndarray, np.ndarray]
         if rows:
             yield from _out(settle(open_, rows))
 
-    return map_arrow(requests.repartition("slice").sortWithinPartitions("slice"), add, ANSWER)
+    return map_arrow(requests.repartition(-(-slices // 2), "slice").sortWithinPartitions("slice"), add, ANSWER)
 
 
 def _out(rows: Iterator[tuple], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
