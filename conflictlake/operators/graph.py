@@ -1,18 +1,10 @@
-"""Fixed points over a directed acyclic graph held as an edge table.
+"""Fixed points of values that flow along edges, a round at a time.
 
-Used for the commit graph: which ref reaches a commit first, the oldest ancestor
-of a commit, whether one commit is an ancestor of another.  The graph of one
-repository can be far larger than a task, so nothing is grouped per repository.
-
-1. ``contract`` takes out the nodes on plain stretches - one edge in, one out, not
-   asked for - by pointer doubling (log2 of the longest stretch rounds).  A value
-   that flows along a stretch is the same at all its nodes.
-2. ``fixpoint`` then works on the small graph.  Each round joins only the values
-   that changed with the edges, aggregates per node (a partial aggregate, so a hub
-   is combined map-side) and writes only what changed again.
-
-Every round is stored in the shared folder; parts are merged every few rounds and
-what they replace is deleted.
+Each round takes only the values that changed, aggregates the candidates per node
+(a partial aggregate, so a hub is combined map-side) and writes only what changed
+again.  Every round is stored in the shared folder; parts are merged every few
+rounds and what they replace is deleted.  ``layers`` uses this for what is left of
+a very wide graph.
 """
 
 from __future__ import annotations
@@ -25,36 +17,9 @@ from pyspark.sql import functions as F
 
 from conflictlake.operators.stored import Stored
 
-KEY = "repository"
 MERGE_EVERY = 8  # parts of a fixed point that are read together before they are merged into one
 
 
-def contract(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges of the contracted graph, (repository, node, head) of the nodes taken out).
-
-    ``edges``: (repository, u, v), values flow from u to v; ``keep``:
-    (repository, node).  ``head`` is the node at which the stretch begins: its
-    value is the value of all nodes of the stretch.
-    """
-    e = Stored(edges.select(KEY, "u", "v").distinct(), "edges").df
-    single_in = e.groupBy(KEY, F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("head")).where("n = 1").drop("n")
-    single_out = e.groupBy(KEY, F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    inner = Stored(single_in.join(single_out, [KEY, "node"], "left_semi").join(keep.select(KEY, "node"), [KEY, "node"], "left_anti"), "stretch")
-    while True:  # head of the head, until no head is itself taken out
-        up = inner.df.select(KEY, F.col("node").alias("head"), F.col("head").alias("_up"))
-        jumped = Stored(inner.df.join(up, [KEY, "head"], "left").select(
-            KEY, "node", F.coalesce("_up", "head").alias("head"), F.col("_up").isNotNull().alias("_moved")), "stretch")
-        inner.delete()
-        inner = jumped
-        if inner.df.where("_moved").isEmpty():
-            break
-    heads = inner.df.select(KEY, "node", "head")
-    outside = e.join(heads.select(KEY, F.col("node").alias("v")), [KEY, "v"], "left_anti")
-    small = (outside.join(heads.withColumnRenamed("node", "u"), [KEY, "u"], "left")
-             .select(KEY, F.coalesce("head", "u").alias("u"), "v").distinct())
-    return Stored(small, "contracted").df, heads
-
-
 def fixpoint(seeds: DataFrame, keys: list[str], step: Callable[[DataFrame], DataFrame], merge: Callable[[str], Column],
              gain: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
     """Values (keys, val) that no round of ``step`` improves any more.
@@ -85,46 +50,3 @@ def fixpoint(seeds: DataFrame, keys: list[str], step: Callable[[DataFrame], Data
             parts = [whole]
         parts.append(fresh)
         changed = fresh
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, combine: str = "min") -> DataFrame:
-    """Fixed point of ``val(v) = combine(seed(v), val(u) for u -> v)`` as (repository, node, val)."""
-    merge = F.min if combine == "min" else F.max
-
-    def gain(new: Column, old: Column) -> tuple[Column, Column]:
-        return new, old.isNull() | ((new < old) if combine == "min" else (new > old))
-
-    def step(changed: DataFrame) -> DataFrame:
-        return changed.withColumnRenamed("node", "u").join(edges, [KEY, "u"]).select(KEY, F.col("v").alias("node"), "val")
-
-    return fixpoint(seeds.select(KEY, "node", "val"), [KEY, "node"], step, merge, gain)
-
-
-def flow(edges: DataFrame, seeds: DataFrame, combine: str = "min") -> DataFrame:
-    """``propagate`` over the contracted graph, with the values of the contracted nodes put back."""
-    small, heads = contract(edges, seeds.select(KEY, "node"))
-    got = Stored(propagate(small, seeds, combine), "flow").df
-    inside = heads.join(got.withColumnRenamed("node", "head"), [KEY, "head"]).select(KEY, "node", "val")
-    return got.unionByName(inside)
-
-
-def bits_within(edges: DataFrame, seeds: DataFrame, places: DataFrame, limits: DataFrame) -> DataFrame:
-    """Bit masks (repository, node, word, val) flowing along the edges, each bit only so far.
-
-    ``seeds``: (repository, node, word, val); ``places``: (repository, node,
-    place); ``limits``: (repository, word, places array): bit i of the word enters
-    a node only if the node's place is at most ``places[i]``.
-    """
-    keys = [KEY, "node", "word"]
-
-    def step(changed: DataFrame) -> DataFrame:
-        met = changed.withColumnRenamed("node", "u").join(edges, [KEY, "u"]).select(KEY, F.col("v").alias("node"), "word", "val")
-        met = met.groupBy(*keys).agg(F.bit_or("val").alias("val")).join(places, [KEY, "node"]).join(limits, [KEY, "word"])
-        allowed = F.expr("aggregate(transform(places, (x, i) -> IF(x >= place, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
-        return met.select(*keys, F.col("val").bitwiseAND(allowed).alias("val")).where("val <> 0")
-
-    def gain(new: Column, old: Column) -> tuple[Column, Column]:
-        fresh = new.bitwiseAND(F.bitwise_not(F.coalesce(old, F.lit(0).cast("long"))))
-        return fresh, fresh != 0
-
-    return fixpoint(seeds.select(*keys, "val"), keys, step, F.bit_or, gain)

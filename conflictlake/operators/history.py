@@ -23,7 +23,7 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conflictlake.operators.graph import bits_within, contract, flow, propagate
+from conflictlake.operators.layers import WORD, Layers
 from conflictlake.operators.rank import dense_index, rank_within
 from conflictlake.operators.stored import Stored
 
@@ -49,7 +49,6 @@ NOTE_TWO_ROOTS = "two initial commits"
 DEFAULT_MAX_MERGES = 100
 DEFAULT_MAX_BRANCHES = 1000
 # -----------------------------------------------------------------------------
-WORD = 62  # merges per bit mask word
 
 
 def is_priority_ref(path) -> F.Column:
@@ -88,12 +87,32 @@ def parent_edges(commits: DataFrame) -> DataFrame:
                           F.explode("parents").alias("parent"))
 
 
-def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame) -> DataFrame:
+def first_reaching_ref(commits: DataFrame, refs_ranked: DataFrame, layers: Layers | None = None) -> DataFrame:
     """H4 / K7: for every commit reachable from a kept ref, the smallest
     ``ref_rank`` that reaches it (the ref whose walk would claim it first)."""
-    edges = parent_edges(commits).select("repository", F.col("child").alias("u"), F.col("parent").alias("v"))
-    seeds = refs_ranked.select("repository", F.col("head_sha").alias("node"), F.col("ref_rank").alias("val"))
-    return flow(edges, seeds, "min").select("repository", F.col("node").alias("sha"), F.col("val").alias("ref_rank"))
+    layers = layers or Layers(commits)
+    heads = layers.place(refs_ranked.select("repository", "head_sha", "ref_rank"), "head_sha", "at")
+    got = layers.spread(heads.select("at", F.lit(0).alias("key"), F.col("ref_rank").alias("val")), "min")
+    return got.join(layers.numbered.select("at", "repository", "sha"), "at").select("repository", "sha", F.col("val").alias("ref_rank"))
+
+
+def ref_commits(commits: DataFrame, refs_ranked: DataFrame, layers: Layers | None = None) -> DataFrame:
+    """H2: the commits of every ref, as (repository, path, ref_rank, sha, commit_ord); the listing
+    order of a ref is ``commit_ord``.
+
+    A commit carries the set of refs that reach it as a bit mask, WORD refs to a
+    word.  Masks are stored for commits at block borders only; those inside are
+    made when the listing is read, and a mask becomes rows after the refs' names
+    have met it, so what moves is a row per commit and word, not per ref and commit."""
+    layers = layers or Layers(commits)
+    r = refs_ranked.select("repository", "path", "head_sha", "ref_rank", F.expr(f"CAST(ref_rank div {WORD} AS long)").alias("key"),
+                           F.expr(f"CAST(ref_rank % {WORD} AS int)").alias("bit"))
+    seeds = layers.place(r, "head_sha", "at").groupBy("at", "key").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("val"))
+    sets = layers.spread(seeds, "or").join(layers.numbered.select("at", "repository", "sha", "commit_ord"), "at")
+    names = r.groupBy("repository", "key").agg(F.collect_list(F.struct("bit", "path", "ref_rank")).alias("refs"))  # at most WORD
+    met = sets.join(names, ["repository", "key"])
+    met = met.withColumn("ref", F.explode(F.filter("refs", lambda x: F.getbit("val", x["bit"]) == 1)))
+    return met.select("repository", F.col("ref.path").alias("path"), F.col("ref.ref_rank").alias("ref_rank"), "sha", "commit_ord")
 
 
 def merge_candidates(commits: DataFrame) -> DataFrame:
@@ -104,11 +123,11 @@ def merge_candidates(commits: DataFrame) -> DataFrame:
 
 
 def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFrame | None = None,
-                  max_num_merges: int = DEFAULT_MAX_MERGES) -> DataFrame:
+                  max_num_merges: int = DEFAULT_MAX_MERGES, layers: Layers | None = None) -> DataFrame:
     """H3 / H5 without notes: merges in ref order, newest first inside a ref,
     at most ``max_num_merges`` per repository including the ``existing`` ones
     (J3: those are skipped and use up the cap)."""
-    first = first_reaching_ref(commits, refs_ranked)
+    first = first_reaching_ref(commits, refs_ranked, layers)
     m = merge_candidates(commits).join(first, ["repository", "sha"])
     allowed = F.lit(max_num_merges)
     if existing is not None:
@@ -133,94 +152,88 @@ def root_commits(commits: DataFrame) -> DataFrame:
     return commits.select("repository", "sha", "commit_ord").join(inside, ["repository", "sha"], "left_anti")
 
 
-def oldest_ancestor(commits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def _oldest(layers: Layers, wanted: DataFrame | None) -> DataFrame:
+    """(at, oldest): the greatest place among the ancestors (self included) of the commits ``wanted`` (at)."""
+    child = layers.levels[0][1].select(F.col("u").alias("at")).distinct()
+    roots = layers.numbered.select("at").join(child, "at", "left_anti")
+    got = layers.spread(roots.select("at", F.lit(0).alias("key"), F.col("at").alias("val")), "max", backwards=True, wanted=wanted)
+    return got.select("at", F.col("val").alias("oldest"))
+
+
+def oldest_ancestor(commits: DataFrame, wanted: DataFrame | None = None, layers: Layers | None = None) -> DataFrame:
     """(repository, sha, oldest): the ancestor (self included) with the greatest
     ``commit_ord``, the last commit a history walk from that commit would list.
 
     Children come before their parents, so that ancestor is a root, and only
     roots are seeds.  ``wanted`` (repository, sha) limits the answer to those
     commits (default: all)."""
-    roots = root_commits(commits)
-    known = commits.select("repository", F.col("sha").alias("parent"))
-    edges = parent_edges(commits).join(known, ["repository", "parent"], "left_semi").select(
-        "repository", F.col("parent").alias("u"), F.col("child").alias("v"))
-    seeds = roots.select("repository", F.col("sha").alias("node"), F.struct("commit_ord", "sha").alias("val"))
-    if wanted is None:
-        got = flow(edges, seeds, "max")
-    else:
-        asked = wanted.select("repository", F.col("sha").alias("node")).distinct()
-        small, _ = contract(edges, asked)
-        got = propagate(small, seeds, "max").join(asked, ["repository", "node"], "left_semi")
-    return got.select("repository", F.col("node").alias("sha"), F.col("val.sha").alias("oldest"))
-
-
-def ancestor_pairs(commits: DataFrame, pairs: DataFrame) -> DataFrame:
+    layers = layers or Layers(commits)
+    asked = None if wanted is None else layers.place(wanted.select("repository", "sha").distinct(), "sha", "at").select("at")
+    names = layers.numbered.select(F.col("at").alias("oldest"), F.col("sha").alias("name"))
+    return (_oldest(layers, asked).join(names, "oldest").drop("oldest").withColumnRenamed("name", "oldest")
+            .join(layers.numbered.select("at", "repository", "sha"), "at").select("repository", "sha", "oldest"))
+
+
+def _ancestor_ids(layers: Layers, pairs: DataFrame) -> DataFrame:
+    """(repository, pair_id) of the rows (repository, pair_id, start, target as places) whose target is an ancestor of the start.
+
+    An ancestor has a later place; pairs that cannot be are answered at once.  The
+    others get a bit each in the masks of their repository (merges per repository
+    are capped, so a mask is a few words long)."""
+    open_ = rank_within(pairs.where("target > start").select("repository", "pair_id", "start", "target"), ["repository"], ["pair_id"], "n")
+    open_ = open_.withColumn("key", F.expr(f"n div {WORD}")).withColumn("bit", F.expr(f"CAST(n % {WORD} AS int)"))
+    seeds = open_.groupBy(F.col("start").alias("at"), "key").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("val"))
+    got = layers.spread(seeds, "or", wanted=open_.select(F.col("target").alias("at")).distinct())
+    return (open_.join(got.withColumnRenamed("at", "target"), ["target", "key"])
+            .where(F.getbit("val", "bit") == 1).select("repository", "pair_id"))
+
+
+def ancestor_pairs(commits: DataFrame, pairs: DataFrame, layers: Layers | None = None) -> DataFrame:
     """For (repository, pair_id, start, target) rows: is ``target`` an ancestor
-    of ``start`` (or equal)?
-
-    An ancestor has a larger ``commit_ord``; pairs that cannot be are answered
-    at once.  The others get a bit each in the masks of their repository, and a
-    commit holds one mask per word of WORD pairs, however many pairs pass it.  A
-    bit never enters a commit older than its target."""
-    ords = commits.select("repository", "sha", "commit_ord")
-    both = (pairs.join(ords.select("repository", F.col("sha").alias("start"), F.col("commit_ord").alias("_so")), ["repository", "start"], "left")
-            .join(ords.select("repository", F.col("sha").alias("target"), F.col("commit_ord").alias("_to")), ["repository", "target"], "left"))
-    open_ = rank_within(both.where((F.col("start") != F.col("target")) & (F.col("_to") > F.col("_so"))).select(
-        "repository", "pair_id", "start", "target", "_to"), ["repository"], ["pair_id"], "n")
-    open_ = Stored(open_.withColumn("word", F.expr(f"n div {WORD}")).withColumn("bit", F.expr(f"CAST(n % {WORD} AS int)")), "pairs").df
-    edges = parent_edges(commits).select("repository", F.col("child").alias("u"), F.col("parent").alias("v"))
-    ends = open_.select("repository", F.col("start").alias("node")).union(open_.select("repository", "target")).distinct()
-    small, _ = contract(edges.join(open_.select("repository").distinct(), "repository", "left_semi"), ends)
-    seeds = open_.groupBy("repository", F.col("start").alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("val"))
-    limits = (open_.groupBy("repository", "word").agg(F.sort_array(F.collect_list(F.struct("bit", "_to"))).alias("_t"))  # at most WORD
-              .select("repository", "word", F.col("_t._to").alias("places")))
-    got = bits_within(small, seeds, ords.select("repository", F.col("sha").alias("node"), F.col("commit_ord").alias("place")), limits)
-    found = (open_.join(got.withColumnRenamed("node", "target"), ["repository", "target", "word"])
-             .where(F.getbit("val", "bit") == 1).select("repository", "pair_id", F.lit(True).alias("_yes")))
+    of ``start`` (or equal)?"""
+    layers = layers or Layers(commits)
+    placed = layers.place(layers.place(pairs.withColumnsRenamed({"start": "_s", "target": "_t"}), "_s", "start"), "_t", "target")
+    found = _ancestor_ids(layers, placed).withColumn("_yes", F.lit(True))
     return (pairs.join(found, ["repository", "pair_id"], "left")
             .select("repository", "pair_id", (F.col("start") == F.col("target")) | F.coalesce("_yes", F.lit(False)))
             .toDF("repository", "pair_id", "is_ancestor"))
 
 
-def merge_notes(commits: DataFrame, merges: DataFrame) -> DataFrame:
+def merge_notes(commits: DataFrame, merges: DataFrame, layers: Layers | None = None) -> DataFrame:
     """H6: the note of each merge: ``a parent is the base`` when one parent
     is an ancestor of the other; else ``two initial commits`` when the two
     parents' oldest ancestors differ; else empty.
 
-    Only the older parent can be an ancestor of the other.  A repository with
-    one root has one oldest ancestor, so the oldest ancestors are looked for in
-    the others only, and only of the parents that are still undecided."""
-    ords = commits.select("repository", "sha", "commit_ord")
+    Only the older parent can be an ancestor of the other.  A parent that is not
+    in the table has no ancestor."""
+    layers = layers or Layers(commits)
+    places = layers.numbered.select("repository", "sha", "at")
     for i in (1, 2):
-        merges = merges.join(ords.select("repository", F.col("sha").alias(f"parent_{i}"), F.col("commit_ord").alias(f"_c{i}")), ["repository", f"parent_{i}"], "left")
-    merges = Stored(merges, "merges").df
-    older = F.col("_c1") > F.col("_c2")
-    pairs = merges.where("_c1 <> _c2").select(
-        "repository", F.col("merge_commit").alias("pair_id"),
-        F.when(older, F.col("parent_2")).otherwise(F.col("parent_1")).alias("start"),
-        F.when(older, F.col("parent_1")).otherwise(F.col("parent_2")).alias("target")).distinct()
-    anc = ancestor_pairs(commits, pairs).where("is_ancestor").select("repository", F.col("pair_id").alias("merge_commit"), F.lit(True).alias("_anc"))
-    out = Stored(merges.join(anc, ["repository", "merge_commit"], "left"), "notes").df
-    roots = root_commits(commits).groupBy("repository").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("repository", F.lit(True).alias("_many"))
-    out = out.join(roots, "repository", "left")
-    rest = out.where("_anc IS NULL AND _many")
-    asked = rest.select("repository", F.col("parent_1").alias("sha")).union(rest.select("repository", "parent_2")).distinct()
-    old = Stored(oldest_ancestor(commits.join(roots, "repository", "left_semi"), Stored(asked, "asked").df), "oldest").df
+        merges = merges.join(places.select("repository", F.col("sha").alias(f"parent_{i}"), F.col("at").alias(f"_a{i}")), ["repository", f"parent_{i}"], "left")
+    merges = layers._store(merges, "merges")
+    pairs = merges.where("_a1 <> _a2").select("repository", F.col("merge_commit").alias("pair_id"),
+                                              F.least("_a1", "_a2").alias("start"), F.greatest("_a1", "_a2").alias("target")).distinct()
+    anc = _ancestor_ids(layers, pairs).select("repository", F.col("pair_id").alias("merge_commit"), F.lit(True).alias("_anc"))
+    asked = merges.select(F.explode(F.array("_a1", "_a2")).alias("at")).where("at IS NOT NULL").distinct()
+    old = layers._store(_oldest(layers, asked), "oldest")
+    out = merges.join(anc, ["repository", "merge_commit"], "left")
     for i in (1, 2):
-        out = out.join(old.select("repository", F.col("sha").alias(f"parent_{i}"), F.col("oldest").alias(f"_o{i}")), ["repository", f"parent_{i}"], "left")
-    # with one root, all commits of the table end at it; a parent that is not in the table ends nowhere
-    o1, o2 = (F.when(F.col("_many"), F.col(f"_o{i}")).otherwise(F.when(F.col(f"_c{i}").isNotNull(), F.lit("root"))) for i in (1, 2))
-    note = F.when(F.col("_anc"), F.lit(NOTE_PARENT_IS_BASE)).when(~o1.eqNullSafe(o2), F.lit(NOTE_TWO_ROOTS)).otherwise(F.lit(""))
-    return out.withColumn("notes", note).drop("_anc", "_many", "_c1", "_c2", "_o1", "_o2")
+        out = out.join(old.select(F.col("at").alias(f"_a{i}"), F.col("oldest").alias(f"_o{i}")), f"_a{i}", "left")
+    note = F.when(F.col("_anc"), F.lit(NOTE_PARENT_IS_BASE)).when(~F.col("_o1").eqNullSafe(F.col("_o2")), F.lit(NOTE_TWO_ROOTS)).otherwise(F.lit(""))
+    return out.withColumn("notes", note).drop("_anc", "_a1", "_a2", "_o1", "_o2")
 
 
 def collect_merges(refs: DataFrame, commits: DataFrame, existing: DataFrame | None = None,
                    max_num_merges: int = DEFAULT_MAX_MERGES,
                    max_branches: int = DEFAULT_MAX_BRANCHES) -> DataFrame:
     """H5: refs + commits -> new merges (T5 columns plus ref_rank, commit_ord)."""
-    ranked = Stored(branch_refs(refs, max_branches), "refs").df
-    m = Stored(capped_merges(commits, ranked, existing, max_num_merges), "capped").df
-    return merge_notes(commits, m)
+    layers = Layers(commits)
+    ranked = Stored(branch_refs(refs, max_branches), "refs")
+    m = Stored(capped_merges(commits, ranked.df, existing, max_num_merges, layers), "capped")
+    out = Stored(merge_notes(commits, m.df, layers), "collected")
+    for part in (layers, ranked, m):
+        part.delete()
+    return out.df
 
 
 def duplicate_merge_keys(merges: DataFrame) -> DataFrame:

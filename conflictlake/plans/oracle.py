@@ -394,23 +394,72 @@ FROM capped c JOIN ranked r ON r.repository = c.repository AND r.ref_rank = c.re
 
 # Notes from full ancestor sets: one parent among the other's ancestors, else
 # compare the oldest ancestors (largest commit_ord) of the two parents.
-SQL["merge_notes"] = _with(CTE_GRAPH) + """,
+CTE_ANCESTORS = """
 anc(repository, sha, a) AS (
   SELECT repository, sha, sha FROM commits
   UNION
   SELECT x.repository, x.sha, p.parent FROM anc x JOIN pe p ON p.repository = x.repository AND p.sha = x.a),
 oldest AS (SELECT x.repository, x.sha, arg_max(x.a, c.commit_ord) AS o FROM anc x
-           JOIN commits c ON c.repository = x.repository AND c.sha = x.a GROUP BY x.repository, x.sha)
-SELECT m.repository, m.sha AS merge_commit,
-  CASE WHEN EXISTS (SELECT 1 FROM anc x WHERE x.repository = m.repository AND x.sha = m.parent_1 AND x.a = m.parent_2)
+           JOIN commits c ON c.repository = x.repository AND c.sha = x.a GROUP BY x.repository, x.sha)"""
+
+NOTE = """CASE WHEN EXISTS (SELECT 1 FROM anc x WHERE x.repository = m.repository AND x.sha = m.parent_1 AND x.a = m.parent_2)
          OR EXISTS (SELECT 1 FROM anc x WHERE x.repository = m.repository AND x.sha = m.parent_2 AND x.a = m.parent_1)
        THEN 'a parent is the base'
        WHEN o1.o IS DISTINCT FROM o2.o THEN 'two initial commits'
-       ELSE '' END AS notes
+       ELSE '' END AS notes"""
+
+SQL["merge_notes"] = _with(CTE_GRAPH, CTE_ANCESTORS) + f"""
+SELECT m.repository, m.sha AS merge_commit, {NOTE}
 FROM capped m
 LEFT JOIN oldest o1 ON o1.repository = m.repository AND o1.sha = m.parent_1
 LEFT JOIN oldest o2 ON o2.repository = m.repository AND o2.sha = m.parent_2"""
 
+# all branch refs, no cap on their number
+CTE_ALL_REFS = """
+ranked2 AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY ref_ord, path) - 1 AS ref_rank FROM k1),
+reach2(repository, sha, ref_rank) AS (
+  SELECT repository, head_sha, ref_rank FROM ranked2
+  UNION
+  SELECT r.repository, p.parent, r.ref_rank FROM reach2 r JOIN pe p ON p.repository = r.repository AND p.sha = r.sha)"""
+
+SQL["ref_commits"] = _with(CTE_GRAPH, CTE_ALL_REFS) + """
+SELECT r.repository, k.path, r.ref_rank, r.sha, CAST(c.commit_ord AS BIGINT) AS commit_ord
+FROM reach2 r JOIN ranked2 k ON k.repository = r.repository AND k.ref_rank = r.ref_rank
+JOIN commits c ON c.repository = r.repository AND c.sha = r.sha"""
+
+SQL["merge_store_runs"] = _with(CTE_GRAPH, CTE_ALL_REFS, CTE_ANCESTORS) + f""",
+local AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repository, head_sha ORDER BY ref_ord) AS rn
+                                       FROM f7 WHERE starts_with(path, 'refs/heads/')) WHERE rn = 1),
+ranked1 AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY ref_ord, path) - 1 AS ref_rank FROM local),
+reach1(repository, sha, ref_rank) AS (
+  SELECT repository, head_sha, ref_rank FROM ranked1
+  UNION
+  SELECT r.repository, p.parent, r.ref_rank FROM reach1 r JOIN pe p ON p.repository = r.repository AND p.sha = r.sha),
+label1 AS (SELECT repository, sha, min(ref_rank) AS ref_rank FROM reach1 GROUP BY ALL),
+label2 AS (SELECT repository, sha, min(ref_rank) AS ref_rank FROM reach2 r GROUP BY ALL),
+run1 AS (SELECT * FROM (SELECT c.*, l.ref_rank, row_number() OVER (PARTITION BY c.repository ORDER BY l.ref_rank, c.commit_ord, c.sha) AS rn
+                        FROM cand c JOIN label1 l USING (repository, sha)) WHERE rn <= 15),
+n1 AS (SELECT repository, count(*) AS n FROM run1 GROUP BY repository),
+left_ AS (SELECT c.*, coalesce(a.ref_rank, b.ref_rank) AS ref_rank, a.sha IS NOT NULL AS old
+          FROM cand c LEFT JOIN label1 a USING (repository, sha) LEFT JOIN label2 b USING (repository, sha)
+          WHERE coalesce(a.ref_rank, b.ref_rank) IS NOT NULL AND NOT EXISTS (SELECT 1 FROM run1 r WHERE r.repository = c.repository AND r.sha = c.sha)),
+run2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY ref_rank, commit_ord, sha) AS rn,
+                               count(*) OVER (PARTITION BY repository) AS offered FROM left_)),
+taken AS (
+  SELECT r.repository, r.sha, r.parent_1, r.parent_2, k.path AS branch_name, r.rn - 1 AS pos, 1 AS run
+  FROM run1 r JOIN ranked1 k USING (repository, ref_rank)
+  UNION ALL
+  SELECT r.repository, r.sha, r.parent_1, r.parent_2, CASE WHEN old THEN a.path ELSE b.path END, coalesce(n, 0) + rn - 1, 2
+  FROM run2 r LEFT JOIN ranked1 a USING (repository, ref_rank) LEFT JOIN ranked2 b USING (repository, ref_rank)
+  LEFT JOIN n1 USING (repository) WHERE coalesce(n, 0) + rn <= 40),
+total AS (SELECT repository, count(*) AS n FROM taken GROUP BY repository),
+offers AS (SELECT repository, max(offered) + coalesce(max(n), 0) AS n FROM run2 LEFT JOIN n1 USING (repository) GROUP BY repository)
+SELECT m.repository, m.sha AS merge_commit, m.branch_name, {NOTE}, CAST(m.pos AS BIGINT) AS pos, CAST(m.run AS BIGINT) AS run,
+       coalesce(o.n, t.n) = t.n AS complete, t.n AS n_merges
+FROM taken m JOIN total t ON t.repository = m.repository LEFT JOIN offers o ON o.repository = m.repository
+LEFT JOIN oldest o1 ON o1.repository = m.repository AND o1.sha = m.parent_1
+LEFT JOIN oldest o2 ON o2.repository = m.repository AND o2.sha = m.parent_2"""
+
 # --- incremental, index, duplicates, files ----------------------------------------------------
 
 SQL["merge_incremental"] = """

@@ -7,6 +7,8 @@ SQL in ``conflictlake.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from conflictlake.operators import metrics as M
 from conflictlake.operators import summary as S
 from conflictlake.operators import history as H
 from conflictlake.operators import repos as RP
+from conflictlake.session import ensure_checkpoint_dir
 from conflictlake.plans.inputs import (STANDIN_MAX_BRANCHES, STANDIN_MAX_MERGES, built_conflict_files,
                                        standin_commits, standin_refs, table)
 
@@ -213,6 +216,28 @@ def q_merge_notes(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("repository", "merge_commit", "notes")
 
 
+def q_ref_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """H2: the commits of every branch ref (no cap on refs)."""
+    refs, commits = _graph(spark, sf)
+    out = H.ref_commits(commits, H.branch_refs(refs))
+    return out.select("repository", "path", F.col("ref_rank").cast("long").alias("ref_rank"), "sha", "commit_ord")
+
+
+def q_merge_store_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """H7: a first run that sees the local branches only and takes 15 merges of a
+    repository, then a run over all branches with a cap of 40 on the stored state."""
+    from conflictlake.streaming.collection import MergeStore
+    refs, commits = _graph(spark, sf)
+    commits = commits.checkpoint(eager=True)
+    store = MergeStore(spark, f"{ensure_checkpoint_dir(spark)}/merge-store-{uuid.uuid4().hex}")
+    store.collect(refs.where(F.col("path").startswith("refs/heads/")), commits, 15)
+    first = store.status().select("repository", F.col("runs")[0].alias("first")).checkpoint(eager=True)
+    store.collect(refs, commits, 40)
+    state = store.status().select("repository", "complete", "n_merges").join(first, "repository", "left")
+    return store.merges().join(state, "repository").select(
+        "repository", "merge_commit", "branch_name", "notes", "pos", F.when(F.col("run").eqNullSafe(F.col("first")), 1).otherwise(2).cast("long").alias("run"), "complete", "n_merges")
+
+
 def _order_merges(spark, sf):
     o = table(spark, sf, "orders")
     return o.select(F.col("o_orderpriority").alias("repository"),
@@ -516,6 +541,8 @@ REGISTRY = {
     "ref_dedupe_cap": q_ref_dedupe_cap,
     "merge_first_ref_cap": q_merge_first_ref_cap,
     "merge_notes": q_merge_notes,
+    "ref_commits": q_ref_commits,
+    "merge_store_runs": q_merge_store_runs,
     "merge_incremental": q_merge_incremental,
     "merge_dense_index": q_merge_dense_index,
     "duplicate_keys": q_duplicate_keys,
