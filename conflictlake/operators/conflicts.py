@@ -59,8 +59,8 @@ def marker_columns(lines: str = "cl") -> dict:
 
 
 def block_spans_expr(lines: str = "cl", marks: str = "marks") -> str:
-    """X3 as a SQL expression over the marker positions: array<struct<s:int,e:int>>
-    of (start, end) line indices, markers included.
+    """X3 as a SQL expression over the marker positions: array<struct<s:int,e:int,ms:int,me:int>>
+    of (start, end) line indices, markers included, and their places among the markers.
 
     A block opens at a ``<<<<<<<`` line, takes the first ``=======`` after it
     and the first ``>>>>>>>`` after that; scanning resumes after the block, so
@@ -68,14 +68,15 @@ def block_spans_expr(lines: str = "cl", marks: str = "marks") -> str:
     scan and keeps the blocks found before it.  One fold over the markers in
     file order: looking for an opening, a separator, an end.
     """
-    kinds = f"transform({marks}, j -> named_struct('i', j, 'k', substring({lines}[j], 1, 1)))"
-    state = "named_struct('want', {want}, 's', {s}, 'b', {b})"
+    kinds = f"transform({marks}, (j, k) -> named_struct('i', j, 'k', substring({lines}[j], 1, 1), 'm', k))"
+    state = "named_struct('want', '{want}', 's', {s}, 'ms', {ms}, 'b', {b})"
+    block = "concat(acc.b, array(named_struct('s', acc.s, 'e', c.i, 'ms', acc.ms, 'me', c.m)))"
     return (
-        f"aggregate({kinds}, {state.format(want=chr(39) + '<' + chr(39), s=0, b='CAST(array() AS array<struct<s:int,e:int>>)')}, "
+        f"aggregate({kinds}, {state.format(want='<', s=0, ms=0, b='CAST(array() AS array<struct<s:int,e:int,ms:int,me:int>>)')}, "
         "(acc, c) -> CASE WHEN c.k <> acc.want THEN acc "
-        f"WHEN c.k = '<' THEN {state.format(want=chr(39) + '=' + chr(39), s='c.i', b='acc.b')} "
-        f"WHEN c.k = '=' THEN {state.format(want=chr(39) + '>' + chr(39), s='acc.s', b='acc.b')} "
-        f"ELSE {state.format(want=chr(39) + '<' + chr(39), s='acc.s', b='concat(acc.b, array(named_struct(' + chr(39) + 's' + chr(39) + ', acc.s, ' + chr(39) + 'e' + chr(39) + ', c.i)))')} END, "
+        f"WHEN c.k = '<' THEN {state.format(want='=', s='c.i', ms='c.m', b='acc.b')} "
+        f"WHEN c.k = '=' THEN {state.format(want='>', s='acc.s', ms='acc.ms', b='acc.b')} "
+        f"ELSE {state.format(want='<', s='acc.s', ms='acc.ms', b=block)} END, "
         "acc -> acc.b)"
     )
 
@@ -121,23 +122,26 @@ def _file_rows(files: DataFrame, conflict_col: str, merged_col: str, context: in
     ))
     df = _barrier(df.select(
         *keep, "cl", "ml", F.expr("size(cl)").alias("n"), F.expr("size(ml)").alias("nm"),
+        F.expr(_codes("cl")).alias("codes"), F.expr(f"array_join({_codes('ml')}, '')").alias("mcode"),
         *[F.expr(v).alias(k) for k, v in marker_columns("cl").items()]))
-    df = _barrier(df.select(*keep, "cl", "ml", "n", "nm", "marks", F.expr(block_spans_expr()).alias("spans")))
+    df = _barrier(df.select(*keep, "cl", "ml", "n", "nm", "codes", "mcode", F.reverse("mcode").alias("rcode"), "marks", F.expr(block_spans_expr()).alias("spans")))
     spans = (
         "transform(spans, (x, i) -> named_struct('block_no', i + 1, 's', x.s, 'e', x.e, "
-        f"'b0', greatest(x.s - {match_context}, coalesce(get(marks, CAST(array_position(marks, x.s) AS int) - 2) + 1, 0)), "
-        f"'a1', least(x.e + 1 + {match_context}, coalesce(get(marks, CAST(array_position(marks, x.e) AS int)), n)), "
+        f"'b0', greatest(x.s - {match_context}, coalesce(get(marks, x.ms - 1) + 1, 0)), "
+        f"'a1', least(x.e + 1 + {match_context}, coalesce(get(marks, x.me + 1), n)), "
         f"'c0', greatest(x.s - {context}, 0), 'c1', least(n, x.e + 1 + {context})))")
-    df = _barrier(df.select(*keep, "cl", "ml", "nm", F.expr(spans).alias("blk")))
+    df = _barrier(df.select(*keep, "cl", "ml", "nm", "codes", "mcode", "rcode", F.expr(spans).alias("blk")))
     ctx = _extend("blk", ["block_no", "s", "e"], {
         "before": "slice(cl, b.b0 + 1, b.s - b.b0)",
         "after": "slice(cl, b.e + 2, b.a1 - b.e - 1)",
         "before5": "slice(cl, b.c0 + 1, b.s - b.c0)",
         "after5": "slice(cl, b.e + 2, b.c1 - b.e - 1)",
         "conflict": "array_join(slice(cl, b.c0 + 1, b.c1 - b.c0), '')",
+        "code_b": "array_join(slice(codes, b.b0 + 1, b.s - b.b0), '')",
+        "code_a": "array_join(slice(codes, b.e + 2, b.a1 - b.e - 1), '')",
     })
     # the merged text joined once per file (for the containment check)
-    return _barrier(df.select(*keep, "ml", "nm", F.expr("array_join(ml, '')").alias("mtext"),
+    return _barrier(df.select(*keep, "ml", "nm", "mcode", "rcode", F.expr("array_join(ml, '')").alias("mtext"),
                               F.expr(ctx).alias("blk"))), keep
 
 
@@ -149,22 +153,22 @@ def block_contexts(files: DataFrame, conflict_col: str = "conflict_text", merged
     """X4 + X5 per block: one row per block with the matching contexts, the
     snippet contexts and the snippet."""
     df, keep = _file_rows(files, conflict_col, merged_col, context, match_context)
-    return (df.select(*keep, F.inline("blk"))
+    return (df.select(*keep, F.inline("blk")).drop("code_b", "code_a")
             .withColumnRenamed("s", "start_line").withColumnRenamed("e", "end_line"))
 
 
-def _match(ctx: str, m: str) -> str:
-    """X6 for a non-empty context: every start index of ``ctx`` in ``ml``
-    (overlaps included); null for an empty context, whose matches are all
-    indexes 0..nm-1 and are handled arithmetically (never materialised).
+WIDTH = 17  # characters of a line's code
 
-    The first line of a context mostly occurs once, or not at all; then the built-in
-    search over the array finds the only place to look at."""
-    fits = f"slice(ml, i + 1, {m}) = {ctx}"
-    return (f"CASE WHEN {m} = 0 THEN NULL WHEN nm - {m} < 0 THEN CAST(array() AS array<int>) "
-            f"ELSE CASE nm - size(array_remove(ml, {ctx}[0])) WHEN 0 THEN CAST(array() AS array<int>) "
-            f"WHEN 1 THEN filter(array(CAST(array_position(ml, {ctx}[0]) AS int) - 1), i -> i <= nm - {m} AND {fits}) "
-            f"ELSE filter(sequence(0, nm - {m}), i -> ml[i] = {ctx}[0] AND {fits}) END END")
+
+def _codes(lines: str) -> str:
+    """The lines as codes of WIDTH characters: a bar and 64 bits of hash.  A code begins
+    with the only bar in it, so text found in joined codes always begins at a line."""
+    return f"transform({lines}, x -> concat('|', lpad(hex(xxhash64(x)), 16, '0')))"
+
+
+def _line(at: str) -> str:
+    """The line of a place in the joined codes (1-based; 0 is none)."""
+    return f"IF({at} = 0, NULL, CAST(({at} - 1) / {WIDTH} AS int))"
 
 
 def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
@@ -190,24 +194,32 @@ def extract_blocks(files: DataFrame, *, id_cols=("merge_idx", "file_no"),
     if strip_final_newline:
         files = files.withColumn(merged_col, F.regexp_replace(F.col(merged_col), r"\n\z", ""))
     df, keep = _file_rows(files, conflict_col, merged_col, context, match_context)
-    f1 = ["block_no", "s", "e", "before", "after", "before5", "after5", "conflict"]
-    df = _barrier(df.select(*keep, "ml", "nm", "mtext", F.expr(_extend("blk", f1, {
-        "nb": "size(b.before)", "na": "size(b.after)",
-        "pos_b": _match("b.before", "size(b.before)"), "pos_a": _match("b.after", "size(b.after)"),
+    f1 = ["block_no", "s", "e", "before", "after", "before5", "after5", "conflict", "code_b", "code_a"]
+    # A context is looked for as text in the joined codes, one scan that ends at the first
+    # match.  Nobody needs all its places (of equal lines there is one per line and block), only
+    # whether there is a second one, and the nearest to the other context's only place.
+    df = _barrier(df.select(*keep, "ml", "nm", "mtext", "mcode", "rcode", F.expr(_extend("blk", f1, {
+        "nb": "size(b.before)", "na": "size(b.after)", "hit_b": "locate(b.code_b, mcode)", "hit_a": "locate(b.code_a, mcode)",
     })).alias("blk")))
-    f2 = f1 + ["nb", "na", "pos_b", "pos_a"]
-    df = (df.select(*keep, "ml", "nm", "mtext", F.expr(_extend("blk", f2, {
-        "cnt_b": "IF(b.nb = 0, nm, size(b.pos_b))", "cnt_a": "IF(b.na = 0, nm, size(b.pos_a))",
-        "first_b": "IF(b.nb = 0, 0, get(b.pos_b, 0))", "first_a": "IF(b.na = 0, 0, get(b.pos_a, 0))",
+    # an empty context is found at every line
+    count = "IF(b.n{c} = 0, nm, CASE WHEN b.hit_{c} = 0 THEN 0 WHEN locate(b.code_{c}, mcode, b.hit_{c} + 1) = 0 THEN 1 ELSE 2 END)"
+    f2 = f1 + ["nb", "na"]
+    df = _barrier(df.select(*keep, "ml", "nm", "mtext", "mcode", "rcode", F.expr(_extend("blk", f2, {
+        "cnt_b": count.format(c="b"), "cnt_a": count.format(c="a"),
+        "first_b": f"IF(b.nb = 0, 0, {_line('b.hit_b')})", "first_a": f"IF(b.na = 0, 0, {_line('b.hit_a')})",
     })).alias("blk")))
     f3 = f2 + ["cnt_b", "cnt_a", "first_b", "first_a"]
-    # nearest after-context at or after x / before-context start at or before y
-    a_ge = ("IF(b.na = 0, IF({x} <= nm - 1, {x}, NULL), array_min(filter(b.pos_a, p -> p >= {x})))")
-    b_le = ("IF(b.nb = 0, IF({y} >= 0 AND nm > 0, least({y}, nm - 1), NULL), "
-            "array_max(filter(b.pos_b, p -> p <= {y})))")
-    df = (df.select(*keep, "ml", "nm", "mtext", F.expr(_extend("blk", f3, {
-        "i1": f"CASE WHEN b.cnt_b = 1 THEN b.first_b WHEN b.cnt_a = 1 THEN {b_le.format(y='b.first_a - b.nb')} END",
-        "i2": f"CASE WHEN b.cnt_b = 1 THEN {a_ge.format(x='b.first_b + b.nb')} WHEN b.cnt_a = 1 THEN b.first_a END",
+    # nearest after-context at or after x; nearest before-context start at or before y, a search in the reversed codes
+    x, y = "(b.first_b + b.nb)", "(b.first_a - b.nb)"
+    df = _barrier(df.select(*keep, "ml", "nm", "mtext", F.expr(_extend("blk", f3, {
+        "next_a": f"IF(b.cnt_b = 1 AND b.na > 0, locate(b.code_a, mcode, {WIDTH} * {x} + 1), 0)",
+        "last_b": f"IF(b.cnt_b <> 1 AND b.cnt_a = 1 AND b.nb > 0 AND {y} >= 0, locate(reverse(b.code_b), rcode, greatest({WIDTH} * (nm - b.first_a), 0) + 1), 0)",
+    })).alias("blk")))
+    a_ge = f"IF(b.na = 0, IF({x} <= nm - 1, {x}, NULL), {_line('b.next_a')})"
+    b_le = f"IF(b.nb = 0, IF({y} >= 0 AND nm > 0, least({y}, nm - 1), NULL), nm - b.nb - {_line('b.last_b')})"
+    df = _barrier(df.select(*keep, "ml", "nm", "mtext", F.expr(_extend("blk", f3 + ["next_a", "last_b"], {
+        "i1": f"CASE WHEN b.cnt_b = 1 THEN b.first_b WHEN b.cnt_a = 1 THEN {b_le} END",
+        "i2": f"CASE WHEN b.cnt_b = 1 THEN {a_ge} WHEN b.cnt_a = 1 THEN b.first_a END",
     })).alias("blk")))
     f4 = f3 + ["i1", "i2"]
     status = ("CASE WHEN ml IS NULL THEN 'no_merged_file' "

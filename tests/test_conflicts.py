@@ -144,3 +144,43 @@ def test_doubling_the_blocks_doubles_the_time(spark):
         took[k] = min(time.time() - t0, took.get(k, 1e9))
         assert len(rows) == k and {r.status for r in rows} == {"ok"}
     assert took[2000] < 2.6 * took[1000] + 1, took
+
+
+def test_file_of_equal_lines(spark):
+    """50,000 equal lines and 1000 blocks: no list of places is made, and every block is ambiguous but those near the ends."""
+    import time
+    gap = "same\n" * 50
+    conflict = "".join(gap + "<<<<<<< L\nx\n=======\ny\n>>>>>>> R\n" for _ in range(1000)) + gap + "end\n"
+    merged = "start\n" + "same\n" * 50_000 + "end\n"
+    df = spark.createDataFrame([(1, 0, conflict, merged)], "merge_idx long, file_no int, conflict_text string, merged_text string")
+    t0 = time.time()
+    rows = extract_blocks(df).collect()
+    assert time.time() - t0 < 30
+    assert len(rows) == 1000 and {r.status for r in rows} == {"ambiguous"}
+
+
+def test_repeated_contexts_nearest_places(spark):
+    """Contexts that occur several times against the list of all places, with lines that repeat."""
+    import random
+    rnd = random.Random(8)
+    cases = []
+    for _ in range(150):
+        line = lambda: rnd.choice(["a\n", "a\n", "b\n", "}\n", "\n", "ab\n"])
+        body = [line() for _ in range(rnd.randint(0, 12))]
+        at = rnd.randint(0, len(body))
+        block = ["<<<<<<< L\n", "x\n", "=======\n", "y\n", ">>>>>>> R\n"]
+        parts = [body[:at], body[at:], ["x\n"] * rnd.randint(0, 2), [line() for _ in range(rnd.randint(0, 4))]]
+        merged = sum((rnd.choice(parts) for _ in range(rnd.randint(1, 6))), []) + rnd.choice([[], ["z\n"]])
+        cases.append(("".join(body[:at] + block + body[at:]), "".join(merged)))
+    df = spark.createDataFrame([(i, 0, c, m) for i, (c, m) in enumerate(cases)], "merge_idx long, file_no int, conflict_text string, merged_text string")
+    got = {r.merge_idx: r for r in extract_blocks(df).collect()}
+    seen = set()
+    for i, (c, m) in enumerate(cases):
+        cl, ml = c.splitlines(keepends=True), m.splitlines(keepends=True)
+        (s, e), = model_blocks(cl)
+        st, res = model_resolve(ml, cl, s, e)
+        seen.add(st)
+        assert got[i].status == st, (c, m)
+        if st == "ok":
+            assert got[i].resolution == "".join(res), (c, m)
+    assert len(seen) >= 4

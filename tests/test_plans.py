@@ -17,8 +17,8 @@ def test_flagship_plan_has_no_duplicated_work(spark):
     assert len(re.findall(r"Exchange", plan)) <= 1
     # one line split per text (document, conflict file, merged file)
     assert plan.count("split(") == 3
-    # one match expression per context (empty contexts are never materialised)
-    assert plan.count("sequence(") == 2
+    # per context one search for the first place, one for a second, one for the nearest; no list of places
+    assert plan.count("locate(") == 6 and plan.count("sequence(") == 0
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     logical = df._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in logical
