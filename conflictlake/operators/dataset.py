@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflictlake.operators.metrics import QUERY_PROMPT, build_question
-from conflictlake.operators.rank import dense_index
+from conflictlake.operators.select import nth
+from conflictlake.operators.stored import Stored
 
 DEFAULT_TEST_SIZE = 0.2
 DEFAULT_SEED = 42
@@ -37,22 +40,24 @@ def assign_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int
 
     test_size 0 -> all train, 1 -> all test; otherwise rows are ordered by
     md5("<seed>:<id>") (id as tie-break) and the first ceil(test_size * n) are
-    the test split.  Only the keys are indexed (K3, in parallel); each row then
-    compares its key with the one at the bound, so no text is moved.  Ids must be
-    unique.  The assignment depends only on the ids, not on partitioning.
+    the test split.  The last key of the test split is found by its rank without
+    a sort (``select.nth``); each row then compares its key with that one, so no
+    row is moved.  Ids must be unique.  The assignment depends only on the ids, not
+    on partitioning.
     """
     if not test_size:
         return df.withColumn("split", F.lit("train"))
     if test_size == 1:
         return df.withColumn("split", F.lit("test"))
-    keys = df.select(split_key(id_col, seed).alias("_key"), F.col(id_col).alias("_id"))
-    indexed = dense_index(keys, ["_key", "_id"], "_idx", total_col="_n")
-    n_test = F.ceil(F.lit(float(test_size)) * F.col("_n").cast("double"))
-    last = indexed.where(F.col("_idx") == n_test - 1).select("_key", "_id").first()  # one row: the bound of the test split
-    if last is None:
+    keys = Stored(df.select(split_key(id_col, seed).alias("_key"), F.col(id_col).cast("string").alias("_id")), "split-keys")
+    n_test = math.ceil(float(test_size) * keys.df.count())
+    found = nth(keys.df, [("_key", False), ("_id", False)], n_test - 1)
+    keys.delete()
+    if found is None:
         return df.withColumn("split", F.lit("train"))
+    last = found[0]
     key, bound = split_key(id_col, seed), F.lit(last["_key"])
-    test = (key < bound) | ((key == bound) & (F.col(id_col) <= F.lit(last["_id"])))
+    test = (key < bound) | ((key == bound) & (F.col(id_col).cast("string") <= F.lit(last["_id"])))
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 

@@ -1,8 +1,8 @@
 """Repository catalogue operators.
 
-All are scans, filters, projections and one global order; the only exchange is
-the sort for the top-N slice (planned as ``TakeOrderedAndProject`` when the
-slice is small) and the aggregates.
+All are scans, filters, projections and aggregates.  A slice of the order by stars
+is a ``TakeOrderedAndProject`` near the top; far down only the rows between the
+ranks of its two ends are sorted.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflictlake.operators.rank import dense_index
+from conflictlake.operators.select import nth, rank_slice
+from conflictlake.operators.stored import Stored
 
 # --- fixed values -------------------------------------------------------------
 # Repositories left out of the catalogue because their test setups failed.
@@ -27,6 +29,7 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # Most results a code-search API query returns.
 API_RESULT_CAP = 1000
 # -----------------------------------------------------------------------------
+TOP_ROWS = 100_000  # a slice that ends further down is found by ranks
 
 
 def _na(col: str) -> F.Column:
@@ -95,31 +98,39 @@ def top_n_slice(repos: DataFrame, language: str, start: int, n: int,
                 lang_col: str = "language") -> DataFrame:
     """F2 + P3 + F3 + S1: rows ``start .. start+n-1`` of one language ordered
     by stars (descending), ties broken by repository name.  Stars that do not
-    parse as numbers are dropped."""
+    parse as numbers are dropped.
+
+    A slice near the top is a top-k; one far down (beyond TOP_ROWS) is found by the
+    ranks of its two ends, so no task holds the rows above it."""
     d = (repos.where(F.col(lang_col) == language)
          .withColumn(stars_col, F.expr(f"try_cast(`{stars_col}` AS DOUBLE)"))
          .where(F.col(stars_col).isNotNull()))
+    d = d.where(~F.isnan(stars_col))
+    if start + n > TOP_ROWS:
+        named = d.withColumn("_named", F.col(repo_col).isNotNull().cast("int")).withColumn("_name", F.coalesce(repo_col, F.lit("")))
+        return rank_slice(named, [(stars_col, True), ("_named", False), ("_name", False)], start, n).drop("_named", "_name")
     return d.orderBy(F.desc(stars_col), F.asc(repo_col)).offset(start).limit(n)
 
 
 def star_stats(repos: DataFrame, stars_col: str = "stars", exact_median: bool = True) -> DataFrame:
     """A2: count, min, max, mean and median of the stars.
 
-    The exact median is taken from the parallel dense index (the rows at the
-    middle positions), so no single task holds all values; with
-    ``exact_median=False`` it is ``percentile_approx``.
+    The exact median is the mean of the values at the two middle ranks, which are
+    found without a sort (``select.nth``); with ``exact_median=False`` it is
+    ``percentile_approx``.
     """
     s = repos.select(F.col(stars_col).cast("double").alias("v")).where(F.col("v").isNotNull())
     aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("min_stars"),
             F.max("v").alias("max_stars"), F.avg("v").alias("mean_stars")]
     if not exact_median:
         return s.agg(*aggs, F.percentile_approx("v", 0.5).alias("median_stars"))
-    basic = s.agg(*aggs)
-    idx = dense_index(s.withColumn("_t", F.monotonically_increasing_id()), ["v", "_t"], "_i", total_col="_n")
-    mid = (idx.where((F.col("_i") == F.floor((F.col("_n") - 1) / 2))
-                     | (F.col("_i") == F.ceil((F.col("_n") - 1) / 2)))
-           .agg(F.avg("v").alias("median_stars"), F.max("_n").alias("n")))
-    return basic.join(mid, "n", "left")
+    kept = Stored(s, "stars")
+    n = kept.df.count()
+    lower = nth(kept.df, [("v", False)], (n - 1) // 2)
+    upper = lower if n % 2 else nth(kept.df, [("v", False)], n // 2)
+    kept.delete()
+    median = (lower[0][0] + upper[0][0]) / 2 if n else None
+    return s.agg(*aggs).withColumn("median_stars", F.lit(median).cast("double"))
 
 
 def format_api_items(items: DataFrame) -> DataFrame:
