@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conflictlake.operators.rank import dense_index
 from conflictlake.operators.select import nth, rank_slice
 from conflictlake.operators.stored import Stored
+from conflictlake.sources.records import SPLIT, running, with_split
 
 # --- fixed values -------------------------------------------------------------
 # Repositories left out of the catalogue because their test setups failed.
@@ -83,14 +83,16 @@ def with_row_position(df: DataFrame, index_col: str = "idx") -> DataFrame:
     """K8: 0-based row position in the source order (before any filter).
 
     Rows are ordered by file, then by the byte offset where their split
-    starts, then by their order inside the split (split packing does not keep
-    offset order, so the id alone is not enough); the position comes from the
-    parallel dense index.  ``df`` must be a file scan.
+    starts, then by their order inside the split.  A narrow count of each split
+    gives its first position, and a second narrow pass adds the place inside the
+    split: no row is moved.  ``df`` must be a file scan.
     """
-    d = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                  F.col("_metadata.file_block_start").alias("_blk"),
-                  F.monotonically_increasing_id().alias("_pos"))
-    return dense_index(d, ["_file", "_blk", "_pos"], index_col).drop("_file", "_blk", "_pos")
+    rows = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"),
+                     F.monotonically_increasing_id().alias("pos"))
+    counts = rows.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    splits = Stored(running(counts, "n", over_files=True).select(*SPLIT, "first", "before"), "splits").df
+    at = (F.col("pos") - F.col("first") + F.col("before")).cast("long")
+    return with_split(rows, splits).withColumn(index_col, at).drop("file", "blk", "pos", "first", "before")
 
 
 def top_n_slice(repos: DataFrame, language: str, start: int, n: int,

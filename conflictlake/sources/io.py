@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import csv
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conflictlake.operators.repos import API_RESULT_CAP, with_row_position
+from conflictlake.operators.stored import Stored
+from conflictlake.sources import records as R
 
 # T1 without idx, as read from the dump: every column text first (R1); the
 # catalogue cast happens after the missing-value handling.
@@ -64,41 +67,51 @@ def cast_catalogue(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
+def _ddl(schema) -> str:
+    if isinstance(schema, str):
+        return schema
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def read_csv(spark: SparkSession, path: str, schema, keep_empty_strings: bool = False) -> DataFrame:
     """R2: CSV with header, quoted multi-line fields.  With
-    ``keep_empty_strings`` an empty quoted field stays "" instead of null."""
-    r = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-    if keep_empty_strings:
-        r = r.option("emptyValue", "").option("nullValue", "\u0000")
-    return r.csv(path)
+    ``keep_empty_strings`` an empty quoted field stays "" instead of null.
+
+    A file is read by as many tasks as it has splits (``sources.records``), with
+    the rows that a whole-file reader gives; columns are taken by position."""
+    rows = R.records(R.file_lines(spark, path)).where("NOT header")
+    options = {"emptyValue": "", "nullValue": "\u0000"} if keep_empty_strings else {}
+    return rows.select(R.parsed(rows, _ddl(schema), options).alias("r")).select("r.*")
 
 
 def read_csv_dir(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.csv`` below ``path``; files with different headers are
     unioned by name (missing columns null).  Raises when there is none.
 
-    The headers come from one distributed scan; then the files of each distinct
-    header are read in one scan, so the driver holds distinct headers only."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-                     F.monotonically_increasing_id().alias("line")).where("at = 0"))
-    first = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    headers = sorted(r["header"] for r in first.select("header").distinct().collect())
-    if not headers:
+    All files are read in one scan, whatever headers they have: the cells of a
+    record are taken by position and named by the header of its own file.  Only
+    the column names come to the driver."""
+    lines = R.file_lines(spark, path, recursiveFileLookup=True, pathGlobFilter="*.csv")
+    rows = R.records(lines)
+
+    def split(batches):
+        for b in batches:
+            cells = [next(csv.reader([t.lstrip("\ufeff")], strict=False)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.string()))], names=["file", "names"])
+
+    headers = Stored(rows.where("header").select("file", "text").mapInArrow(split, "file string, names array<string>"), "headers").df
+    found = headers.agg(F.max(F.size("names")).alias("width")).first()
+    if found["width"] is None:
         raise ValueError(f"No CSV files found in {path}")
-    frames = []
-    for h in headers:
-        names = next(csv.reader([h.lstrip("\ufeff")]))
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True)
-                .option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-                .withColumn("_file", F.col("_metadata.file_path")))
-        mine = first.where(F.col("header") == h).select(F.col("file").alias("_file"))
-        frames.append(rows.join(mine, "_file", "left_semi").drop("_file") if len(headers) > 1 else rows.drop("_file"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    names = sorted(r[0] for r in headers.select(F.explode("names")).distinct().collect())
+    schema = ", ".join(f"c{i} string" for i in range(found["width"]))
+    body = rows.where("NOT header")
+    body = body.select("file", R.parsed(body, schema, {}).alias("r"))
+    body = body.select("file", F.array(*[F.col(f"r.c{i}") for i in range(found["width"])]).alias("cells"))
+    small = headers.count() <= R.BROADCAST_SPLITS
+    body = body.join(F.broadcast(headers) if small else headers, "file")
+    cell = lambda c: F.get("cells", (F.array_position("names", c) - 1).cast("int"))
+    return body.select(*[F.when(F.array_contains("names", c), cell(c)).alias(c) for c in names])
 
 
 def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
