@@ -633,6 +633,10 @@ SELECT f.repository, f.sha AS merge_commit FROM fresh f LEFT JOIN kn ON kn.repos
 SQL["response_misses"] = "WITH " + CTE_TURNS + """
 SELECT conv_id, turn, md5(q) AS cache_key FROM t WHERE md5(q) NOT IN (SELECT md5(q) FROM t WHERE a IS NOT NULL)"""
 
+SQL["response_store"] = "WITH " + CTE_TURNS + """,
+best AS (SELECT q, a, turn, row_number() OVER (PARTITION BY q ORDER BY turn DESC, a DESC) AS rn FROM t WHERE a IS NOT NULL)
+SELECT 'm1' AS model, md5(q) AS cache_key, md5(a) AS result_md5, CAST(turn AS BIGINT) AS turn FROM best WHERE rn = 1"""
+
 SQL["top_by_stars"] = """
 SELECT c_name AS repository, c_acctbal AS stars FROM customer ORDER BY stars DESC, repository LIMIT 10"""
 

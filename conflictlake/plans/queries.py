@@ -509,6 +509,20 @@ def q_response_misses(spark: SparkSession, sf: str) -> DataFrame:
     return RS.misses(t.select("conv_id", "turn", F.col("q").alias("prompt")), RS.latest_responses(cache).where("result IS NOT NULL"), model="m1").select("conv_id", "turn", "cache_key")
 
 
+def q_response_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers written in three batches by turn (0, 1 to 2, later), each with the turn as its
+    time, compacted after the second; the latest answer of every prompt."""
+    from conflictlake.streaming.response_store import ResponseStore
+    t = _turn_pairs(spark, sf).where(F.col("a").isNotNull())
+    rows = t.select("turn", F.lit("m1").alias("model"), F.col("q").alias("prompt"), F.col("a").alias("result"), F.timestamp_seconds("turn").alias("written_at"))
+    store = ResponseStore(spark, f"{ensure_checkpoint_dir(spark)}/responses-{uuid.uuid4().hex}", buckets=8)
+    store.append(rows.where("turn < 1"))
+    store.append(rows.where("turn BETWEEN 1 AND 2"))
+    store.compact(1)
+    store.append(rows.where("turn > 2"))
+    return store.latest().select("model", "cache_key", F.md5("result").alias("result_md5"), F.unix_timestamp("written_at").alias("turn"))
+
+
 def q_top_by_stars(spark: SparkSession, sf: str) -> DataFrame:
     """S2, S3 (top-10 report): customers by account balance."""
     c = table(spark, sf, "customer").select(F.col("c_name").alias("repository"), F.col("c_acctbal").alias("stars"))
@@ -567,6 +581,7 @@ REGISTRY = {
     "stored_refs": q_stored_refs,
     "merge_existing_cap": q_merge_existing_cap,
     "response_misses": q_response_misses,
+    "response_store": q_response_store,
     "top_by_stars": q_top_by_stars,
     "language_totals": q_language_totals,
 }
