@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import os
 import shutil
 import tempfile
@@ -35,6 +37,32 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def lean(fn: Callable) -> Callable:
+    """``fn`` of a Python worker that gives freed memory back to the system when it is done."""
+
+    def tidy() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    def over_batches(batches):
+        yield from fn(batches)
+        tidy()
+
+    def over_group(group: pa.Table) -> pa.Table:
+        out = fn(group)
+        tidy()
+        return out
+
+    return over_group if next(iter(inspect.signature(fn).parameters)) != "batches" else over_batches
+
+
+def map_arrow_lean(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``map_arrow`` for passes with large work arrays: workers live on between tasks."""
+    return map_arrow(df, lean(fn), schema)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again.
 

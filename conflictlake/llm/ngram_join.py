@@ -19,7 +19,7 @@ passage that many documents share thus rarely gets into a prefix.
    verified block against block, without its largest component against itself.
 4. Pairs from different clusters in different components, which a list brings
    together early enough in both to share as many lists as the threshold implies,
-   are verified one by one.
+   are verified one by one, if counts by part of the hash space leave it possible.
 
 So a group of copies costs rows in proportion to its size, and no link between
 components is lost.
@@ -39,13 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, map_arrow, settled
+from conflictlake.llm.common import byte_column, chunks, lean, map_arrow_lean as map_arrow, settled, temp_name
 from conflictlake.operators.stored import Stored
 
 SLOTS, BLOCK, FAN = 1 << 20, 1 << 12, 128
 SIEVE_BITS = 1 << 24
 GROUP_WEIGHT = 1 << 20  # classes of one group share their whole prefix
 CELL = 256
+PARTS = 256  # of the hash space, a power of two
 CHUNK = 2 << 20  # bytes of text whose n-grams are in memory at once
 
 
@@ -197,12 +198,12 @@ def _sieve(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, ngrams): the sorted n-gram hashes of one document of each wanted class.
+def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(t, cid): the text of one document of each wanted class.
 
     A bit map of the wanted texts' hashes leaves out most other texts before the
-    join, which is exact.
-    """
+    join, which is exact.  Rows that repeat a document are in one task after the
+    join and go there."""
     spark = docs.sparkSession
     keys = settled(wanted.select(F.coalesce("source.doc_id", F.lit(0)).alias("k"), F.col("source.tkey").alias("tkey"), "cid"), "wanted")
     sieve = spark.sparkContext.broadcast(_sieve(keys))
@@ -214,22 +215,64 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield b.filter(pa.array(((word >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)))
 
     src = _source(docs).select("t", "tkey", F.coalesce("doc_id", F.lit(0)).alias("k"))
-    rows = map_arrow(src, thin, src.schema).join(keys, ["k", "tkey"]).select("t", "cid")
+    rows = map_arrow(src, thin, src.schema).join(keys, ["k", "tkey"])
+    return rows.dropDuplicates(["k", "tkey", "cid"]).select("t", "cid")
+
+
+def _distinct(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of each text: (row, hash), and where each row begins and ends."""
+    row, h = shingles(raw, off, n)
+    by = np.lexsort((h, row))
+    row, h = row[by], h[by]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    row, h = row[new], h[new]
+    return row, h, np.searchsorted(row, np.arange(len(off)))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(cid, ngrams): the sorted n-gram hashes of each wanted class."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off, _ = byte_column(b.column(0))
             for lo, hi in chunks(off, CHUNK):
-                row, h = shingles(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], n)
-                by = np.lexsort((h, row))
-                row, h = row[by], h[by]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-                row, h = row[new], h[new]
-                edge = np.searchsorted(row, np.arange(hi - lo + 1))
+                _, h, edge = _distinct(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], n)
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], pa.array([h[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary())], names=["cid", "ngrams"])
 
-    return settled(map_arrow(rows, collect, "cid long, ngrams binary").dropDuplicates(["cid"]), "sets")
+    return settled(map_arrow(_wanted_texts(docs, wanted), collect, "cid long, ngrams binary"), "sets")
+
+
+def could_link(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that a count of n-grams by part of the hash space does not rule out.
+
+    Two sets share at most the smaller count of each of PARTS parts, so a pair
+    whose sum of these stays below the overlap it needs cannot link.  That takes
+    a kilobyte a class in place of its whole set."""
+    met = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+    wanted = classes.join(met, "cid", "left_semi").select("cid", "source")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off, _ = byte_column(b.column(0))
+            for lo, hi in chunks(off, CHUNK):
+                row, h, _ = _distinct(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], n)
+                parts = np.bincount(row * PARTS + (W.mix(h) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=(hi - lo) * PARTS).astype("<u4")
+                width = 4 * PARTS
+                data = parts.tobytes()
+                yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], pa.array([data[i * width:(i + 1) * width] for i in range(hi - lo)], pa.binary())], names=["cid", "parts"])
+
+    counted = settled(map_arrow(_wanted_texts(docs, wanted), count, "cid long, parts binary"), "parts")
+    both = pairs.join(counted.select(F.col("cid").alias("a"), F.col("parts").alias("x")), "a").join(
+        counted.select(F.col("cid").alias("b"), F.col("parts").alias("y")), "b").select("a", "b", "x", "y")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, PARTS).astype(np.int64) for c in batch.columns[2:])
+            most, whole = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
+            yield batch.select([0, 1]).filter(pa.array(100 * most >= percent * (whole - most)))
+
+    return settled(map_arrow(both, test, "a long, b long"), "possible")
 
 
 def _sets(col) -> list[np.ndarray]:
@@ -311,7 +354,7 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
                 b.append(cid[ri[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("head", "i", "j").applyInArrow(verify, "a long, b long")
+    return cells.groupBy("head", "i", "j").applyInArrow(lean(verify), "a long, b long")
 
 
 def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -401,6 +444,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
                                         & fits & early)
     pairs = settled(rest.select(F.col("cid").alias("a"), F.col("to").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
+        pairs = could_link(docs, pairs, classes, n, percent)
         met = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
         sets = sets_of(docs, classes.join(met, "cid", "left_semi").select("cid", "source"), n)
         labels = components(labels, settled(linked(pairs, sets, percent), "links"))
@@ -420,12 +464,14 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = settled(join(docs, n, percent), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "tkey"))
-    key = rows.where("n_shingles > 0").groupBy("label").agg(first.alias("pick")).select(F.col("pick.doc_id").alias("__d"), F.col("pick.tkey").alias("__t"))
-    names = docs.columns
+    id_, hash_, least, nth = (temp_name(docs, c) for c in ("id", "hash", "least", "nth"))
+    key = rows.where("n_shingles > 0").groupBy("label").agg(first.alias("pick")).select(F.col("pick.doc_id").alias(id_), F.col("pick.tkey").alias(hash_))
+    names = [F.col(f"`{c}`") for c in docs.columns]
     text = F.col("text").cast("string")
-    src = docs.withColumn("__d", F.col("doc_id").cast("long")).withColumn("__t", F.xxhash64(text))
-    src = src.withColumn("__d0", F.coalesce("__d", F.lit(0)))
+    src = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(hash_, F.xxhash64(text))
+    src = src.withColumn(least, F.coalesce(id_, F.lit(0)))
     bare = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keep = key.select(F.coalesce("__d", F.lit(0)).alias("__d0"), "__t").distinct()
-    first = src.where(~bare).join(keep, ["__d0", "__t"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__d0", "__t").orderBy(F.col("__d").asc_nulls_last()))).where("__n = 1")
+    keep = key.select(F.coalesce(id_, F.lit(0)).alias(least), hash_).distinct()
+    order = Window.partitionBy(least, hash_).orderBy(F.col(id_).asc_nulls_last())
+    first = src.where(~bare).join(keep, [least, hash_], "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
     return first.select(*names).unionByName(src.where(bare).select(*names))

@@ -67,10 +67,20 @@ def test_one_of_each(spark):
     docs = spark.createDataFrame([(d, t, "a", 5) for d, t in rows], "doc_id long, text string, cid string, size int").repartition(4)
     out = J.one_of_each(docs)
     assert out.columns == docs.columns
-    got = sorted((r["doc_id"] for r in out.collect()), key=str)
+    kept = sorted((r["doc_id"] for r in out.collect()), key=str)
+    # one row of each component, not of each smallest id: two components may share one
+    parts = J.join(docs, 5, 80).where("n_shingles > 0").select("label", "component_id").distinct().collect()
     want = brute(rows, 5, 80)
-    groups = {c for _, n, c in want if n and c is not None} | ({None} if any(n and c is None for _, n, c in want) else set())
-    assert got == sorted([*groups, *(d for d, n, _ in want if not n)], key=str)
+    assert {r["component_id"] for r in parts} == {c for _, n, c in want if n}
+    assert kept == sorted([*(r["component_id"] for r in parts), *(d for d, n, _ in want if not n)], key=str)
+
+
+def test_one_of_each_keeps_columns_whatever_their_names(spark):
+    rows = [(i, f"word{i % 3} " * 3 + " ".join(f"x{i % 3}y{j}" for j in range(30)), 100 + i, f"n{i}", 7, 8) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, `hash` string, `least` int, `__d` int")
+    out = J.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == rows[:3]
 
 
 def test_one_of_each_goes_by_component_not_by_id(spark):
