@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, map_arrow, settled
+from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow, settled
 
 BITS, UNKNOWN, START, FIRST = 20, 0, 1, 2
 MASK = (1 << BITS) - 1
+SCORE_BYTES = 1 << 19  # of text measured at once; the work arrays are many times that
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[list(SYMBOLS)] = 1
@@ -302,7 +303,7 @@ def _measured(b: pa.RecordBatch, m: Model, rules: Rules) -> list[np.ndarray]:
     raw, off, _ = byte_column(b.column(0))
     code = _codes(b.column(1), m.langs)
     parts = []
-    for lo, hi in chunks(off):
+    for lo, hi in chunks(off, SCORE_BYTES):
         n_words, chars, symbols, dup, repeat, row, h = base_counts(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], rules.window)
         c = code[lo:hi]
         bits = np.bincount(row, word_bits(m, c[row], h, row) if len(row) else None, hi - lo) if len(row) else np.zeros(hi - lo)
