@@ -79,6 +79,9 @@ def main(argv=None) -> None:
     b.add_argument("--index")
     for k in ("extract", "metrics", "dataset"):
         b.add_argument(f"--{k}", action="store_true")
+    t = sub.add_parser("all")
+    for k in ("catalogue", "refs", "commits", "status", "worktree", "final", "out"):
+        t.add_argument(f"--{k}", required=True)
     a = p.parse_args(argv)
     spark = get_spark()
     o = _opts(a)
@@ -86,6 +89,10 @@ def main(argv=None) -> None:
         jobs.selection_job(spark, a.dump, a.out, a.slice, a.language.capitalize(), a.start, a.end)
     elif a.cmd == "history":
         jobs.history_job(spark, a.refs, a.commits, a.out, a.existing, o, a.stored_refs)
+    elif a.cmd == "all":
+        from conflictlake.plans import all_languages as A
+        tables = {k: getattr(a, k) for k in ("catalogue", "refs", "commits", "status", "worktree", "final")}
+        A.build_all(spark, A.config_table(spark), tables, a.out)
     elif a.cmd == "files":
         jobs.files_job(spark, a.merges, a.status, a.worktree, a.final, a.out, a.index, o)
     elif a.cmd == "extract":

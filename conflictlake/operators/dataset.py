@@ -34,31 +34,32 @@ def split_key(id_col: str = "conflict_id", seed: int = DEFAULT_SEED) -> F.Column
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col)))
 
 
-def assign_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED,
-                 id_col: str = "conflict_id") -> DataFrame:
-    """Deterministic split with exact sizes.
-
-    test_size 0 -> all train, 1 -> all test; otherwise rows are ordered by
-    md5("<seed>:<id>") (id as tie-break) and the first ceil(test_size * n) are
-    the test split.  The last key of the test split is found by its rank without
-    a sort (``select.nth``); each row then compares its key with that one, so no
-    row is moved.  Ids must be unique.  The assignment depends only on the ids, not
-    on partitioning.
+def in_test(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED, id_col: str = "conflict_id") -> F.Column:
+    """Whether a row of ``df`` is in the test split.
+
+    test_size 0 -> none, 1 -> all; otherwise rows are ordered by md5("<seed>:<id>")
+    (id as tie-break) and the first ceil(test_size * n) are the test split.  The
+    last key of the test split is found by its rank without a sort
+    (``select.nth``); each row then compares its key with that one, so no row is
+    moved.  Ids must be unique.  The result depends only on the ids, not on
+    partitioning.
     """
-    if not test_size:
-        return df.withColumn("split", F.lit("train"))
-    if test_size == 1:
-        return df.withColumn("split", F.lit("test"))
+    if test_size in (0, 1):
+        return F.lit(bool(test_size))
     keys = Stored(df.select(split_key(id_col, seed).alias("_key"), F.col(id_col).cast("string").alias("_id")), "split-keys")
     n_test = math.ceil(float(test_size) * keys.df.count())
     found = nth(keys.df, [("_key", False), ("_id", False)], n_test - 1)
     keys.delete()
     if found is None:
-        return df.withColumn("split", F.lit("train"))
-    last = found[0]
-    key, bound = split_key(id_col, seed), F.lit(last["_key"])
-    test = (key < bound) | ((key == bound) & (F.col(id_col).cast("string") <= F.lit(last["_id"])))
-    return df.withColumn("split", F.when(test, "test").otherwise("train"))
+        return F.lit(False)
+    key, bound = split_key(id_col, seed), F.lit(found[0]["_key"])
+    return (key < bound) | ((key == bound) & (F.col(id_col).cast("string") <= F.lit(found[0]["_id"])))
+
+
+def assign_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED,
+                 id_col: str = "conflict_id") -> DataFrame:
+    """Deterministic split with exact sizes (see ``in_test``)."""
+    return df.withColumn("split", F.when(in_test(df, test_size or 0, seed, id_col), "test").otherwise("train"))
 
 
 def build_dataset(pairs: DataFrame, test_size: float = DEFAULT_TEST_SIZE,

@@ -38,26 +38,35 @@ def file_extensions(language: str) -> tuple:
     return LANGUAGE_EXTENSIONS.get(language.lower(), (".java",))
 
 
-def conflicted_files(status: DataFrame, language: str = "java") -> DataFrame:
+def extensions_of(language: str) -> F.Column:
+    """P8 of a column of languages, as an array."""
+    known = [x for name, exts in LANGUAGE_EXTENSIONS.items() for x in (F.lit(name), F.array(*map(F.lit, exts)))]
+    return F.coalesce(F.try_element_at(F.create_map(*known), F.lower(language)), F.array(F.lit(".java")))
+
+
+def conflicted_files(status: DataFrame, language: str = "java", keys: tuple = ("merge_idx",), language_col: str | None = None) -> DataFrame:
     """C1 = F6 + K5: both-modified files with a wanted extension, numbered
-    0.. per merge in path order (paths compare component by component)."""
-    exts = file_extensions(language)
+    0.. per merge in path order (paths compare component by component).
+    ``keys`` names a merge; ``language_col`` gives each row its own language."""
     path = py_strip("path")
     f = status.where(F.col("xy") == BOTH_MODIFIED).withColumn("path", path)
-    f = f.where(reduce(or_, [F.col("path").endswith(e) for e in exts]))
+    if language_col:
+        f = f.where(F.exists(extensions_of(language_col), lambda e: F.col("path").endswith(e)))
+    else:
+        f = f.where(reduce(or_, [F.col("path").endswith(e) for e in file_extensions(language)]))
     f = f.withColumn("_parts", F.split("path", "/"))
-    f = rank_within(f, ["merge_idx"], ["_parts", "path"], "file_no").drop("_parts")
+    f = rank_within(f, list(keys), ["_parts", "path"], "file_no").drop("_parts")
     return f.withColumn("file_no", F.col("file_no").cast("int")).withColumn(
         "conflict_id", F.concat_ws("-", F.col("merge_idx").cast("string"), F.col("file_no").cast("string")))
 
 
-def pair_texts(files: DataFrame, worktree: DataFrame, final: DataFrame) -> DataFrame:
+def pair_texts(files: DataFrame, worktree: DataFrame, final: DataFrame, keys: tuple = ("merge_idx",)) -> DataFrame:
     """C2 + J4: attach the conflicted text (inner: a file missing from the
     working tree is dropped, its number stays used) and the merged text (left:
     null when the merged commit lacks the file)."""
-    w = worktree.select("merge_idx", "path", F.col("text").alias("conflict_text"))
-    m = final.select("merge_idx", "path", F.col("text").alias("merged_text"))
-    return files.join(w, ["merge_idx", "path"]).join(m, ["merge_idx", "path"], "left")
+    w = worktree.select(*keys, "path", F.col("text").alias("conflict_text"))
+    m = final.select(*keys, "path", F.col("text").alias("merged_text"))
+    return files.join(w, [*keys, "path"]).join(m, [*keys, "path"], "left")
 
 
 def conflict_index(merges: DataFrame, files: DataFrame) -> DataFrame:

@@ -56,13 +56,14 @@ def is_priority_ref(path) -> F.Column:
     return reduce(or_, [p.contains(x) for x in PRIORITY_REF_PATTERNS])
 
 
-def branch_refs(refs: DataFrame, max_branches: int = DEFAULT_MAX_BRANCHES) -> DataFrame:
+def branch_refs(refs: DataFrame, max_branches: int | DataFrame = DEFAULT_MAX_BRANCHES) -> DataFrame:
     """H1 = F7 + K1 + K2: branch refs, one per head commit, capped.
 
     F7 keeps ``refs/heads/`` and ``refs/remotes/``; K1 keeps the first ref (by
     ``ref_ord``) of each head commit; K2 applies only to a repository with more
     than ``max_branches`` refs: priority refs first, then the others in
-    listing order, all priority refs kept even above the cap.  Returns
+    listing order, all priority refs kept even above the cap.  The cap may be a
+    table (repository, max_branches); repositories without a row are left out.  Returns
     repository, path, head_sha, ref_ord, ref_rank (0-based processing order).
     """
     r = refs.where(F.col("path").startswith(BRANCH_PREFIXES[0])
@@ -73,6 +74,8 @@ def branch_refs(refs: DataFrame, max_branches: int = DEFAULT_MAX_BRANCHES) -> Da
                  F.col("_f.ref_ord").alias("ref_ord")))
     counts = r.groupBy("repository").agg(F.count(F.lit(1)).alias("_nrefs"))
     r = r.join(counts, "repository").withColumn("_prio", is_priority_ref("path"))
+    if isinstance(max_branches, DataFrame):
+        r, max_branches = r.join(max_branches.select("repository", F.col("max_branches").alias("_cap")), "repository"), F.col("_cap")
     capped = F.col("_nrefs") > max_branches
     r = r.withColumn("_k", F.when(capped & ~F.col("_prio"), 1).otherwise(0))
     r = rank_within(r, ["repository"], ["_k", "ref_ord", "path"], "ref_rank")
@@ -123,19 +126,25 @@ def merge_candidates(commits: DataFrame) -> DataFrame:
 
 
 def capped_merges(commits: DataFrame, refs_ranked: DataFrame, existing: DataFrame | None = None,
-                  max_num_merges: int = DEFAULT_MAX_MERGES, layers: Layers | None = None) -> DataFrame:
+                  max_num_merges: int | DataFrame = DEFAULT_MAX_MERGES, layers: Layers | None = None) -> DataFrame:
     """H3 / H5 without notes: merges in ref order, newest first inside a ref,
     at most ``max_num_merges`` per repository including the ``existing`` ones
-    (J3: those are skipped and use up the cap)."""
+    (J3: those are skipped and use up the cap).  The cap may be a table
+    (repository, max_num_merges); repositories without a row have no merges."""
     first = first_reaching_ref(commits, refs_ranked, layers)
     m = merge_candidates(commits).join(first, ["repository", "sha"])
-    allowed = F.lit(max_num_merges)
+    if isinstance(max_num_merges, DataFrame):
+        caps = max_num_merges.select("repository", F.col("max_num_merges").alias("_cap"))
+        max_num_merges = caps.agg(F.max("_cap")).first()[0] or 0  # the greatest cap bounds every repository's rows
+        m, allowed = m.join(caps, "repository"), F.col("_cap")
+    else:
+        allowed = F.lit(max_num_merges)
     if existing is not None:
         ex = existing.select("repository", F.col("merge_commit").alias("sha"))
         m = m.join(ex, ["repository", "sha"], "left_anti")
         n_ex = ex.groupBy("repository").agg(F.count(F.lit(1)).alias("_nex"))
         m = m.join(n_ex, "repository", "left")
-        allowed = F.greatest(F.lit(max_num_merges) - F.coalesce(F.col("_nex"), F.lit(0)), F.lit(0))
+        allowed = F.greatest(allowed - F.coalesce(F.col("_nex"), F.lit(0)), F.lit(0))
     w = Window.partitionBy("repository").orderBy("ref_rank", "commit_ord", "sha")
     m = m.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_num_merges)
     m = m.where(F.col("_rn") <= allowed)
@@ -224,8 +233,8 @@ def merge_notes(commits: DataFrame, merges: DataFrame, layers: Layers | None = N
 
 
 def collect_merges(refs: DataFrame, commits: DataFrame, existing: DataFrame | None = None,
-                   max_num_merges: int = DEFAULT_MAX_MERGES,
-                   max_branches: int = DEFAULT_MAX_BRANCHES) -> DataFrame:
+                   max_num_merges: int | DataFrame = DEFAULT_MAX_MERGES,
+                   max_branches: int | DataFrame = DEFAULT_MAX_BRANCHES) -> DataFrame:
     """H5: refs + commits -> new merges (T5 columns plus ref_rank, commit_ord)."""
     layers = Layers(commits)
     ranked = Stored(branch_refs(refs, max_branches), "refs")

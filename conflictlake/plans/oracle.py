@@ -460,6 +460,19 @@ FROM taken m JOIN total t ON t.repository = m.repository LEFT JOIN offers o ON o
 LEFT JOIN oldest o1 ON o1.repository = m.repository AND o1.sha = m.parent_1
 LEFT JOIN oldest o2 ON o2.repository = m.repository AND o2.sha = m.parent_2"""
 
+SQL["merges_of_builds"] = _with(CTE_GRAPH, CTE_ALL_REFS) + """,
+place AS (SELECT ['java', 'go', 'rust'][n_nationkey % 3 + 1] AS language, 'n' || n_nationkey AS repository,
+                 row_number() OVER (PARTITION BY n_nationkey % 3 ORDER BY n_nationkey DESC) - 1 AS place FROM nation),
+conf AS (SELECT * FROM (VALUES (0, 'java', 0, 5, 5), (1, 'java', 5, 20, 12), (2, 'go', 0, 4, 8), (3, 'rust', 2, 6, 3)) v(build, language, a, b, cap)),
+chosen AS (SELECT build, language, repository, cap FROM place JOIN conf USING (language) WHERE place >= a AND place < b),
+label2 AS (SELECT repository, sha, min(ref_rank) AS ref_rank FROM reach2 GROUP BY ALL),
+m AS (SELECT h.build, h.language, h.cap, c.repository, c.sha, l.ref_rank,
+             row_number() OVER (PARTITION BY h.build, c.repository ORDER BY l.ref_rank, c.commit_ord, c.sha) AS rn
+      FROM chosen h JOIN cand c ON c.repository = h.repository JOIN label2 l ON l.repository = c.repository AND l.sha = c.sha)
+SELECT CAST(m.build AS BIGINT) AS build, m.repository, m.sha AS merge_commit, k.path AS branch_name, m.language,
+       row_number() OVER (PARTITION BY m.build ORDER BY m.repository, m.sha) - 1 AS merge_idx
+FROM m JOIN ranked2 k ON k.repository = m.repository AND k.ref_rank = m.ref_rank WHERE m.rn <= m.cap"""
+
 # --- incremental, index, duplicates, files ----------------------------------------------------
 
 SQL["merge_incremental"] = """

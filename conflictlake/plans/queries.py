@@ -238,6 +238,20 @@ def q_merge_store_runs(spark: SparkSession, sf: str) -> DataFrame:
         "repository", "merge_commit", "branch_name", "notes", "pos", F.when(F.col("run").eqNullSafe(F.col("first")), 1).otherwise(2).cast("long").alias("run"), "complete", "n_merges")
 
 
+def q_merges_of_builds(spark: SparkSession, sf: str) -> DataFrame:
+    """Four builds over three languages in one run; nations as repositories, the
+    language by key modulo 3, the key as stars, every build with its own slice and cap."""
+    from conflictlake.plans import all_languages as A
+    refs, commits = _graph(spark, sf)
+    n = table(spark, sf, "nation")
+    catalogue = n.select(F.lit("reaper").alias("source"), F.element_at(F.array(*map(F.lit, ("Java", "Go", "Rust"))), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("language"),
+                         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("repository"), F.col("n_nationkey").cast("string").alias("stars"))
+    rows = [(0, "reaper", "java", 0, 5, 5), (1, "reaper", "java", 5, 20, 12), (2, "reaper", "go", 0, 4, 8), (3, "reaper", "rust", 2, 6, 3)]
+    config = spark.createDataFrame([(*r, 100, 1.0) for r in rows], A.CONFIG)
+    m = A.merges_of_builds(A.chosen_repositories(catalogue, config), refs, commits)
+    return m.select(F.col("build").cast("long").alias("build"), "repository", "merge_commit", "branch_name", "language", "merge_idx")
+
+
 def _order_merges(spark, sf):
     o = table(spark, sf, "orders")
     return o.select(F.col("o_orderpriority").alias("repository"),
@@ -557,6 +571,7 @@ REGISTRY = {
     "merge_notes": q_merge_notes,
     "ref_commits": q_ref_commits,
     "merge_store_runs": q_merge_store_runs,
+    "merges_of_builds": q_merges_of_builds,
     "merge_incremental": q_merge_incremental,
     "merge_dense_index": q_merge_dense_index,
     "duplicate_keys": q_duplicate_keys,
