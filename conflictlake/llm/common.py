@@ -75,6 +75,13 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def refuse_clash(keep: list[str], *taken: str) -> None:
+    """A column to carry along cannot have the name of a column that the operator makes."""
+    clash = sorted({c for c in keep if c.lower() in {t.lower() for t in taken}})
+    if clash:
+        raise ValueError(f"rename before keeping, the operator makes columns of this name itself: {', '.join(clash)}")
+
+
 def temp_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have (column names compare without case)."""
     have, name = {c.lower() for c in df.columns}, stem

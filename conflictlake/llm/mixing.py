@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from conflictlake.llm.common import settled, temp_name
+from conflictlake.llm.common import refuse_clash, settled, temp_name
 
 UNIT = 1 << 24  # expected copies are whole multiples of 1 / UNIT: exact sums in any order
 CELL_ROWS = 8192
@@ -60,9 +60,11 @@ def mix(docs: DataFrame, weights: list[float], size: Column | None = None, seed:
     without words has target 0 and no copies.  Null sources are one source, null
     ids and repeated rows are documents like any other (rows that are equal in
     all that decides may swap their copies).  Reruns agree: order and offset
-    depend on the rows and ``seed`` alone.
+    depend on the rows and ``seed`` alone.  A ``keep`` column of a name that is made
+    here is refused (ValueError).
     """
     keep = keep or []
+    refuse_clash(keep, "doc_id", "source", "size", "source_size", "target", "copies", "taken", "__h", "cell", "local", "ahead", "step", "shift", "s", "z", "c")
     text_hash = F.xxhash64(F.col("text").cast("string")) if "text" in [c.lower() for c in docs.columns] else F.lit(0)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        (size if size is not None else word_count("text")).alias("size"), text_hash.alias("__h"), *[F.col(c) for c in keep])

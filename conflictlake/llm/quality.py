@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow, settled
+from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow, refuse_clash, settled
 
 BITS, UNKNOWN, START, FIRST = 20, 0, 1, 2
 MASK = (1 << BITS) - 1
@@ -361,8 +361,10 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None
     A null or empty text has no words and fails the base rules.  A null or rare
     language shares the model and band of the others.  Texts of which the model
     takes no word are judged by the base rules alone.  Repeated rows are judged
-    alike; an empty table gives an empty table.
+    alike; an empty table gives an empty table.  A ``keep`` column of a name that
+    is made here is refused (ValueError).
     """
+    refuse_clash(keep or [], *MEASURES, "base_failed", "lang_code", "model_words", "log2_perplexity", "perplexity", "kept", "code", "__text", "__lang")
     model = fit(docs, rules)
     scores = settled(measured(docs, model, rules, keep), "scores")
     found = bands(scores, rules)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from conflictlake.llm.common import settled
+from conflictlake.llm.common import refuse_clash, settled
 
 BITS_PER_KEY, HASHES = 12, 6
 PART_BITS = 1 << 20
@@ -149,9 +149,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str =
     The listed keys are those that a block rule decides.  The verdict of every
     row comes from the cascade; a key no rule fits is not listed, so allowed.  A
     null url or one without ``://`` has an empty host and path.  Repeated rows
-    are judged alike; an empty table gives an empty table.
+    are judged alike; an empty table gives an empty table.  A ``keep`` column of a
+    name that is made here is refused (ValueError).
     """
     keep = keep or []
+    refuse_clash(keep, "host", "path", "rule", "verdict", "listed", "__listed")
     rows = pages.select(*keep, host_of(url_col).alias("host"), path_of(url_col).alias("path"))
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
     keys = settled(rows.select("host", "path").distinct().withColumn("listed", F.coalesce(verdict == "block", F.lit(False))), "keys")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conflictlake.llm.common import map_arrow, settled
+from conflictlake.llm.common import map_arrow, refuse_clash, settled
 from conflictlake.llm.url_cascade import host_of
 
 SALTS = 16
@@ -452,9 +452,11 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
     Text blocks of content slots in page order, joined by a newline.  A null or
     empty page, or one without content, has an empty text.  Pages without a host
     share a wrapper.  Repeated rows are pages of their own; an empty table gives
-    an empty table.
+    an empty table.  A ``keep`` column of a name that is made here is refused
+    (ValueError).
     """
     keep = keep or ["page_id", "url"]
+    refuse_clash(keep, "host", "skeleton", "stats", "slots", "texts", "wanted", "text", "n_chars", "__html", "h", "k")
     parts = settled(_parts(pages, keep, url_col, html_col), "parts")
     distinct = settled(skeletons(parts), "skeletons")
     found = settled(wrappers(distinct), "wrappers")
