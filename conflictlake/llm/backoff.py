@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, map_arrow
+from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow
 from conflictlake.llm.tally import SUMMARY, answers, by_block, pack_numbers, request_rows, slices_for, unpack_numbers
 from conflictlake.operators.stored import Stored
 
