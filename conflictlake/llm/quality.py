@@ -1,43 +1,40 @@
 """Quality rules: base counts of a text and an n-gram perplexity with bands per language.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  The model is an interpolated modified
-Kneser-Ney model of order three per language.  All its counts are made by Spark
-over all documents; what is then stored are sorted arrays of 64-bit n-gram
-hashes with their discounted probabilities and back-off weights.
-
-What is stored is bounded whatever the corpus size: a word or n-gram is stored if
-it makes up at least ``min_share`` of the counts of its kind, so there are at most
-``1 / min_share`` of each; the same holds for languages (the rest share one
-model).  Words that are not in the vocabulary are counted too, as one class whose
-probability is shared evenly by its distinct words; n-grams that are not stored
-are scored through their back-off weight.  Words without a letter or digit
-(bullets, table bars) are counted by the base rules but not by the model.
-
-A word enters the vocabulary only if it is frequent and follows many different
-words, so that a passage copied thousands of times does not become cheap.
+Kneser-Ney bigram model per language (``kneser``), counted by Spark over all
+documents and held as sorted arrays of 64-bit hashes; it grows with the corpus.
+Languages below ``min_lang_share`` of all text share one model.  Words without a
+letter or digit (bullets, table bars) are counted by the base rules but not by the
+model.
 
 The log-perplexity of clean texts scatters around its language's centre in
 inverse proportion to the square root of their length; a document is rejected
 when it lies more than ``slack + width / sqrt(words)`` above or below, ``width``
-being ``fences`` quartile distances of that scatter in its language.  The lower
-band is the wider one: copied text scores low without being bad.
+being ``fences`` quartile distances of that scatter in its language (the smaller of
+both sides: copies widen the lower, junk the upper one).  Texts have two
+scores, by bigrams and by single words (the model's lower order).  Many near copies
+of one text make its bigrams cheap but hardly its words, which are counted by the
+words before them.  So a text is below the band if both scores are, and copies stay;
+it is above the band if either score is, and copied junk goes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from conflictlake.llm import kneser
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow, refuse_clash, settled
+from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow, refuse_clash, settled, temp_name
+from conflictlake.operators.stored import Stored
 
-BITS, UNKNOWN, START, FIRST = 20, 0, 1, 2
-MASK = (1 << BITS) - 1
+BLOCK_BYTES = 4 << 20
 SCORE_BYTES = 1 << 19  # of text measured at once; the work arrays are many times that
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, np.uint8)
@@ -51,36 +48,9 @@ class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    min_share: float = 1e-6
-    min_word_share: float = 2e-4  # of a language's words, for the vocabulary
-    min_lang_share: float = 1e-4
-    min_before: int = 12  # of 64 classes of previous words, for the vocabulary
-    slack_low: float = 3.0
-    fences_low: float = 10.0
-    slack_high: float = 0.15
-    fences_high: float = 3.0
-
-
-@dataclass
-class Model:
-    langs: dict = field(default_factory=dict)  # language -> code (code 0: all others)
-    vocab: tuple = ()  # sorted word keys, ids
-    spelled: np.ndarray = None  # bits of one unknown word, by code
-    grams: list = field(default_factory=list)  # by order: sorted hashes, probabilities
-    contexts: list = field(default_factory=list)  # by order: sorted hashes, back-off weights
-    floor: np.ndarray = None  # probability of a word no table has, by code
-
-
-def _find(keys: np.ndarray, values: np.ndarray, what: np.ndarray, default) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(what), default, values.dtype if len(values) else float)
-    at = np.searchsorted(keys, what)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == what, values[at], default)
-
-
-def _keyed(code: np.ndarray, what: np.ndarray) -> np.ndarray:
-    return W.mix(what.astype(np.uint64) + (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    min_lang_share: float = 1e-4  # of all text, for a model of its own
+    slack: float = 0.3
+    fences: float = 3.0
 
 
 def _codes(langs: pa.Array, known: dict) -> np.ndarray:
@@ -132,229 +102,114 @@ def _texts(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("__text"), F.col("lang").cast("string").alias("__lang"), *[F.col(c) for c in keep])
 
 
-def _counted(codes: np.ndarray, what: np.ndarray, flags: np.ndarray | None = None):
-    """Distinct (code, key) pairs with their counts and the union of their flags."""
-    key = _keyed(codes, what)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    n = np.diff(np.append(first, len(key)))
-    both = np.bitwise_or.reduceat(flags[order], first) if flags is not None and len(first) else flags
-    return codes[order[first]], what[order[first]], n, both
-
+def _by_code(values: dict[int, tuple], i: int):
+    return F.create_map(*[x for c, v in sorted(values.items()) for x in (F.lit(c).cast("long"), F.lit(float(v[i])))])[F.col("code")]
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n, before) over all documents, summed by Spark from the counts of each few MB of text.
 
-    ``before`` has a bit for each of 64 classes (by hash) of the previous word.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, off, _ = byte_column(b.column(0))
-            langs = b.column(1).dictionary_encode()
-            code = langs.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in chunks(off):
-                part = raw[off[lo]:off[hi]]
-                row, start, end, h = W.hash_words(part, off[lo:hi + 1] - off[lo])
-                ok = _sums(_counted_up(_LETTER[part]), start, end) > 0
-                row, h = row[ok], h[ok]
-                before = np.zeros(len(h), np.uint64)
-                before[1:] = np.where(row[1:] == row[:-1], h[:-1] >> np.uint64(58), 0)
-                c, w, n, flags = _counted(code[lo:hi][row], h, np.uint64(1) << before)
-                names = langs.dictionary.take(pa.array(c, mask=c < 0))
-                yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(w.view(np.int64)), pa.array(n), pa.array(flags.view(np.int64))],
-                                                 names=["lang", "word", "n", "before"])
-
-    return map_arrow(_texts(docs, []), count, "lang string, word long, n long, before long").groupBy("lang", "word").agg(
-        F.sum("n").alias("n"), F.bit_or("before").alias("before"))
-
-
-def _ids(model: Model, code: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return _find(*model.vocab, _keyed(code, h), UNKNOWN).astype(np.int64)
-
-
-def _trigrams(ids: np.ndarray, row: np.ndarray):
-    """Packed n-grams ending at each word, by order (1, 2, 3); texts begin with START."""
-    same1 = np.zeros(len(ids), bool)
-    same2 = np.zeros(len(ids), bool)
-    same1[1:], same2[2:] = row[1:] == row[:-1], row[2:] == row[:-2]
-    p1, p2 = np.full(len(ids), START, np.int64), np.full(len(ids), START, np.int64)
-    p1[1:] = np.where(same1[1:], ids[:-1], START)
-    p2[2:] = np.where(same2[2:], ids[:-2], START)
-    two = p1 << BITS | ids
-    return ids, two, p2 << 2 * BITS | two
-
-
-def gram_counts(docs: DataFrame, model) -> DataFrame:
-    """(code, gram, n): counts of packed trigrams over all documents; ``model`` is a broadcast."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for b in batches:
-            raw, off, _ = byte_column(b.column(0))
-            code = _codes(b.column(1), m.langs)
-            for lo, hi in chunks(off):
-                part = raw[off[lo]:off[hi]]
-                row, start, end, h = W.hash_words(part, off[lo:hi + 1] - off[lo])
-                ok = _sums(_counted_up(_LETTER[part]), start, end) > 0
-                row, h = row[ok], h[ok]
-                c = code[lo:hi][row]
-                c, g, n, _ = _counted(c, _trigrams(_ids(m, c, h), row)[2])
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(g), pa.array(n)], names=["code", "gram", "n"])
-
-    return map_arrow(_texts(docs, []), count, "code long, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
-    """Modified Kneser-Ney discounts by code, from the counts of counts."""
-    rows = counts.groupBy("code").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
-    out = {}
-    for r in rows:  # one row per language of the model
-        n1, n2, n3, n4 = (max(r[f"n{i}"], 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        out[r["code"]] = tuple(min(max(x, 0.1), i + 0.9) for i, x in enumerate(d))
-    return out
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ARRAYS = [*MEASURES, "base_failed", "codes", "lengths"]
 
 
-def _by_code(values: dict[int, tuple], i: int):
-    return F.create_map(*[x for c, v in sorted(values.items()) for x in (F.lit(c).cast("long"), F.lit(float(v[i])))])[F.col("code")]
+def languages(docs: DataFrame, rules: Rules = Rules()) -> dict[str, int]:
+    """Codes of the languages with a model of their own (at most ``1 / min_lang_share``); 0 is all others."""
+    sizes = settled(_texts(docs, []).groupBy("__lang").agg(F.sum(F.octet_length("__text")).alias("size")), "languages")
+    whole = sizes.agg(F.sum("size")).first()[0] or 0
+    kept = sizes.where((F.col("size") > 0) & (F.col("size") >= rules.min_lang_share * whole) & F.col("__lang").isNotNull()).orderBy("__lang").collect()
+    return {r["__lang"]: i + 1 for i, r in enumerate(kept)}
 
 
-def _arrays(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    t = df.select("code", key, value).toArrow()
-    k = _keyed(t["code"].to_numpy(), t[key].to_numpy())
-    order = np.argsort(k)
-    return k[order], t[value].to_numpy()[order].astype(np.float64)
-
-
-def fit(docs: DataFrame, rules: Rules = Rules()):
-    """The model as a Spark broadcast.  An empty table gives an empty model."""
-    spark = docs.sparkSession
-    counts = settled(word_counts(docs), "words")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    whole = totals.agg(F.sum("total")).first()[0] or 0
-    kept = totals.where((F.col("total") >= rules.min_lang_share * whole) & F.col("lang").isNotNull()).orderBy("lang").collect()
-    model = Model(langs={r["lang"]: i + 1 for i, r in enumerate(kept)})
-    names = spark.createDataFrame([(k, v) for k, v in model.langs.items()] or [("", 0)], "lang string, code long")
-    coded = counts.join(F.broadcast(names), "lang", "left").groupBy(F.coalesce("code", F.lit(0).cast("long")).alias("code"), "word").agg(
-        F.sum("n").alias("n"), F.bit_or("before").alias("before"))
-    per_code = {r["code"]: r for r in coded.groupBy("code").agg(F.sum("n").alias("total"), F.count("*").alias("types")).collect()}
-    if not per_code:
-        model.spelled = model.floor = np.ones(1)
-        empty = (np.zeros(0, np.uint64), np.zeros(0))
-        model.vocab, model.grams, model.contexts = empty, [empty] * 3, [empty] * 3
-        return spark.sparkContext.broadcast(model)
-    size = max([*model.langs.values(), 0]) + 1
-    least = {c: (max(rules.min_word_share * r["total"], rules.min_share * whole),) for c, r in per_code.items()}
-    t = coded.where((F.col("n") >= _by_code(least, 0)) & (F.bit_count("before") >= rules.min_before)).select("code", "word", "n").toArrow()
-    code, word, n = (t[c].to_numpy() for c in ("code", "word", "n"))
-    order = np.lexsort((word, -n, code))
-    code, word = code[order], word[order]
-    ids = np.arange(len(code)) - np.searchsorted(code, code) + FIRST
-    key = _keyed(code, word.view(np.uint64))
-    by = np.argsort(key)
-    model.vocab = (key[by], ids[by])
-    model.spelled = np.zeros(size)
-    for c, r in per_code.items():
-        model.spelled[c] = np.log2(max(r["types"] - int((code == c).sum()), 1) + 1)
-    start = spark.sparkContext.broadcast(model)
-
-    model.floor = np.full(size, 1.0)
-    level = settled(gram_counts(docs, start), "grams")
-    grams, contexts = [], []
-    for k in (3, 2, 1):
-        if k < 3:  # a lower order counts the distinct words before its n-grams
-            level = settled(level.groupBy("code", F.col("gram").bitwiseAND(F.lit((1 << k * BITS) - 1)).alias("gram")).agg(F.count("*").alias("n")), f"grams{k}")
-        d = _discounts(level)
-        cut = F.when(F.col("n") == 1, _by_code(d, 0)).when(F.col("n") == 2, _by_code(d, 1)).otherwise(_by_code(d, 2))
-        ctx = level.withColumn("ctx", F.shiftright("gram", BITS)).groupBy("code", "ctx").agg(
-            F.sum("n").alias("total"), F.sum(cut).alias("freed"))
-        every = level.agg(F.sum("n")).first()[0] or 0
-        ctx = settled(ctx, "contexts")
-        joined = level.where(F.col("n") >= rules.min_share * every).withColumn("ctx", F.shiftright("gram", BITS)).join(ctx, ["code", "ctx"])
-        grams.insert(0, _arrays(joined.withColumn("p", (F.col("n") - cut) / F.col("total")), "gram", "p"))
-        back = ctx.where(F.col("total") >= rules.min_share * every).withColumn("w", F.least(F.lit(1.0), F.col("freed") / F.col("total")))
-        contexts.insert(0, _arrays(back, "ctx", "w"))
-        if k == 1:
-            for r in ctx.join(level.groupBy("code").agg(F.count("*").alias("types")), "code").collect():  # one row a language
-                model.floor[r["code"]] = r["freed"] / r["total"] / (r["types"] + 1)
-    model.grams, model.contexts = grams, contexts
-    start.unpersist()
-    return spark.sparkContext.broadcast(model)
-
-
-def word_bits(model: Model, code: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Bits of each word given the two before it."""
-    ids = _ids(model, code, h)
-    one, two, three = _trigrams(ids, row)
-    p = _find(*model.grams[0], _keyed(code, one), 0.0) + model.floor[code]
-    p = _find(*model.grams[1], _keyed(code, two), 0.0) + _find(*model.contexts[1], _keyed(code, two >> BITS), 1.0) * p
-    p = _find(*model.grams[2], _keyed(code, three), 0.0) + _find(*model.contexts[2], _keyed(code, three >> BITS), 1.0) * p
-    return np.where(ids == UNKNOWN, model.spelled[code], 0.0) - np.log2(np.minimum(p, 1.0))
+def blocks(docs: DataFrame, langs: dict[str, int], rules: Rules, keep: list[str]) -> DataFrame:
+    """Base measures and model words of about BLOCK_BYTES of text a row (a longer text is a row of its own)."""
+    source = _texts(docs, keep)
+    kinds = [f.dataType for f in source.schema.fields[2:]]
+    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(f"keep{i}", T.ArrayType(k)) for i, k in enumerate(kinds)],
+                           *[T.StructField(c, T.ArrayType(T.BooleanType() if c == "base_failed" else T.LongType())) for c in ARRAYS],
+                           T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MEASURED = ", ".join(f"{c} long" for c in MEASURES) + ", base_failed boolean, lang_code long, model_words long, log2_perplexity double"
-
-
-def _measured(b: pa.RecordBatch, m: Model, rules: Rules) -> list[np.ndarray]:
-    raw, off, _ = byte_column(b.column(0))
-    code = _codes(b.column(1), m.langs)
-    parts = []
-    for lo, hi in chunks(off, SCORE_BYTES):
-        n_words, chars, symbols, dup, repeat, row, h = base_counts(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], rules.window)
-        c = code[lo:hi]
-        bits = np.bincount(row, word_bits(m, c[row], h, row) if len(row) else None, hi - lo) if len(row) else np.zeros(hi - lo)
-        said = np.bincount(row, minlength=hi - lo)
-        failed = (n_words < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n_words)
-        parts.append((n_words, chars, symbols, dup, repeat, failed, c, said, bits / np.maximum(said, 1)))
-    if not parts:
-        return [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return [np.concatenate(x) for x in zip(*parts)]
-
-
-def measured(docs: DataFrame, model, rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
-    """Base measures and log-perplexity of every document (one narrow pass over the text)."""
+        number = TaskContext.get().partitionId() << 33
+        for b in batches:
+            raw, off, _ = byte_column(b.column(0))
+            codes = _codes(b.column(1), langs)
+            for lo, hi in chunks(off, BLOCK_BYTES):
+                parts, rows, hashes = [], [], []
+                for a, z in chunks(off[lo:hi + 1] - off[lo], SCORE_BYTES):
+                    o = off[lo + a:lo + z + 1]
+                    *measures, row, h = base_counts(raw[o[0]:o[-1]], o - o[0], rules.window)
+                    parts.append(measures)
+                    rows.append(row + a)
+                    hashes.append(h)
+                n_words, chars, symbols, dup, repeat = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
+                failed = (n_words < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n_words)
+                lengths, words, tokens = kneser.coded(np.concatenate(rows), np.concatenate(hashes), codes[lo:hi])
+                one = np.array([0, hi - lo], np.int32)
+                made = [pa.array(x) for x in (n_words, chars, symbols, dup, repeat, failed, codes[lo:hi], lengths.astype(np.int64))]
+                lists = [pa.ListArray.from_arrays(one, x) for x in [*(c[lo:hi] for c in b.columns[2:]), *made]]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([words]), pa.array([tokens])], names=schema.names)
+                number += 1
+
+    return map_arrow(source, cut, schema)
+
+
+def measured(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns, base measures and log-perplexities (bigrams, single words) of every document, stored."""
     keep = keep or []
-    source = _texts(docs, keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:]), MEASURED])
+    langs = languages(docs, rules)
+    cut = Stored(blocks(docs, langs, rules, keep), "quality-blocks")
+    size = cut.df.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.sum(F.expr("length(words) div 8"))).first()
+    told, scorer, tables = kneser.model(cut.df, size[0] or 0, size[1] or 0, len(langs) + 1)
+    fields = [T.StructField(c, cut.df.schema[f"keep{i}"].dataType.elementType) for i, c in enumerate(keep)]
+    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in MEASURES], T.StructField("base_failed", T.BooleanType()),
+                           T.StructField("lang_code", T.LongType()), T.StructField("model_words", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in SCORES]])
+    taken = [*[f"keep{i}" for i in range(len(keep))], *ARRAYS]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [pa.array(x) for x in _measured(b, model.value, rules)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], *out], names=[*keep, *MEASURES, "base_failed", "lang_code", "model_words", "log2_perplexity"])
+            for i in range(b.num_rows):
+                *lists, words, tokens, answered = (c[i] for c in b.columns)
+                codes, lengths = (np.array(x.as_py(), np.int64) for x in lists[-2:])
+                bits = scorer(codes, lengths, words.as_py(), tokens.as_py(), answered.as_py())
+                said = lengths - 1  # without the start mark
+                yield pa.RecordBatch.from_arrays([*(x.values for x in lists[:-1]), pa.array(said), *(pa.array(x / np.maximum(said, 1)) for x in bits)], names=schema.names)
+
+    out = settled(map_arrow(told.select(*taken, "words", "tokens", "answered"), score, schema), "scores")
+    for t in (cut, *tables):
+        t.delete()
+    return out
+
 
-    return map_arrow(source, score, schema)
+SCORES = ("log2_perplexity", "log2_unigram")
 
 
-def bands(scores: DataFrame, rules: Rules = Rules()) -> dict[int, tuple[float, float, float]]:
-    """By language code: centre of the log-perplexity, width below and above it (at one word)."""
+def bands(scores: DataFrame, rules: Rules = Rules()) -> dict[str, dict[int, tuple[float, float]]]:
+    """By score and language code: centre of the score, width of the band (at one word)."""
+    out = {}
     ok = scores.where(~F.col("base_failed") & (F.col("model_words") > 0))
-    centre = {r[0]: (r[1],) for r in ok.groupBy("lang_code").agg(F.percentile_approx("log2_perplexity", 0.5, 10000)).collect()}
-    if not centre:
-        return {}
-    away = (F.col("log2_perplexity") - _by_code(centre, 0)) * F.sqrt("model_words")
-    rows = ok.withColumn("code", F.col("lang_code")).withColumn("z", away).groupBy("code").agg(F.percentile_approx("z", [0.25, 0.75], 10000).alias("q")).collect()
-    return {r["code"]: (centre[r["code"]][0], rules.fences_low * abs(min(r["q"][0], 0)), rules.fences_high * max(r["q"][1], 0)) for r in rows}
-
-
-def inside(centre, below, above, words, value, rules: Rules):
-    """Whether a log-perplexity lies in its band (works on numpy arrays)."""
-    away = value - centre
-    root = np.sqrt(np.maximum(words, 1))
-    return (away >= -rules.slack_low - below / root) & (away <= rules.slack_high + above / root)
-
-
-def _band_arrays(found: dict[int, tuple[float, float, float]]):
-    size = max([*found, 0]) + 1
-    out = np.array([[0.0] * size, [np.inf] * size, [np.inf] * size])
-    for c, v in found.items():
-        out[:, c] = v
+    centres = {r[0]: r for r in ok.groupBy("lang_code").agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in SCORES]).collect()}
+    for c in SCORES if centres else ():
+        away = (F.col(c) - _by_code({k: (r[c],) for k, r in centres.items()}, 0)) * F.sqrt("model_words")
+        rows = ok.withColumn("code", F.col("lang_code")).withColumn("z", away).groupBy("code").agg(F.percentile_approx("z", [0.25, 0.75], 10000).alias("q")).collect()
+        out[c] = {r["code"]: (centres[r["code"]][c], rules.fences * min(abs(r["q"][0]), abs(r["q"][1]))) for r in rows}
     return out
 
 
+def outside(found: dict[str, dict[int, tuple[float, float]]], rules: Rules) -> tuple[Column, Column]:
+    """Whether a row of ``measured`` lies below its language's band, and above it."""
+    low, high = F.lit(True), F.lit(False)
+    if not found:
+        return F.lit(False), high
+    root, judged = F.sqrt(F.greatest(F.col("model_words"), F.lit(1))), F.col("model_words") > 0
+    for c in SCORES:
+        centre, width = (F.create_map(*[x for k, v in sorted(found[c].items()) for x in (F.lit(k).cast("long"), F.lit(float(v[i])))])[F.col("lang_code")]
+                         for i in range(2))
+        away = F.col(c) - centre
+        low = low & F.coalesce(away < -rules.slack - width / root, F.lit(False))
+        high = high | F.coalesce(away > rules.slack + width / root, F.lit(False))
+    return judged & low, judged & high
+
+
 def judge(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
     """Measures and verdict of every document: ``keep`` columns, base measures, perplexity, base_failed, kept.
 
@@ -364,36 +219,28 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None
     alike; an empty table gives an empty table.  A ``keep`` column of a name that
     is made here is refused (ValueError).
     """
-    refuse_clash(keep or [], *MEASURES, "base_failed", "lang_code", "model_words", "log2_perplexity", "perplexity", "kept", "code", "__text", "__lang")
-    model = fit(docs, rules)
-    scores = settled(measured(docs, model, rules, keep), "scores")
-    found = bands(scores, rules)
-    ok = F.lit(True)
-    if found:
-        scores = scores.withColumn("code", F.col("lang_code"))
-        root = F.sqrt(F.greatest(F.col("model_words"), F.lit(1)))
-        away = F.col("log2_perplexity") - _by_code(found, 0)
-        ok = F.coalesce((away >= -rules.slack_low - _by_code(found, 1) / root) & (away <= rules.slack_high + _by_code(found, 2) / root), F.lit(True))
-    scores = scores.withColumn("kept", ~F.col("base_failed") & (ok | (F.col("model_words") == 0))).drop("code")
-    return scores.withColumn("perplexity", F.pow(F.lit(2.0), "log2_perplexity")).drop("log2_perplexity")
+    refuse_clash(keep or [], *MEASURES, "base_failed", "lang_code", "model_words", *SCORES, "perplexity", "unigram_perplexity", "kept", "code", "__text", "__lang")
+    scores = measured(docs, rules, keep)
+    low, high = outside(bands(scores, rules), rules)
+    return scores.select("*", (~F.col("base_failed") & ~low & ~high).alias("kept"), F.pow(F.lit(2.0), "log2_perplexity").alias("perplexity"),
+                         F.pow(F.lit(2.0), "log2_unigram").alias("unigram_perplexity")).drop(*SCORES)
 
 
 def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` without the rejected rows, same columns.
 
-    The texts are scored again instead of being shuffled to their verdicts; the
-    score is a pure function of text, language and model.
+    A verdict is a function of text, language and corpus, so rows meet their
+    verdict by a 128-bit hash of both; the rejected hashes are the small side.
     """
-    model = fit(docs, rules)
-    found = _band_arrays(bands(settled(measured(docs, model, rules), "scores"), rules))
-    names = docs.columns
-    text, lang = (next(i for i, c in enumerate(names) if c.lower() == w) for w in ("text", "lang"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pair = pa.RecordBatch.from_arrays([b.column(text).cast(pa.string()), b.column(lang).cast(pa.string())], names=["t", "l"])
-            *_, failed, code, said, value = _measured(pair, model.value, rules)
-            centre, below, above = found[:, np.minimum(code, found.shape[1] - 1)]
-            yield b.filter(pa.array(~failed & ((said == 0) | inside(centre, below, above, said, value, rules))))
-
-    return map_arrow(docs, keep, docs.schema)
+    text, lang = (next(c for c in docs.columns if c.lower() == w) for w in ("text", "lang"))
+
+    def name(hash_seed: int) -> Column:
+        t, g = F.col(f"`{text}`").cast("string"), F.col(f"`{lang}`").cast("string")
+        return F.xxhash64(F.lit(hash_seed), F.coalesce(t, F.lit("")), g.isNull(), F.coalesce(g, F.lit("")))
+
+    one, two = temp_name(docs, "__key1"), temp_name(docs, "__key2")
+    marked = docs.withColumn(one, name(1)).withColumn(two, name(2))
+    scores = measured(marked, rules, [one, two])
+    low, high = outside(bands(scores, rules), rules)
+    out = settled(scores.where(F.col("base_failed") | low | high).select(one, two).distinct(), "rejected")
+    return marked.join(out, [one, two], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

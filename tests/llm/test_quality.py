@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conflictlake.llm import kneser as K
 from conflictlake.llm import quality as Q
+from conflictlake.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,58 +49,94 @@ def test_empty(spark):
     assert Q.filter_documents(docs).collect() == []
 
 
-def plain_model(texts, vocab, floor_types):
-    """Interpolated modified Kneser-Ney of order 3 by dictionaries; returns bits(words)."""
-    ids = lambda t: ["^", "^"] + [w if w in vocab else "?" for w in WORD.findall(t) if re.search(r"[0-9A-Za-z]", w)]
-    tables = {3: Counter(), 2: Counter(), 1: Counter()}
+def left_class(word):
+    """The first 8 bits of a word's hash in the first language; the start mark is ``^``, no word at all class 0."""
+    if word is None:
+        return 0
+    h = np.array([K.START]) if word == "^" else W.hash_words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[3]
+    return int(K.keyed(np.array([1]), h)[0] >> np.uint64(56))
+
+
+def plain_model(texts):
+    """Modified Kneser-Ney bigrams by dictionaries; a bigram with one class of left words counts once, counts of 1 are cut off.
+
+    Returns bits(text): by bigrams and by single words.
+    """
+    say = lambda t: [w for w in WORD.findall(t) if re.search(r"[0-9A-Za-z]", w)]
+    count, lefts = Counter(), defaultdict(set)
     for t in texts:
-        s = ids(t)
-        tables[3].update(tuple(s[i - 2:i + 1]) for i in range(2, len(s)))
-    for k in (2, 1):
-        tables[k] = Counter(g[1:] for g in tables[k + 1])
-    parts = {}
-    for k, c in tables.items():
-        n = Counter(c.values())
-        n1, n2, n3, n4 = (n[i] for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        d = [min(max(x, 0.1), i + 0.9) for i, x in enumerate(d)]
-        cut = lambda x, d=d: d[min(x, 3) - 1]
-        total, freed = defaultdict(int), defaultdict(float)
-        for g, x in c.items():
-            total[g[:-1]] += x
-            freed[g[:-1]] += cut(x)
-        parts[k] = (c, cut, total, freed)
-
-    def p(g):
-        k = len(g)
-        c, cut, total, freed = parts[k]
-        low = p(g[1:]) if k > 1 else freed[()] / total[()] / (len(c) + 1)
-        if g[:-1] not in total:
-            return low
-        own = (c[g] - cut(c[g])) / total[g[:-1]] if g in c else 0.0
-        return own + (1.0 if k == 1 else min(1.0, freed[g[:-1]] / total[g[:-1]])) * low
+        s = ["^", *say(t)]
+        for i in range(1, len(s)):
+            count[s[i - 1], s[i]] += 1
+            lefts[s[i - 1], s[i]].add(left_class(s[i - 2] if i > 1 else s[2] if len(s) > 2 else None))
+    c = {g: n if len(lefts[g]) > 1 else 1 for g, n in count.items()}
+    cont = Counter(w for _, w in c)
+
+    def cuts(values):
+        n = Counter(values)
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d2 = 2 - 3 * y * n[3] / n[2] if n[2] else 1.0
+        d3 = 3 - 4 * y * n[4] / n[3] if n[3] else 1.5
+        return lambda x: [0, 1.0, min(max(d2, 0.1), 1.9), min(max(d3, 0.1), 2.9)][min(x, 3)]
+    d, e = cuts(c.values()), cuts(cont.values())
+    whole, freed = defaultdict(int), defaultdict(float)
+    for (v, _), n in c.items():
+        whole[v] += n
+        freed[v] += d(n)
+    total = sum(cont.values())
+    p1 = {w: (n - e(n)) / total + sum(map(e, cont.values())) / total / (len(cont) + 1) for w, n in cont.items()}
 
     def bits(t):
-        s = ids(t)
-        return [-math.log2(min(1, p(tuple(s[i - 2:i + 1])))) + (math.log2(floor_types + 1) if s[i] == "?" else 0) for i in range(2, len(s))]
+        s = ["^", *say(t)]
+        two = [(c[v, w] - d(c[v, w])) / whole[v] + freed[v] / whole[v] * p1[w] for v, w in zip(s, s[1:])]
+        return [np.mean([-math.log2(x) for x in xs]) for xs in (two, [p1[w] for w in s[1:]])]
     return bits
 
 
-def test_model_equals_dictionaries(spark):
+def prose(rng, pool, n, length):
+    weight = 1 / np.arange(1, len(pool) + 1)
+    return [" ".join(rng.choice(pool, length, p=weight / weight.sum())) + " | %" for _ in range(n)]
+
+
+@pytest.mark.parametrize("block,slice_keys", [(Q.BLOCK_BYTES, 2_000_000), (700, 100)])
+def test_model_equals_dictionaries(spark, monkeypatch, block, slice_keys):
+    """One block and one slice, and many of both: the same model as by dictionaries."""
+    monkeypatch.setattr(Q, "BLOCK_BYTES", block)
+    monkeypatch.setattr(K, "slices_for", lambda n: max(1, -(-int(n) // slice_keys)))
     rng = np.random.default_rng(3)
-    pool = [f"w{i}" for i in range(12)] + [f"rare{i}" for i in range(300)]
-    weight = np.array([20.0] * 12 + [0.2] * 300)
-    texts = [" ".join(rng.choice(pool, 60, p=weight / weight.sum())) + " | %" for _ in range(80)]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    rules = Q.Rules(min_word_share=0.02)
-    model = Q.fit(docs, rules)
-    vocab = set(pool[:12])
-    assert len(model.value.vocab[0]) == 12
-    bits = plain_model(texts, vocab, len({w for t in texts for w in WORD.findall(t) if w.startswith("rare")}))
-    got = {r["doc_id"]: r["log2_perplexity"] for r in Q.measured(docs, model, rules, ["doc_id"]).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == pytest.approx(np.mean(bits(t)), rel=1e-9)
+    texts = {"en": prose(rng, [f"w{i}" for i in range(300)], 60, 60), "fr": prose(rng, [f"w{i}" for i in range(80)], 40, 40) + ["w1", "w70 new"]}
+    texts["en"] += ["once upon a copied passage"] * 9 + ["then once upon a copied passage"]
+    rows = [(lang, t) for lang, all_ in texts.items() for t in all_]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in Q.measured(docs, keep=["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    # the discounts of the bigrams are those of all languages together, so one language alone is compared exactly
+    alone = docs.where("lang = 'en'")
+    bits = plain_model(texts["en"])
+    for r in Q.measured(alone, keep=["doc_id"]).collect():
+        assert [r["log2_perplexity"], r["log2_unigram"]] == pytest.approx(bits(rows[r["doc_id"]][1]), rel=1e-6)
+
+
+def test_bands(spark):
+    """Low- and high-perplexity texts go, clean texts and copies of a clean text stay."""
+    rng = np.random.default_rng(5)
+    pool = [f"w{i}" for i in range(2000)]
+    clean = prose(rng, pool, 400, 150)
+    own = prose(rng, pool, 1, 150)[0].split()
+    own[::12] = [f"r{i}" for i in range(len(own[::12]))]  # words that no other text has
+    copies = []
+    for _ in range(200):
+        t = list(own)
+        t[rng.integers(len(t))] = pool[rng.integers(2000)]
+        copies.append(" ".join(t))
+    low = [" ".join(rng.choice(pool[:7], 150)) for _ in range(20)]
+    high = [" ".join(f"x{rng.integers(1 << 40)}" for _ in range(150)) for _ in range(20)]
+    rows = [(k, t) for k, ts in (("clean", clean), ("copy", copies), ("low", low), ("high", high)) for t in ts]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in rows], "kind string, text string, lang string")
+    out = Q.judge(docs, Q.Rules(max_repeat_percent=100), keep=["kind"])
+    kept = Counter(r["kind"] for r in out.where("kept").collect())
+    assert kept["low"] == kept["high"] == 0
+    assert kept["copy"] == 200 and kept["clean"] >= 392
 
 
 def test_labelled_documents(spark):
