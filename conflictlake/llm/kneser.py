@@ -26,6 +26,7 @@ orders sum to one.  Words of two languages are different words.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,7 +66,7 @@ def coded(row: np.ndarray, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray,
 class Pairs:
     """Distinct words and bigrams of a block: sorted hashes, and where each token's word and bigram stand."""
 
-    def __init__(self, words: bytes, tokens: bytes, lengths: np.ndarray, code: np.ndarray):
+    def __init__(self, words: bytes, tokens: bytes, lengths: np.ndarray, code: np.ndarray, short: int):
         known = np.frombuffer(words, np.uint64)
         by = np.argsort(known)
         rank = np.empty(len(by), np.int64)
@@ -80,7 +81,7 @@ class Pairs:
         self.second = np.flatnonzero(~first)  # tokens that end a bigram
         h = self.words[self.at]
         i = self.second
-        key = W.mix(h[i - 1] * _G + h[i] + np.uint64(2))
+        key = W.mix(h[i - 1] * _G + h[i] + np.uint64(2)) >> np.uint64(short) << np.uint64(short)
         # the word before the bigram; before a text's first word there is none, the word after it stands in
         opens = first[i - 1]
         after = np.minimum(i + 1, len(h) - 1)
@@ -94,9 +95,14 @@ class Pairs:
         np.maximum.at(self.high, self.where, left)
 
 
-def request_rows(block: int, keys: np.ndarray, values: list[np.ndarray], slices: int, base: int = 0) -> list[tuple]:
+def short_by(keys: int) -> int:
+    """Low bits that keys can do without: 24 more than the number of keys needs leave one in 2^24 to collide."""
+    return max(0, 64 - 24 - int(keys).bit_length())
+
+
+def request_rows(block: int, keys: np.ndarray, values: list[np.ndarray], slices: int, base: int = 0, short: int = 0) -> list[tuple]:
     numbers, edges = slice_edges(keys, slices)
-    return [(base + int(n), block, pack_sorted(keys[lo:hi]), [pack_numbers(v[lo:hi]) for v in values]) for n, lo, hi in zip(numbers, edges, edges[1:])]
+    return [(base + int(n), block, pack_sorted(keys[lo:hi] >> np.uint64(short)), [pack_numbers(v[lo:hi]) for v in values]) for n, lo, hi in zip(numbers, edges, edges[1:])]
 
 
 def _batch(rows: list[tuple], kinds: tuple, names: tuple) -> pa.RecordBatch:
@@ -184,13 +190,13 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, 1.0, min(max(d2, 0.1), 1.9), min(max(d3, 0.1), 2.9)])
 
 
-def ask_pairs(coded_blocks: DataFrame, slices: int) -> DataFrame:
+def ask_pairs(coded_blocks: DataFrame, slices: int, short: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, codes, lengths, words, tokens in zip(*b.columns):
-                g = Pairs(words.as_py(), tokens.as_py(), np.array(lengths.as_py(), np.int64), np.array(codes.as_py(), np.int64))
+                g = Pairs(words.as_py(), tokens.as_py(), np.array(lengths.as_py(), np.int64), np.array(codes.as_py(), np.int64), short)
                 if len(g.keys):
-                    yield _batch(request_rows(block.as_py(), g.keys, [g.n, g.low, g.high - g.low], slices), *_ASK)
+                    yield _batch(request_rows(block.as_py(), g.keys, [g.n, g.low, g.high - g.low], slices, short=short), *_ASK)
 
     return map_arrow(coded_blocks.select("block", "codes", "lengths", "words", "tokens"), ask, REQUEST)
 
@@ -205,13 +211,13 @@ def _told(answered: list, i: int, lo: int, hi: int) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
-def ask_words(met: DataFrame, d: np.ndarray, pair_slices: int, word_slices: int) -> DataFrame:
+def ask_words(met: DataFrame, d: np.ndarray, short: int, pair_slices: int, word_slices: int) -> DataFrame:
     """Requests by word; the slices of the languages follow those of the bigrams."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, codes, lengths, words, tokens, answered in zip(*b.columns):
-                g = Pairs(words.as_py(), tokens.as_py(), np.array(lengths.as_py(), np.int64), np.array(codes.as_py(), np.int64))
+                g = Pairs(words.as_py(), tokens.as_py(), np.array(lengths.as_py(), np.int64), np.array(codes.as_py(), np.int64), short)
                 told = _told(answered.as_py() or [], 0, 0, pair_slices)
                 c, own, n = told >> 1, (told & 1).astype(bool), len(g.words)
                 v, w, c = g.v[own], g.w[own], c[own]
@@ -254,6 +260,12 @@ def bits(g: Pairs, answered: list, d: np.ndarray, u: Unigrams, pair_slices: int,
     return tuple(-np.log2(np.clip(p, 1e-300, 1.0))[g.where] for p in (p2, p1[g.w]))
 
 
+def drop_shuffles(df: DataFrame) -> None:
+    """Spark deletes the files of a shuffle when nothing refers to it any more: what is stored needs none."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def model(blocks: DataFrame, n_pairs: int, n_words: int, codes: int):
     """(told blocks, scorer, tables to delete when done) of blocks with columns block, codes, lengths, words, tokens.
 
@@ -262,14 +274,18 @@ def model(blocks: DataFrame, n_pairs: int, n_words: int, codes: int):
     single words.
     """
     pair_slices, word_slices = slices_for(n_pairs), slices_for(n_words)
-    pairs = Stored(exchange(ask_pairs(blocks, pair_slices), pair_slices, pair_settle), "kn-pairs")
+    short = short_by(n_pairs)
+    pairs = Stored(exchange(ask_pairs(blocks, pair_slices, short), pair_slices, pair_settle), "kn-pairs")
+    drop_shuffles(blocks)
     d = discounts(summaries(pairs.df, 4).get(0, np.zeros(4, np.int64)))
     met = blocks.join(by_block(pairs.df), "block", "left")
-    words = Stored(exchange(ask_words(met, d, pair_slices, word_slices), codes * word_slices, word_settle), "kn-words")
+    words = Stored(exchange(ask_words(met, d, short, pair_slices, word_slices), codes * word_slices, word_settle), "kn-words")
+    del met
+    drop_shuffles(blocks)
     u = Unigrams(summaries(words.df, 6, F.floor((F.col("slice") - pair_slices) / word_slices)), codes)
 
     def scorer(codes_, lengths, words_, tokens, answered) -> list[np.ndarray]:
-        g = Pairs(words_, tokens, lengths, codes_)
+        g = Pairs(words_, tokens, lengths, codes_, short)
         return [np.bincount(g.row[g.second], each, len(lengths)) for each in bits(g, answered or [], d, u, pair_slices, word_slices)]
 
     return blocks.join(by_block(pairs.df.union(words.df)), "block", "left"), scorer, [pairs, words]
