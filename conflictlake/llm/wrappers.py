@@ -7,7 +7,10 @@ the next, over and over: the longest common subsequence of elements, slots and
 groups stays (elements are aligned inside in turn, so every group is well formed),
 what only one side has becomes an optional group ``( ... )?``, a run that repeats
 on the other side joins its repeated group, and slots that hold different texts
-are variable.  There are no disjunctions.
+are variable.  There are no disjunctions.  Where the nodes of one element are too
+irregular for that (more than LONGEST_LIST after alignment) the expression is
+generalised to ``( (a)? (b)? ... )*`` with one member a kind of node: it matches any
+order of them, and a wrapper grows with the kinds of elements, not with the pages.
 
 The wrapper knows for each slot its enclosing elements, how much text it has on
 the whole host and whether it ever varies.  Which of them are content is decided
@@ -17,9 +20,15 @@ headers, footers, sidebars, notices, adverts, forms, comments, or - outside an
 article - of text that is the same on every page (whole, and not because the pages
 are copies) are not content.  Nothing is left out for having little text.
 
+A class or id names chrome only if all its words do (``ad-slot``, ``related-links``).
+If some do (``share-price-report``, ``banner-image-caption``) the name is a hint, and
+the wrapper decides: such an element is chrome where its text is template text of
+the host, also inside an article, else content.
+
 Pages only meet their host's wrapper through the host's distinct skeletons:
-Spark counts those with a partial aggregate, infers wrappers in salted groups and
-then per host, and joins the verdicts back to the pages' text blocks.
+Spark counts those with a partial aggregate, infers wrappers in a tree (about
+FAN expressions a group, as many rounds as the host with most skeletons needs), and
+joins the verdicts back to the pages' text blocks.
 """
 
 from __future__ import annotations
@@ -38,9 +47,10 @@ from pyspark.sql import functions as F
 from conflictlake.llm.common import map_arrow, refuse_clash, settled
 from conflictlake.llm.url_cascade import host_of
 
-SALTS = 16
+FAN = 32  # expressions that one group of the tree aligns
 DEEPEST = 120
 LONGEST_UNIT = 24  # tokens of a repeated group
+LONGEST_LIST = 64  # nodes of one element of a wrapper; longer lists are generalised
 SAME_ON = 3  # pages on which a text must be the same to be template text
 
 # Fixed values of HTML.
@@ -57,6 +67,8 @@ MARKS = set("ad ads advert adverts advertisement advertising banner sponsor spon
             " notice notices cookie cookies consent gdpr popup modal newsletter subscribe comment comments reply replies respond disqus share sharing social related"
             " recommended widget footer masthead skip".split())
 WHOLE = set("header site-header page-header site-footer page-footer top-bar topbar".split())  # marks only as a whole name
+BESIDE = set("area bar block body bottom box btn button buttons center close col column container content form group head heading icon icons inner item items left link links"
+             " list main outer panel right row section signup site slot space text title top unit wrap wrapper".split())  # words that do not change what a mark says
 NOT = {"no", "has", "with", "without", "free"}  # beside a mark: a property of the page, not an advert or sidebar
 NEVER = {"html", "body", "main"}
 ROLES = set("navigation banner contentinfo complementary search menu menubar alert dialog".split())
@@ -66,23 +78,29 @@ _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s
 _NAMES = re.compile(r"[A-Za-z]+")
 
 
-def _marked(attrs: str) -> bool:
+def _marked(attrs: str) -> str:
+    """"!" for an element that its attributes make page chrome, "~" if a class or id hints at it, else ""."""
+    hint = ""
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return "!"
         if name == "role" and value.lower() in ROLES:
-            return True
+            return "!"
         if name in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in _NAMES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", one))]
-                if one.lower() in WHOLE or (any(w in MARKS for w in words) and not any(w in NOT for w in words)):
-                    return True
-    return False
+                if one.lower() in WHOLE:
+                    return "!"
+                if any(w in MARKS for w in words) and not any(w in NOT for w in words):
+                    if all(w in MARKS or w in BESIDE for w in words):
+                        return "!"
+                    hint = "~"
+    return hint
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """("tag", name) with a leading / for ends, the letters of class and id, a trailing ! for marked elements; ("text", raw text)."""
+    """("tag", name) with a leading / for ends, the letters of class and id, a trailing ! or ~ for marked elements; ("text", raw text)."""
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -104,7 +122,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             yield "tag", "/" + name
             continue
         label = "".join("." + re.sub(r"[^a-z]+", "-", v.strip("\"'").lower())[:40] for a, v in _ATTR.findall(attrs) if a.lower() in ("class", "id")) if attrs else ""
-        yield "tag", name + label + "!" * (bool(attrs) and name not in NEVER and _marked(attrs))
+        yield "tag", name + label + (_marked(attrs) if attrs and name not in NEVER else "")
 
 
 def blocks_of(page: str) -> list:
@@ -124,15 +142,15 @@ def blocks_of(page: str) -> list:
             stack[-1][2].append(["#", said])
 
     def name_of(node):
-        return node[1].split(".")[0].rstrip("!")
+        return node[1].split(".")[0].rstrip("!~")
 
     for kind, value in tokens(page):
         if kind == "text":
             text.append(value)
             continue
         end = value.startswith("/")
-        name = value.lstrip("/").split(".")[0].rstrip("!")
-        if name in INLINE and not value.endswith("!"):
+        name = value.lstrip("/").split(".")[0].rstrip("!~")
+        if name in INLINE and not value.endswith(("!", "~")):
             if name == "br":
                 text.append(" ")
             continue
@@ -241,8 +259,42 @@ def _joined(nodes: list, groups: list) -> list:
     return nodes
 
 
+def _members(nodes: list) -> Iterator[list]:
+    """Elements and slots of a list, those in groups too."""
+    for n in nodes:
+        if n[0] in "+?*":
+            yield from _members(n[1])
+        else:
+            yield n
+
+
+def _long(nodes: list) -> bool:
+    return sum(1 for _ in _members(nodes)) > LONGEST_LIST
+
+
+def _general(nodes: list) -> bool:
+    return len(nodes) == 1 and nodes[0][0] == "*" and len(nodes[0][1]) > 1 and all(n[0] == "?" and len(n[1]) == 1 for n in nodes[0][1])
+
+
+def generalised(nodes: list) -> list:
+    """``( (a)? (b)? ... )*``: any sequence of the kinds of nodes that a list has, one member a kind."""
+    by_kind: dict[str, list] = {}
+    for n in _members(nodes):
+        k = _kind(n)
+        by_kind[k] = merged(by_kind[k], n) if k in by_kind else n
+    kinds = sorted(by_kind)
+    return [["*", [["?", [by_kind[k]]] for k in kinds] if len(kinds) > 1 else [by_kind[kinds[0]]]]]
+
+
 def align(a: list, b: list) -> list:
     """The union-free expression of both: common nodes stay, the rest becomes optional."""
+    if _general(a) or _general(b) or _long(a) or _long(b):
+        return generalised(a + b)
+    out = _aligned(a, b)
+    return generalised(out) if _long(out) else out
+
+
+def _aligned(a: list, b: list) -> list:
     a = _joined(a, [(n[0], n[1]) for n in b if n[0] in "+?*"])
     b = _joined(b, [(n[0], n[1]) for n in a if n[0] in "+?*"])
     ka, kb = [_kind(x) for x in a], [_kind(x) for x in b]
@@ -321,14 +373,14 @@ def placed(nodes: list, path: tuple = ()) -> Iterator[tuple[list, tuple]]:
         if n[0] == "#":
             yield n, path
         elif n[0] == "e":
-            yield from placed(n[2], (*path, n[1].split(".")[0] + "!" * n[1].endswith("!")))
+            yield from placed(n[2], (*path, n[1].split(".")[0].rstrip("!~") + (n[1][-1] if n[1].endswith(("!", "~")) else "")))
         else:
             yield from placed(n[1], path)
 
 
 def _barred(path: tuple) -> bool:
     """Whether a slot is page chrome by the elements around it."""
-    return any(x.endswith("!") or x in DROPPED for x in path) or ("header" in path and not any(x in ARTICLE for x in path))
+    return any(x.endswith("!") or x.rstrip("~") in DROPPED for x in path) or (any(x.rstrip("~") == "header" for x in path) and not any(x.rstrip("~") in ARTICLE for x in path))
 
 
 def page_of(folded: list, said: list[tuple[int, str]]) -> int:
@@ -344,11 +396,12 @@ def content(nodes: list) -> list[bool]:
     one page; a host whose text never varies has none.
     """
     found = list(placed(nodes))
-    article = [any(e in ARTICLE for e in path) for _, path in found]
+    article = [any(e.rstrip("~") in ARTICLE for e in path) for _, path in found]
+    hinted = [any(e.endswith("~") for e in path) for _, path in found]
     open_ = [not _barred(path) for _, path in found]
     same = [n[2] == n[3] and n[4] >= SAME_ON and n[6] != n[7] for n, _ in found]
     varies = any(o and n[2] != n[3] for o, (n, _) in zip(open_, found))
-    ok = [bool(n[5]) and o and (a or not (s and varies)) for (n, _), o, a, s in zip(found, open_, article, same)]
+    ok = [bool(n[5]) and o and ((a and not h) or not (s and varies)) for (n, _), o, a, h, s in zip(found, open_, article, hinted, same)]
     if any(o and a for o, a in zip(ok, article)):
         return [o and a for o, a in zip(ok, article)]
     return ok
@@ -413,18 +466,30 @@ def skeletons(parts: DataFrame) -> DataFrame:
 
 
 def wrappers(distinct: DataFrame) -> DataFrame:
-    """(host, wrapper, stats): the expression that all skeletons of a host match, inferred in salted groups, then per host."""
-    schema = "host string, wrapper string, stats array<array<long>>"
+    """(host, wrapper, stats): the expression that all skeletons of a host match, inferred in a tree.
+
+    A host of n skeletons starts with n / FAN groups; every round aligns about FAN
+    groups into one.  The driver only learns the number of skeletons of the largest host.
+    """
+    schema = "host string, n long, cell long, wrapper string, stats array<array<long>>"
 
     def infer(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for expr, stats in sorted(zip(pdf["wrapper"], pdf["stats"]), key=lambda x: (len(x[0]), x[0])):
             nodes = parsed(expr, stats)
             whole = nodes if whole is None else fold(align(whole, nodes))
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [expression(whole)], "stats": [[[*n[1:5], *n[6:]] for n in slots(whole)]]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "n": pdf["n"].iloc[:1], "cell": pdf["cell"].iloc[:1], "wrapper": [expression(whole)],
+                             "stats": [[[*n[1:5], *n[6:]] for n in slots(whole)]]})
 
-    named = distinct.select("host", F.col("skeleton").alias("wrapper"), "stats", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).alias("salt"))
-    return named.groupBy("host", "salt").applyInPandas(infer, schema).groupBy("host").applyInPandas(infer, schema)
+    sizes = distinct.groupBy(F.col("host").alias("__of")).agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    got = distinct.join(sizes, F.col("host").eqNullSafe(F.col("__of"))).select("host", "n", F.xxhash64("skeleton").alias("cell"), F.col("skeleton").alias("wrapper"), "stats")
+    width = 1
+    while True:
+        width *= FAN
+        got = got.withColumn("cell", F.expr(f"pmod(cell, n div {width} + 1)")).groupBy("host", "n", "cell").applyInPandas(infer, schema)
+        if most < width:
+            return got.select("host", "wrapper", "stats")
 
 
 def verdicts(distinct: DataFrame, found: DataFrame) -> DataFrame:
@@ -452,7 +517,10 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
     Text blocks of content slots in page order, joined by a newline.  A null or
     empty page, or one without content, has an empty text.  Pages without a host
     share a wrapper.  Repeated rows are pages of their own; an empty table gives
-    an empty table.  A ``keep`` column of a name that is made here is refused
+    an empty table.  Text nested deeper than DEEPEST elements belongs to the element at
+    that depth; repetitions of more than LONGEST_UNIT tokens are not folded; lists of
+    more than LONGEST_LIST nodes are generalised; text is template text from SAME_ON
+    pages of a host on.  None of these leaves out text of an article.  A ``keep`` column of a name that is made here is refused
     (ValueError).
     """
     keep = keep or ["page_id", "url"]

@@ -137,3 +137,43 @@ def test_whole_table(spark):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_a_name_that_only_hints_at_chrome_does_not_cost_an_article_its_text(spark):
+    a = [("http://r.net/%d" % i, f'<body>{NAV}<main><div class="share-price-report"><p>Shares rose {i}</p></div></main></body>') for i in range(4)]
+    b = [("http://i.net/%d" % i, f'<body>{NAV}<article><div class="banner-image-caption">Seen {i}</div><p>said {i}</p><div class="ad-slot">buy {i}</div></article></body>') for i in range(4)]
+    # the same text on every page: here the wrapper takes the hint
+    c = [("http://w.net/%d" % i, f'<body>{NAV}<article><p>said {i}</p><div class="subscribe-today">Get our paper</div></article></body>') for i in range(4)]
+    d = [("http://w1.net/", '<body><article><p>said</p><div class="subscribe-today">Get our paper</div></article></body>')]
+    assert texts_of(spark, a) == [f"Shares rose {i}" for i in range(4)]
+    assert texts_of(spark, b) == [f"Seen {i}\nsaid {i}" for i in range(4)]
+    assert texts_of(spark, c) == [f"said {i}" for i in range(4)]
+    assert texts_of(spark, d) == ["said\nGet our paper"]
+
+
+def irregular(i: int, n: int = 60) -> tuple[str, str]:
+    """A page of n blocks of five kinds in an order of its own, and its text."""
+    import random
+
+    rng = random.Random(i)
+    blocks = [(rng.choice(["p", "h2", "ul", "pre", "blockquote"]), f"w{i} {k}") for k in range(n)]
+    inner = "".join(f"<ul><li>{t}</li></ul>" if tag == "ul" else f"<{tag}>{t}</{tag}>" for tag, t in blocks)
+    return inner, "\n".join(t for _, t in blocks)
+
+
+def test_wrapper_of_many_skeletons_stays_small(spark):
+    """400 different skeletons of a host: the wrapper is generalised, and a tree of groups infers it."""
+    import time
+
+    made = [irregular(i) for i in range(400)]
+    t0, whole = time.time(), None
+    for inner, _ in made:
+        own, _ = X.skeleton(X.blocks_of(f"<article>{inner}</article>"))
+        own = X.parsed(X.expression(own), [[1, 0, 1, 1]] * X.expression(own).count("#"))
+        whole = own if whole is None else X.fold(X.align(whole, own))
+    assert time.time() - t0 < 20
+    assert len(list(X.slots(whole))) <= X.LONGEST_LIST
+    for inner, _ in made[::40]:
+        assert matches(X.expression(whole), written(X.blocks_of(f"<article>{inner}</article>")))
+    pages = [("http://many.net/%d" % i, f"<body>{NAV}<article>{inner}</article><div class=ad>buy</div></body>") for i, (inner, _) in enumerate(made)]
+    assert texts_of(spark, pages) == [text for _, text in made]
