@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import inspect
 import os
@@ -63,6 +64,18 @@ def map_arrow_lean(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return map_arrow(df, lean(fn), schema)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind: it is stored and needs none."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again.
 

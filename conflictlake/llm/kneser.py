@@ -20,13 +20,18 @@ distinct bigrams, each counted once:
     p1(w)     = max(cont(w) - D, 0) / sum of cont + share of all words alike
     p2(w | v) = max(c(v w) - D, 0) / total(v) + freed(v) / total(v) * p1(w)
 
+What moves is kept small: numbers go as byte planes under zstd, words as 48 bits of
+their hash, and the bigrams, the requests by word and the blocks that meet their
+answers go in rounds (PAIR_ROUNDS and ROUNDS once there are as many slices), so that only a
+part of the shuffles is on disk at a time.
+
 A count of 1 is always taken whole (cut-off at 2), so no text predicts itself.  Both
 orders sum to one.  Words of two languages are different words.
 """
 
 from __future__ import annotations
 
-import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,14 +41,41 @@ from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
 from conflictlake.llm.common import map_arrow_lean as map_arrow
-from conflictlake.llm.tally import SUMMARY, pack_numbers, pack_sorted, slice_edges, slices_for, unpack_numbers, unpack_sorted
-from conflictlake.operators.stored import Stored
+from conflictlake.llm.common import shuffles_dropped
+from conflictlake.llm.tally import SUMMARY, slice_edges, slices_for
+from conflictlake.llm.tally import pack_numbers as planes
+from conflictlake.llm.tally import unpack_numbers as from_planes
+from conflictlake.operators.stored import Stored, delete_path
+from conflictlake.session import ensure_checkpoint_dir
 
 START = np.uint64(0x6A09E667F3BCC909)  # hash of the mark before a text's first word
 REQUEST = "slice long, block long, keys binary, vals array<binary>"
 ANSWER = "block long, slice long, vals array<binary>"
 UNIT = 1 << 16  # freed mass is summed in whole units, so sums do not depend on their order
+PAIR_ROUNDS = 2  # each forms the bigrams of all blocks anew
+ROUNDS = 8
+WORD_BITS = 48
+SPARE_BITS = 16  # of a bigram's key, beyond those that the number of bigrams needs
 _G = np.uint64(0x9E3779B97F4A7C15)
+_CUT = np.uint64(64 - WORD_BITS)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    raw = planes(values)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    return from_planes(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
+
+
+def pack_steps(keys: np.ndarray) -> bytes:
+    """Numbers that mostly rise, by their differences (modulo 2^64)."""
+    return pack_numbers(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(raw), dtype=np.uint64)
 
 
 def keyed(code: np.ndarray, what: np.ndarray) -> np.ndarray:
@@ -51,23 +83,24 @@ def keyed(code: np.ndarray, what: np.ndarray) -> np.ndarray:
     return W.mix(what.astype(np.uint64) + (code.astype(np.uint64) + np.uint64(1)) * _G)
 
 
-def coded(row: np.ndarray, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
-    """(tokens a text, distinct words, word numbers) of a block; a start mark opens every text."""
+def coded(row: np.ndarray, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, bytes, bytes, int]:
+    """(tokens a text, distinct words, word numbers, number of distinct words) of a block; a start mark opens every text."""
     n = len(code)
     lengths = np.bincount(row, minlength=n) + 1
-    hashes = np.insert(keyed(code[row], h), np.searchsorted(row, np.arange(n)), keyed(code, np.full(n, START)))
+    hashes = np.insert(keyed(code[row], h), np.searchsorted(row, np.arange(n)), keyed(code, np.full(n, START))) >> _CUT
     known, at, times = np.unique(hashes, return_inverse=True, return_counts=True)
     order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return lengths, known[order].tobytes(), pack_numbers(place[at])
+    said = np.diff(known[order], prepend=np.uint64(0)) & np.uint64((1 << WORD_BITS) - 1)  # words of one frequency rise
+    return lengths, pack_numbers(said), pack_numbers(place[at]), len(known)
 
 
 class Pairs:
     """Distinct words and bigrams of a block: sorted hashes, and where each token's word and bigram stand."""
 
     def __init__(self, words: bytes, tokens: bytes, lengths: np.ndarray, code: np.ndarray, short: int):
-        known = np.frombuffer(words, np.uint64)
+        known = unpack_steps(words) << _CUT
         by = np.argsort(known)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
@@ -96,13 +129,17 @@ class Pairs:
 
 
 def short_by(keys: int) -> int:
-    """Low bits that keys can do without: 24 more than the number of keys needs leave one in 2^24 to collide."""
-    return max(0, 64 - 24 - int(keys).bit_length())
+    """Low bits that keys can do without: SPARE_BITS more than the number of keys needs leave one in 2^SPARE_BITS to collide."""
+    return max(0, 64 - SPARE_BITS - int(keys).bit_length())
+
+
+def slice_number(keys: np.ndarray, slices: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
 
 def request_rows(block: int, keys: np.ndarray, values: list[np.ndarray], slices: int, base: int = 0, short: int = 0) -> list[tuple]:
     numbers, edges = slice_edges(keys, slices)
-    return [(base + int(n), block, pack_sorted(keys[lo:hi] >> np.uint64(short)), [pack_numbers(v[lo:hi]) for v in values]) for n, lo, hi in zip(numbers, edges, edges[1:])]
+    return [(base + int(n), block, pack_steps(keys[lo:hi] >> np.uint64(short)), [pack_numbers(v[lo:hi]) for v in values]) for n, lo, hi in zip(numbers, edges, edges[1:])]
 
 
 def _batch(rows: list[tuple], kinds: tuple, names: tuple) -> pa.RecordBatch:
@@ -122,7 +159,7 @@ def exchange(requests: DataFrame, slices: int, settle: Callable) -> DataFrame:
     """
 
     def close(number: int, rows: list[tuple]) -> Iterator[tuple]:
-        keys = [unpack_sorted(k) for _, k, _ in rows]
+        keys = [unpack_steps(k) for _, k, _ in rows]
         edges = np.cumsum([0, *map(len, keys)])
         every, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         del keys
@@ -190,13 +227,16 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, 1.0, min(max(d2, 0.1), 1.9), min(max(d3, 0.1), 2.9)])
 
 
-def ask_pairs(coded_blocks: DataFrame, slices: int, short: int) -> DataFrame:
+def ask_pairs(coded_blocks: DataFrame, slices: int, short: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Requests for the bigrams of every block, of the slices whose number is ``part`` modulo ``parts``."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, codes, lengths, words, tokens in zip(*b.columns):
                 g = Pairs(words.as_py(), tokens.as_py(), np.array(lengths.as_py(), np.int64), np.array(codes.as_py(), np.int64), short)
-                if len(g.keys):
-                    yield _batch(request_rows(block.as_py(), g.keys, [g.n, g.low, g.high - g.low], slices, short=short), *_ASK)
+                of = (slice_number(g.keys, slices) % np.uint64(parts) == part) if parts > 1 else slice(None)
+                if len(g.keys[of]):
+                    yield _batch(request_rows(block.as_py(), g.keys[of], [g.n[of], g.low[of], (g.high - g.low)[of]], slices, short=short), *_ASK)
 
     return map_arrow(coded_blocks.select("block", "codes", "lengths", "words", "tokens"), ask, REQUEST)
 
@@ -227,7 +267,7 @@ def ask_words(met: DataFrame, d: np.ndarray, short: int, pair_slices: int, word_
                 rows = []
                 for code in np.unique(g.code):
                     of = g.code == code
-                    rows += request_rows(block.as_py(), g.words[of], [cont[of], total[of], freed[of]], word_slices, pair_slices + int(code) * word_slices)
+                    rows += request_rows(block.as_py(), g.words[of], [cont[of], total[of], freed[of]], word_slices, pair_slices + int(code) * word_slices, int(_CUT))
                 if rows:
                     yield _batch(rows, *_ASK)
 
@@ -260,32 +300,50 @@ def bits(g: Pairs, answered: list, d: np.ndarray, u: Unigrams, pair_slices: int,
     return tuple(-np.log2(np.clip(p, 1e-300, 1.0))[g.where] for p in (p2, p1[g.w]))
 
 
-def drop_shuffles(df: DataFrame) -> None:
-    """Spark deletes the files of a shuffle when nothing refers to it any more: what is stored needs none."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def _part(column: str, part: int, parts: int):
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(parts)) == part
+
+
+def meet(blocks: DataFrame, told: DataFrame, part: int, parts: int) -> DataFrame:
+    """The blocks of one round with their answers."""
+    return blocks.where(_part("block", part, parts)).join(by_block(told.where(_part("block", part, parts))), "block", "left")
+
+
+def _union(tables: list[Stored]) -> DataFrame:
+    out = tables[0].df
+    for t in tables[1:]:
+        out = out.union(t.df)
+    return out
 
 
 def model(blocks: DataFrame, n_pairs: int, n_words: int, codes: int):
-    """(told blocks, scorer, tables to delete when done) of blocks with columns block, codes, lengths, words, tokens.
+    """(rounds of told blocks, scorer, tables to delete when done) of blocks with columns block, codes, lengths, words, tokens.
 
-    ``told`` has the rows of ``blocks`` and their answers; ``scorer(codes, lengths,
-    words, tokens, answered)`` gives the bits of each text of a row, by bigrams and by
-    single words.
+    A round has rows of ``blocks`` and their answers, each block is in one round; ``scorer(codes,
+    lengths, words, tokens, answered)`` gives the bits of each text of a row, by bigrams and
+    by single words.
     """
+    spark = blocks.sparkSession
     pair_slices, word_slices = slices_for(n_pairs), slices_for(n_words)
+    halves, rounds = min(PAIR_ROUNDS, pair_slices), min(ROUNDS, pair_slices)
     short = short_by(n_pairs)
-    pairs = Stored(exchange(ask_pairs(blocks, pair_slices, short), pair_slices, pair_settle), "kn-pairs")
-    drop_shuffles(blocks)
-    d = discounts(summaries(pairs.df, 4).get(0, np.zeros(4, np.int64)))
-    met = blocks.join(by_block(pairs.df), "block", "left")
-    words = Stored(exchange(ask_words(met, d, short, pair_slices, word_slices), codes * word_slices, word_settle), "kn-words")
-    del met
-    drop_shuffles(blocks)
-    u = Unigrams(summaries(words.df, 6, F.floor((F.col("slice") - pair_slices) / word_slices)), codes)
+    with shuffles_dropped(spark):
+        pairs = [Stored(exchange(ask_pairs(blocks, pair_slices, short, r, halves), -(-pair_slices // halves), pair_settle), "kn-pairs") for r in range(halves)]
+        told = _union(pairs)
+        d = discounts(summaries(told, 4).get(0, np.zeros(4, np.int64)))
+        asked, words = f"{ensure_checkpoint_dir(spark)}/kn-asked-{uuid.uuid4().hex}", []
+        for r in range(rounds):
+            asks = ask_words(meet(blocks, told, r, rounds), d, short, pair_slices, word_slices)
+            asks.withColumn("part", F.pmod("slice", F.lit(rounds))).write.partitionBy("part").mode("append").parquet(asked)
+        for r in range(rounds):
+            mine = spark.read.schema(f"{REQUEST}, part long").parquet(asked).where(F.col("part") == r).drop("part")
+            words.append(Stored(exchange(mine, -(-codes * word_slices // rounds), word_settle), "kn-words"))
+            delete_path(spark, f"{asked}/part={r}")
+        delete_path(spark, asked)
+    u = Unigrams(summaries(_union(words), 6, F.floor((F.col("slice") - pair_slices) / word_slices)), codes)
 
     def scorer(codes_, lengths, words_, tokens, answered) -> list[np.ndarray]:
         g = Pairs(words_, tokens, lengths, codes_, short)
         return [np.bincount(g.row[g.second], each, len(lengths)) for each in bits(g, answered or [], d, u, pair_slices, word_slices)]
 
-    return blocks.join(by_block(pairs.df.union(words.df)), "block", "left"), scorer, [pairs, words]
+    return [meet(blocks, _union(pairs + words), r, rounds) for r in range(rounds)], scorer, [*pairs, *words]

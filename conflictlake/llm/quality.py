@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from conflictlake.llm import kneser
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow, refuse_clash, settled, temp_name
+from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow, refuse_clash, settled, shuffles_dropped, temp_name
 from conflictlake.operators.stored import Stored
 
 BLOCK_BYTES = 4 << 20
@@ -124,7 +124,7 @@ def blocks(docs: DataFrame, langs: dict[str, int], rules: Rules, keep: list[str]
     kinds = [f.dataType for f in source.schema.fields[2:]]
     schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(f"keep{i}", T.ArrayType(k)) for i, k in enumerate(kinds)],
                            *[T.StructField(c, T.ArrayType(T.BooleanType() if c == "base_failed" else T.LongType())) for c in ARRAYS],
-                           T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+                           T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("types", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,11 +143,11 @@ def blocks(docs: DataFrame, langs: dict[str, int], rules: Rules, keep: list[str]
                     hashes.append(h)
                 n_words, chars, symbols, dup, repeat = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
                 failed = (n_words < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n_words)
-                lengths, words, tokens = kneser.coded(np.concatenate(rows), np.concatenate(hashes), codes[lo:hi])
+                lengths, words, tokens, types = kneser.coded(np.concatenate(rows), np.concatenate(hashes), codes[lo:hi])
                 one = np.array([0, hi - lo], np.int32)
                 made = [pa.array(x) for x in (n_words, chars, symbols, dup, repeat, failed, codes[lo:hi], lengths.astype(np.int64))]
                 lists = [pa.ListArray.from_arrays(one, x) for x in [*(c[lo:hi] for c in b.columns[2:]), *made]]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([words]), pa.array([tokens])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([words]), pa.array([tokens]), pa.array([types])], names=schema.names)
                 number += 1
 
     return map_arrow(source, cut, schema)
@@ -158,8 +158,8 @@ def measured(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = N
     keep = keep or []
     langs = languages(docs, rules)
     cut = Stored(blocks(docs, langs, rules, keep), "quality-blocks")
-    size = cut.df.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.sum(F.expr("length(words) div 8"))).first()
-    told, scorer, tables = kneser.model(cut.df, size[0] or 0, size[1] or 0, len(langs) + 1)
+    size = cut.df.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.sum("types")).first()
+    rounds, scorer, tables = kneser.model(cut.df, size[0] or 0, size[1] or 0, len(langs) + 1)
     fields = [T.StructField(c, cut.df.schema[f"keep{i}"].dataType.elementType) for i, c in enumerate(keep)]
     schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in MEASURES], T.StructField("base_failed", T.BooleanType()),
                            T.StructField("lang_code", T.LongType()), T.StructField("model_words", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in SCORES]])
@@ -174,7 +174,10 @@ def measured(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = N
                 said = lengths - 1  # without the start mark
                 yield pa.RecordBatch.from_arrays([*(x.values for x in lists[:-1]), pa.array(said), *(pa.array(x / np.maximum(said, 1)) for x in bits)], names=schema.names)
 
-    out = settled(map_arrow(told.select(*taken, "words", "tokens", "answered"), score, schema), "scores")
+    out = docs.sparkSession.createDataFrame([], schema)
+    with shuffles_dropped(docs.sparkSession):
+        for told in rounds:
+            out = out.union(settled(map_arrow(told.select(*taken, "words", "tokens", "answered"), score, schema), "scores"))
     for t in (cut, *tables):
         t.delete()
     return out
