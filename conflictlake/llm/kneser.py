@@ -53,7 +53,7 @@ REQUEST = "slice long, block long, keys binary, vals array<binary>"
 ANSWER = "block long, slice long, vals array<binary>"
 UNIT = 1 << 16  # freed mass is summed in whole units, so sums do not depend on their order
 PAIR_ROUNDS = 2  # each forms the bigrams of all blocks anew
-ROUNDS = 8
+ROUNDS = 16
 WORD_BITS = 48
 SPARE_BITS = 16  # of a bigram's key, beyond those that the number of bigrams needs
 _G = np.uint64(0x9E3779B97F4A7C15)
