@@ -66,7 +66,10 @@ def build_dataset(pairs: DataFrame, test_size: float = DEFAULT_TEST_SIZE,
                   seed: int = DEFAULT_SEED, language: str = "java", prompt: str = QUERY_PROMPT,
                   dedupe: bool = False) -> DataFrame:
     """T12 rows (conflict_id, question, answer, prompt, split); with
-    ``dedupe`` exact duplicates go before the split (D6), so its sizes are exact."""
+    ``dedupe`` exact duplicates go before the split (D6), so its sizes are exact.
+    The pairs are made once and stored: the keys of the split and the rows are two reads."""
+    if dedupe or (test_size or 0) not in (0, 1):
+        pairs = Stored(pairs.select("conflict_id", "conflict", "resolved"), "pairs").df
     rows = question_answer(pairs, language, prompt)
     return assign_split(dedupe_exact(rows) if dedupe else rows, test_size, seed)
 

@@ -109,3 +109,17 @@ def test_summary_reports(spark):
     assert [r.merge_id for r in S.first_merge_ids(m, 2).collect()] == ["1", "2"]
     order = [r.repository for r in S.order_summary(S.repository_summary(m, idx)).collect()]
     assert order == ["o/a", "o/b"]
+
+
+def test_pairs_of_a_dataset_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    schema = "conflict_id string, conflict string, resolved string"
+    pairs = spark.createDataFrame([(f"{i}-0-0", f"c{i}", "r") for i in range(50)], schema).mapInArrow(count, schema)
+    assert len(D.build_dataset(pairs, 0.2).collect()) == 50
+    assert made.value == 50
