@@ -161,11 +161,15 @@ def root_commits(commits: DataFrame) -> DataFrame:
     return commits.select("repository", "sha", "commit_ord").join(inside, ["repository", "sha"], "left_anti")
 
 
+def _roots(layers: Layers) -> DataFrame:
+    """(at, repository) of the commits with no parent in the table."""
+    child = layers.levels[0][1].select(F.col("u").alias("at")).distinct()
+    return layers.numbered.select("at", "repository").join(child, "at", "left_anti")
+
+
 def _oldest(layers: Layers, wanted: DataFrame | None) -> DataFrame:
     """(at, oldest): the greatest place among the ancestors (self included) of the commits ``wanted`` (at)."""
-    child = layers.levels[0][1].select(F.col("u").alias("at")).distinct()
-    roots = layers.numbered.select("at").join(child, "at", "left_anti")
-    got = layers.spread(roots.select("at", F.lit(0).alias("key"), F.col("at").alias("val")), "max", backwards=True, wanted=wanted)
+    got = layers.spread(_roots(layers).select("at", F.lit(0).alias("key"), F.col("at").alias("val")), "max", backwards=True, wanted=wanted)
     return got.select("at", F.col("val").alias("oldest"))
 
 
@@ -214,17 +218,28 @@ def merge_notes(commits: DataFrame, merges: DataFrame, layers: Layers | None = N
     parents' oldest ancestors differ; else empty.
 
     Only the older parent can be an ancestor of the other.  A parent that is not
-    in the table has no ancestor."""
+    in the table has no ancestor.  Both questions are answered by one walk from the
+    parents to what is above them: each has a bit in the masks of its repository
+    (merges per repository are capped, so a mask is a few words long)."""
     layers = layers or Layers(commits)
     places = layers.numbered.select("repository", "sha", "at")
     for i in (1, 2):
         merges = merges.join(places.select("repository", F.col("sha").alias(f"parent_{i}"), F.col("at").alias(f"_a{i}")), ["repository", f"parent_{i}"], "left")
     merges = layers._store(merges, "merges")
-    pairs = merges.where("_a1 <> _a2").select("repository", F.col("merge_commit").alias("pair_id"),
-                                              F.least("_a1", "_a2").alias("start"), F.greatest("_a1", "_a2").alias("target")).distinct()
-    anc = _ancestor_ids(layers, pairs).select("repository", F.col("pair_id").alias("merge_commit"), F.lit(True).alias("_anc"))
-    asked = merges.select(F.explode(F.array("_a1", "_a2")).alias("at")).where("at IS NOT NULL").distinct()
-    old = layers._store(_oldest(layers, asked), "oldest")
+    pairs = merges.where("_a1 <> _a2").select("repository", "merge_commit",
+                                              F.least("_a1", "_a2").alias("at"), F.greatest("_a1", "_a2").alias("target")).distinct()
+    asked = merges.select("repository", F.explode(F.array("_a1", "_a2")).alias("at")).where("at IS NOT NULL").distinct()
+    marks = layers._store(rank_within(asked, ["repository"], ["at"], "n").select(
+        "repository", "at", F.expr(f"CAST(n div {WORD} AS long)").alias("key"), F.expr(f"CAST(n % {WORD} AS int)").alias("bit")), "marks")
+    roots = layers._store(_roots(layers), "roots")
+    reached = layers.spread(marks.select("at", "key", F.expr("shiftleft(1L, bit)").alias("val")), "or",
+                            wanted=roots.select("at").unionByName(pairs.select(F.col("target").alias("at"))).distinct())
+    reached = layers._store(reached, "reached")
+    met = reached.select(F.col("at").alias("target"), "key", "val")
+    anc = (pairs.join(marks.select("at", "key", "bit"), "at").join(met, ["target", "key"]).where(F.getbit("val", "bit") == 1)
+           .select("repository", "merge_commit", F.lit(True).alias("_anc")))
+    ends = reached.join(roots.select("at", "repository"), "at").select("repository", "key", "val", F.col("at").alias("oldest"))
+    old = layers._store(ends.join(marks, ["repository", "key"]).where(F.getbit("val", "bit") == 1).groupBy("at").agg(F.max("oldest").alias("oldest")), "oldest")
     out = merges.join(anc, ["repository", "merge_commit"], "left")
     for i in (1, 2):
         out = out.join(old.select(F.col("at").alias(f"_a{i}"), F.col("oldest").alias(f"_o{i}")), f"_a{i}", "left")

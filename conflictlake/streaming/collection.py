@@ -110,7 +110,6 @@ class MergeStore:
         names = ranked.select("repository", "ref_rank", F.col("path").alias("branch_name"))
         new = H.first_reaching_ref(fresh.df, ranked, walk).join(names, ["repository", "ref_rank"])
         new = Stored(new.select("repository", "sha", F.col("ref_rank").cast("long").alias("ref_rank"), "branch_name"), "labels")
-        walk.delete()
 
         # merges among new labels, and among old ones where an earlier cap had left some out
         open_ = todo.where("NOT complete").select("repository")
@@ -123,9 +122,11 @@ class MergeStore:
         taken = taken.select(
             "repository", "branch_name", F.col("sha").alias("merge_commit"), "parent_1", "parent_2", "ref_rank", "commit_ord", (F.col("n_merges") + F.col("_rn") - 1).cast("long").alias("pos"))
         taken = Stored(taken, "taken")
-        touched = Layers(mine.df.join(taken.df.select("repository").distinct(), "repository", "left_semi"))
-        noted = Stored(H.merge_notes(mine.df, taken.df, touched), "noted")
-        touched.delete()
+        if not known.df.isEmpty():  # else the walk has every commit
+            walk.delete()
+            walk = Layers(mine.df.join(taken.df.select("repository").distinct(), "repository", "left_semi"))
+        noted = Stored(H.merge_notes(mine.df, taken.df, walk), "noted")
+        walk.delete()
 
         added = noted.df.groupBy("repository").agg(F.count(F.lit(1)).alias("added"))
         offered = cand.df.groupBy("repository").agg(F.count(F.lit(1)).alias("offered"))

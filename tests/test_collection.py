@@ -5,6 +5,7 @@ import random
 import tempfile
 
 from conflictlake.operators import history as H
+from conflictlake.operators.layers import Layers
 from conflictlake.operators.stored import Stored
 from conflictlake.streaming.collection import MergeStore
 from tests.test_graph import C_SCHEMA, _random_dag
@@ -102,3 +103,15 @@ def test_empty_tables(spark):
     store = MergeStore(spark, tempfile.mkdtemp(prefix="store-"))
     assert store.collect(spark.createDataFrame([], R_SCHEMA), spark.createDataFrame([], C_SCHEMA)) == 0
     assert store.merges().collect() == [] and store.status().collect() == []
+
+
+def test_first_run_lays_the_history_out_once(spark, monkeypatch):
+    from conflictlake.streaming import collection as C
+    made = []
+    monkeypatch.setattr(C, "Layers", lambda commits: made.append(1) or Layers(commits))
+    commits = _history(spark, n=30)
+    refs = _refs(spark, {f"owner/r{r}": [10, 2] for r in range(4)})
+    store = MergeStore(spark, tempfile.mkdtemp(prefix="store-"))
+    store.collect(refs, commits, 3)
+    assert made == [1]
+    assert _found(store.merges()) == _found(H.collect_merges(refs, commits, None, 3))

@@ -1,5 +1,7 @@
 """Golden history cases G01-G10 (FIXTURES.md §3)."""
 
+import random
+
 from conflictlake.operators import history as H
 from conflictlake.streaming.incremental import combine_merges
 
@@ -68,3 +70,41 @@ def test_dense_merge_index_and_duplicates(spark):
     assert got == [(0, "a", "1"), (1, "a", "9"), (2, "b", "2"), (3, "c", "0")]
     d = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1")], "repository string, merge_commit string")
     assert [(r.repository, r.n) for r in H.duplicate_merge_keys(d).collect()] == [("a", 2)]
+
+
+def test_notes_of_all_merges_in_one_walk(spark, monkeypatch):
+    from conflictlake.operators import layers as L
+    rnd = random.Random(11)
+    rows = []
+    for r in range(3):
+        parents = [[] if i < 2 or rnd.random() < 0.05 else rnd.sample(range(i), min(i, rnd.choice([1, 2, 2]))) for i in range(90)]
+        rows += [(f"r{r}", f"{r}:{i}", [f"{r}:{p}" for p in ps] + ["gone"] * (len(ps) == 1 and i % 3 == 0), -i) for i, ps in enumerate(parents)]
+    commits = spark.createDataFrame(rows, "repository string, sha string, parents array<string>, commit_ord long")
+    merges = H.merge_candidates(commits).withColumnRenamed("sha", "merge_commit")
+    known = {(r, s): ps for r, s, ps, _ in rows}
+    order = {(r, s): o for r, s, _, o in rows}
+
+    def above(r, s):
+        out, todo = set(), [s]
+        while todo:
+            x = todo.pop()
+            if (r, x) in known and x not in out:
+                out.add(x)
+                todo += known[r, x]
+        return out
+
+    def note(r, a, b):
+        one, two = above(r, a), above(r, b)
+        if a in two or b in one:
+            return H.NOTE_PARENT_IS_BASE
+        last = [max(x, key=lambda s: order[r, s]) if x else None for x in (one, two)]
+        return H.NOTE_TWO_ROOTS if last[0] != last[1] else ""
+
+    walks = []
+    real = L.Layers.spread
+    monkeypatch.setattr(L.Layers, "spread", lambda self, *a, **k: walks.append(1) or real(self, *a, **k))
+    got = H.merge_notes(commits, merges).collect()
+    assert len(got) == merges.count() > 100  # more than one word of marks in a repository
+    assert {r.notes for r in got} == {"", H.NOTE_PARENT_IS_BASE, H.NOTE_TWO_ROOTS}
+    assert all(r.notes == note(r.repository, r.parent_1, r.parent_2) for r in got)
+    assert len(walks) == 1
