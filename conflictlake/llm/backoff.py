@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow
+from conflictlake.llm.common import byte_column, chunks, large_rows, map_arrow_lean as map_arrow
 from conflictlake.llm.tally import SUMMARY, answers, by_block, pack_numbers, request_rows, slices_for, unpack_numbers
 from conflictlake.operators.stored import Stored
 
@@ -226,7 +226,8 @@ def score(docs: DataFrame, order: int = 2, strength: float = STRENGTH, id_col: s
     def summary(number: int, keys: np.ndarray, totals: np.ndarray) -> bytes:
         return f"{np.count_nonzero(totals)},{totals.sum()}".encode() if number < types else b""
 
-    told = Stored(answers(_counts(coded.df, order, slices), sum(slices), summary), "lm-counts")
+    with large_rows(spark):
+        told = Stored(answers(_counts(coded.df, order, slices), sum(slices), summary), "lm-counts")
     said = F.split(F.decode("totals", "UTF-8"), ",")
     sums = told.df.where((F.col("block") == SUMMARY) & (F.col("slice") < types)).select(
         said[0].cast("long").alias("types"), said[1].cast("long").alias("tokens"))
@@ -258,7 +259,8 @@ def score(docs: DataFrame, order: int = 2, strength: float = STRENGTH, id_col: s
                 del a, g, counts, parts, answered  # before the next block is read
 
     met = coded.df.join(by_block(told.df), "block").select("ids", "lengths", "held", "words", "tokens", "answered")
-    out = Stored(map_arrow(met, traverse, schema), "lm-scores")
+    with large_rows(spark):
+        out = Stored(map_arrow(met, traverse, schema), "lm-scores")
     coded.delete()
     told.delete()
     return out.df

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from conflictlake.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 4 << 20
+READ_ROWS = 4  # of a table of large rows, decoded at once
+BATCH_BYTES = 2 << 20  # of large rows handed to Python at once (one row at least)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,15 +67,25 @@ def map_arrow_lean(df: DataFrame, fn: Callable, schema) -> DataFrame:
 
 
 @contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What is written inside leaves no shuffle files behind: it is stored and needs none."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _set_to(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def shuffles_dropped(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What is written inside leaves no shuffle files behind: it is stored and needs none."""
+    return _set_to(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def large_rows(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What is run inside has rows of some MB: a task reads and hands to Python a few at a time, not thousands."""
+    return _set_to(spark, {"spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)})
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:

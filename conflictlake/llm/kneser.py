@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
 from conflictlake.llm.common import map_arrow_lean as map_arrow
-from conflictlake.llm.common import shuffles_dropped
+from conflictlake.llm.common import large_rows, shuffles_dropped
 from conflictlake.llm.tally import SUMMARY, slice_edges, slices_for
 from conflictlake.llm.tally import pack_numbers as planes
 from conflictlake.llm.tally import unpack_numbers as from_planes
@@ -327,7 +327,7 @@ def model(blocks: DataFrame, n_pairs: int, n_words: int, codes: int):
     pair_slices, word_slices = slices_for(n_pairs), slices_for(n_words)
     halves, rounds = min(PAIR_ROUNDS, pair_slices), min(ROUNDS, pair_slices)
     short = short_by(n_pairs)
-    with shuffles_dropped(spark):
+    with shuffles_dropped(spark), large_rows(spark):
         pairs = [Stored(exchange(ask_pairs(blocks, pair_slices, short, r, halves), -(-pair_slices // halves), pair_settle), "kn-pairs") for r in range(halves)]
         told = _union(pairs)
         d = discounts(summaries(told, 4).get(0, np.zeros(4, np.int64)))

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from conflictlake.llm import kneser
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, map_arrow_lean as map_arrow, refuse_clash, settled, shuffles_dropped, temp_name
+from conflictlake.llm.common import byte_column, chunks, large_rows, map_arrow_lean as map_arrow, refuse_clash, settled, shuffles_dropped, temp_name
 from conflictlake.operators.stored import Stored
 
 BLOCK_BYTES = 4 << 20
@@ -175,7 +175,7 @@ def measured(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = N
                 yield pa.RecordBatch.from_arrays([*(x.values for x in lists[:-1]), pa.array(said), *(pa.array(x / np.maximum(said, 1)) for x in bits)], names=schema.names)
 
     out = docs.sparkSession.createDataFrame([], schema)
-    with shuffles_dropped(docs.sparkSession):
+    with shuffles_dropped(docs.sparkSession), large_rows(docs.sparkSession):
         for told in rounds:
             out = out.union(settled(map_arrow(told.select(*taken, "words", "tokens", "answered"), score, schema), "scores"))
     for t in (cut, *tables):

@@ -124,3 +124,27 @@ def test_packing_round_trip():
             assert (tally.unpack_sorted(tally.pack_sorted(k)) == k).all()
             at, edges = tally.slice_edges(k, 7)
             assert edges[0] == 0 and edges[-1] == len(k) and (np.diff(at) > 0).all() and at.max() < 7
+
+
+def test_blocks_are_handed_over_one_at_a_time(spark, monkeypatch):
+    from conflictlake.llm import common
+    handed, most = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    real = B.map_arrow
+
+    def watched(df, fn, schema):
+        def run(batches):
+            def each():
+                for b in batches:
+                    handed.add(1)
+                    most.add(int(b.num_rows > 1))
+                    yield b
+            yield from fn(each())
+        return real(df, run, schema) if "answered" in df.columns else real(df, fn, schema)
+
+    monkeypatch.setattr(B, "map_arrow", watched)
+    monkeypatch.setattr(B, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1)
+    rows = [(i, f"w{i} " * 400) for i in range(60)]
+    out = B.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).count()
+    assert out == 60 and handed.value >= 60 and most.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None

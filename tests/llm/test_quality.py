@@ -148,3 +148,30 @@ def test_labelled_documents(spark):
     assert r[1]["kept"] >= 0.97 and r[0]["kept"] <= 0.3
     same = {x["doc_id"] for x in Q.judge(docs, keep=["doc_id"]).where("kept").collect()}
     assert {x["doc_id"] for x in Q.filter_documents(docs).collect()} == same
+
+
+def test_blocks_are_handed_over_one_at_a_time(spark, monkeypatch):
+    from conflictlake.llm import common
+    handed, most = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def watch(module):
+        real = module.map_arrow
+
+        def watched(df, fn, schema):
+            def run(batches):
+                def each():
+                    for b in batches:
+                        handed.add(1)
+                        most.add(int(b.num_rows > 1))
+                        yield b
+                yield from fn(each())
+            return real(df, run, schema) if "tokens" in df.columns else real(df, fn, schema)
+        monkeypatch.setattr(module, "map_arrow", watched)
+
+    watch(K)
+    watch(Q)
+    monkeypatch.setattr(Q, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1)
+    rows = [(i, f"w{i} " * 400, "en") for i in range(30)]
+    out = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), keep=["doc_id"]).count()
+    assert out == 30 and handed.value >= 60 and most.value == 0
