@@ -45,7 +45,7 @@ from conflictlake.llm.common import large_rows, shuffles_dropped
 from conflictlake.llm.tally import SUMMARY, slice_edges, slices_for
 from conflictlake.llm.tally import pack_numbers as planes
 from conflictlake.llm.tally import unpack_numbers as from_planes
-from conflictlake.operators.stored import Stored, delete_path
+from conflictlake.operators.stored import Rounds, delete_path
 from conflictlake.session import ensure_checkpoint_dir
 
 START = np.uint64(0x6A09E667F3BCC909)  # hash of the mark before a text's first word
@@ -88,7 +88,8 @@ def coded(row: np.ndarray, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray,
     n = len(code)
     lengths = np.bincount(row, minlength=n) + 1
     hashes = np.insert(keyed(code[row], h), np.searchsorted(row, np.arange(n)), keyed(code, np.full(n, START))) >> _CUT
-    known, at, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    known, _, at = W.distinct(hashes)
+    times = np.bincount(at, minlength=len(known))
     order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -97,9 +98,12 @@ def coded(row: np.ndarray, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray,
 
 
 class Pairs:
-    """Distinct words and bigrams of a block: sorted hashes, and where each token's word and bigram stand."""
+    """Distinct words and bigrams of a block: sorted hashes, and where each token's word and bigram stand.
 
-    def __init__(self, words: bytes, tokens: bytes, lengths: np.ndarray, code: np.ndarray, short: int):
+    ``of`` picks bigrams by their keys (default: all of them).
+    """
+
+    def __init__(self, words: bytes, tokens: bytes, lengths: np.ndarray, code: np.ndarray, short: int, of: Callable | None = None):
         known = unpack_steps(words) << _CUT
         by = np.argsort(known)
         rank = np.empty(len(by), np.int64)
@@ -111,17 +115,23 @@ class Pairs:
         self.code[self.at] = code[self.row]
         first = np.ones(len(self.at), bool)
         first[1:] = self.row[1:] != self.row[:-1]
-        self.second = np.flatnonzero(~first)  # tokens that end a bigram
-        h = self.words[self.at]
-        i = self.second
-        key = W.mix(h[i - 1] * _G + h[i] + np.uint64(2)) >> np.uint64(short) << np.uint64(short)
+        inner = ~first[1:]
+        self.second = i = np.flatnonzero(inner) + 1  # tokens that end a bigram
+        key = W.mix((self.words * _G)[self.at[:-1]] + self.words[self.at[1:]] + np.uint64(2))[inner] >> np.uint64(short) << np.uint64(short)
         # the word before the bigram; before a text's first word there is none, the word after it stands in
-        opens = first[i - 1]
-        after = np.minimum(i + 1, len(h) - 1)
-        there = np.where(opens, after, i - 2)
-        left = np.where(opens & (self.row[after] != self.row[i]), 0, (h[there] >> np.uint64(56)).astype(np.int64))
-        left[opens & (after == i)] = 0
-        self.keys, one, self.where, self.n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        top = (self.words >> np.uint64(56)).astype(np.int64)[self.at]
+        left = np.empty_like(top)
+        left[2:] = top[:-2]
+        opens = np.flatnonzero(first[:-1] & inner) + 1
+        after = np.minimum(opens + 1, len(top) - 1)
+        left[opens] = np.where((self.row[after] != self.row[opens]) | (after == opens), 0, top[after])
+        left = left[i]
+        if of is not None:
+            mine = of(key)
+            key, left = key[mine], left[mine]
+            self.second = i = i[mine]
+        self.keys, one, self.where = W.distinct(key)
+        self.n = np.bincount(self.where, minlength=len(self.keys))
         self.v, self.w = self.at[i[one] - 1], self.at[i[one]]  # words of each distinct bigram
         self.low, self.high = np.full(len(self.keys), 255), np.zeros(len(self.keys), np.int64)
         np.minimum.at(self.low, self.where, left)
@@ -161,7 +171,7 @@ def exchange(requests: DataFrame, slices: int, settle: Callable) -> DataFrame:
     def close(number: int, rows: list[tuple]) -> Iterator[tuple]:
         keys = [unpack_steps(k) for _, k, _ in rows]
         edges = np.cumsum([0, *map(len, keys)])
-        every, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        every, first, where = W.distinct(np.concatenate(keys))
         del keys
         values = [np.concatenate([unpack_numbers(x) for x in col]).astype(np.int64) for col in zip(*(v for _, _, v in rows))]
         out, said = settle(values, where, len(every))
@@ -230,13 +240,15 @@ def discounts(n: np.ndarray) -> np.ndarray:
 def ask_pairs(coded_blocks: DataFrame, slices: int, short: int, part: int = 0, parts: int = 1) -> DataFrame:
     """Requests for the bigrams of every block, of the slices whose number is ``part`` modulo ``parts``."""
 
+    def mine(keys: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(slice_number(keys, slices) % np.uint64(parts) == part)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, codes, lengths, words, tokens in zip(*b.columns):
-                g = Pairs(words.as_py(), tokens.as_py(), np.array(lengths.as_py(), np.int64), np.array(codes.as_py(), np.int64), short)
-                of = (slice_number(g.keys, slices) % np.uint64(parts) == part) if parts > 1 else slice(None)
-                if len(g.keys[of]):
-                    yield _batch(request_rows(block.as_py(), g.keys[of], [g.n[of], g.low[of], (g.high - g.low)[of]], slices, short=short), *_ASK)
+                g = Pairs(words.as_py(), tokens.as_py(), np.array(lengths.as_py(), np.int64), np.array(codes.as_py(), np.int64), short, mine if parts > 1 else None)
+                if len(g.keys):
+                    yield _batch(request_rows(block.as_py(), g.keys, [g.n, g.low, g.high - g.low], slices, short=short), *_ASK)
 
     return map_arrow(coded_blocks.select("block", "codes", "lengths", "words", "tokens"), ask, REQUEST)
 
@@ -309,13 +321,6 @@ def meet(blocks: DataFrame, told: DataFrame, part: int, parts: int) -> DataFrame
     return blocks.where(_part("block", part, parts)).join(by_block(told.where(_part("block", part, parts))), "block", "left")
 
 
-def _union(tables: list[Stored]) -> DataFrame:
-    out = tables[0].df
-    for t in tables[1:]:
-        out = out.union(t.df)
-    return out
-
-
 def model(blocks: DataFrame, n_pairs: int, n_words: int, codes: int):
     """(rounds of told blocks, scorer, tables to delete when done) of blocks with columns block, codes, lengths, words, tokens.
 
@@ -328,22 +333,25 @@ def model(blocks: DataFrame, n_pairs: int, n_words: int, codes: int):
     halves, rounds = min(PAIR_ROUNDS, pair_slices), min(ROUNDS, pair_slices)
     short = short_by(n_pairs)
     with shuffles_dropped(spark), large_rows(spark):
-        pairs = [Stored(exchange(ask_pairs(blocks, pair_slices, short, r, halves), -(-pair_slices // halves), pair_settle), "kn-pairs") for r in range(halves)]
-        told = _union(pairs)
+        pairs, words = Rounds(spark, "kn-pairs"), Rounds(spark, "kn-words")
+        for r in range(halves):
+            pairs.add(exchange(ask_pairs(blocks, pair_slices, short, r, halves), -(-pair_slices // halves), pair_settle))
+        told = pairs.read()
         d = discounts(summaries(told, 4).get(0, np.zeros(4, np.int64)))
-        asked, words = f"{ensure_checkpoint_dir(spark)}/kn-asked-{uuid.uuid4().hex}", []
+        asked = f"{ensure_checkpoint_dir(spark)}/kn-asked-{uuid.uuid4().hex}"
         for r in range(rounds):
             asks = ask_words(meet(blocks, told, r, rounds), d, short, pair_slices, word_slices)
             asks.withColumn("part", F.pmod("slice", F.lit(rounds))).write.partitionBy("part").mode("append").parquet(asked)
         for r in range(rounds):
             mine = spark.read.schema(f"{REQUEST}, part long").parquet(asked).where(F.col("part") == r).drop("part")
-            words.append(Stored(exchange(mine, -(-codes * word_slices // rounds), word_settle), "kn-words"))
+            words.add(exchange(mine, -(-codes * word_slices // rounds), word_settle))
             delete_path(spark, f"{asked}/part={r}")
         delete_path(spark, asked)
-    u = Unigrams(summaries(_union(words), 6, F.floor((F.col("slice") - pair_slices) / word_slices)), codes)
+    u = Unigrams(summaries(words.read(), 6, F.floor((F.col("slice") - pair_slices) / word_slices)), codes)
 
     def scorer(codes_, lengths, words_, tokens, answered) -> list[np.ndarray]:
         g = Pairs(words_, tokens, lengths, codes_, short)
         return [np.bincount(g.row[g.second], each, len(lengths)) for each in bits(g, answered or [], d, u, pair_slices, word_slices)]
 
-    return [meet(blocks, _union(pairs + words), r, rounds) for r in range(rounds)], scorer, [*pairs, *words]
+    both = told.union(words.read())
+    return [meet(blocks, both, r, rounds) for r in range(rounds)], scorer, [pairs, words]

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from conflictlake.llm import kneser
 from conflictlake.llm import words as W
 from conflictlake.llm.common import byte_column, chunks, large_rows, map_arrow_lean as map_arrow, refuse_clash, settled, shuffles_dropped, temp_name
-from conflictlake.operators.stored import Stored
+from conflictlake.operators.stored import Rounds, Stored
 
 BLOCK_BYTES = 4 << 20
 SCORE_BYTES = 1 << 19  # of text measured at once; the work arrays are many times that
@@ -86,8 +86,8 @@ def base_counts(raw: np.ndarray, off: np.ndarray, window: int):
     if len(runs):
         inside = np.flatnonzero(row[:len(runs)] == row[window - 1:])
         key = W.mix(runs[inside] + row[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
+        order, key = W.ordered(key)
+        same = key[1:] == key[:-1]
         twice = np.zeros(len(key), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
@@ -174,13 +174,13 @@ def measured(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = N
                 said = lengths - 1  # without the start mark
                 yield pa.RecordBatch.from_arrays([*(x.values for x in lists[:-1]), pa.array(said), *(pa.array(x / np.maximum(said, 1)) for x in bits)], names=schema.names)
 
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = Rounds(docs.sparkSession, "scores")
     with shuffles_dropped(docs.sparkSession), large_rows(docs.sparkSession):
         for told in rounds:
-            out = out.union(settled(map_arrow(told.select(*taken, "words", "tokens", "answered"), score, schema), "scores"))
+            out.add(map_arrow(told.select(*taken, "words", "tokens", "answered"), score, schema))
     for t in (cut, *tables):
         t.delete()
-    return out
+    return out.read()
 
 
 SCORES = ("log2_perplexity", "log2_unigram")

@@ -27,6 +27,24 @@ class Stored:
         delete_path(self.spark, self.path)
 
 
+class Rounds:
+    """One folder that several rounds add their rows to; it is read as one table, however many the rounds."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.schema = spark, None
+        self.path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+        self.schema = df.schema
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def delete(self) -> None:
+        delete_path(self.spark, self.path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

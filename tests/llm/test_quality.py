@@ -175,3 +175,38 @@ def test_blocks_are_handed_over_one_at_a_time(spark, monkeypatch):
     rows = [(i, f"w{i} " * 400, "en") for i in range(30)]
     out = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), keep=["doc_id"]).count()
     assert out == 30 and handed.value >= 60 and most.value == 0
+
+
+def test_ordered_is_a_stable_argsort():
+    rng = np.random.default_rng(3)
+    full = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    near = (full & ~np.uint64(0xFFF)) | rng.integers(0, 4, 5000, dtype=np.uint64)  # differ in their lowest bits only
+    for h in (full, full[:1], full[:0], np.repeat(near[:50], 100), np.sort(full)[::-1], full % np.uint64(7), np.uint64(1 << 63) + near % np.uint64(9)):
+        by, values = W.ordered(h)
+        assert by.tolist() == np.argsort(h, kind="stable").tolist() and values.tolist() == np.sort(h).tolist()
+        keys, first, where = W.distinct(h)
+        want = np.unique(h, return_index=True, return_inverse=True)
+        assert [x.tolist() for x in (keys, first, where)] == [x.tolist() for x in want]
+
+
+def test_bigrams_of_a_part_are_those_of_the_whole():
+    rng = np.random.default_rng(4)
+    code = np.array([1, 2, 1, 1, 2])
+    row = np.sort(np.concatenate([rng.integers(0, 4, 800), [4]]))
+    lengths, said, tokens, _ = K.coded(row, rng.integers(0, 60, len(row)).astype(np.uint64), code)
+    whole = K.Pairs(said, tokens, lengths, code, 20)
+    got = {}
+    for part in (0, 1):
+        g = K.Pairs(said, tokens, lengths, code, 20, lambda k: np.flatnonzero(K.slice_number(k, 7) % np.uint64(2) == part))
+        got |= dict(zip(g.keys.tolist(), zip(g.n, g.v, g.w, g.low, g.high)))
+    assert got == dict(zip(whole.keys.tolist(), zip(whole.n, whole.v, whole.w, whole.low, whole.high)))
+
+
+def test_plan_of_a_round_does_not_grow_with_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(K, "slices_for", lambda n: 5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}{k % 11}" for k in range(30)), "en") for i in range(20)], "doc_id long, text string, lang string")
+    many = Q.measured(docs, keep=["doc_id"])
+    assert str(many._jdf.queryExecution().optimizedPlan().toString()).count("Relation") == 1
+    monkeypatch.undo()
+    one = Q.measured(docs, keep=["doc_id"])
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
