@@ -19,7 +19,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
 from conflictlake.llm.bpe import _byte_of
-from conflictlake.llm.common import map_arrow
+from conflictlake.llm.common import kept_by_worker, map_arrow
 from conflictlake.llm.tally import SUMMARY, answers, by_block, pack_numbers, pack_sorted, request_rows, slices_for, unpack_numbers, unpack_sorted
 from conflictlake.operators.stored import Stored
 
@@ -116,7 +115,7 @@ class Pair:
         return len(a), len(b), len(last_a), hashlib.sha256(said).hexdigest(), a[last_a], b[last_b]
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(2)
 def pair(byte_path: str, piece_path: str) -> Pair:
     return Pair(byte_path, piece_path)
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from conflictlake.llm.common import kept_by_worker
+
 CACHE_ENTRIES = 150_000
 
 # Fixed values of the byte-level pre-tokenizer: contractions, letters, digits, others, space.
@@ -77,7 +78,7 @@ class ByteBpe:
         return len(self.id_bytes(text)) // 4
 
 
-@lru_cache(maxsize=4)
+@kept_by_worker(4)
 def load(path: str) -> ByteBpe:
     """One tokenizer per worker process and file."""
     return ByteBpe(path)

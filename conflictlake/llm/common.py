@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +41,45 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def lean(fn: Callable) -> Callable:
-    """``fn`` of a Python worker that gives freed memory back to the system when it is done."""
+_kept: list = []  # functions whose results a worker keeps
+
+
+def kept_by_worker(entries: int) -> Callable:
+    """``lru_cache`` for what a worker loads once for many tasks (tokenizers); a lean pass lets go of it."""
+
+    def keep(fn: Callable) -> Callable:
+        _kept.append(lru_cache(maxsize=entries)(fn))
+        return _kept[-1]
+
+    return keep
+
+
+def tidy() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
-    def tidy() -> None:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+
+def let_go() -> None:
+    """Drops what other passes have left in this worker."""
+    left = [f for f in _kept if f.cache_info().currsize]
+    for f in left:
+        f.cache_clear()
+    if left:
+        tidy()
+
+
+def lean(fn: Callable) -> Callable:
+    """``fn`` of a Python worker that starts without what other passes keep, and gives freed memory back to the system when it is done."""
 
     def over_batches(batches):
+        let_go()
         yield from fn(batches)
         tidy()
 
     def over_group(group: pa.Table) -> pa.Table:
+        let_go()
         out = fn(group)
         tidy()
         return out
@@ -88,6 +114,11 @@ def large_rows(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
     return _set_to(spark, {"spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)})
 
 
+def text_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What is run inside hands texts to Python some MB at a time, not ten thousand rows."""
+    return _set_to(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(CHUNK_BYTES)})
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again.
 

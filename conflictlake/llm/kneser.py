@@ -54,6 +54,7 @@ ANSWER = "block long, slice long, vals array<binary>"
 UNIT = 1 << 16  # freed mass is summed in whole units, so sums do not depend on their order
 PAIR_ROUNDS = 2  # each forms the bigrams of all blocks anew
 ROUNDS = 16
+STEP = 1 << 16  # tokens whose bigrams are formed at once
 WORD_BITS = 48
 SPARE_BITS = 16  # of a bigram's key, beyond those that the number of bigrams needs
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -106,34 +107,38 @@ class Pairs:
     def __init__(self, words: bytes, tokens: bytes, lengths: np.ndarray, code: np.ndarray, short: int, of: Callable | None = None):
         known = unpack_steps(words) << _CUT
         by = np.argsort(known)
-        rank = np.empty(len(by), np.int64)
+        rank = np.empty(len(by), np.int32)
         rank[by] = np.arange(len(by))
         self.words = known[by]
-        self.at = rank[unpack_numbers(tokens).astype(np.int64)]  # of each token among the words
-        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        self.at = rank[unpack_numbers(tokens).view(np.int64)]  # of each token among the words
+        self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.code = np.zeros(len(known), np.int64)  # language of each word
         self.code[self.at] = code[self.row]
         first = np.ones(len(self.at), bool)
         first[1:] = self.row[1:] != self.row[:-1]
-        inner = ~first[1:]
-        self.second = i = np.flatnonzero(inner) + 1  # tokens that end a bigram
-        key = W.mix((self.words * _G)[self.at[:-1]] + self.words[self.at[1:]] + np.uint64(2))[inner] >> np.uint64(short) << np.uint64(short)
-        # the word before the bigram; before a text's first word there is none, the word after it stands in
-        top = (self.words >> np.uint64(56)).astype(np.int64)[self.at]
-        left = np.empty_like(top)
-        left[2:] = top[:-2]
-        opens = np.flatnonzero(first[:-1] & inner) + 1
-        after = np.minimum(opens + 1, len(top) - 1)
-        left[opens] = np.where((self.row[after] != self.row[opens]) | (after == opens), 0, top[after])
-        left = left[i]
-        if of is not None:
-            mine = of(key)
-            key, left = key[mine], left[mine]
-            self.second = i = i[mine]
+        times, top = self.words * _G, (self.words >> np.uint64(56)).astype(np.uint8)
+        keys, seconds, lefts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+        for lo in range(0, len(self.at), STEP):
+            i = np.flatnonzero(~first[lo:lo + STEP]) + lo  # tokens that end a bigram
+            key = W.mix(times[self.at[i - 1]] + self.words[self.at[i]] + np.uint64(2)) >> np.uint64(short) << np.uint64(short)
+            if of is not None:
+                mine = of(key)
+                key, i = key[mine], i[mine]
+            # the word before the bigram; before a text's first word there is none, the word after it stands in
+            left = top[self.at[np.maximum(i - 2, 0)]]
+            opens = np.flatnonzero(first[i - 1])
+            after = np.minimum(i[opens] + 1, len(self.at) - 1)
+            left[opens] = np.where((self.row[after] != self.row[i[opens]]) | (after == i[opens]), 0, top[self.at[after]])
+            for out, x in ((keys, key), (seconds, i.astype(np.int32)), (lefts, left)):
+                out.append(x)
+        key, left = np.concatenate(keys), np.concatenate(lefts)
+        self.second = i = np.concatenate(seconds)
+        del keys, seconds, lefts
         self.keys, one, self.where = W.distinct(key)
+        del key
         self.n = np.bincount(self.where, minlength=len(self.keys))
         self.v, self.w = self.at[i[one] - 1], self.at[i[one]]  # words of each distinct bigram
-        self.low, self.high = np.full(len(self.keys), 255), np.zeros(len(self.keys), np.int64)
+        self.low, self.high = np.full(len(self.keys), 255, np.uint8), np.zeros(len(self.keys), np.uint8)
         np.minimum.at(self.low, self.where, left)
         np.maximum.at(self.high, self.where, left)
 
@@ -160,6 +165,11 @@ _ASK = ((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())), ("slice",
 _TELL = ((pa.int64(), pa.int64(), pa.list_(pa.binary())), ("block", "slice", "vals"))
 
 
+def _least(x: np.ndarray) -> np.ndarray:
+    """Numbers below 256 as bytes, any other as int64."""
+    return x.astype(np.uint8) if not len(x) or x.max() < 256 else x.view(np.int64)
+
+
 def exchange(requests: DataFrame, slices: int, settle: Callable) -> DataFrame:
     """ANSWER rows of every request, and a SUMMARY row per slice.
 
@@ -171,12 +181,16 @@ def exchange(requests: DataFrame, slices: int, settle: Callable) -> DataFrame:
     def close(number: int, rows: list[tuple]) -> Iterator[tuple]:
         keys = [unpack_steps(k) for _, k, _ in rows]
         edges = np.cumsum([0, *map(len, keys)])
-        every, first, where = W.distinct(np.concatenate(keys))
+        joined = np.concatenate(keys)
         del keys
-        values = [np.concatenate([unpack_numbers(x) for x in col]).astype(np.int64) for col in zip(*(v for _, _, v in rows))]
-        out, said = settle(values, where, len(every))
+        every, first, where = W.distinct(joined)
+        n, where = len(every), where.astype(np.int32)
+        del joined, every
+        values = [np.concatenate([_least(unpack_numbers(x)) for x in col]) for col in zip(*(v for _, _, v in rows))]
+        out, said = settle(values, where, n)
+        del values
         told = [x[where] for x in out]
-        told[0] = 2 * told[0]
+        told[0] *= 2
         told[0][first] += 1
         for (block, _, _), lo, hi in zip(rows, edges, edges[1:]):
             yield block, number, [pack_numbers(x[lo:hi]) for x in told]
@@ -214,7 +228,7 @@ def pair_settle(values, where, n):
     total = np.bincount(where, count, n).astype(np.int64)
     least, most = np.full(n, 255), np.zeros(n, np.int64)
     np.minimum.at(least, where, low)
-    np.maximum.at(most, where, low + wide)
+    np.maximum.at(most, where, low + wide)  # 255 at most
     total[least == most] = 1
     return [total], _counts_of_counts(total)
 
@@ -247,8 +261,10 @@ def ask_pairs(coded_blocks: DataFrame, slices: int, short: int, part: int = 0, p
         for b in batches:
             for block, codes, lengths, words, tokens in zip(*b.columns):
                 g = Pairs(words.as_py(), tokens.as_py(), np.array(lengths.as_py(), np.int64), np.array(codes.as_py(), np.int64), short, mine if parts > 1 else None)
-                if len(g.keys):
-                    yield _batch(request_rows(block.as_py(), g.keys, [g.n, g.low, g.high - g.low], slices, short=short), *_ASK)
+                rows = request_rows(block.as_py(), g.keys, [g.n, g.low, g.high - g.low], slices, short=short) if len(g.keys) else []
+                del g
+                if rows:
+                    yield _batch(rows, *_ASK)
 
     return map_arrow(coded_blocks.select("block", "codes", "lengths", "words", "tokens"), ask, REQUEST)
 
@@ -280,6 +296,7 @@ def ask_words(met: DataFrame, d: np.ndarray, short: int, pair_slices: int, word_
                 for code in np.unique(g.code):
                     of = g.code == code
                     rows += request_rows(block.as_py(), g.words[of], [cont[of], total[of], freed[of]], word_slices, pair_slices + int(code) * word_slices, int(_CUT))
+                del g, told, c, own, v, w, cont, total, freed, of
                 if rows:
                     yield _batch(rows, *_ASK)
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, lean, map_arrow_lean as map_arrow, settled, temp_name
+from conflictlake.llm.common import byte_column, chunks, lean, map_arrow_lean as map_arrow, settled, temp_name, text_batches
 from conflictlake.operators.stored import Stored
 
 SLOTS, BLOCK, FAN = 1 << 20, 1 << 12, 128
@@ -99,8 +99,9 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     for _ in range(3):
         sums = sums.groupBy("block", F.floor(F.col("part") / FAN).alias("g")).applyInPandas(add, schema)
     total = np.zeros(SLOTS, np.int64)
-    for r in sums.toLocalIterator():  # SLOTS numbers in all
-        total[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] += np.frombuffer(r["counts"], np.int64)
+    with text_batches(docs.sparkSession):
+        for r in sums.toLocalIterator():  # SLOTS numbers in all
+            total[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] += np.frombuffer(r["counts"], np.int64)
     usual = 4 * max(total.mean(), 4.0)
     return np.clip(np.floor(np.log2(np.maximum(total, 1) / usual)) + 1, 0, 63).astype(np.uint8)
 
@@ -240,7 +241,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 _, h, edge = _distinct(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], n)
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], pa.array([h[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary())], names=["cid", "ngrams"])
 
-    return settled(map_arrow(_wanted_texts(docs, wanted), collect, "cid long, ngrams binary"), "sets")
+    with text_batches(docs.sparkSession):
+        return settled(map_arrow(_wanted_texts(docs, wanted), collect, "cid long, ngrams binary"), "sets")
 
 
 def could_link(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -262,7 +264,8 @@ def could_link(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, pe
                 data = parts.tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(1)[lo:hi], pa.array([data[i * width:(i + 1) * width] for i in range(hi - lo)], pa.binary())], names=["cid", "parts"])
 
-    counted = settled(map_arrow(_wanted_texts(docs, wanted), count, "cid long, parts binary"), "parts")
+    with text_batches(docs.sparkSession):
+        counted = settled(map_arrow(_wanted_texts(docs, wanted), count, "cid long, parts binary"), "parts")
     both = pairs.join(counted.select(F.col("cid").alias("a"), F.col("parts").alias("x")), "a").join(
         counted.select(F.col("cid").alias("b"), F.col("parts").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -393,7 +396,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     them apart.
     """
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
-    whole = Stored(signatures(docs, n, percent, levels), "signed")
+    with text_batches(docs.sparkSession):
+        whole = Stored(signatures(docs, n, percent, levels), "signed")
     classes, entries = _lists(whole.df)
     signed = settled(whole.df.select("doc_id", "tkey", "cid", "size"), "documents")
     whole.delete()  # the prefixes are in the lists now

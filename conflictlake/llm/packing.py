@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conflictlake.llm import bpe
-from conflictlake.llm.common import map_arrow, settled, temp_name
+from conflictlake.llm.common import map_arrow, settled, temp_name, text_batches
 
 END_ID = 2
 CELL_ROWS = 8192
@@ -158,7 +158,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int | None = None, m
     max_docs = max_docs or capacity
     max_cost = max_cost or float(capacity) ** 2
     spark = pieces.sparkSession
-    pieces = settled(pieces, "pieces")
+    with text_batches(spark):
+        pieces = settled(pieces, "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan = spark.sparkContext.broadcast(best_fit_plan(counts, capacity, max_docs, max_cost, rule, weights))
 

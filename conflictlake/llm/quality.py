@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from conflictlake.llm import kneser
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, large_rows, map_arrow_lean as map_arrow, refuse_clash, settled, shuffles_dropped, temp_name
+from conflictlake.llm.common import byte_column, chunks, large_rows, map_arrow_lean as map_arrow, refuse_clash, settled, shuffles_dropped, temp_name, text_batches
 from conflictlake.operators.stored import Rounds, Stored
 
 BLOCK_BYTES = 4 << 20
@@ -157,7 +157,8 @@ def measured(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = N
     """``keep`` columns, base measures and log-perplexities (bigrams, single words) of every document, stored."""
     keep = keep or []
     langs = languages(docs, rules)
-    cut = Stored(blocks(docs, langs, rules, keep), "quality-blocks")
+    with text_batches(docs.sparkSession):
+        cut = Stored(blocks(docs, langs, rules, keep), "quality-blocks")
     size = cut.df.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.sum("types")).first()
     rounds, scorer, tables = kneser.model(cut.df, size[0] or 0, size[1] or 0, len(langs) + 1)
     fields = [T.StructField(c, cut.df.schema[f"keep{i}"].dataType.elementType) for i, c in enumerate(keep)]

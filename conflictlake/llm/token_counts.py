@@ -16,20 +16,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conflictlake.llm.common import byte_column, chunks, map_arrow
+from conflictlake.llm.common import byte_column, chunks, kept_by_worker, map_arrow
 
 MARK = "▁"
 STORED = 300_000  # terminal counts kept between chunks; then the store starts anew
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(2)
 def piece_scores(path: str) -> tuple[dict[str, float], float]:
     """(score by piece, score of an unknown byte) of a SentencePiece file.
 

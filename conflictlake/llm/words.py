@@ -117,9 +117,13 @@ def ordered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.arange(len(h)), h
     least, places = h.min(), (len(h) - 1).bit_length()
     short = max(0, int(h.max() - least).bit_length() + places - 64)
-    packed = ((h - least) >> np.uint64(short) << np.uint64(places)) | np.arange(len(h), dtype=np.uint64)
+    packed = h - least
+    packed >>= np.uint64(short)
+    packed <<= np.uint64(places)
+    packed |= np.arange(len(h), dtype=np.uint64)
     packed.sort()
-    by = (packed & np.uint64((1 << places) - 1)).astype(np.int64)
+    packed &= np.uint64((1 << places) - 1)
+    by = packed.view(np.int64)
     values = h[by]
     if short and (values[1:] < values[:-1]).any():
         by = np.argsort(h, kind="stable")
@@ -132,6 +136,9 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by, values = ordered(h)
     new = np.ones(len(h), bool)
     new[1:] = values[1:] != values[:-1]
+    values, first = values[new], by[new]
+    number = np.cumsum(new)
+    number -= 1
     where = np.empty(len(h), np.int64)
-    where[by] = np.cumsum(new) - 1
-    return values[new], by[new], where
+    where[by] = number
+    return values, first, where

@@ -210,3 +210,92 @@ def test_plan_of_a_round_does_not_grow_with_the_rounds(spark, monkeypatch):
     monkeypatch.undo()
     one = Q.measured(docs, keep=["doc_id"])
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_lean_pass_lets_go_of_tokenizers():
+    from conflictlake.llm import bpe
+    from conflictlake.llm.common import lean
+    from conflictlake.llm.queries import tokenizer
+
+    def held(batches):
+        yield bpe.load.cache_info().currsize
+
+    bpe.load(tokenizer())
+    assert list(lean(held)(iter([]))) == [0]
+
+
+def test_texts_are_handed_over_some_at_a_time(spark, monkeypatch):
+    from conflictlake.llm import common, ngram_join, packing
+    handed, most = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def watch(module, column):
+        real = module.map_arrow
+
+        def watched(df, fn, schema):
+            def run(batches):
+                def each():
+                    for b in batches:
+                        handed.add(1)
+                        most.add(int(b.num_rows > 1))
+                        yield b
+                yield from fn(each())
+            return real(df, run, schema) if column in df.columns else real(df, fn, schema)
+        monkeypatch.setattr(module, "map_arrow", watched)
+
+    watch(Q, "__text")
+    watch(ngram_join, "t")
+    watch(packing, "__text")
+    monkeypatch.setattr(common, "CHUNK_BYTES", 1)
+    docs = spark.createDataFrame([(i, f"w{i} " * 40, "en") for i in range(8)], "doc_id long, text string, lang string").coalesce(1)
+    assert Q.judge(docs, keep=["doc_id"]).count() == 8
+    assert handed.value == 8 and most.value == 0
+    ngram_join.join(docs)
+    assert handed.value >= 24 and most.value == 0  # counted and signed; then sets, if any are wanted
+    seen = handed.value
+    assert packing.pack(packing.token_pieces(docs, packing_tokenizer())).count() == 8
+    assert handed.value == seen + 8 and most.value == 0
+
+
+def packing_tokenizer():
+    from conflictlake.llm.queries import tokenizer
+    return tokenizer()
+
+
+def _most_bytes(fn):
+    import tracemalloc
+    tracemalloc.start()
+    out = fn()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_bigrams_of_a_block_take_little_memory():
+    rng = np.random.default_rng(5)
+    row = np.sort(rng.integers(0, 500, 300_000))
+    h = W.mix((rng.zipf(1.3, len(row)) % 100_000).astype(np.uint64))
+    lengths, words, tokens, _ = K.coded(row, h, np.zeros(500, np.int64))
+    _, most = _most_bytes(lambda: K.Pairs(words, tokens, lengths, np.zeros(500, np.int64), 16))
+    assert most < 95 * len(row), most / len(row)
+
+
+def test_a_slice_takes_little_memory(monkeypatch):
+    class Rows:
+        def repartition(self, *a):
+            return self
+
+        def sortWithinPartitions(self, *a):
+            return self
+
+    passes = []
+    monkeypatch.setattr(K, "map_arrow", lambda df, fn, schema: passes.append(fn))
+    rng = np.random.default_rng(6)
+    batches, n = [], 0
+    for block in range(10):
+        keys = np.unique(rng.integers(0, 120_000, 50_000).astype(np.uint64) << np.uint64(30))
+        low = rng.integers(0, 256, len(keys))
+        batches.append(K._batch([(0, block, K.pack_steps(keys), [K.pack_numbers(x) for x in (rng.integers(1, 200, len(keys)), low, rng.integers(0, 256 - low))])], *K._ASK))
+        n += len(keys)
+    K.exchange(Rows(), 1, K.pair_settle)
+    told, most = _most_bytes(lambda: list(passes[0](iter(batches))))
+    assert sum(len(b) for b in told) == 11 and most < 50 * n, most / n
