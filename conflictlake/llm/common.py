@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from conflictlake.session import ensure_checkpoint_dir
 
@@ -131,6 +131,12 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled_with(df: DataFrame, label: str, **told: Column) -> tuple[DataFrame, dict]:
+    """``settled``, and aggregates over its rows that are taken as they are written, without a query of their own."""
+    seen = Observation()
+    return settled(df.observe(seen, *[c.alias(name) for name, c in told.items()]), label), seen.get
+
+
 def refuse_clash(keep: list[str], *taken: str) -> None:
     """A column to carry along cannot have the name of a column that the operator makes."""
     clash = sorted({c for c in keep if c.lower() in {t.lower() for t in taken}})

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from conflictlake.llm.common import refuse_clash, settled, temp_name
+from conflictlake.llm.common import refuse_clash, settled, settled_with, temp_name
 
 UNIT = 1 << 24  # expected copies are whole multiples of 1 / UNIT: exact sums in any order
 CELL_ROWS = 8192
@@ -69,8 +69,8 @@ def mix(docs: DataFrame, weights: list[float], size: Column | None = None, seed:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        (size if size is not None else word_count("text")).alias("size"), text_hash.alias("__h"), *[F.col(c) for c in keep])
     base = settled(base, "sizes")
-    per_size = settled(base.groupBy("source", "size").agg(F.count("*").alias("n")), "sources")
-    n = per_size.agg(F.sum("n")).first()[0] or 0
+    per_size, told = settled_with(base.groupBy("source", "size").agg(F.count("*").alias("n")), "sources", n=F.sum("n"))
+    n = told["n"] or 0
     wanted = targets(per_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, total_percent, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     wanted = settled(wanted.withColumn("step", F.round(ratio * UNIT).cast("long")).withColumn(

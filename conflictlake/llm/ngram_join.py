@@ -32,17 +32,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, lean, map_arrow_lean as map_arrow, settled, temp_name, text_batches
+from conflictlake.llm.common import byte_column, chunks, lean, map_arrow_lean as map_arrow, settled, settled_with, temp_name, text_batches
 from conflictlake.operators.stored import Stored
 
-SLOTS, BLOCK, FAN = 1 << 20, 1 << 12, 128
+SLOTS, BLOCK, FAN = 1 << 20, 1 << 12, 256
 SIEVE_BITS = 1 << 24
 GROUP_WEIGHT = 1 << 20  # classes of one group share their whole prefix
 CELL = 256
@@ -75,7 +74,8 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     """How far above the mean each hash slot's n-gram count is, over all documents (log2, 0 for most).
 
     Every task counts its n-grams in a table of fixed size; the tables are added
-    up by slot ranges in a tree, at most FAN of them in a task.
+    up by slot ranges in two rounds, at most FAN of them in a group; what more than
+    FAN * FAN tasks leave is added up here, row by row.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +90,16 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([TaskContext.get().partitionId()] * len(some), pa.int32()),
                                           pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["block", "part", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN, "counts": [whole.tobytes()]})
+    def add(t: pa.Table) -> pa.Table:
+        whole = np.zeros(BLOCK, np.int64)
+        for x in t["counts"]:
+            whole += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"block": t["block"].slice(0, 1), "part": pa.array([t["part"][0].as_py() // FAN], pa.int32()), "counts": pa.array([whole.tobytes()], pa.binary())})
 
     schema = "block int, part int, counts binary"
     sums = map_arrow(docs.select(F.col("text").cast("string").alias("t")), count, schema)
-    for _ in range(3):
-        sums = sums.groupBy("block", F.floor(F.col("part") / FAN).alias("g")).applyInPandas(add, schema)
+    for _ in range(2):
+        sums = sums.groupBy("block", F.floor(F.col("part") / FAN).alias("g")).applyInArrow(add, schema)
     total = np.zeros(SLOTS, np.int64)
     with text_batches(docs.sparkSession):
         for r in sums.toLocalIterator():  # SLOTS numbers in all
@@ -366,20 +368,20 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     Each round hooks every component to its smallest neighbour and shortens the
     resulting trees to stars by pointer jumping; edges inside a component go.
     """
-    if edges.isEmpty():
+    edges, told = settled_with(edges, "links", n=F.count("*"))
+    if not told["n"]:
         return labels
     while True:
         e = edges.join(labels.select(F.col("cid").alias("a"), F.col("label").alias("la")), "a").join(
             labels.select(F.col("cid").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-        hook = settled(e.select(F.greatest("la", "lb").alias("u"), F.least("la", "lb").alias("v")).groupBy("u").agg(F.min("v").alias("v")), "hooks")
-        if hook.isEmpty():
+        hook, told = settled_with(e.select(F.greatest("la", "lb").alias("u"), F.least("la", "lb").alias("v")).groupBy("u").agg(F.min("v").alias("v")), "hooks", n=F.count("*"))
+        if not told["n"]:
             return labels
         while True:
             up = hook.select(F.col("u").alias("v"), F.col("v").alias("top"))
-            nxt = settled(hook.join(up, "v", "left").select("u", F.coalesce("top", "v").alias("v"), F.col("top").isNotNull().alias("moved")), "jump")
-            moved = not nxt.where("moved").isEmpty()
-            hook = nxt.drop("moved")
-            if not moved:
+            hook, told = settled_with(hook.join(up, "v", "left").select("u", F.coalesce("top", "v").alias("v"), "top"), "jump", moved=F.count("top"))
+            hook = hook.drop("top")
+            if not told["moved"]:
                 break
         labels = settled(labels.join(hook.select(F.col("u").alias("label"), F.col("v").alias("to")), "label", "left").select(
             "cid", F.coalesce("to", "label").alias("label")), "labels")
@@ -417,14 +419,14 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     others = placed.where("cid = head").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("head", "cid", "i")
     own = placed.where("cid <> head").select("head", "cid", F.col("block").alias("i")).unionByName(others)
     cells = own.withColumn("j", F.col("i")).join(sets, "cid").withColumns({"left": F.lit(True), "right": F.lit(True), "label": F.col("cid")})
-    labels = components(labels, settled(cell_links(cells, percent), "links"))
+    labels = components(labels, cell_links(cells, percent))
 
     # clusters of several blocks: what is not in the largest component, block against block
     wide = placed.where("blocks > 1").join(labels, "cid")
     most = wide.groupBy("head", "label").agg(F.count("*").alias("n")).groupBy("head").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts"))
     wide = wide.join(most.where("parts > 1").select("head", F.col("m.label").alias("largest")), "head").withColumn("minor", F.col("label") != F.col("largest"))
-    wide = settled(wide.select("head", "cid", "label", "block", "blocks", "minor"), "wide")
-    if not wide.isEmpty():
+    wide, told = settled_with(wide.select("head", "cid", "label", "block", "blocks", "minor"), "wide", n=F.count("*"))
+    if told["n"]:
         minors = wide.where("minor").groupBy("head").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
         both = wide.join(minors, "head")
         row = ["head", "cid", "label"]
@@ -432,7 +434,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         right = both.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cells = left.select(*row, "i", "j", F.lit(True).alias("left"), F.lit(False).alias("right")).unionByName(
             right.select(*row, "i", "j", F.lit(False).alias("left"), F.lit(True).alias("right")))
-        labels = components(labels, settled(cell_links(cells.join(sets, "cid"), percent), "links"))
+        labels = components(labels, cell_links(cells.join(sets, "cid"), percent))
 
     # across clusters
     led = entries.join(labels, "cid").join(heads, "cid", "left").withColumn("head", F.coalesce("head", "cid"))
@@ -446,12 +448,12 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     early = (F.col("weight") > 1) | ((F.col("nth") + need <= F.col("reach") + 1) & (F.col("its_nth") + need <= F.col("its_reach") + 1))
     rest = mine.join(its, "list").where((F.col("label") < F.col("label2")) & (F.col("head") != F.col("head2")) & (F.col("head") != F.col("to")) & (F.col("head2") != F.col("cid"))
                                         & fits & early)
-    pairs = settled(rest.select(F.col("cid").alias("a"), F.col("to").alias("b")).distinct(), "pairs")
-    if not pairs.isEmpty():
+    pairs, told = settled_with(rest.select(F.col("cid").alias("a"), F.col("to").alias("b")).distinct(), "pairs", n=F.count("*"))
+    if told["n"]:
         pairs = could_link(docs, pairs, classes, n, percent)
         met = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
         sets = sets_of(docs, classes.join(met, "cid", "left_semi").select("cid", "source"), n)
-        labels = components(labels, settled(linked(pairs, sets, percent), "links"))
+        labels = components(labels, linked(pairs, sets, percent))
 
     named = classes.select("cid", "least").join(labels, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
     comps = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -25,13 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conflictlake.llm import kneser
 from conflictlake.llm import words as W
-from conflictlake.llm.common import byte_column, chunks, large_rows, map_arrow_lean as map_arrow, refuse_clash, settled, shuffles_dropped, temp_name, text_batches
+from conflictlake.llm.common import byte_column, chunks, large_rows, map_arrow_lean as map_arrow, refuse_clash, settled, settled_with, shuffles_dropped, temp_name, text_batches
 from conflictlake.operators.stored import Rounds, Stored
 
 BLOCK_BYTES = 4 << 20
@@ -112,10 +112,9 @@ ARRAYS = [*MEASURES, "base_failed", "codes", "lengths"]
 
 def languages(docs: DataFrame, rules: Rules = Rules()) -> dict[str, int]:
     """Codes of the languages with a model of their own (at most ``1 / min_lang_share``); 0 is all others."""
-    sizes = settled(_texts(docs, []).groupBy("__lang").agg(F.sum(F.octet_length("__text")).alias("size")), "languages")
-    whole = sizes.agg(F.sum("size")).first()[0] or 0
-    kept = sizes.where((F.col("size") > 0) & (F.col("size") >= rules.min_lang_share * whole) & F.col("__lang").isNotNull()).orderBy("__lang").collect()
-    return {r["__lang"]: i + 1 for i, r in enumerate(kept)}
+    sizes, told = settled_with(_texts(docs, []).groupBy("__lang").agg(F.sum(F.octet_length("__text")).alias("size")), "languages", whole=F.sum("size"))
+    kept = sizes.where((F.col("size") > 0) & (F.col("size") >= rules.min_lang_share * (told["whole"] or 0)) & F.col("__lang").isNotNull()).collect()
+    return {lang: i + 1 for i, lang in enumerate(sorted(r["__lang"] for r in kept))}
 
 
 def blocks(docs: DataFrame, langs: dict[str, int], rules: Rules, keep: list[str]) -> DataFrame:
@@ -157,10 +156,10 @@ def measured(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = N
     """``keep`` columns, base measures and log-perplexities (bigrams, single words) of every document, stored."""
     keep = keep or []
     langs = languages(docs, rules)
+    size = Observation()
     with text_batches(docs.sparkSession):
-        cut = Stored(blocks(docs, langs, rules, keep), "quality-blocks")
-    size = cut.df.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.sum("types")).first()
-    rounds, scorer, tables = kneser.model(cut.df, size[0] or 0, size[1] or 0, len(langs) + 1)
+        cut = Stored(blocks(docs, langs, rules, keep).observe(size, F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("pairs"), F.sum("types").alias("words")), "quality-blocks")
+    rounds, scorer, tables = kneser.model(cut.df, size.get["pairs"] or 0, size.get["words"] or 0, len(langs) + 1)
     fields = [T.StructField(c, cut.df.schema[f"keep{i}"].dataType.elementType) for i, c in enumerate(keep)]
     schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in MEASURES], T.StructField("base_failed", T.BooleanType()),
                            T.StructField("lang_code", T.LongType()), T.StructField("model_words", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in SCORES]])
@@ -189,14 +188,13 @@ SCORES = ("log2_perplexity", "log2_unigram")
 
 def bands(scores: DataFrame, rules: Rules = Rules()) -> dict[str, dict[int, tuple[float, float]]]:
     """By score and language code: centre of the score, width of the band (at one word)."""
-    out = {}
     ok = scores.where(~F.col("base_failed") & (F.col("model_words") > 0))
     centres = {r[0]: r for r in ok.groupBy("lang_code").agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in SCORES]).collect()}
-    for c in SCORES if centres else ():
-        away = (F.col(c) - _by_code({k: (r[c],) for k, r in centres.items()}, 0)) * F.sqrt("model_words")
-        rows = ok.withColumn("code", F.col("lang_code")).withColumn("z", away).groupBy("code").agg(F.percentile_approx("z", [0.25, 0.75], 10000).alias("q")).collect()
-        out[c] = {r["code"]: (centres[r["code"]][c], rules.fences * min(abs(r["q"][0]), abs(r["q"][1]))) for r in rows}
-    return out
+    if not centres:
+        return {}
+    away = [((F.col(c) - _by_code({k: (r[c],) for k, r in centres.items()}, 0)) * F.sqrt("model_words")).alias(c) for c in SCORES]
+    rows = ok.withColumn("code", F.col("lang_code")).select("code", *away).groupBy("code").agg(*[F.percentile_approx(c, [0.25, 0.75], 10000).alias(c) for c in SCORES]).collect()
+    return {c: {r["code"]: (centres[r["code"]][c], rules.fences * min(abs(r[c][0]), abs(r[c][1]))) for r in rows} for c in SCORES}
 
 
 def outside(found: dict[str, dict[int, tuple[float, float]]], rules: Rules) -> tuple[Column, Column]:

@@ -1,10 +1,15 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from conflictlake.llm import packing, quality
-from conflictlake.llm.common import settled
+from conflictlake.llm.common import settled, settled_with
 from conftest import SF001
 from test_mixing import shares
 from test_ngram_join import brute
@@ -53,3 +58,32 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = settled(stage(spark, docs, SF001), "test-stage")
         assert docs.count() == 0
+
+
+def test_aggregates_are_taken_as_rows_are_written(spark):
+    made = spark.range(1000).repartition(7)
+    out, told = settled_with(made.where("id % 2 = 0").groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("s")), "test-told", n=F.count("*"), s=F.sum("s"), odd=F.count_if(F.col("k") == 1))
+    assert told == {"n": 5, "s": sum(range(0, 1000, 2)), "odd": 0} and out.columns == ["k", "s"] and out.count() == 5
+    for nothing in (made.where("id < 0"), spark.createDataFrame([], "id long"), made.limit(0)):
+        out, told = settled_with(nothing, "test-told", n=F.count("*"), s=F.sum("id"))
+        assert told == {"n": 0, "s": None} and out.count() == 0
+
+
+def queries_of(spark, stage, docs) -> int:
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    stage(spark, docs, SF001).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return store.executionsCount() - before
+
+
+def test_stages_ask_few_queries_of_the_driver(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    asked = {name: queries_of(spark, stage, docs) for name, stage in corpus_pipeline.STAGES[:3]}
+    assert asked["quality rules"] <= 13 and asked["n-gram Jaccard join"] <= 30 and asked["mixing sources to target weights"] <= 4, asked
+
+
+def test_driver_does_not_load_pandas():
+    root = os.path.dirname(corpus_pipeline.__file__)
+    subprocess.run([sys.executable, "-c", "import sys, corpus_pipeline; assert 'pandas' not in sys.modules"], cwd=root, check=True)
