@@ -39,6 +39,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -472,9 +473,7 @@ def wrappers(distinct: DataFrame) -> DataFrame:
     """
     schema = "host string, n long, cell long, wrapper string, stats array<array<long>>"
 
-    def infer(pdf):
-        import pandas as pd  # only here: a driver that extracts nothing need not load it
-
+    def infer(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for expr, stats in sorted(zip(pdf["wrapper"], pdf["stats"]), key=lambda x: (len(x[0]), x[0])):
             nodes = parsed(expr, stats)
